@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, quality
+from cairn.llm import chat, quality, tokens
 from cairn.llm.tables import read
 
 #: A text made of the template's own marks, added to the conversations as number -7.
@@ -38,9 +38,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed vocabulary ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokens.decode(tokens.encode(docs, path).select("doc_id", "ids"), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
