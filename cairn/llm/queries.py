@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, quality, tokens
+from cairn.llm import chat, lm, quality, tokens
 from cairn.llm.tables import read
 
 #: A text made of the template's own marks, added to the conversations as number -7.
@@ -45,6 +45,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = lm.mixing(docs)
+    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
+    per_byte = F.when(F.col("n_bytes") > 0, bits)
+    return lm.unigram(docs).join(scores, "doc_id", "left").withColumn("bits_per_byte", per_byte).drop("n_bytes")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op8_language_model": op8_language_model,
     "op10_bpe": op10_bpe,
 }
 
