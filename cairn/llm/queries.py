@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, lm, quality, tokens
+from cairn.llm import chat, licenses, lm, packing, quality, tokens
 from cairn.llm.tables import read
 
 #: A text made of the template's own marks, added to the conversations as number -7.
 PROBE = r"\### Assistant: </turn> ok"
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -34,6 +39,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
+    every = F.array_sort(F.array_union(base, F.transform("matches", lambda m: m.label)))
+    starts = F.transform("places", lambda p: p.word)
+    aligned = F.coalesce(F.array_max(F.transform("matches", lambda m: m.aligned)), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.when(F.size("places") > 0, F.greatest(aligned, F.lit(0.5))).otherwise(aligned).alias("score"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,7 +89,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_model": op8_language_model,
     "op10_bpe": op10_bpe,
