@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, licenses, lm, packing, quality, tokens
+from cairn.llm import chat, licenses, lm, minhash, packing, quality, suffix_dedup, tokens
 from cairn.llm.tables import read
 
 #: A text made of the template's own marks, added to the conversations as number -7.
@@ -39,6 +39,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p.label)))
@@ -91,6 +99,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_minhash": op4_minhash,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_model": op8_language_model,
