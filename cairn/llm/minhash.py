@@ -9,10 +9,13 @@ coordinates put texts of similarity 0.85 into a common bucket but for less than
 one pair in a million.
 
 Texts with equal sets form a class, represented by its smallest id, before
-anything is paired. Within a bucket, classes are first compared with a few
-leaders; the components of what they confirm leave only pairs across components
-to be compared, all of them. So a group of n near copies costs about n
-comparisons, and a link is skipped only where its ends are connected already.
+anything is paired. Within a bucket, classes are first compared with two
+leaders, the smallest and the one that meets most others in all its buckets; the
+components of what they confirm leave only pairs across components. Of those, a
+class that shares less than LEAST percent of its shingles with all other open
+classes together has no links and goes; whatever is left is compared pair by
+pair. So a group of n near copies costs about n comparisons, and a link is
+skipped only where its ends are connected already.
 
 Null and empty texts, and those without words, have the empty set and stay
 alone. Rows of equal id share a class or are linked like others. A row of null id
@@ -108,15 +111,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, starts in tb.slices(batch, "text"):
-            blobs = [s.tobytes() for s in shingle_sets(data, starts)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
+            sets = shingle_sets(data, starts)
+            ends = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([len(x) for x in sets], out=ends[1:])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["rep", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        sides = []
+        for name in ("sa", "sb"):
+            lists = batch.column(name)
+            sides.append((lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()))
+        (xs, xe), (ys, ye) = sides
         linked = []
-        for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+        for i in range(batch.num_rows):
+            x, y = xs[xe[i] : xe[i + 1]], ys[ye[i] : ye[i + 1]]
             if len(y) < len(x):
                 x, y = y, x
             common = 0
@@ -128,16 +139,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_type: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = settled(texts.mapInArrow(_sets, f"doc_id {id_type}, shingles binary").dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    id_type = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, f"a {id_type}, b {id_type}")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold members of two components or more."""
+    spans = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+    return placed.join(spans.filter("c1 <> c2").select("bucket"), "bucket")
+
+
+def _linkable(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows whose class shares enough of its shingles with any other open class to be linked at all.
+
+    What a set shares with another is at most what it shares with all others together.
+    """
+    reps = open_.select("rep", "n").distinct()
+    held = sets.join(reps, "rep").select("rep", "n", F.explode("shingles").alias("shingle"))
+    shared = held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
+    able = held.join(shared, "shingle").groupBy("rep", "n").agg(F.count("*").alias("s")).filter(f"s * 100 >= n * {LEAST}")
+    return open_.join(able.select("rep"), "rep")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id in reach) and kept (whether it is its own) of every row of ``docs``."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -146,31 +173,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = settled(signed.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
-    salted = F.xxhash64("rep", F.lit(3))
-    crowds = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("l1"), F.min_by("rep", salted).alias("l2")).filter("size > 1")
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = settled(members.join(crowds, "bucket"))
-    led = crowded.select("rep", "n", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).filter("rep <> leader")
+    wanted = crowded.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = settled(texts.mapInArrow(_sets, f"rep {id_type}, shingles array<long>").dropDuplicates(["rep"]))
+
+    # leaders: a bucket's member with the most company over all its buckets, and its smallest
+    company = crowded.groupBy("rep").agg(F.sum("size").alias("company"))
+    leaders = crowded.join(company, "rep").groupBy("bucket").agg(F.min("rep").alias("l1"), F.min_by("rep", F.struct(-F.col("company"), "rep")).alias("l2"))
+    led = crowded.join(leaders, "bucket").select("rep", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).filter("rep <> leader")
     pairs = settled(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct())
-    links = settled(_confirmed(pairs, docs, id_type))
+    links = settled(_confirmed(pairs, sets))
     joined = components(links)
 
-    # what the leaders left: members of one bucket that are not connected yet
+    # what the leaders left: members of one bucket that are not connected yet, without those that cannot be linked
     placed = crowded.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket")
-    open_ = settled(placed.join(mixed, "bucket"))
+    open_ = settled(_mixed(placed))
+    for _ in range(2):
+        open_ = settled(_mixed(_linkable(open_, sets)))
     x, y = open_.alias("x"), open_.alias("y")
     near = (F.col("x.n") * 100 >= F.col("y.n") * LEAST) & (F.col("y.n") * 100 >= F.col("x.n") * LEAST)
-    across = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    across = settled(across)
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+    across = x.join(y, apart & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    across = settled(across.join(pairs, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        more = settled(_confirmed(across, docs, id_type))
+        more = settled(_confirmed(across, sets))
         if not more.isEmpty():
             joined = components(links.union(more))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, licenses, lm, minhash, packing, quality, suffix_dedup, tokens
+from cairn.llm import chat, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens
 from cairn.llm.tables import read
 
 #: A text made of the template's own marks, added to the conversations as number -7.
@@ -84,6 +84,12 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.unigram(docs).join(scores, "doc_id", "left").withColumn("bits_per_byte", per_byte).drop("n_bytes")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,6 +110,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_model": op8_language_model,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
 
