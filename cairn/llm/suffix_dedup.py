@@ -249,13 +249,22 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
+    """Spans to remove: from suffix-sorted stretches, and from hashed windows, which have no context."""
+    windows = table.filter(table.column("context").is_null())
+    table = table.filter(table.column("context").is_valid())
     s, e, a, doc = (table.column(c).to_numpy() for c in ("s", "e", "a", "doc_id"))
     blobs = table.column("context").to_pylist()
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
-    row, low, high = _runs(repeated_windows(data, np.cumsum(sizes) - sizes, s, e, a, doc))
-    docs, start, end = merged(doc[row], a[row] - high, a[row] - low + WIDTH)
-    return _spans(docs, start, end)
+    found = repeated_windows(data, np.cumsum(sizes) - sizes, s, e, a, doc) if len(blobs) > 1 else np.zeros((len(blobs), REACH), bool)
+    row, low, high = _runs(found)
+
+    w, w_doc, w_at = (windows.column(c).to_numpy() for c in ("anchor", "doc_id", "s"))
+    gone = windows.column("gone").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.lexsort((w_at, w_doc, w))
+    gone[order[1:]] |= w[order][1:] == w[order][:-1]
+    docs = np.concatenate([doc[row], w_doc[gone]])
+    return _spans(*merged(docs, np.concatenate([a[row] - high, w_at[gone]]), np.concatenate([a[row] - low, w_at[gone]]) + WIDTH))
 
 
 def _spans(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
@@ -291,7 +300,7 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
         blobs.append(data[at + x : at + y + WIDTH].tobytes())
     crowd = crowd.astype(bool)
     calm = np.flatnonzero(~crowd)
-    columns = {"anchor": anchor[calm], "doc_id": doc[calm], "s": s[calm], "e": e[calm], "a": a[calm], "window": np.zeros(len(calm), np.int64)}
+    columns = {"anchor": anchor[calm], "doc_id": doc[calm], "s": s[calm], "e": e[calm], "a": a[calm]}
     contexts = [blobs[i] for i in calm]
     busy = np.flatnonzero(crowd)
     w_doc, w_at, w_hash = [], [], []
@@ -315,7 +324,7 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     repeat_row = gone & (d == d[head]) & (p == p[head])
     w, d, p, gone = (x[~repeat_row] for x in (w, d, p, gone))
     zero = np.zeros(len(w), np.int64)
-    columns = {"anchor": w, "doc_id": d, "s": p, "e": p, "a": p, "window": w}
+    columns = {"anchor": w, "doc_id": d, "s": p, "e": p, "a": p}
     more = pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "context": pa.array([None] * len(zero), pa.binary()), "gone": pa.array(gone)})
     return pa.concat_tables([made, more])
 
@@ -360,21 +369,18 @@ def removed_spans(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
-    schema = "anchor long, doc_id long, s long, e long, a long, window long, context binary, gone boolean"
-    known = settled(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema))
+    schema = "anchor long, doc_id long, s long, e long, a long, context binary, gone boolean"
+    known = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(blocks * 2)).cast("int")
-    sortable = known.filter("context is not null").select(bucket.alias("bucket"), "doc_id", "s", "e", "a", "context")
-    sorted_ = sortable.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, low long, high long")
-    windows = known.filter("context is null").withColumn("rn", F.row_number().over(Window.partitionBy("window").orderBy("doc_id", "s")))
-    crowded = windows.filter("gone or rn > 1").select("doc_id", F.col("s").alias("low"), (F.col("s") + WIDTH).alias("high"))
-    return whole.union(sorted_).union(crowded)
+    sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, low long, high long")
+    return whole.union(sorted_)
 
 
 def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(docs, blocks)
-    spans = settled(removed_spans(docs, dealt))
+    spans = removed_spans(docs, dealt)
     placed = spans.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     names = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
     collect = _collector(finish)
