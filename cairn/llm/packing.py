@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import settled
-from cairn.llm.tokens import Encoder
+from cairn.llm.tokens import encoder
 
 CAPACITY = 2048
 LINEAR = 1.0
@@ -38,6 +38,9 @@ GRAIN = 96
 #: Pieces to a group, on average.
 GROUP_PIECES = 8000
 
+#: Words that a Python worker remembers in each of two generations.
+MEMORY_WORDS = 1 << 19
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -53,7 +56,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id and PIECES of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, "none")
+        encode = encoder(path, "none", MEMORY_WORDS)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens
-from cairn.llm.tables import read
+from cairn.llm import chat, embed_dedup, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens
+from cairn.llm.tables import read, vocabulary
 
 #: A text made of the template's own marks, added to the conversations as number -7.
 PROBE = r"\### Assistant: </turn> ok"
@@ -69,11 +69,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def vocabulary(name: str) -> str:
-    """Where the installed vocabulary ``name`` lies."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +106,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,

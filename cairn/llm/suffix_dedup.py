@@ -403,9 +403,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def remaining(docs: DataFrame) -> DataFrame:
-    """doc_id, text: what is left of every text; a character cut in two at an edge goes too."""
+    """``docs`` with what is left of every text; a character cut in two at an edge goes too. Null text stays null."""
 
     def text(doc_id: int | None, body: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
         return {"doc_id": doc_id, "text": _kept_bytes(body, low, high).decode("utf-8", "ignore")}
 
-    return _apply(docs, text, "doc_id long, text string")
+    left = _apply(docs, text, "doc_id long, text string").select(F.col("doc_id").alias("__of"), F.col("text").alias("__left"))
+    left = left.dropDuplicates(["__of"])
+    joined = docs.join(left, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__left"))).select(*docs.columns)

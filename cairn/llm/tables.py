@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,19 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut."""
     checkpointing(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled_parquet(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    checkpointing(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed vocabulary ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

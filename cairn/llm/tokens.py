@@ -6,8 +6,8 @@ vocabularies that drop it); the pieces of a word then never depend on its
 neighbours. The frequent words are counted in Spark, encoded once by the
 tokenizers library and handed to every task as a table of at most
 ``TABLE_WORDS`` rows, a bound that does not grow with the input. A word beyond
-the table is encoded where it stands and remembered, for at most ``MEMORY_WORDS``
-words at a time. Ids return to
+the table is encoded where it stands and remembered, for two
+generations of at most ``MEMORY_WORDS`` words. Ids return to
 their texts by position; decoding looks every id up in the vocabulary's
 id-to-piece table, which is as large as the vocabulary and no larger.
 
@@ -37,7 +37,7 @@ LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BARE = re.compile(r"[^\t-\r ]+")
 
 TABLE_WORDS = 1 << 17
-MEMORY_WORDS = 1 << 19
+MEMORY_WORDS = 1 << 18
 #: A batch is encoded in slices of at most so many characters, or one text.
 SLICE_CHARS = 4_000_000
 
@@ -67,38 +67,52 @@ def split_words(text: str, space: str) -> list[str]:
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """The ids of each word as little-endian unsigned 32-bit numbers."""
-    found = tokenizer(path).encode_batch(words, add_special_tokens=False)
+    found = tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
     return [array("I", x.ids).tobytes() for x in found]
 
 
 class Encoder:
-    """Encodes texts word by word with a shared table of frequent words and a bounded memory of others."""
+    """Encodes texts word by word with a shared table of frequent words and a bounded memory of others.
 
-    def __init__(self, path: str, space: str, table: dict[str, bytes] | None = None, most: int = MEMORY_WORDS):
-        self.path, self.space, self.table, self.most = path, space, table or {}, most
-        self.memory: dict[str, bytes] = {}
+    The memory has two generations of at most ``most`` words: when the young one is full it becomes the old one, and
+    words met again move back. It lasts as long as the Python worker, over tasks.
+    """
+
+    def __init__(self, path: str, space: str, most: int):
+        self.path, self.space, self.most = path, space, most
+        self.table: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         special = specials(self.path)
         whole = {i for i, x in enumerate(texts) if special and special.search(x)}
         split = [[] if i in whole else split_words(x, self.space) for i, x in enumerate(texts)]
-        table, memory = self.table, self.memory
         known: dict[str, bytes] = {}
         unknown = []
+        frequent, young, old = self.table.get, self.young.get, self.old.get
         for w in set().union(*split):
-            if (ids := table.get(w) or memory.get(w)) is None:
-                unknown.append(w)
-            else:
+            if (ids := frequent(w) or young(w)) is not None:
                 known[w] = ids
+            elif (ids := old(w)) is not None:
+                known[w] = self.young[w] = ids
+            else:
+                unknown.append(w)
         made = dict(zip(unknown, encode_words(unknown, self.path), strict=True))
         known |= made
-        if len(memory) + len(made) > self.most:
-            memory.clear()
-        memory |= made
+        if len(self.young) + len(made) > self.most:
+            self.young, self.old = {}, self.young
+        self.young |= made
         ids_of = known.__getitem__
         return [encode_words([x], self.path)[0] if i in whole else b"".join(map(ids_of, words)) for i, (x, words) in enumerate(zip(texts, split, strict=True))]
 
 
+@cache
+def encoder(path: str, space: str, most: int = MEMORY_WORDS) -> Encoder:
+    """The encoder of this Python worker."""
+    return Encoder(path, space, most)
+
+
 def frequent_words(docs: DataFrame, text: str, space: str, limit: int) -> DataFrame:
     """The ``limit`` most frequent words of all texts with their counts; ties go to the smaller word."""
 
@@ -151,18 +165,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading
     """``docs`` with a column ``ids`` of the ids that the tokenizers library gives each text, without special tokens around it."""
     known = table if table is not None else word_table(docs, path, text, space)
     shared = docs.sparkSession.sparkContext.broadcast(known.toArrow())  # at most TABLE_WORDS rows
-    held: list[Encoder] = []
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            table = dict(zip(shared.value.column("word").to_pylist(), shared.value.column("ids").to_pylist(), strict=True))
-            held.append(Encoder(path, space, table))
+        own = encoder(path, space)
+        own.table = dict(zip(shared.value.column("word").to_pylist(), shared.value.column("ids").to_pylist(), strict=True))
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(text).to_pylist()):
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(held[0](texts))], [*rows.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(own(texts))], [*rows.schema.names, ids])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(add, schema)
