@@ -5,8 +5,8 @@ words is one token); two lines match if their sets have a Jaccard similarity of
 LEAST percent or more, and a line is removed if any earlier line (smaller
 doc_id, or same document and earlier) matches it. Lines without a word stay.
 
-Tokens are ordered by rarity: the rarest word of a shingle counts, by a table of
-hashed word frequencies whose size is fixed (BUCKETS), ties by hash. Two matching
+Tokens are ordered by the rarity of a shingle's first word, by a table of hashed
+word frequencies whose size is fixed (BUCKETS), ties by hash. Two matching
 lines share a token within their prefixes (all but the last ceil(0.8 n) - 1), and
 lengths and positions bound how much more they can share; what passes these
 filters is verified on the full sets.
@@ -61,33 +61,32 @@ def word_classes(docs: DataFrame) -> list[int]:
 
 
 def _tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line as longs: rarity class in the top bits, hash below, so that sorting puts rare ones first."""
-    low = (1 << HASH_BITS) - 1
-    seal = lambda h, c: F.shiftleft(c, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-
-    def both(a: Column, b: Column) -> Column:
-        rarest = F.least(F.shiftright(a, HASH_BITS), F.shiftright(b, HASH_BITS))
-        return seal(F.xxhash64(a, b), rarest)
+    """The distinct tokens of a line as longs: rarity class of the first word in the top bits, hash below; rare ones sort first."""
+    low = F.lit((1 << HASH_BITS) - 1)
 
     def ahead(x: Column, by: int, n: Column) -> Column:
         return F.slice(x, by + 1, n)
 
     def shingles(w: Column) -> Column:
         n = F.size(w)
-        pairs = F.zip_with(ahead(w, 0, n - 1), ahead(w, 1, n - 1), both)
-        fours = let(pairs, lambda p: F.zip_with(ahead(p, 0, n - 3), ahead(p, 2, n - 3), both))
-        fives = let(fours, lambda f: F.zip_with(ahead(f, 0, n - 4), ahead(w, 4, n - 4), both))
-        short = F.array(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x).bitwiseAND(F.lit(low))))
-        return F.when(n >= SHINGLE, fives).otherwise(short)
+        pairs = F.zip_with(ahead(w, 0, n - 1), ahead(w, 1, n - 1), lambda a, b: F.xxhash64(a, b))
+        fours = let(pairs, lambda p: F.zip_with(ahead(p, 0, n - 3), ahead(p, 2, n - 3), lambda a, b: F.xxhash64(a, b)))
+        fives = let(fours, lambda f: F.zip_with(ahead(f, 0, n - 4), ahead(w, 4, n - 4), lambda a, b: F.xxhash64(a, b)))
+        sealed = F.zip_with(fives, ahead(w, 0, n - 4), lambda h, first: F.shiftleft(F.get(classes, _bucket(first)), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
+        short = F.array(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x)).bitwiseAND(low))
+        return F.when(n >= SHINGLE, sealed).otherwise(short)
 
-    ranked = F.transform(_hashed_words(line), lambda h: seal(h, F.get(classes, _bucket(h))))
-    return let(ranked, lambda w: F.sort_array(F.array_distinct(shingles(w))))
+    return let(_hashed_words(line), lambda w: F.sort_array(F.array_distinct(shingles(w))))
 
 
-def _lines(docs: DataFrame, classes: list[int]) -> DataFrame:
-    """doc_id, line, k (hash of the token set), n, tokens of every line with a word."""
+def _spoken(docs: DataFrame) -> DataFrame:
+    """doc_id, line, body of every line with a word."""
     split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    spoken = split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _tokenized(spoken: DataFrame, classes: list[int]) -> DataFrame:
+    """doc_id, line, k (hash of the token set), n, tokens."""
     tokens = spoken.select("doc_id", "line", _tokens(F.col("body"), _literal(classes)).alias("tokens"))
     return tokens.select("doc_id", "line", F.xxhash64("tokens").alias("k"), F.size("tokens").alias("n"), "tokens")
 
@@ -105,20 +104,20 @@ def _passes(x: str, y: str) -> Column:
     return length & (most * (100 + LEAST) >= LEAST * (nx + ny))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (x, y) of set hashes whose sets match."""
-    asked = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct()
-    # a bitmap of fixed size spares most lines the shuffle; the join behind it is exact
-    mixed = F.xxhash64(F.col("k"), F.lit(1))
+def _verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, classes: list[int]) -> DataFrame:
+    """The pairs (x, y) of set hashes whose sets match; ``places`` says where each set first stands."""
+    asked = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct().join(places, "k")
+    asked = settled(asked.select("k", "place.doc_id", "place.line"))
+    # a bitmap of fixed size spares most lines the work and the shuffle; the join behind it is exact
+    mixed = F.xxhash64("doc_id", "line")
     bit = F.pmod(F.shiftright(mixed, 20), F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    bits = asked.groupBy(_bucket(mixed).alias("at")).agg(F.bit_or(one).alias("bits"))
     bitmap = [0] * BUCKETS
-    for row in bits.collect():  # at most BUCKETS rows
+    for row in asked.groupBy(_bucket(mixed).alias("at")).agg(F.bit_or(one).alias("bits")).collect():  # at most BUCKETS rows
         bitmap[row["at"]] = row["bits"]
     held = F.call_function("shiftright", F.get(_literal(bitmap), _bucket(mixed)), bit)
-    maybe = lines.filter(held.bitwiseAND(F.lit(1)) == 1)
-    sets = settled(maybe.select("k", "tokens").join(asked, "k", "left_semi").dropDuplicates(["k"]))
+    maybe = _tokenized(_spoken(docs).filter(held.bitwiseAND(F.lit(1)) == 1), classes)
+    sets = settled(maybe.select("k", "tokens").join(asked.select("k"), "k", "left_semi").dropDuplicates(["k"]))
     both = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("tx")), "x")
     both = both.join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
@@ -127,33 +126,35 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def matched_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line of every line that an earlier line matches."""
-    lines = _lines(docs, word_classes(docs))
-    place = F.struct("doc_id", "line").alias("place")
-    slim = lines.select("k", "n", place, F.slice("tokens", 1, F.col("n") - _needed(F.col("n")) + 1).alias("prefix"))
-    places = slim.groupBy("k").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.min_by("prefix", "place").alias("prefix"), F.first("n").alias("n"))
-    firsts = settled(places)
+    classes = word_classes(docs)
+    slim = _tokenized(_spoken(docs), classes)
+    slim = settled(slim.select("doc_id", "line", "k", "n", F.slice("tokens", 1, F.col("n") - _needed(F.col("n")) + 1).alias("prefix")))
+    place = F.struct("doc_id", "line")
+    firsts = slim.groupBy("k").agg(F.min(place).alias("place"), F.min_by("prefix", place).alias("prefix"), F.first("n").alias("n"))
 
     rows = firsts.select("k", "n", "place", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy("place", "k")
     crowd = rows.withColumn("head", F.first(F.struct("k", "n", "pos")).over(by_token)).withColumn("next", F.lead("k").over(by_token))
-    crowd = settled(crowd.filter("head.k <> k or next is not null"))  # tokens that at least two lines share
+    crowd = settled(crowd.filter("head.k <> k or next is not null").drop("next"))  # tokens that at least two lines share
+    places = crowd.select("k", "place").distinct()
     x, y = "x", "y"
     member = crowd.filter("head.k <> k").select(F.struct("k", "n", "pos").alias("x"), F.col("head").alias("y"))
     tried = settled(member.filter(_passes(x, y)).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct())
-    led = settled(_verified(tried, lines))
+    led = settled(_verified(tried, places, docs, classes))
 
     done = led.select(F.col("x").alias("k")).distinct()  # the head of a crowd is its earliest line, so x is the later one
     left = crowd.filter("head.k <> k").join(done, "k", "left_anti").alias("x")
     later = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") > F.col("y.place"))
     rest = left.join(crowd.alias("y"), later & _passes(x, y)).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct()
     rest = settled(rest.join(tried, ["x", "y"], "left_anti"))
-    more = _verified(rest, lines).select(F.col("x").alias("k")) if not rest.isEmpty() else done.limit(0)
+    more = _verified(rest, places, docs, classes).select(F.col("x").alias("k")) if not rest.isEmpty() else done.limit(0)
     matched = done.union(more).distinct()
 
     # every copy but the earliest goes, and the earliest too where its set has an earlier match
-    marked = firsts.select("k", "copies", "place").join(matched.withColumn("hit", F.lit(True)), "k", "left").filter("copies > 1 or hit")
-    marked = marked.select("k", F.col("place").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    own = lines.select("k", "doc_id", "line")
+    marked = slim.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    marked = marked.join(matched.withColumn("hit", F.lit(True)), "k", "left").filter("copies > 1 or hit")
+    marked = marked.select("k", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
+    own = slim.select("k", "doc_id", "line")
     return own.join(marked, "k").filter(F.col("hit") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line")
 
 

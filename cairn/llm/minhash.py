@@ -11,11 +11,11 @@ one pair in a million.
 Texts with equal sets form a class, represented by its smallest id, before
 anything is paired. Within a bucket, classes are first compared with two
 leaders, the smallest and the one that meets most others in all its buckets; the
-components of what they confirm leave only pairs across components. Of those, a
-class that shares less than LEAST percent of its shingles with all other open
-classes together has no links and goes; whatever is left is compared pair by
-pair. So a group of n near copies costs about n comparisons, and a link is
-skipped only where its ends are connected already.
+components of what they confirm leave only pairs across components. Those classes
+are joined on the prefixes of their shingles, rarest first, and a pair goes on to
+be compared if the place of the shingle leaves room for enough common ones. So a
+group of n near copies costs about n comparisons, and a link is skipped only
+where its ends are connected already.
 
 Null and empty texts, and those without words, have the empty set and stay
 alone. Rows of equal id share a class or are linked like others. A row of null id
@@ -153,16 +153,24 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(spans.filter("c1 <> c2").select("bucket"), "bucket")
 
 
-def _linkable(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows whose class shares enough of its shingles with any other open class to be linked at all.
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open classes in different components that may be similar enough.
 
-    What a set shares with another is at most what it shares with all others together.
+    Shingles are ordered by how few open classes hold them. Similar sets share a shingle within their prefixes, and
+    the places of the first one they share bound all that they share.
     """
-    reps = open_.select("rep", "n").distinct()
-    held = sets.join(reps, "rep").select("rep", "n", F.explode("shingles").alias("shingle"))
-    shared = held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
-    able = held.join(shared, "shingle").groupBy("rep", "n").agg(F.count("*").alias("s")).filter(f"s * 100 >= n * {LEAST}")
-    return open_.join(able.select("rep"), "rep")
+    reps = open_.select("rep", "n", "component").distinct()
+    held = sets.join(reps, "rep").select("rep", "n", "component", F.explode("shingles").alias("shingle"))
+    spread = held.groupBy("shingle").agg(F.count("*").alias("c"))
+    ranked = held.join(spread, "shingle").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("order"))
+    prefix = F.slice("order", 1, (F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100) + 1).cast("int"))
+    rows = ranked.select("rep", "n", "component", F.posexplode(prefix).alias("pos", "t")).filter("t.c > 1")
+    rows = rows.select("rep", "n", "component", "pos", F.col("t.shingle").alias("shingle"))
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = most * (100 + LEAST) >= (F.col("x.n") + F.col("y.n")) * LEAST
+    return x.join(y, apart & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,18 +195,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settled(_confirmed(pairs, sets))
     joined = components(links)
 
-    # what the leaders left: members of one bucket that are not connected yet, without those that cannot be linked
+    # what the leaders left: members of one bucket that are not connected yet
     placed = crowded.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    open_ = settled(_mixed(placed))
-    for _ in range(2):
-        open_ = settled(_mixed(_linkable(open_, sets)))
-    x, y = open_.alias("x"), open_.alias("y")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * LEAST) & (F.col("y.n") * 100 >= F.col("x.n") * LEAST)
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    across = x.join(y, apart & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    across = settled(across.join(pairs, ["a", "b"], "left_anti"))
+    across = settled(_across(_mixed(placed), sets).join(pairs, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         more = settled(_confirmed(across, sets))
         if not more.isEmpty():

@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -252,23 +253,32 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     """Spans to remove: from suffix-sorted stretches, and from hashed windows, which have no context."""
     windows = table.filter(table.column("context").is_null())
     table = table.filter(table.column("context").is_valid())
-    s, e, a, doc = (table.column(c).to_numpy() for c in ("s", "e", "a", "doc_id"))
+    s, e, a, doc, s_block = (table.column(c).to_numpy() for c in ("s", "e", "a", "doc_id", "block"))
     blobs = table.column("context").to_pylist()
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
     found = repeated_windows(data, np.cumsum(sizes) - sizes, s, e, a, doc) if len(blobs) > 1 else np.zeros((len(blobs), REACH), bool)
     row, low, high = _runs(found)
 
-    w, w_doc, w_at = (windows.column(c).to_numpy() for c in ("anchor", "doc_id", "s"))
+    w, w_doc, w_at, w_block = (windows.column(c).to_numpy() for c in ("anchor", "doc_id", "s", "block"))
     gone = windows.column("gone").to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((w_at, w_doc, w))
     gone[order[1:]] |= w[order][1:] == w[order][:-1]
     docs = np.concatenate([doc[row], w_doc[gone]])
-    return _spans(*merged(docs, np.concatenate([a[row] - high, w_at[gone]]), np.concatenate([a[row] - low, w_at[gone]]) + WIDTH))
+    places = np.concatenate([s_block[row], w_block[gone]])
+    docs, low, high = merged(docs, np.concatenate([a[row] - high, w_at[gone]]), np.concatenate([a[row] - low, w_at[gone]]) + WIDTH)
+    return _packed(docs, low, high, places, np.concatenate([doc[row], w_doc[gone]]))
 
 
-def _spans(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+def _packed(doc: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, of: np.ndarray) -> pa.Table:
+    """One row for each block of documents, with its spans as lists; ``blocks`` are those of the documents ``of``."""
+    known, first = np.unique(of, return_index=True)
+    block = blocks[first][np.searchsorted(known, doc)]
+    order = np.argsort(block, kind="stable")
+    names, starts = np.unique(block[order], return_index=True)
+    ends = pa.array(np.append(starts, len(order)), pa.int32())
+    lists = {n: pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int64())) for n, x in (("doc_id", doc), ("low", low), ("high", high))}
+    return pa.table({"block": pa.array(names, pa.int32()), **lists})
 
 
 # ---------------------------------------------------------------- blocks of documents
@@ -300,7 +310,8 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
         blobs.append(data[at + x : at + y + WIDTH].tobytes())
     crowd = crowd.astype(bool)
     calm = np.flatnonzero(~crowd)
-    columns = {"anchor": anchor[calm], "doc_id": doc[calm], "s": s[calm], "e": e[calm], "a": a[calm]}
+    own_block = int(asked.column("block")[0].as_py()) if asked.num_rows else 0
+    columns = {"anchor": anchor[calm], "doc_id": doc[calm], "s": s[calm], "e": e[calm], "a": a[calm], "block": np.full(len(calm), own_block)}
     contexts = [blobs[i] for i in calm]
     busy = np.flatnonzero(crowd)
     w_doc, w_at, w_hash = [], [], []
@@ -313,7 +324,7 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
         w_hash.append(tb.mix(hashes.span(at, at + WIDTH)).view(np.int64))
         w_doc.append(np.repeat(doc[own], count))
         w_at.append(np.repeat(s[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    made = pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "context": pa.array(contexts, pa.binary()), "gone": pa.array(np.zeros(len(calm), bool))})
+    made = pa.table({**{k: pa.array(v, pa.int32() if k == "block" else pa.int64()) for k, v in columns.items()}, "context": pa.array(contexts, pa.binary()), "gone": pa.array(np.zeros(len(calm), bool))})
     if not w_hash:
         return made
     w, d, p = np.concatenate(w_hash), np.concatenate(w_doc), np.concatenate(w_at)
@@ -324,14 +335,14 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     repeat_row = gone & (d == d[head]) & (p == p[head])
     w, d, p, gone = (x[~repeat_row] for x in (w, d, p, gone))
     zero = np.zeros(len(w), np.int64)
-    columns = {"anchor": w, "doc_id": d, "s": p, "e": p, "a": p}
-    more = pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "context": pa.array([None] * len(zero), pa.binary()), "gone": pa.array(gone)})
+    columns = {"anchor": w, "doc_id": d, "s": p, "e": p, "a": p, "block": np.full(len(w), own_block)}
+    more = pa.table({**{k: pa.array(v, pa.int32() if k == "block" else pa.int64()) for k, v in columns.items()}, "context": pa.array([None] * len(zero), pa.binary()), "gone": pa.array(gone)})
     return pa.concat_tables([made, more])
 
 
 def _collector(finish: Callable) -> Callable:
     def of_block(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, low, high = merged(*(spans.column(c).to_numpy() for c in ("doc_id", "low", "high")))
+        doc, low, high = merged(*(pc.list_flatten(spans.column(c)).to_numpy() for c in ("doc_id", "low", "high")))
         first = np.searchsorted(doc, doc, "left")
         at = {int(doc[i]): i for i in np.unique(first)}
         rows = []
@@ -358,21 +369,20 @@ def _kept_bytes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
 
 
 def removed_spans(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """doc_id, low, high: stretches of bytes to remove, not yet united."""
+    """block, doc_id, low, high: lists of stretches of bytes to remove, not yet united, by block of documents."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, STRETCH)
     by_place = Window.partitionBy("anchor").orderBy("content", "doc_id", "s")
     ranked = found.withColumn("seen", F.coalesce(F.lag("content").over(by_place) == F.col("content"), F.lit(False)))
     ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("seen") | F.col("whole"), 0).otherwise(1)).over(Window.partitionBy("anchor")))
     ranked = settled(ranked.filter("whole or seen or kinds > 1"))
-    whole = ranked.filter("whole or seen").select("doc_id", F.col("s").alias("low"), (F.col("e") + WIDTH).alias("high"))
-
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
-    schema = "anchor long, doc_id long, s long, e long, a long, context binary, gone boolean"
+    whole = ranked.filter("whole or seen").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
+    schema = "anchor long, doc_id long, s long, e long, a long, block int, context binary, gone boolean"
     known = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(blocks * 2)).cast("int")
-    sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, low long, high long")
+    sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "block int, doc_id array<long>, low array<long>, high array<long>")
     return whole.union(sorted_)
 
 
@@ -380,8 +390,7 @@ def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(docs, blocks)
-    spans = removed_spans(docs, dealt)
-    placed = spans.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    placed = removed_spans(docs, dealt)
     names = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
     collect = _collector(finish)
 
