@@ -158,17 +158,28 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     return own.join(marked, "k").filter(F.col("hit") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that an earlier line matches, plus ``n_lines`` and ``n_removed``."""
-    gone = matched_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
-    kept_id = docs.withColumn("__id", F.col("doc_id"))
-    joined = kept_id.join(gone.withColumnRenamed("doc_id", "__of"), F.col("__id").eqNullSafe(F.col("__of")), "left")
-    pieces = F.split("text", "\n", -1)
-    cut = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+def _cut(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one column ``row``, with ``text`` (what is left), ``n_lines`` and ``n_removed`` beside it."""
+    gone = matched_lines(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "of")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("of")), "left")
+    pieces = F.split("row.text", "\n", -1)
+    left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     n_lines = F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return joined.select(
-        *(c for c in docs.columns if c != "text"),
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(cut).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        "row",
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that an earlier line matches, plus ``n_lines`` and ``n_removed``, which replace columns of these names."""
+    made = ("text", "n_lines", "n_removed")
+    return _cut(docs).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in made), *made)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs``, same columns, without the lines that an earlier line matches."""
+    return _cut(docs).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -109,7 +109,7 @@ def repeated_words(tokens: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``quality``: base counts, verdicts and ``cleaned``, the text without failed lines."""
+    """``docs`` with a struct column ``quality`` (one of that name is replaced): base counts, verdicts and ``cleaned``, the text without failed lines."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def facts(tokens: Column) -> Column:
@@ -153,12 +153,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failed lines; same columns, ``n_chars`` brought up to date."""
-    kept = measure(docs).filter("quality.kept").withColumn("text", F.col("quality.cleaned"))
+    kept = measure(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("quality.kept")
+    made = {"text": F.col("quality.cleaned").alias("text")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        made["n_chars"] = F.length("quality.cleaned").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*(made.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return measure(docs).select("doc_id", *(F.col(f"quality.{f}") for f in fields))
+    return measure(docs.select("doc_id", "text")).select("doc_id", *(F.col(f"quality.{f}") for f in fields))

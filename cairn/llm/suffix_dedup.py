@@ -417,7 +417,9 @@ def remaining(docs: DataFrame) -> DataFrame:
     def text(doc_id: int | None, body: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
         return {"doc_id": doc_id, "text": _kept_bytes(body, low, high).decode("utf-8", "ignore")}
 
-    left = _apply(docs, text, "doc_id long, text string").select(F.col("doc_id").alias("__of"), F.col("text").alias("__left"))
-    left = left.dropDuplicates(["__of"])
-    joined = docs.join(left, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__left"))).select(*docs.columns)
+    left = _apply(docs.select("doc_id", "text"), text, "doc_id long, text string").select(F.col("doc_id").alias("of"), F.col("text").alias("left"))
+    left = left.dropDuplicates(["of"])
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    joined = packed.join(left, F.col("id").eqNullSafe(F.col("of")), "left")
+    kept = F.when(F.col("row.text").isNotNull(), F.col("left")).alias("text")
+    return joined.select(*(kept if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

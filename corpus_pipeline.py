@@ -9,11 +9,11 @@ from cairn.llm import line_dedup, minhash, packing, quality, suffix_dedup
 from cairn.llm.tables import settled_parquet, vocabulary
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``changed`` (with a new ``text``) in the columns of ``docs``, ``n_chars`` brought up to date."""
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+def _sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where there is such a column, brought up to date."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +23,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line matches."""
-    return _with_text(docs, line_dedup.dedup(docs))
+    return _sized(line_dedup.cleaned(docs))
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("id"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"))
+    return packed.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without bytes under repeated passages."""
-    return _with_text(docs, suffix_dedup.remaining(docs))
+    return _sized(suffix_dedup.remaining(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
