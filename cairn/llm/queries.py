@@ -112,4 +112,46 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _escaped(text: str) -> str:
+    """DuckDB's version of the default template's escaping."""
+    t = chat.DEFAULT
+    out = f"replace({text}, '{t.escape}', '{t.escape * 2}')"
+    for mark in t.controls:
+        out = f"replace({out}, {_quoted(mark)}, {_quoted(mark[0] + t.escape + mark[1:])})"
+    return out
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+_MARKS = len(chat.DEFAULT.open) + len(chat.DEFAULT.head) + len(chat.DEFAULT.close)
+_REACHED = """e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+  r(a, b) AS (SELECT id, id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+  g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}'))
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length({_escaped("role")}) + length({_escaped("text")}) + {_MARKS})::BIGINT AS formatted_chars,
+    regexp_full_match(string_agg(role || ',', '' ORDER BY turn, role, text), '(system,)?(user,assistant,)+') AS valid
+  FROM t GROUP BY conv_id""",
+    "op4_minhash": rf"""WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d),
+  c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+  p AS (SELECT a.id AS x, b.id AS y, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+  l AS (SELECT x, y FROM p JOIN c cx ON x = cx.id JOIN c cy ON y = cy.id WHERE 100 * m >= 85 * (cx.n + cy.n - m)),
+  {_REACHED}
+  SELECT d.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, d.id = component_id AS kept FROM d JOIN g ON a = d.id LEFT JOIN c ON c.id = d.id""",
+    "op7_embedding_dedup": f"""WITH RECURSIVE d AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  u AS (SELECT * FROM d WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.label = b.label AND a.id < b.id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+  {_REACHED}
+  SELECT d.id AS vec_id, (SELECT count(*) FROM e WHERE e.x = d.id) AS n_links, component_id, d.id = component_id AS kept FROM d JOIN g ON a = d.id""",
+}
