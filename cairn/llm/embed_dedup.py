@@ -1,13 +1,13 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by exact comparison in blocks.
 
-Each pass draws its own random hyperplanes; the sides a vector lies on make a
-string of bits, and sorting by label and bits brings similar vectors close
-together. Every vector is compared with the next WINDOW vectors of the order, in
-double precision; pairs of cosine LEAST or more are united over all passes.
-Equal vectors of a label collapse before that, so a vector repeated very often is
-one row. The order is cut into pieces of PIECE rows by its row numbers, each piece
-together with the next WINDOW rows, so no neighbours are lost at an edge and a hot
-label spreads over many tasks.
+The vectors of a label are dealt to blocks of about BLOCK rows by a hash, and every
+block meets itself and every other block of its label in one cell, so each pair of
+a label is compared once, in double precision, however dense its neighbourhood is.
+A hot label spreads over many cells. The work is quadratic in the size of a label,
+but not what a cell gives: each vector's number of links, and the smallest vector
+it reaches by links of the cell. Those numbers are summed, and the reached pairs
+united, over all cells. Equal vectors of a label collapse before that, so a vector
+repeated very often is one row.
 
 Vectors are compared only if their labels are equal and not null and they have
 equally many components. A vector that is null, empty or zero, or holds null or
@@ -17,11 +17,8 @@ equal id are vectors of their own. A null id keeps a null component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,78 +26,73 @@ from cairn.llm.components import components
 from cairn.llm.tables import settled
 
 LEAST = 0.93
-PASSES = 24
-BITS = 48
-WINDOW = 192
-PIECE = 1024
-
-
-def _planes(turn: int, size: int) -> np.ndarray:
-    return np.random.default_rng([turn, size]).standard_normal((size, BITS))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per vector and pass, with its string of bits as a number of the same order."""
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-    for batch in batches:
-        lists = batch.column("vector")
-        flat, ends = lists.values.to_numpy().astype(np.float64), lists.offsets.to_numpy()
-        sizes = np.diff(ends)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            matrix = flat[ends[rows][:, None] + np.arange(size)]
-            own = batch.take(pa.array(rows))
-            for turn in range(PASSES):
-                keys = ((matrix @ _planes(turn, int(size)) > 0) * weights).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), turn, np.int32)), own.column("label"), pa.array(np.full(len(rows), size, np.int32)), pa.array(keys), own.column("rep"), own.column("vector")],
-                    ["turn", "label", "size", "key", "rep", "vector"],
-                )
+#: Vectors of a block, about; a cell holds at most two blocks.
+BLOCK = 2048
+#: Rows of a block multiplied at a time.
+STEP = 256
+
+
+def _unit(side: pa.Table) -> np.ndarray:
+    lists = side.column("vector").combine_chunks()
+    flat = lists.flatten().to_numpy().astype(np.float64).reshape(side.num_rows, -1)
+    return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+
+def _reached(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row and column of a matrix of links, the smallest number that links lead to; each row is visited once."""
+    low_left, low_right = left.copy(), right.copy()
+    open_left = linked.any(axis=1)
+    new_right = np.ones(linked.shape[1], bool)
+    for start in np.flatnonzero(open_left):
+        if not open_left[start]:
+            continue
+        rows, columns, front = [], [], np.array([start])
+        while len(front):
+            open_left[front] = False
+            rows.append(front)
+            met = np.flatnonzero(linked[front].any(axis=0) & new_right)
+            new_right[met] = False
+            columns.append(met)
+            front = np.flatnonzero(linked[:, met].any(axis=1) & open_left)
+        x, y = np.concatenate(rows), np.concatenate(columns)
+        low_left[x] = low_right[y] = min(left[x].min(), right[y].min())
+    return low_left, low_right
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Similar pairs of a piece: each of its own rows with the WINDOW rows after it."""
-    table = table.take(pc.sort_indices(table, [("at", "ascending")])).combine_chunks()
-    at, own = table.column("at").to_numpy(), table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-    turn, size, reps = table.column("turn").to_numpy(), table.column("size").to_numpy(), table.column("rep").to_numpy()
-    _, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object).astype(str), return_inverse=True)
-    lists = table.column("vector").chunk(0)
-    flat, ends = lists.values.to_numpy().astype(np.float64), lists.offsets.to_numpy()
-    found: list[np.ndarray] = []
-    groups = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (size[1:] != size[:-1]) | (label[1:] != label[:-1])]))
-    for lo, hi in zip(groups, np.append(groups[1:], len(at)), strict=True):
-        vectors = flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
-        vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        for i in range(0, hi - lo, WINDOW):
-            left, right = vectors[i : i + WINDOW], vectors[i : i + 2 * WINDOW]
-            x, y = np.nonzero(left @ right.T >= LEAST)
-            near = (y > x) & (y - x <= WINDOW) & own[lo + i + x]
-            x, y = reps[lo + i + x[near]], reps[lo + i + y[near]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-
-def similar_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the rows (rep, label, vector) that some pass brought together and that are similar."""
-    spark = reps.sparkSession
-    label = reps.schema["label"].dataType.simpleString()
-    keyed = reps.mapInArrow(_keys, f"turn int, label {label}, size int, key long, rep long, vector array<float>")
-    order = ["turn", "label", "size", "key", "rep"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = settled(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    placed = sorted_.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = placed.groupBy("part").count().orderBy("part").collect()  # one row for each partition
-    starts, total = [], 0
-    for row in counts:
-        starts.append((row["part"], total))
-        total += row["count"]
-    offsets = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
-    placed = placed.join(F.broadcast(offsets), "part").withColumn("at", F.col("start") + F.col("row"))
-    home = F.floor(F.col("at") / PIECE)
-    both = F.when(F.col("at") % PIECE < WINDOW, F.array(home, home - 1)).otherwise(F.array(home))
-    dealt = placed.select("at", "turn", "label", "size", "rep", "vector", F.explode(both).alias("piece")).withColumn("own", F.col("piece") == F.floor(F.col("at") / PIECE))
-    return dealt.filter("piece >= 0").groupBy("piece").applyInArrow(_compare, "a long, b long").distinct()
+    """Of each vector of a cell that has links there: how many, and the smallest vector they lead to."""
+    own = table.column("block").to_numpy() == table.column("i").to_numpy()
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    left, right = table.filter(pa.array(own)), table.filter(pa.array(own if same else ~own))
+    reps, copies = ([side.column(c).to_numpy() for side in (left, right)] for c in ("rep", "copies"))
+    x, y = _unit(left), _unit(right)
+    linked = np.zeros((len(x), len(y)), bool)
+    for i in range(0, len(x), STEP):
+        linked[i : i + STEP] = x[i : i + STEP] @ y.T >= LEAST
+    if same:
+        np.fill_diagonal(linked, False)
+    n_left = np.concatenate([np.zeros(0, np.int64), *(linked[i : i + STEP].astype(np.float64) @ copies[1] for i in range(0, len(x), STEP))]).astype(np.int64)
+    n_right = np.zeros(len(y))
+    for i in range(0, len(x), STEP):
+        n_right += copies[0][i : i + STEP] @ linked[i : i + STEP].astype(np.float64)
+    if same:
+        np.fill_diagonal(linked, linked.any(axis=1))
+    low_left, low_right = _reached(linked, *reps)
+    columns = [(reps[0], n_left, low_left)] + ([] if same else [(reps[1], n_right.astype(np.int64), low_right)])
+    rep, n, low = (np.concatenate(c) for c in zip(*columns, strict=True))
+    return pa.table({"rep": rep[n > 0], "linked": n[n > 0], "low": low[n > 0]})
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """rep, linked, low of the rows (rep, label, vector, copies): by cell, the rows linked with ``rep`` and the smallest reached."""
+    sized = classes.select("rep", "label", "vector", "copies", F.size("vector").alias("size"))
+    group = ["label", "size"]
+    large = sized.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")  # one row for BLOCK rows at most
+    dealt = sized.join(F.broadcast(large), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("rep", "label", "vector", "copies", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cells.groupBy(*group, "i", "j").applyInArrow(_compare, "rep long, linked long, low long")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
@@ -114,11 +106,10 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     classes = settled(
         keyed.filter("usable").groupBy(*key).agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     )
-    links = settled(similar_pairs(classes.select("rep", "label", "vector")))
-    joined = components(links).select(F.col("node").alias("rep"), "component")
+    found = settled(links(classes))
+    joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("rep"), "component")
     size = classes.select("rep", "copies")
-    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    counts = both.join(size.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
+    counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     about = size.join(counts, "rep", "left").join(joined, "rep", "left")
     about = about.filter("copies > 1 or linked is not null")
     about = classes.select(*key, "rep").join(about, "rep")

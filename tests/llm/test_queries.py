@@ -216,6 +216,25 @@ def test_embeddings_odd_rows(spark, tmp_path):
     assert q.op7_embedding_dedup(spark, f"{tmp_path}/b").collect() == []
 
 
+def test_embeddings_of_a_dense_group(spark, tmp_path):
+    """Every pair of thousands of distinct near copies is a link, and pairs in sparser and mixed company are found too."""
+    rng = np.random.default_rng(5)
+    hub = rng.standard_normal(16)
+    vectors = np.concatenate([hub + 0.002 * rng.standard_normal((3000, 16)), hub + 0.35 * rng.standard_normal((1500, 16)), rng.standard_normal((500, 16))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(5000, vectors[0].tolist(), 1), (5001, vectors[0].tolist(), 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = np.concatenate([vectors, vectors[:1]]).astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    low = np.arange(len(near))
+    while (less := np.where(near, low, len(low)).min(axis=1)).tolist() != low.tolist():
+        low = less
+    want = {i: (int(near[i].sum()) - 1, int(low[i])) for i in range(len(near))} | {5001: (0, 5001)}
+    found = q.op7_embedding_dedup(spark, str(tmp_path)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+
+
 def check_chat(rows, found):
     talks = {}
     for conv, turn, role, text in rows:
