@@ -20,8 +20,10 @@ An anchor with more than CROWD different stretches would fill one task; its
 windows are hashed one by one instead and meet by hash, first collapsed per block
 of documents. Texts move once, dealt to blocks by their id.
 
-Only strings within one text count. Null text counts as empty. Rows of equal id
-and text are the same place, so neither counts as earlier. Null ids come first.
+Only strings within one text count. Null text counts as empty. A row is known by
+its id and a hash of its text (``twin``): rows of equal id and text are the same
+place, so neither counts as earlier, wherever they lie; rows of one id with
+different texts are places of their own, in the order of that hash. Null ids come first.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,8 +47,10 @@ GRAM = 16
 REACH = WIDTH - GRAM + 1
 #: Different stretches of one anchor hash that one task may sort.
 CROWD = 512
+#: Stands for a null id.
+NO_ID = int(np.iinfo(np.int64).min)
 
-STRETCH = "anchor long, content long, doc_id long, s long, e long, a long, whole boolean"
+STRETCH = "anchor long, content long, doc_id long, twin long, s long, e long, a long, whole boolean"
 
 
 def _powers(length: int) -> np.ndarray:
@@ -100,42 +104,58 @@ def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return doc[cut], low[cut], (reach - base)[np.concatenate([cut[1:] - 1, [len(doc) - 1]])]
 
 
+def _places(doc: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's number in the order of distinct (doc, twin), and these pairs."""
+    order = np.lexsort((twin, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (twin[order][1:] != twin[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, doc[order][new], twin[order][new]
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of a task's texts, one row for the first place of each; all others are removed at once (``whole``)."""
     held: list[list[np.ndarray]] = []
-    size = 0
+    texts: list[list[np.ndarray]] = []
+    size = n_texts = 0
 
     def emptied() -> Iterator[pa.RecordBatch]:
-        anchor, content, doc, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, of, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        number, ids, twins = _places(*(np.concatenate(x) for x in zip(*texts, strict=True)))
+        doc = number[of]
         held.clear()
+        texts.clear()
         order = np.lexsort((s, doc, content, anchor))
-        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])])
+        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])])[: len(order)]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         place = lambda x: (doc[order] == doc[order[x]]) & (s[order] == s[order[x]])
         again = same & ~place(head)  # a repeated row is not an earlier place
         kept = order[~same]
         gone = order[again]
         docs, low, high = merged(doc[gone], s[gone], e[gone] + WIDTH)
-        yield _rows(anchor[kept], content[kept], doc[kept], s[kept], e[kept], a[kept], False)
-        key = tb.mix(docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
-        yield _rows(key, key, docs, low, high - WIDTH, low, True)
+        yield _rows(anchor[kept], content[kept], ids[doc[kept]], twins[doc[kept]], s[kept], e[kept], a[kept], False)
+        key = tb.mix(ids[docs].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
+        yield _rows(key, key, ids[docs], twins[docs], low, high - WIDTH, low, True)
 
     for batch in batches:
         for part, data, starts in tb.slices(batch, "text"):
             s, e, a, t, anchor, content = stretches(data, starts)
-            ids = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append([anchor, content, ids[t], s - starts[t], e - starts[t], a - starts[t]])
+            ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts.append([ids, part.column("twin").to_numpy()])
+            held.append([anchor, content, t + n_texts, s - starts[t], e - starts[t], a - starts[t]])
             size += len(s)
+            n_texts += len(ids)
             if size > 1_500_000:
                 yield from emptied()
-                size = 0
+                size = n_texts = 0
     if held:
         yield from emptied()
 
 
-def _rows(anchor, content, doc, s, e, a, whole: bool) -> pa.RecordBatch:  # noqa: ANN001
-    columns = [anchor.view(np.int64), content.view(np.int64), doc, s, e, a]
-    names = ["anchor", "content", "doc_id", "s", "e", "a", "whole"]
+def _rows(anchor, content, doc, twin, s, e, a, whole: bool) -> pa.RecordBatch:  # noqa: ANN001
+    columns = [anchor.view(np.int64), content.view(np.int64), doc, twin, s, e, a]
+    names = ["anchor", "content", "doc_id", "twin", "s", "e", "a", "whole"]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(doc), whole))], names)
 
 
@@ -253,31 +273,35 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     """Spans to remove: from suffix-sorted stretches, and from hashed windows, which have no context."""
     windows = table.filter(table.column("context").is_null())
     table = table.filter(table.column("context").is_valid())
-    s, e, a, doc, s_block = (table.column(c).to_numpy() for c in ("s", "e", "a", "doc_id", "block"))
+    number, ids, twins = _places(*(np.concatenate([t.column(c).to_numpy() for t in (table, windows)]) for c in ("doc_id", "twin")))
+    doc, w_doc = number[: table.num_rows], number[table.num_rows :]
+    s, e, a, s_block = (table.column(c).to_numpy() for c in ("s", "e", "a", "block"))
     blobs = table.column("context").to_pylist()
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
     found = repeated_windows(data, np.cumsum(sizes) - sizes, s, e, a, doc) if len(blobs) > 1 else np.zeros((len(blobs), REACH), bool)
     row, low, high = _runs(found)
 
-    w, w_doc, w_at, w_block = (windows.column(c).to_numpy() for c in ("anchor", "doc_id", "s", "block"))
+    w, w_at, w_block = (windows.column(c).to_numpy() for c in ("anchor", "s", "block"))
     gone = windows.column("gone").to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((w_at, w_doc, w))
-    gone[order[1:]] |= w[order][1:] == w[order][:-1]
+    same = np.concatenate([[False], w[order][1:] == w[order][:-1]])[: len(order)]
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    gone[order] |= same & ((w_doc[order] != w_doc[head]) | (w_at[order] != w_at[head]))
     docs = np.concatenate([doc[row], w_doc[gone]])
     places = np.concatenate([s_block[row], w_block[gone]])
     docs, low, high = merged(docs, np.concatenate([a[row] - high, w_at[gone]]), np.concatenate([a[row] - low, w_at[gone]]) + WIDTH)
-    return _packed(docs, low, high, places, np.concatenate([doc[row], w_doc[gone]]))
+    return _packed(docs, low, high, places, np.concatenate([doc[row], w_doc[gone]]), ids, twins)
 
 
-def _packed(doc: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, of: np.ndarray) -> pa.Table:
+def _packed(doc: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, of: np.ndarray, ids: np.ndarray, twins: np.ndarray) -> pa.Table:
     """One row for each block of documents, with its spans as lists; ``blocks`` are those of the documents ``of``."""
     known, first = np.unique(of, return_index=True)
     block = blocks[first][np.searchsorted(known, doc)]
     order = np.argsort(block, kind="stable")
     names, starts = np.unique(block[order], return_index=True)
     ends = pa.array(np.append(starts, len(order)), pa.int32())
-    lists = {n: pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int64())) for n, x in (("doc_id", doc), ("low", low), ("high", high))}
+    lists = {n: pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int64())) for n, x in (("doc_id", ids[doc]), ("twin", twins[doc]), ("low", low), ("high", high))}
     return pa.table({"block": pa.array(names, pa.int32()), **lists})
 
 
@@ -285,33 +309,43 @@ def _packed(doc: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarr
 
 
 def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).repartition(blocks, "block")
+    return _placed(docs).withColumn("block", _block(blocks)).repartition(blocks, "block")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+
+
+def _block(blocks: int) -> Column:
+    """The block of a place; a null id is dealt as the number that stands for it in the stretches."""
+    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "twin"), F.lit(blocks)).cast("int")
 
 
-def _texts(table: pa.Table) -> dict[int | None, tuple[np.ndarray, int, int]]:
-    """Of each id, the flat bytes it lies in and where."""
+def _texts(table: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, int, int]]:
+    """Of each place, the flat bytes it lies in and where."""
     out: dict = {}
     for batch in table.to_batches():
         data, starts = tb.flat(batch.column("text"))
-        for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-            out.setdefault(np.iinfo(np.int64).min if doc is None else doc, (data, int(starts[i]), int(starts[i + 1])))
+        for i, place in enumerate(zip(batch.column("doc_id").fill_null(NO_ID).to_pylist(), batch.column("twin").to_pylist(), strict=True)):
+            out.setdefault(place, (data, int(starts[i]), int(starts[i + 1])))
     return out
 
 
 def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     """The bytes of each stretch asked for; of crowded anchors the hashes of its windows instead."""
     texts = _texts(docs)
-    doc, s, e, a, crowd = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "s", "e", "a", "crowded"))
+    doc, twin, s, e, a, crowd = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin", "s", "e", "a", "crowded"))
+    doc, ids, twins = _places(doc, twin)
     anchor = asked.column("anchor").to_numpy()
+    places = list(zip(ids.tolist(), twins.tolist(), strict=True))
     blobs = []
     for d, x, y in zip(doc.tolist(), s.tolist(), e.tolist(), strict=True):
-        data, at, _ = texts[d]
+        data, at, _ = texts[places[d]]
         blobs.append(data[at + x : at + y + WIDTH].tobytes())
     crowd = crowd.astype(bool)
     calm = np.flatnonzero(~crowd)
     own_block = int(asked.column("block")[0].as_py()) if asked.num_rows else 0
-    columns = {"anchor": anchor[calm], "doc_id": doc[calm], "s": s[calm], "e": e[calm], "a": a[calm], "block": np.full(len(calm), own_block)}
+    columns = {"anchor": anchor[calm], "doc_id": ids[doc[calm]], "twin": twins[doc[calm]], "s": s[calm], "e": e[calm], "a": a[calm], "block": np.full(len(calm), own_block)}
     contexts = [blobs[i] for i in calm]
     busy = np.flatnonzero(crowd)
     w_doc, w_at, w_hash = [], [], []
@@ -335,28 +369,25 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     repeat_row = gone & (d == d[head]) & (p == p[head])
     w, d, p, gone = (x[~repeat_row] for x in (w, d, p, gone))
     zero = np.zeros(len(w), np.int64)
-    columns = {"anchor": w, "doc_id": d, "s": p, "e": p, "a": p, "block": np.full(len(w), own_block)}
+    columns = {"anchor": w, "doc_id": ids[d], "twin": twins[d], "s": p, "e": p, "a": p, "block": np.full(len(w), own_block)}
     more = pa.table({**{k: pa.array(v, pa.int32() if k == "block" else pa.int64()) for k, v in columns.items()}, "context": pa.array([None] * len(zero), pa.binary()), "gone": pa.array(gone)})
     return pa.concat_tables([made, more])
 
 
 def _collector(finish: Callable) -> Callable:
     def of_block(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, low, high = merged(*(pc.list_flatten(spans.column(c)).to_numpy() for c in ("doc_id", "low", "high")))
-        first = np.searchsorted(doc, doc, "left")
-        at = {int(doc[i]): i for i in np.unique(first)}
+        of, twin, low, high = (pc.list_flatten(spans.column(c)).to_numpy() for c in ("doc_id", "twin", "low", "high"))
+        number, ids, twins = _places(of, twin)
+        doc, low, high = merged(number, low, high)
+        first, last = (np.searchsorted(doc, np.arange(len(ids)), side).tolist() for side in ("left", "right"))
+        at = dict(zip(zip(ids.tolist(), twins.tolist(), strict=True), zip(first, last, strict=True), strict=True))
         rows = []
         for batch in docs.to_batches():
             data, starts = tb.flat(batch.column("text"))
-            for i, own in enumerate(batch.column("doc_id").to_pylist()):
-                key = np.iinfo(np.int64).min if own is None else own
+            for i, (own, mark) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), strict=True)):
                 body = data[starts[i] : starts[i + 1]]
-                j = at.get(key)
-                k = j
-                while k is not None and k < len(doc) and doc[k] == key:
-                    k += 1
-                cut = (low[j:k], high[j:k]) if j is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-                rows.append(finish(own, body, *cut))
+                j, k = at.get((NO_ID if own is None else own, mark), (0, 0))
+                rows.append({"twin": mark} | finish(own, body, low[j:k], high[j:k]))
         return pa.Table.from_pylist(rows) if rows else None
 
     return of_block
@@ -369,25 +400,28 @@ def _kept_bytes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
 
 
 def removed_spans(docs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """block, doc_id, low, high: lists of stretches of bytes to remove, not yet united, by block of documents."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, STRETCH)
-    by_place = Window.partitionBy("anchor").orderBy("content", "doc_id", "s")
+    """block, doc_id, twin, low, high: lists of stretches of bytes to remove, not yet united, by block of documents."""
+    found = _placed(docs).mapInArrow(_find, STRETCH)
+    by_place = Window.partitionBy("anchor").orderBy("content", "doc_id", "twin", "s")
+    same = F.struct("content", "doc_id", "twin", "s", "e", "whole")  # a repeated row's stretch, found in another task
+    found = found.withColumn("again", F.coalesce(F.lag(same).over(by_place) == same, F.lit(False))).filter("not again").drop("again")
     ranked = found.withColumn("seen", F.coalesce(F.lag("content").over(by_place) == F.col("content"), F.lit(False)))
     ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("seen") | F.col("whole"), 0).otherwise(1)).over(Window.partitionBy("anchor")))
     ranked = settled(ranked.filter("whole or seen or kinds > 1"))
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
-    whole = ranked.filter("whole or seen").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
-    schema = "anchor long, doc_id long, s long, e long, a long, block int, context binary, gone boolean"
+    block = _block(blocks)
+    asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "twin", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
+    whole = ranked.filter("whole or seen").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("twin").alias("twin"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
+    schema = "anchor long, doc_id long, twin long, s long, e long, a long, block int, context binary, gone boolean"
     known = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(blocks * 2)).cast("int")
-    sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "block int, doc_id array<long>, low array<long>, high array<long>")
+    sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "block int, doc_id array<long>, twin array<long>, low array<long>, high array<long>")
     return whole.union(sorted_)
 
 
 def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
+    """twin and ``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
+    schema = f"twin long, {schema}"
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(docs, blocks)
     placed = removed_spans(docs, dealt)
@@ -408,7 +442,7 @@ def report(docs: DataFrame) -> DataFrame:
         kept = _kept_bytes(body, low, high)
         return {"doc_id": doc_id, "n_bytes": len(body), "n_removed": int((high - low).sum()), "n_spans": len(low), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
-    return _apply(docs, facts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _apply(docs, facts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").drop("twin")
 
 
 def remaining(docs: DataFrame) -> DataFrame:
@@ -417,9 +451,9 @@ def remaining(docs: DataFrame) -> DataFrame:
     def text(doc_id: int | None, body: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
         return {"doc_id": doc_id, "text": _kept_bytes(body, low, high).decode("utf-8", "ignore")}
 
-    left = _apply(docs.select("doc_id", "text"), text, "doc_id long, text string").select(F.col("doc_id").alias("of"), F.col("text").alias("left"))
-    left = left.dropDuplicates(["of"])
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = packed.join(left, F.col("id").eqNullSafe(F.col("of")), "left")
+    left = _apply(docs.select("doc_id", "text"), text, "doc_id long, text string")
+    left = left.select(F.col("doc_id").alias("of"), F.col("twin").alias("of_twin"), F.col("text").alias("left")).dropDuplicates(["of", "of_twin"])
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"))
+    joined = packed.join(left, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
     kept = F.when(F.col("row.text").isNotNull(), F.col("left")).alias("text")
     return joined.select(*(kept if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

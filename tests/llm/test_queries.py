@@ -4,11 +4,12 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import licenses, lm, packing
+from cairn.llm import licenses, lm, packing, suffix_dedup
 from cairn.llm import queries as q
 from cairn.llm.tables import vocabulary
 from tests.llm import brute
@@ -109,6 +110,35 @@ def test_suffix_dedup(spark, folder):
         assert tuple(found[d])[1:5] == want, d
 
 
+def test_suffix_dedup_of_repeated_rows(spark, tmp_path):
+    """Rows of one id and text are one place in whatever tasks they lie; several null ids keep their own texts."""
+    body = [" ".join(f"{k}{'abcdefghij'[i % 10]}{i * i}" for i in range(60)) for k in "pqrs"]
+    rows = [(1, body[0])] * 6 + [(2, body[0] + " and then an end of its own")] + [(None, body[i]) for i in (1, 2, 3, 1)] + [(None, None), (9, None), (9, "x")]
+    for i, row in enumerate(rows):  # a file each, so that each is read by a task of its own
+        spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert docs.rdd.getNumPartitions() >= len(rows)
+        found = [tuple(r) for r in q.op3_suffix_dedup(spark, str(tmp_path)).collect()]
+        left = [tuple(r) for r in suffix_dedup.remaining(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = [(d, " and then an end of its own" if d == 2 else t) for d, t in rows]
+    facts = [(d, len(t or ""), len(t or "") - len(k or ""), int(t != k), brute.sha(k or "")) for (d, t), (_, k) in zip(rows, kept, strict=True)]
+    assert sorted(found, key=repr) == sorted(facts, key=repr)
+    assert sorted(left, key=repr) == sorted(kept, key=repr)
+
+
+def test_suffix_dedup_of_repeated_windows():
+    """Two rows of the same window at the same place are not earlier than each other."""
+    columns = {c: pa.array([5, 5], pa.int64()) for c in ("anchor", "doc_id", "s", "e", "a")}
+    columns |= {"twin": pa.array([1, 1], pa.int64()), "block": pa.array([0, 0], pa.int32()), "context": pa.array([None, None], pa.binary()), "gone": pa.array([False, False])}
+    assert suffix_dedup._sort_bucket(pa.table(columns)).num_rows == 0
+
+
 def test_minhash(spark, folder):
     docs = texts(spark, folder)
     found = by_id(q.op4_minhash(spark, folder))
