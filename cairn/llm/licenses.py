@@ -2,10 +2,11 @@
 
 Every licence is a template, a short stretch of its own words. The document
 frequency of all template words is counted over the whole corpus (a table as
-large as the templates); a text looks up the RARE_WORDS of its words with the
-highest inverse document frequency, each posting votes for a template at a
-relative position, and the best-aligned template counts as found if enough of
-its words stand where they should and one of its key phrases occurs in the text.
+large as the templates). A template whose key phrase occurs in a text is looked up
+by its words with the highest inverse document frequency, as many as no match can
+lack altogether; each of their places votes for a relative position, and every
+position that can still reach MIN_ALIGNED is aligned word by word. So what else a
+text holds, and how long it is, takes nothing from a template.
 
 Besides, all places of a few fixed phrases are counted exactly.
 
@@ -85,8 +86,7 @@ TEMPLATES = {
     ),
 }
 
-#: A text's licence words of highest inverse document frequency that are looked up.
-RARE_WORDS = 12
+#: Share of a template's words that must stand at one relative position.
 MIN_ALIGNED = 0.6
 
 
@@ -100,12 +100,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Where each licence word stands in the templates, and how rare it is in the corpus."""
+    """Of each template, the words that are looked up: its rarest in the corpus, and where they stand.
+
+    They cover so many places that no text can hold MIN_ALIGNED of the template without one of them in its place.
+    """
 
     templates: dict[str, list[bytes]]
     keys: dict[str, list[bytes]]
-    postings: dict[bytes, list[tuple[str, int]]]
-    idf: dict[bytes, float]
+    rare: dict[str, dict[bytes, list[int]]]
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -129,12 +131,19 @@ def build_index(docs: DataFrame, text: str = "text") -> Index:
     counts = {r.word: r.n for r in document_frequencies(docs, text).collect()}  # one row for each template word
     total = counts.pop(None, 0)
     templates = {name: body.encode().split() for name, (body, _) in TEMPLATES.items()}
-    postings: dict[bytes, list[tuple[str, int]]] = {}
+    idf = {w: math.log((total + 1) / (counts.get(w.decode(), 0) + 1)) for body in templates.values() for w in body}
+    rare: dict[str, dict[bytes, list[int]]] = {name: {} for name in templates}
     for name, body in templates.items():
-        for i, w in enumerate(body):
-            postings.setdefault(w, []).append((name, i))
-    idf = {w: math.log((total + 1) / (counts.get(w.decode(), 0) + 1)) for w in postings}
-    return Index(templates, {name: [k.encode() for k in keys] for name, (_, keys) in TEMPLATES.items()}, postings, idf)
+        for w in sorted(set(body), key=lambda w: (-idf[w], w)):
+            if sum(map(len, rare[name].values())) > len(body) - needed(body):
+                break
+            rare[name][w] = [i for i, x in enumerate(body) if x == w]
+    return Index(templates, {name: [k.encode() for k in keys] for name, (_, keys) in TEMPLATES.items()}, rare)
+
+
+def needed(body: list[bytes]) -> int:
+    """How many words of a template must stand in place."""
+    return next(n for n in range(len(body) + 1) if n / len(body) >= MIN_ALIGNED)
 
 
 def phrase_places(spaced: bytes, phrase: bytes) -> list[int]:
@@ -151,25 +160,21 @@ def match(words: list[bytes], spaced: bytes, index: Index) -> dict[str, float]:
     possible = {n for n, keys in index.keys.items() if any(b" " + k + b" " in spaced for k in keys)}
     if not possible:  # no template can be verified, so none needs to be aligned
         return {}
+    looked_up = {w for name in possible for w in index.rare[name]}
     places: dict[bytes, list[int]] = {}
     for i, w in enumerate(words):
-        if w in index.postings:
+        if w in looked_up:
             places.setdefault(w, []).append(i)
-    rare = sorted(places, key=lambda w: (-index.idf[w], w))[:RARE_WORDS]
-    votes: Counter = Counter()
-    for w in rare:
-        for name, at in index.postings[w]:
-            if name in possible:
-                votes.update((name, i - at) for i in places[w])
     best: dict[str, float] = {}
-    tried: dict[str, int] = {}
-    for (name, shift), n in sorted(votes.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
-        if n < tried.get(name, 0):
-            continue
-        tried[name] = n
-        body = index.templates[name]
-        aligned = sum(1 for j, w in enumerate(body) if 0 <= shift + j < len(words) and words[shift + j] == w) / len(body)
-        best[name] = max(best.get(name, 0.0), aligned)
+    for name in possible:
+        body, rare = index.templates[name], index.rare[name]
+        votes = Counter(i - at for w, standing in rare.items() for i in places.get(w, ()) for at in standing)
+        others = len(body) - sum(map(len, rare.values()))
+        least = needed(body)
+        for shift, n in votes.items():
+            if n + others >= least:
+                aligned = sum(1 for j, w in enumerate(body) if 0 <= shift + j < len(words) and words[shift + j] == w)
+                best[name] = max(best.get(name, 0.0), aligned / len(body))
     return {n: s for n, s in best.items() if s >= MIN_ALIGNED}
 
 

@@ -169,6 +169,18 @@ def test_license_templates(spark):
     assert out[len(rows) - 1] == set()
 
 
+def test_license_templates_together(spark):
+    """A text that holds several licences keeps the labels of all, however long it grows."""
+    bodies = {name: body for name, (body, _) in licenses.TEMPLATES.items()}
+    long = "permission is granted to use this software under no conditions of any kind. " * 300
+    rows = [(i, f"{bodies['mit']}. {bodies['bsd']}. {long} Here: {body}. And some after.") for i, body in enumerate(bodies.values())]
+    rows.append((len(rows), f" {long}\n".join(bodies.values())))
+    out = {r.doc_id: {m.label: m.aligned for m in r.matches} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(bodies):
+        assert {licenses.label_of(n) for n in ("mit", "bsd", name)} <= {n for n, s in out[i].items() if s == 1.0}, name
+    assert out[len(rows) - 1] == dict.fromkeys(map(licenses.label_of, bodies), 1.0)
+
+
 def test_quality_rules(spark, folder):
     docs = texts(spark, folder)
     found = by_id(q.op6_quality_rules(spark, folder))
