@@ -75,10 +75,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = lm.mixing(docs)
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
     per_byte = F.when(F.col("n_bytes") > 0, bits)
-    return lm.unigram(docs).join(scores, "doc_id", "left").withColumn("bits_per_byte", per_byte).drop("n_bytes")
+    scored = lm.scores(docs).withColumn("bits_per_byte", per_byte)
+    return scored.drop("n_bytes")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

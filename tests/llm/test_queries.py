@@ -203,6 +203,19 @@ def test_language_model(spark, folder):
         assert r.score < 0
 
 
+def test_language_model_of_repeated_and_null_ids(spark, tmp_path):
+    """Every row gets one score, that of its own text, whatever its id."""
+    rows = [(1, PARA)] * 3 + [(1, "short")] + [(None, PARA), (None, "word"), (None, None), (2, "word"), (3, PARA), (4, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = q.op8_language_model(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(d) for d, _ in rows)
+    assert all(r.score < 0 for r in found)
+    assert sum(r.bits_per_byte is None for r in found) == 1
+    own = {d: round(r.score, 9) for d in (2, 3, 4) for r in found if r.doc_id == d}
+    assert sorted(round(r.score, 9) for r in found if r.doc_id == 1) == sorted([own[3]] * 3 + [own[4]])
+    assert {own[2], own[3]} <= {round(r.score, 9) for r in found if r.doc_id is None}
+
+
 def test_language_model_on_held_out_texts(spark):
     """Held-out texts take far fewer bits than under the best model without context, fitted to those very texts."""
     folder = "/root/testdata/sf0.01"
