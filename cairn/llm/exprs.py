@@ -25,3 +25,9 @@ def words(text: Column) -> Column:
 def occurrences(text: Column, pattern: str) -> Column:
     """How many characters of ``text`` match the one-character class ``pattern``."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+def lowered(text: Column) -> Column:
+    """``text`` with A-Z as a-z and nothing else changed; texts of ASCII alone take the short way."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

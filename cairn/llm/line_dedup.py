@@ -5,21 +5,26 @@ words is one token); two lines match if their sets have a Jaccard similarity of
 LEAST percent or more, and a line is removed if any earlier line (smaller
 doc_id, or same document and earlier) matches it. Lines without a word stay.
 
-Tokens are ordered by the rarity of a shingle's first word, by a table of hashed
-word frequencies whose size is fixed (BUCKETS), ties by hash. Two matching
-lines share a token within their prefixes (all but the last ceil(0.8 n) - 1), and
-lengths and positions bound how much more they can share; what passes these
-filters is verified on the full sets.
-
-Lines with equal sets collapse to their earliest place before anything is joined.
-In a crowd that shares a prefix token, every line is first held against the
-crowd's earliest line; only lines that this leaves unmatched meet all the others.
+Tokens are ordered by rarity: by how often the rarest of their five words occurs
+in the corpus, counted over all texts in a table of hashed words whose size is
+fixed (BUCKETS), ties by hash. Two matching lines share a token within their
+prefixes (all but the last ceil(0.8 n) - 1), and lengths and positions bound how
+much more they can share; what passes these filters is verified on the full sets.
+
+Equal lines collapse to their earliest place before anything is joined. In a crowd
+that shares a prefix token, every line is first held against the crowd's earliest
+line; only lines that this leaves unmatched meet the others, and of those only
+the ones whose 64-bit sketches of the sets differ in as few bits as a match's must.
 So a group of n near copies costs about n comparisons, and no pair that could
-remove a line is skipped. Tokens are kept as 58-bit hashes.
-
-Null text has no lines and stays null. A document that loses every line keeps an
-empty text. Rows of equal id are lines of one document, ordered by line number;
-the row's copies are not earlier than each other. Null ids come first.
+remove a line is skipped. Tokens are kept as 58-bit hashes, lines as 64-bit ones.
+
+Null text has no lines and stays null; an empty text keeps its one empty line. A
+document that loses every line keeps an empty text. A row is known by its id and a
+hash of its text: rows of equal id and text are one place, so neither is earlier;
+rows of one id with different texts are documents of their own, in the order of
+that hash. Null ids come first. Long lines are lines like any other. An empty
+table gives no rows. Columns of the input that are named like a result are replaced in
+``dedup``; ``cleaned`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.exprs import let, words
+from cairn.llm.exprs import SPACE_RUN, let, lowered, words
 from cairn.llm.tables import settled
 
 SHINGLE = 5
 LEAST = 80
 BUCKETS = 1 << 16
 HASH_BITS = 58
+LOW = (1 << HASH_BITS) - 1
 
 
 def _literal(values: list[int]) -> Column:
@@ -46,49 +52,39 @@ def _bucket(hash_: Column) -> Column:
     return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
 
 
-def _hashed_words(text: Column) -> Column:
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(words(lowered), lambda w: F.xxhash64(w))
-
-
 def word_classes(docs: DataFrame) -> list[int]:
-    """For each bucket of word hashes, the binary logarithm of how many documents its words occur in, words counted one by one."""
-    seen = docs.select(F.explode(F.array_distinct(F.transform(_hashed_words(F.col("text")), _bucket))).alias("bucket"))
+    """For each bucket of word hashes, the binary logarithm of how often its words occur."""
+    found = docs.select(F.explode(F.split(lowered(F.col("text")), SPACE_RUN)).alias("w"))
     out = [0] * BUCKETS
-    for row in seen.groupBy("bucket").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c")).collect():  # at most BUCKETS rows
+    counted = found.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
+    for row in counted.collect():  # at most BUCKETS rows
         out[row.bucket] = row.c
     return out
 
 
 def _tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line as longs: rarity class of the first word in the top bits, hash below; rare ones sort first."""
-    low = F.lit((1 << HASH_BITS) - 1)
-
-    def ahead(x: Column, by: int, n: Column) -> Column:
-        return F.slice(x, by + 1, n)
-
-    def shingles(w: Column) -> Column:
-        n = F.size(w)
-        pairs = F.zip_with(ahead(w, 0, n - 1), ahead(w, 1, n - 1), lambda a, b: F.xxhash64(a, b))
-        fours = let(pairs, lambda p: F.zip_with(ahead(p, 0, n - 3), ahead(p, 2, n - 3), lambda a, b: F.xxhash64(a, b)))
-        fives = let(fours, lambda f: F.zip_with(ahead(f, 0, n - 4), ahead(w, 4, n - 4), lambda a, b: F.xxhash64(a, b)))
-        sealed = F.zip_with(fives, ahead(w, 0, n - 4), lambda h, first: F.shiftleft(F.get(classes, _bucket(first)), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
-        short = F.array(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x)).bitwiseAND(low))
-        return F.when(n >= SHINGLE, sealed).otherwise(short)
+    """The distinct tokens of a lowered line as longs: rarity class in the top bits, hash below; rare ones sort first."""
+    low = F.lit(LOW)
 
-    return let(_hashed_words(line), lambda w: F.sort_array(F.array_distinct(shingles(w))))
+    def shingles(v: Column) -> Column:
+        def five(first: Column, i: Column) -> Column:
+            own = [first, *(F.get(v, i + j) for j in range(1, SHINGLE))]
+            rarest = F.least(*own).bitwiseAND(F.lit(~LOW))
+            return rarest.bitwiseOR(F.xxhash64(*own).bitwiseAND(low))
 
+        return F.transform(F.slice(v, 1, F.size(v) - SHINGLE + 1), five)
 
-def _spoken(docs: DataFrame) -> DataFrame:
-    """doc_id, line, body of every line with a word."""
-    split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    hashed = F.transform(words(line), lambda w: F.xxhash64(w))
+    sealed = F.transform(hashed, lambda h: F.shiftleft(F.get(classes, _bucket(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
+    short = lambda v: F.array(F.aggregate(v, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x)).bitwiseAND(low))
+    return let(sealed, lambda v: F.when(F.size(v) >= SHINGLE, F.sort_array(F.array_distinct(shingles(v)))).otherwise(short(v)))
 
 
-def _tokenized(spoken: DataFrame, classes: list[int]) -> DataFrame:
-    """doc_id, line, k (hash of the token set), n, tokens."""
-    tokens = spoken.select("doc_id", "line", _tokens(F.col("body"), _literal(classes)).alias("tokens"))
-    return tokens.select("doc_id", "line", F.xxhash64("tokens").alias("k"), F.size("tokens").alias("n"), "tokens")
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, line, body (lowered) and k (its hash) of every line with a word."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("twin"), F.posexplode(F.split(lowered(F.col("text")), "\n", -1)).alias("line", "body"))
+    spoken = split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    return spoken.select("doc_id", "twin", "line", "body", F.xxhash64("body").alias("k"))
 
 
 def _needed(n: Column) -> Column:
@@ -104,65 +100,78 @@ def _passes(x: str, y: str) -> Column:
     return length & (most * (100 + LEAST) >= LEAST * (nx + ny))
 
 
-def _verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, classes: list[int]) -> DataFrame:
-    """The pairs (x, y) of set hashes whose sets match; ``places`` says where each set first stands."""
-    asked = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct().join(places, "k")
-    asked = settled(asked.select("k", "place.doc_id", "place.line"))
-    # a bitmap of fixed size spares most lines the work and the shuffle; the join behind it is exact
-    mixed = F.xxhash64("doc_id", "line")
+def _sets(members: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
+    """k and tokens of the lines ``members`` (k, place)."""
+    asked = members.select("place.*")
+    # a bitmap of fixed size spares most lines the shuffle; the join behind it is exact
+    mixed = F.xxhash64("doc_id", "twin", "line")
     bit = F.pmod(F.shiftright(mixed, 20), F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     bitmap = [0] * BUCKETS
     for row in asked.groupBy(_bucket(mixed).alias("at")).agg(F.bit_or(one).alias("bits")).collect():  # at most BUCKETS rows
         bitmap[row["at"]] = row["bits"]
     held = F.call_function("shiftright", F.get(_literal(bitmap), _bucket(mixed)), bit)
-    maybe = _tokenized(_spoken(docs).filter(held.bitwiseAND(F.lit(1)) == 1), classes)
-    sets = settled(maybe.select("k", "tokens").join(asked.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    maybe = lines.filter(held.bitwiseAND(F.lit(1)) == 1).select("k", "body", F.struct("doc_id", "twin", "line").alias("at"))
+    own = maybe.join(members, "k", "inner").filter(F.col("at") == F.col("place")).dropDuplicates(["k"])
+    return own.select("k", _tokens(F.col("body"), classes).alias("tokens"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) of line hashes whose sets match."""
     both = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("tx")), "x")
     both = both.join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
     return both.filter(common * 100 >= (F.size("tx") + F.size("ty") - common) * LEAST).select("x", "y")
 
 
-def matched_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line of every line that an earlier line matches."""
-    classes = word_classes(docs)
-    slim = _tokenized(_spoken(docs), classes)
-    slim = settled(slim.select("doc_id", "line", "k", "n", F.slice("tokens", 1, F.col("n") - _needed(F.col("n")) + 1).alias("prefix")))
-    place = F.struct("doc_id", "line")
-    firsts = slim.groupBy("k").agg(F.min(place).alias("place"), F.min_by("prefix", place).alias("prefix"), F.first("n").alias("n"))
+def _sketch(tokens: Column) -> Column:
+    """A long with the bits of all tokens added without carry: sets that differ in d tokens have sketches that differ in d bits at most."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
+
+def _matched(docs: DataFrame, firsts: DataFrame, classes: Column) -> DataFrame:
+    """k of every line that an earlier, different line matches."""
     rows = firsts.select("k", "n", "place", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("place", "k")
+    by_token = Window.partitionBy("token").orderBy("place")
     crowd = rows.withColumn("head", F.first(F.struct("k", "n", "pos")).over(by_token)).withColumn("next", F.lead("k").over(by_token))
     crowd = settled(crowd.filter("head.k <> k or next is not null").drop("next"))  # tokens that at least two lines share
-    places = crowd.select("k", "place").distinct()
-    x, y = "x", "y"
+    sets = settled(_sets(crowd.select("k", "place").distinct(), _lines(docs), classes))
+
     member = crowd.filter("head.k <> k").select(F.struct("k", "n", "pos").alias("x"), F.col("head").alias("y"))
-    tried = settled(member.filter(_passes(x, y)).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct())
-    led = settled(_verified(tried, places, docs, classes))
-
-    done = led.select(F.col("x").alias("k")).distinct()  # the head of a crowd is its earliest line, so x is the later one
-    left = crowd.filter("head.k <> k").join(done, "k", "left_anti").alias("x")
-    later = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") > F.col("y.place"))
-    rest = left.join(crowd.alias("y"), later & _passes(x, y)).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct()
-    rest = settled(rest.join(tried, ["x", "y"], "left_anti"))
-    more = _verified(rest, places, docs, classes).select(F.col("x").alias("k")) if not rest.isEmpty() else done.limit(0)
-    matched = done.union(more).distinct()
-
-    # every copy but the earliest goes, and the earliest too where its set has an earlier match
-    marked = slim.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    marked = marked.join(matched.withColumn("hit", F.lit(True)), "k", "left").filter("copies > 1 or hit")
+    tried = settled(member.filter(_passes("x", "y")).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct())
+    done = settled(_verified(tried, sets).select(F.col("x").alias("k")).distinct())  # the head of a crowd is its earliest line
+
+    marked = crowd.join(sets.select("k", _sketch(F.col("tokens")).alias("sketch")), "k")
+    left = marked.filter("head.k <> k").join(done, "k", "left_anti")
+    later = (F.col("x.token") == F.col("y.token")) & (F.col("y.k") != F.col("x.head.k")) & (F.col("x.place") > F.col("y.place"))
+    near = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (100 + LEAST) <= (F.col("x.n") + F.col("y.n")) * (100 - LEAST)
+    rest = left.alias("x").join(marked.alias("y"), later & near & _passes("x", "y")).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct()
+    more = _verified(rest.join(tried, ["x", "y"], "left_anti"), sets).select(F.col("x").alias("k"))
+    return done.union(more).distinct()
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, line of every line that an earlier line matches."""
+    classes = _literal(word_classes(docs))
+    place = F.struct("doc_id", "twin", "line").alias("place")
+    spoken = _lines(docs)
+    lean = spoken.select("k", place, _tokens(F.col("body"), classes).alias("tokens")).select("k", "place", F.size("tokens").alias("n"), "tokens")
+    lean = lean.select("k", "place", "n", F.slice("tokens", 1, F.col("n") - _needed(F.col("n")) + 1).alias("prefix"))
+    firsts = lean.groupBy("k").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    matched = _matched(docs, firsts, classes)
+
+    # every copy but the earliest goes, and the earliest too where it has an earlier match
+    copied = spoken.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    marked = copied.join(matched.withColumn("hit", F.lit(True)), "k", "left").filter("copies > 1 or hit")
     marked = marked.select("k", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
-    own = slim.select("k", "doc_id", "line")
-    return own.join(marked, "k").filter(F.col("hit") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line")
+    return spoken.select("k", place).join(marked, "k").filter(F.col("hit") | (F.col("place") > F.col("first"))).select("place.*")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as one column ``row``, with ``text`` (what is left), ``n_lines`` and ``n_removed`` beside it."""
-    gone = matched_lines(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "of")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
-    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("of")), "left")
+    gone = removed_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("of"), F.col("twin").alias("of_twin")).agg(F.collect_set("line").alias("gone"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("twin"))
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
     pieces = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     n_lines = F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))

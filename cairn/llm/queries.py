@@ -148,6 +148,21 @@ ORACLE_SQL: dict[str, str] = {
   l AS (SELECT x, y FROM p JOIN c cx ON x = cx.id JOIN c cy ON y = cy.id WHERE 100 * m >= 85 * (cx.n + cy.n - m)),
   {_REACHED}
   SELECT d.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, d.id = component_id AS kept FROM d JOIN g ON a = d.id LEFT JOIN c ON c.id = d.id""",
+    "op9_line_dedup": r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM d),
+  w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM l),
+  s AS (SELECT doc_id, i, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) END) AS t FROM w WHERE len(w) > 0),
+  u AS (SELECT doc_id, i, len(t) AS n, unnest(t) AS token FROM s),
+  p AS (SELECT a.doc_id, a.i, a.n AS na, b.n AS nb, count(*) AS m FROM u a
+      JOIN u b ON a.token = b.token AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i)) GROUP BY a.doc_id, a.i, a.n, b.doc_id, b.i, b.n),
+  gone AS (SELECT DISTINCT doc_id, i FROM p WHERE 100 * m >= 80 * (na + nb - m)),
+  k AS (SELECT l.doc_id, count(gone.i) AS n_removed, string_agg(x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS kept
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id),
+  c AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(kept, '')) AS kept_chars,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op7_embedding_dedup": f"""WITH RECURSIVE d AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
   u AS (SELECT * FROM d WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
       AND len(list_filter(v, lambda x: x <> 0)) > 0),
