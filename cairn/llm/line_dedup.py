@@ -1,4 +1,4 @@
-"""Line dedup: an exact set-similarity join over all lines, with built-in functions only.
+"""Line dedup: an exact set-similarity join over all lines.
 
 A line's tokens are its distinct five-word shingles, A-Z as a-z (a line of fewer
 words is one token); two lines match if their sets have a Jaccard similarity of
@@ -11,12 +11,16 @@ fixed (BUCKETS), ties by hash. Two matching lines share a token within their
 prefixes (all but the last ceil(0.8 n) - 1), and lengths and positions bound how
 much more they can share; what passes these filters is verified on the full sets.
 
-Equal lines collapse to their earliest place before anything is joined. In a crowd
-that shares a prefix token, every line is first held against the crowd's earliest
-line; only lines that this leaves unmatched meet the others, and of those only
-the ones whose 64-bit sketches of the sets differ in as few bits as a match's must.
-So a group of n near copies costs about n comparisons, and no pair that could
-remove a line is skipped. Tokens are kept as 58-bit hashes, lines as 64-bit ones.
+A task reads texts, sorts the tokens of their lines and packs the prefixes by
+buckets of tokens, whose number follows the bytes of the input; a bucket sorts them
+and keeps the crowds, tokens that several lines share. A line's hash goes the same way,
+so equal lines meet first and only the earliest of them takes part, one a task. In a
+crowd every line is first held against the crowd's earliest line; only
+lines that this leaves unmatched meet the others, and of those only the ones whose
+64-bit sketches of the sets differ in as few bits as a match's must. So a group
+of n near copies costs about n comparisons, and no pair that could remove a line
+is skipped. Bodies are read again for lines of crowds alone. Tokens are kept as
+58-bit hashes, lines as 64-bit ones.
 
 Null text has no lines and stays null; an empty text keeps its one empty line. A
 document that loses every line keeps an empty text. A row is known by its id and a
@@ -29,149 +33,339 @@ table gives no rows. Columns of the input that are named like a result are repla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cairn.llm.exprs import SPACE_RUN, let, lowered, words
+from cairn.llm import textbytes as tb
 from cairn.llm.tables import settled
 
 SHINGLE = 5
 LEAST = 80
 BUCKETS = 1 << 16
-HASH_BITS = 58
-LOW = (1 << HASH_BITS) - 1
-
-
-def _literal(values: list[int]) -> Column:
-    """A constant array that expressions can index; folded once when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def _bucket(hash_: Column) -> Column:
-    return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
+HASH_BITS = np.uint64(58)
+LOW = np.uint64((1 << 58) - 1)
+#: Bytes of text to a bucket of tokens, about.
+BUCKET_BYTES = 1 << 24
+#: Bytes of text that a task packs at a time.
+FLUSH_BYTES = 1 << 24
+#: Stands for a null id.
+NO_ID = int(np.iinfo(np.int64).min)
+
+PLACE = ("doc_id", "twin", "line")
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select(_id().alias("doc_id"), _twin().alias("twin"), "text")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _twin() -> Column:
+    return F.shiftright(F.xxhash64("text"), 32).cast("int")
+
+
+# ---------------------------------------------------------------- lines of a slice of texts
+
+
+class Lines:
+    """The lines with a word of some texts: text, line number, and their words' hashes from ``first`` to ``last``."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        self.begin, self.end, counts = tb.word_spans(data, starts)
+        found = tb.Hashes(tb.LOWER[data]).span(self.begin, self.end)
+        self.words = tb.mix(found + (self.end - self.begin).astype(np.uint64) * FACTORS[4])
+        breaks = np.flatnonzero(data == 10)
+        text = np.repeat(np.arange(len(counts)), counts)
+        line = np.searchsorted(breaks, self.begin) - np.searchsorted(breaks, starts[:-1])[text]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(text))[: len(self.first)]
+        self.text, self.line = text[self.first], line[self.first]
+
+    def keys(self) -> np.ndarray:
+        """A hash of each line's words in order."""
+        size = (self.last - self.first).astype(np.uint64)
+        return tb.mix(tb.Hashes(self.words).span(self.first, self.last) + size * FACTORS[1])
+
+    def tokens(self, chosen: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens of the ``chosen`` lines, rare ones first, and how many each line has."""
+        first, size = self.first[chosen], (self.last - self.first)[chosen]
+        full = np.zeros(max(len(self.words) - SHINGLE + 1, 0), np.uint64)
+        for j, factor in enumerate(FACTORS):
+            full += self.words[j : j + len(full)] * factor
+        full = tb.mix(full) & LOW
+        seen = classes[self.words >> np.uint64(48)]
+        rarest = seen[: len(full)].copy()
+        for j in range(1, SHINGLE):
+            np.minimum(rarest, seen[j : j + len(full)], out=rarest)
+        full |= rarest.astype(np.uint64) << HASH_BITS
+        many = np.maximum(size - SHINGLE + 1, 1)
+        owner = np.repeat(np.arange(len(chosen)), many)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        short = size < SHINGLE
+        found = np.empty(len(owner), np.uint64)
+        lone = short[owner]
+        found[~lone] = full[at[~lone]]
+        if short.any():
+            value = np.zeros(int(short.sum()), np.uint64)
+            for j in range(SHINGLE - 1):
+                has = size[short] > j
+                value[has] += self.words[first[short][has] + j] * FACTORS[j]
+            found[lone] = tb.mix(value + size[short].astype(np.uint64)) & LOW
+        order = np.lexsort((found, owner))
+        found, owner = found[order], owner[order]
+        distinct = np.ones(len(found), bool)
+        distinct[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+        return found[distinct], np.bincount(owner[distinct], minlength=len(chosen))
+
+
+def needed(n: np.ndarray) -> np.ndarray:
+    """The least a set of ``n`` shares with a match: ceil(n * LEAST / 100)."""
+    return (n * LEAST + 99) // 100
 
 
-def word_classes(docs: DataFrame) -> list[int]:
+def word_classes(docs: DataFrame) -> np.ndarray:
     """For each bucket of word hashes, the binary logarithm of how often its words occur."""
-    found = docs.select(F.explode(F.split(lowered(F.col("text")), SPACE_RUN)).alias("w"))
-    out = [0] * BUCKETS
-    counted = found.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
-    for row in counted.collect():  # at most BUCKETS rows
-        out[row.bucket] = row.c
-    return out
-
 
-def _tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a lowered line as longs: rarity class in the top bits, hash below; rare ones sort first."""
-    low = F.lit(LOW)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, data, starts in tb.slices(batch, "text"):
+                hashes, _ = tb.word_hashes(data, starts)
+                seen += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.uint8)
+    for row in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).collect():
+        out[row.bucket] = row.c  # at most BUCKETS rows
+    return out
 
-    def shingles(v: Column) -> Column:
-        def five(first: Column, i: Column) -> Column:
-            own = [first, *(F.get(v, i + j) for j in range(1, SHINGLE))]
-            rarest = F.least(*own).bitwiseAND(F.lit(~LOW))
-            return rarest.bitwiseOR(F.xxhash64(*own).bitwiseAND(low))
 
-        return F.transform(F.slice(v, 1, F.size(v) - SHINGLE + 1), five)
+# ---------------------------------------------------------------- buckets of tokens
 
-    hashed = F.transform(words(line), lambda w: F.xxhash64(w))
-    sealed = F.transform(hashed, lambda h: F.shiftleft(F.get(classes, _bucket(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
-    short = lambda v: F.array(F.aggregate(v, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x)).bitwiseAND(low))
-    return let(sealed, lambda v: F.when(F.size(v) >= SHINGLE, F.sort_array(F.array_distinct(shingles(v)))).otherwise(short(v)))
+#: Columns of an entry: token (or a line's hash, with n = 0), place, size of the set, position in the prefix.
+ENTRY = (("token", "<u8"), ("doc_id", "<i8"), ("twin", "<i4"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, twin, line, body (lowered) and k (its hash) of every line with a word."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("twin"), F.posexplode(F.split(lowered(F.col("text")), "\n", -1)).alias("line", "body"))
-    spoken = split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
-    return spoken.select("doc_id", "twin", "line", "body", F.xxhash64("body").alias("k"))
+def _blob(columns: list[np.ndarray]) -> bytes:
+    raw = b"".join(np.ascontiguousarray(c, t).tobytes() for c, (_, t) in zip(columns, ENTRY, strict=True))
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _needed(n: Column) -> Column:
-    """The least a set of ``n`` shares with a match: ceil(n * LEAST / 100)."""
-    return F.floor((n * LEAST + 99) / 100).cast("int")
+def _unblob(blob: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], decompressed_size=n * sum(np.dtype(t).itemsize for _, t in ENTRY), codec="zstd")
+    out, at = [], 0
+    for _, t in ENTRY:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
 
 
-def _passes(x: str, y: str) -> Column:
-    """Length and positional filters on two prefix rows of one token."""
-    nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
+def _prefixes(docs: DataFrame, classes: Broadcast, buckets: int) -> DataFrame:
+    """bucket and entries of all lines."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            where = (tb.mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((columns[0], where))
+            where, columns = where[order], [c[order] for c in columns]
+            own, first = np.unique(where, return_index=True)
+            for b, lo, hi in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(where)], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_blob([c[lo:hi] for c in columns])], pa.binary())], ["bucket", "entries"])
+
+        for batch in batches:
+            for part, data, starts in tb.slices(batch, "text"):
+                lines = Lines(data, starts)
+                key = lines.keys()
+                doc, twin = part.column("doc_id").to_numpy()[lines.text], part.column("twin").to_numpy()[lines.text]
+                line = lines.line.astype(np.int32)
+                zero = np.zeros(len(key), np.int32)
+                held.append([key, doc, twin, line, zero, zero])
+                # of equal lines in one slice only the earliest can match anything first
+                order = np.lexsort((line, twin, doc, key))
+                lead = np.ones(len(order), bool)
+                lead[1:] = key[order][1:] != key[order][:-1]
+                chosen = np.sort(order[lead])
+                tokens, n = lines.tokens(chosen, classes.value)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+                owner = np.repeat(np.arange(len(chosen)), n)
+                kept = pos <= (n - needed(n))[owner]
+                owner, pos = owner[kept], pos[kept]
+                of = chosen[owner]
+                held.append([tokens[kept], doc[of], twin[of], line[of], n[owner].astype(np.int32), pos.astype(np.int32)])
+                size += len(data)
+                if size > FLUSH_BYTES:
+                    yield from finished()
+                    size = 0
+        if held:
+            yield from finished()
+
+    return docs.mapInArrow(pack, "bucket int, entries binary")
+
+
+def _crowds(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries whose token several lines share, each with the crowd's earliest line; and equal lines but the earliest (``n`` = 0)."""
+    found = [_unblob(blob.as_py()) for part in parts for blob in part.column("entries")]
+    token, doc, twin, line, n, pos = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
+    order = np.lexsort((line, twin, doc, token, n > 0))
+    token, doc, twin, line, n, pos = (c[order] for c in (token, doc, twin, line, n, pos))
+    same = np.zeros(len(token), bool)  # as the entry before
+    same[1:] = (token[1:] == token[:-1]) & ((n[1:] > 0) == (n[:-1] > 0))
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
+    place = (doc != doc[head]) | (twin != twin[head]) | (line != line[head])
+    crowd = np.zeros(len(token), bool)
+    crowd[head[same & place]] = True
+    crowd = crowd[head] & (n > 0)
+    gone = same & place & (n == 0)
+    # a repeated row's entries stand beside each other: keep one
+    again = np.zeros(len(token), bool)
+    again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (twin[1:] == twin[:-1]) & (line[1:] == line[:-1])
+    kept = np.flatnonzero((crowd | gone) & ~again)
+    h = head[kept]
+    columns = {"token": token[kept].view(np.int64)}
+    for name, c in (("doc_id", doc), ("twin", twin), ("line", line), ("n", n), ("pos", pos)):
+        columns[name], columns[f"h_{name}"] = c[kept], c[h]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+CROWD = "token long, " + ", ".join(f"{c} {t}, h_{c} {t}" for c, t in (("doc_id", "long"), ("twin", "int"), ("line", "int"), ("n", "int"), ("pos", "int")))
+
+
+def _passes(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """Length and positional filters on two prefix entries of one token."""
     length = (nx * 100 >= ny * LEAST) & (ny * 100 >= nx * LEAST)
-    most = 1 + F.least(nx - px, ny - py) + F.least(px, py) - 1
+    most = F.least(nx - px, ny - py) + F.least(px, py)
     return length & (most * (100 + LEAST) >= LEAST * (nx + ny))
 
 
-def _sets(members: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
-    """k and tokens of the lines ``members`` (k, place)."""
-    asked = members.select("place.*")
-    # a bitmap of fixed size spares most lines the shuffle; the join behind it is exact
-    mixed = F.xxhash64("doc_id", "twin", "line")
-    bit = F.pmod(F.shiftright(mixed, 20), F.lit(64)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    bitmap = [0] * BUCKETS
-    for row in asked.groupBy(_bucket(mixed).alias("at")).agg(F.bit_or(one).alias("bits")).collect():  # at most BUCKETS rows
-        bitmap[row["at"]] = row["bits"]
-    held = F.call_function("shiftright", F.get(_literal(bitmap), _bucket(mixed)), bit)
-    maybe = lines.filter(held.bitwiseAND(F.lit(1)) == 1).select("k", "body", F.struct("doc_id", "twin", "line").alias("at"))
-    own = maybe.join(members, "k", "inner").filter(F.col("at") == F.col("place")).dropDuplicates(["k"])
-    return own.select("k", _tokens(F.col("body"), classes).alias("tokens"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) of line hashes whose sets match."""
-    both = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("tx")), "x")
-    both = both.join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("ty")), "y")
-    common = F.size(F.array_intersect("tx", "ty"))
-    return both.filter(common * 100 >= (F.size("tx") + F.size("ty") - common) * LEAST).select("x", "y")
-
-
-def _sketch(tokens: Column) -> Column:
-    """A long with the bits of all tokens added without carry: sets that differ in d tokens have sketches that differ in d bits at most."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-
-
-def _matched(docs: DataFrame, firsts: DataFrame, classes: Column) -> DataFrame:
-    """k of every line that an earlier, different line matches."""
-    rows = firsts.select("k", "n", "place", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("place")
-    crowd = rows.withColumn("head", F.first(F.struct("k", "n", "pos")).over(by_token)).withColumn("next", F.lead("k").over(by_token))
-    crowd = settled(crowd.filter("head.k <> k or next is not null").drop("next"))  # tokens that at least two lines share
-    sets = settled(_sets(crowd.select("k", "place").distinct(), _lines(docs), classes))
-
-    member = crowd.filter("head.k <> k").select(F.struct("k", "n", "pos").alias("x"), F.col("head").alias("y"))
-    tried = settled(member.filter(_passes("x", "y")).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct())
-    done = settled(_verified(tried, sets).select(F.col("x").alias("k")).distinct())  # the head of a crowd is its earliest line
-
-    marked = crowd.join(sets.select("k", _sketch(F.col("tokens")).alias("sketch")), "k")
-    left = marked.filter("head.k <> k").join(done, "k", "left_anti")
-    later = (F.col("x.token") == F.col("y.token")) & (F.col("y.k") != F.col("x.head.k")) & (F.col("x.place") > F.col("y.place"))
-    near = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (100 + LEAST) <= (F.col("x.n") + F.col("y.n")) * (100 - LEAST)
-    rest = left.alias("x").join(marked.alias("y"), later & near & _passes("x", "y")).select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct()
-    more = _verified(rest.join(tried, ["x", "y"], "left_anti"), sets).select(F.col("x").alias("k"))
-    return done.union(more).distinct()
+# ---------------------------------------------------------------- bodies of lines and verification
+
+
+def _mark(doc: np.ndarray, twin: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A bit of a map of BUCKETS * 64 for each place."""
+    mixed = tb.mix(doc.astype(np.uint64) * FACTORS[0] + twin.astype(np.uint64) * FACTORS[1] + line.astype(np.uint64) * FACTORS[2])
+    return (mixed >> np.uint64(42)).astype(np.int64)
+
+
+def _marks(places: DataFrame) -> np.ndarray:
+    """A map of fixed size of the marked bits."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS * 64, bool)
+        for batch in batches:
+            seen[_mark(*(batch.column(c).to_numpy() for c in PLACE))] = True
+        words = np.packbits(seen, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["at", "bits"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for row in places.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():  # at most BUCKETS rows
+        out[row["at"]] = row.bits
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _bodies(docs: DataFrame, places: DataFrame, classes: Broadcast) -> DataFrame:
+    """place, body and sketch (of the token set) of the lines at ``places``.
+
+    A map of fixed size spares most lines the shuffle; the join behind it is exact.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(places))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, starts in tb.slices(batch, "text"):
+                lines = Lines(data, starts)
+                doc, twin = part.column("doc_id").to_numpy()[lines.text], part.column("twin").to_numpy()[lines.text]
+                chosen = np.flatnonzero(marks.value[_mark(doc, twin, lines.line)])
+                tokens, n = lines.tokens(chosen, classes.value)
+                low, high = lines.begin[lines.first[chosen]], lines.end[lines.last[chosen] - 1]
+                bodies = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                bits = np.uint64(1) << (tokens & np.uint64(63))
+                sketch = np.bitwise_xor.reduceat(bits, np.cumsum(n) - n) if len(n) else np.empty(0, np.uint64)
+                columns = [pa.array(doc[chosen]), pa.array(twin[chosen]), pa.array(lines.line[chosen].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(sketch.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [*PLACE, "body", "sketch"])
+
+    found = docs.mapInArrow(find, "doc_id long, twin int, line int, body binary, sketch long")
+    return found.join(places, list(PLACE), "left_semi").dropDuplicates(list(PLACE))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, classes: Broadcast) -> DataFrame:
+    """The places x of the pairs (x, y) of places whose sets match."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sides = []
+                for name in ("bx", "by"):
+                    texts = part.column(name)
+                    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+                    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                    lines = Lines(data, ends - ends[0])
+                    sides.append(lines.tokens(np.arange(len(lines.first)), classes.value))
+                (x, nx), (y, ny) = sides
+                both = np.concatenate([x, y])
+                owner = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
+                order = np.lexsort((both, owner))
+                both, owner = both[order], owner[order]
+                twice = (both[1:] == both[:-1]) & (owner[1:] == owner[:-1])
+                common = np.bincount(owner[1:][twice], minlength=len(nx))
+                matched = common * 100 >= (nx + ny - common) * LEAST
+                yield pa.RecordBatch.from_arrays([part.column("x").filter(pa.array(matched))], ["x"])
+
+    place = F.struct(*PLACE)
+    both = pairs.join(bodies.select(place.alias("x"), F.col("body").alias("bx")), "x").join(bodies.select(place.alias("y"), F.col("body").alias("by")), "y")
+    return both.select("x", "bx", "by").mapInArrow(check, "x struct<doc_id:long,twin:int,line:int>").select("x.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, twin, line of every line that an earlier line matches."""
-    classes = _literal(word_classes(docs))
-    place = F.struct("doc_id", "twin", "line").alias("place")
-    spoken = _lines(docs)
-    lean = spoken.select("k", place, _tokens(F.col("body"), classes).alias("tokens")).select("k", "place", F.size("tokens").alias("n"), "tokens")
-    lean = lean.select("k", "place", "n", F.slice("tokens", 1, F.col("n") - _needed(F.col("n")) + 1).alias("prefix"))
-    firsts = lean.groupBy("k").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
-    matched = _matched(docs, firsts, classes)
-
-    # every copy but the earliest goes, and the earliest too where it has an earlier match
-    copied = spoken.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    marked = copied.join(matched.withColumn("hit", F.lit(True)), "k", "left").filter("copies > 1 or hit")
-    marked = marked.select("k", "first", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return spoken.select("k", place).join(marked, "k").filter(F.col("hit") | (F.col("place") > F.col("first"))).select("place.*")
+    """doc_id, twin, line of every line that an earlier line matches; a line may come more than once."""
+    placed = _placed(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    classes = docs.sparkSession.sparkContext.broadcast(word_classes(docs))
+    met = settled(_prefixes(placed, classes, 1 + size // BUCKET_BYTES).groupBy("bucket").applyInArrow(_crowds, CROWD))
+    equal = met.filter("n = 0").select(*PLACE)
+    crowd = settled(met.filter("n > 0").join(equal.distinct(), list(PLACE), "left_anti"))
+    bodies = settled(_bodies(placed, crowd.select(*PLACE).distinct(), classes))
+
+    x, head = F.struct(*PLACE).alias("x"), F.struct(*(F.col(f"h_{c}").alias(c) for c in PLACE)).alias("y")
+    members = crowd.select("token", x, head, "n", "pos", "h_n", "h_pos").filter("x <> y")
+    tried = settled(members.filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"))).select("x", "y").distinct())
+    done = settled(_verified(tried, bodies, classes).distinct())
+
+    sketches = bodies.select(F.struct(*PLACE).alias("of"), "sketch")
+    left = members.join(done.select(F.struct(*PLACE).alias("x")), "x", "left_anti").select("token", "x", "y", "n", "pos")
+    left = left.join(sketches, F.col("x") == F.col("of")).drop("of").alias("l")
+    right = crowd.select("token", F.struct(*PLACE).alias("z"), "n", "pos").join(sketches, F.col("z") == F.col("of")).drop("of").alias("r")
+    later = (F.col("l.token") == F.col("r.token")) & (F.col("r.z") != F.col("l.y")) & (F.col("l.x") > F.col("r.z"))
+    near = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))) * (100 + LEAST) <= (F.col("l.n") + F.col("r.n")) * (100 - LEAST)
+    rest = left.join(right, later & near & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
+    rest = rest.select(F.col("l.x").alias("x"), F.col("r.z").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    return equal.union(done).union(_verified(rest, bodies, classes))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as one column ``row``, with ``text`` (what is left), ``n_lines`` and ``n_removed`` beside it."""
     gone = removed_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("of"), F.col("twin").alias("of_twin")).agg(F.collect_set("line").alias("gone"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("twin"))
-    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), _id().alias("id"), _twin().alias("twin"))
+    joined = packed.join(gone, (F.col("id") == F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
     pieces = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     n_lines = F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
