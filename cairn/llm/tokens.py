@@ -3,16 +3,24 @@
 Words are cut at white space, so that each keeps the white space before it
 (``space="leading"``, for vocabularies that encode it) or none (``"none"``, for
 vocabularies that drop it); the pieces of a word then never depend on its
-neighbours. The frequent words are counted in Spark, encoded once by the
-tokenizers library and handed to every task as a table of at most
-``TABLE_WORDS`` rows, a bound that does not grow with the input. A word beyond
-the table is encoded where it stands and remembered, for two
-generations of at most ``MEMORY_WORDS`` words. Ids return to
-their texts by position; decoding looks every id up in the vocabulary's
-id-to-piece table, which is as large as the vocabulary and no larger.
-
-Null text counts as empty and gives no ids. Rows keep all their columns; repeated
-rows are encoded like any other.
+neighbours. A text that holds a string of an added token is one word.
+
+A task cuts its texts in blocks of about BLOCK_CHARS characters, or one text. A
+block's distinct words go to shards by their hash, and its texts become lists of
+positions in the block's words. A shard holds all places of its words, encodes
+each distinct word once with the tokenizers library, and answers every block; a
+block then joins the ids to its texts by position. So a word that fills half of
+all texts is one entry a block, the number of shards follows the bytes of the
+input, and neither texts nor ids pass through the driver. Blocks are
+written before they are used twice, so a lost executor cannot renumber them.
+
+Decoding joins every id to its piece: the id-to-piece table has as many rows as
+the vocabulary, whatever the input, and is handed to all tasks.
+
+Null text counts as empty and gives no ids; null ids give null text. Rows keep their columns
+(``keep`` names those wanted), whatever their names; the columns made replace columns of
+their own name. Repeated rows are encoded like any other, and an empty table gives
+no rows. A text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -20,24 +28,32 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.tables import settled_parquet
+
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: ASCII white space alone is left out of words; other white space stays for the library to treat.
 BARE = re.compile(r"[^\t-\r ]+")
 
-TABLE_WORDS = 1 << 17
-MEMORY_WORDS = 1 << 18
+#: Characters of a block of texts, about.
+BLOCK_CHARS = 1 << 24
+#: Bytes of text to a shard of the words.
+SHARD_BYTES = 1 << 25
+#: Longer words are encoded where they stand and not remembered, so that a memory bounded in words is bounded in bytes.
+LONGEST_REMEMBERED = 64
 #: A batch is encoded in slices of at most so many characters, or one text.
 SLICE_CHARS = 4_000_000
 
@@ -65,6 +81,11 @@ def split_words(text: str, space: str) -> list[str]:
     return (LEADING if space == "leading" else BARE).findall(text)
 
 
+def split_texts(texts: list[str], path: str, space: str) -> list[list[str]]:
+    special = specials(path)
+    return [[x] if special and special.search(x) else split_words(x, space) for x in texts]
+
+
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """The ids of each word as little-endian unsigned 32-bit numbers."""
     found = tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
@@ -72,27 +93,24 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts word by word with a shared table of frequent words and a bounded memory of others.
+    """Encodes texts word by word with a bounded memory, for tasks that encode in place.
 
-    The memory has two generations of at most ``most`` words: when the young one is full it becomes the old one, and
-    words met again move back. It lasts as long as the Python worker, over tasks.
+    The memory has two generations of at most ``most`` words of up to LONGEST_REMEMBERED characters: when the young one is
+    full it becomes the old one, and words met again move back. It lasts as long as the Python worker, over tasks.
     """
 
     def __init__(self, path: str, space: str, most: int):
         self.path, self.space, self.most = path, space, most
-        self.table: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        special = specials(self.path)
-        whole = {i for i, x in enumerate(texts) if special and special.search(x)}
-        split = [[] if i in whole else split_words(x, self.space) for i, x in enumerate(texts)]
+        split = split_texts(texts, self.path, self.space)
         known: dict[str, bytes] = {}
         unknown = []
-        frequent, young, old = self.table.get, self.young.get, self.old.get
+        young, old = self.young.get, self.old.get
         for w in set().union(*split):
-            if (ids := frequent(w) or young(w)) is not None:
+            if (ids := young(w)) is not None:
                 known[w] = ids
             elif (ids := old(w)) is not None:
                 known[w] = self.young[w] = ids
@@ -102,35 +120,17 @@ class Encoder:
         known |= made
         if len(self.young) + len(made) > self.most:
             self.young, self.old = {}, self.young
-        self.young |= made
+        self.young.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST_REMEMBERED)
         ids_of = known.__getitem__
-        return [encode_words([x], self.path)[0] if i in whole else b"".join(map(ids_of, words)) for i, (x, words) in enumerate(zip(texts, split, strict=True))]
+        return [b"".join(map(ids_of, words)) for words in split]
 
 
 @cache
-def encoder(path: str, space: str, most: int = MEMORY_WORDS) -> Encoder:
+def encoder(path: str, space: str, most: int) -> Encoder:
     """The encoder of this Python worker."""
     return Encoder(path, space, most)
 
 
-def frequent_words(docs: DataFrame, text: str, space: str, limit: int) -> DataFrame:
-    """The ``limit`` most frequent words of all texts with their counts; ties go to the smaller word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in _slices(batch.column(0).to_pylist()):
-                seen: dict[str, int] = {}
-                for x in texts:
-                    for w in split_words(x, space):
-                        seen[w] = seen.get(w, 0) + 1
-                # a word seen once in some megabytes is counted like any other, but only words seen again can be frequent
-                words = [w for w, n in seen.items() if n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "word").limit(limit)
-
-
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
     held, chars = [], 0
     for x in texts:
@@ -144,40 +144,126 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
         yield held
 
 
-def word_table(docs: DataFrame, path: str, text: str = "text", space: str = "leading", limit: int = TABLE_WORDS) -> DataFrame:
-    """The frequent words, each encoded once: word, ids (little-endian unsigned 32-bit numbers)."""
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_words(batch.column(0).to_pylist(), path), pa.binary())], ["word", "ids"])
 
-    frequent = frequent_words(docs, text, space, limit).select("word")
-    return frequent.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(encoded, "word string, ids binary")
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as bytes: their count, then zstd of the 32-bit ones."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<u4").tobytes(), codec="zstd", asbytes=True)
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    ends = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=4 * n, codec="zstd"), "<u4")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading", ids: str = "ids", table: DataFrame | None = None) -> DataFrame:
-    """``docs`` with a column ``ids`` of the ids that the tokenizers library gives each text, without special tokens around it."""
-    known = table if table is not None else word_table(docs, path, text, space)
-    shared = docs.sparkSession.sparkContext.broadcast(known.toArrow())  # at most TABLE_WORDS rows
+def blocks_of_words(docs: DataFrame, path: str, text: str, space: str, keep: list[str], shards: int) -> DataFrame:
+    """Two kinds of rows: of each block and shard the distinct ``words``; of each text its kept columns as ``row`` and its ``codes``.
+
+    A code is the place of a word among all words of the block, shard after shard.
+    """
+    kept = T.StructType([docs.schema[c] for c in keep])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("row", kept), T.StructField("codes", T.BinaryType())])
+
+    def rows(block: int, n: int, **given: pa.Array) -> pa.RecordBatch:
+        types = {"shard": pa.int32(), "words": pa.list_(pa.string()), "row": None, "codes": pa.binary()}
+        row = given.get("row", pa.nulls(n, row_type[0]))
+        columns = [row if c == "row" else given.get(c, pa.nulls(n, t)) for c, t in types.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns], ["block", *types])
+
+    row_type: list[pa.DataType] = []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        names: dict[str, int] = {}
+        held: list[tuple[list[np.ndarray], pa.StructArray]] = []
+        chars = n_blocks = 0
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            block = task + n_blocks
+            words = list(names)
+            at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int64, len(words))
+            order = np.argsort(at, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            own, sizes = np.unique(at, return_counts=True)
+            for i in range(0, len(own), 256):
+                first, last = sizes[:i].sum(), sizes[: i + 256].sum()
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[i : i + 256])]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array([words[j] for j in order[first:last]], pa.string()))
+                yield rows(block, len(lists), shard=pa.array(own[i : i + 256], pa.int32()), words=lists)
+            for codes, row in held:
+                yield rows(block, len(row), row=row, codes=pa.array([_packed(place[c]) for c in codes], pa.binary()))
+            names.clear()
+            held.clear()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, space)
-        own.table = dict(zip(shared.value.column("word").to_pylist(), shared.value.column("ids").to_pylist(), strict=True))
         for batch in batches:
             at = 0
+            whole = pa.StructArray.from_arrays([batch.column(c) for c in keep], names=keep) if keep else pa.array([{}] * batch.num_rows, pa.struct([]))
+            row_type[:] = [whole.type]
             for texts in _slices(batch.column(text).to_pylist()):
-                rows = batch.slice(at, len(texts))
+                codes = [np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)) for words in split_texts(texts, path, space)]
+                held.append((codes, whole.slice(at, len(texts))))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(own(texts))], [*rows.schema.names, ids])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(add, schema)
+                chars += sum(map(len, texts))
+                if chars > BLOCK_CHARS:
+                    yield from finished()
+                    chars, n_blocks = 0, n_blocks + 1
+        if held:
+            yield from finished()
+
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(cut, schema)
+
+
+def _encode_shard(path: str):  # noqa: ANN202
+    def encode_all(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[str, bytes] = {}
+        for part in parts:
+            lists = [x.as_py() for x in part.column("words")]
+            new = list(dict.fromkeys(w for words in lists for w in words if w not in table))
+            table.update(zip(new, encode_words(new, path), strict=True))
+            sizes, ids = [], []
+            for words in lists:
+                found = [table[w] for w in words]
+                sizes.append(_packed(np.fromiter((len(x) // 4 for x in found), np.int64, len(found))))
+                ids.append(_packed(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("shard"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "shard", "sizes", "ids"])
+
+    return encode_all
+
+
+def _join_block(texts: pa.Table, shards: pa.Table) -> pa.Table:
+    """``row`` and ``ids`` of the texts of one block."""
+    order = np.argsort(shards.column("shard").to_numpy())
+    sizes = np.concatenate([np.empty(0, np.uint32), *(_unpacked(shards.column("sizes")[int(i)].as_py()) for i in order)]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.uint32), *(_unpacked(shards.column("ids")[int(i)].as_py()) for i in order)]).astype(np.int32)
+    starts = np.cumsum(sizes) - sizes
+    parts = []
+    for batch in texts.select(["row", "codes"]).to_batches(max_chunksize=512):
+        codes = [_unpacked(x.as_py()) for x in batch.column("codes")]
+        every = np.concatenate([np.empty(0, np.uint32), *codes]).astype(np.int64)
+        n = sizes[every]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
+        parts.append(pa.RecordBatch.from_arrays([batch.column("row"), _lists(ids, np.diff(upto))], ["row", "ids"]))
+    return pa.Table.from_batches(parts)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, by default all) with the ids that the tokenizers library gives each text, without special tokens around it."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != ids]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    found = settled_parquet(blocks_of_words(docs, path, text, space, keep, 1 + size // SHARD_BYTES))
+    words = found.filter(F.col("words").isNotNull()).select("block", "shard", "words")
+    known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block long, shard int, sizes binary, ids binary")
+    texts = found.filter(F.col("codes").isNotNull()).select("block", "row", "codes")
+    schema = T.StructType([found.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    joined = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block, schema)
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("ids").alias(ids))
 
 
 @cache
