@@ -7,7 +7,8 @@ that share an anchor. Stretches equal as a whole collapse to their first place:
 within a task at once, then over all tasks in one shuffle by anchor hash, which
 leaves two kinds of work:
 
-* a stretch seen before as a whole is removed;
+* a stretch seen before as a whole (two polynomial hashes in different bases,
+  beside the anchor's, find no difference) is removed;
 * anchors with several different stretches (where a repeated passage begins or
   ends) go to the suffix sort. The suffixes at the anchors are merge sorted;
   prefix polynomial hashes and a binary search find the common extension of two
@@ -16,14 +17,17 @@ leaves two kinds of work:
   and within a class the bytes before the anchor decide. Windows found equal are
   compared byte by byte before one is removed.
 
-An anchor with more than CROWD different stretches would fill one task; its
-windows are hashed one by one instead and meet by hash, first collapsed per block
-of documents. Texts move once, dealt to blocks by their id.
+A sort holds CROWD stretches of one anchor at most, a bound on a task's memory.
+Beyond it the anchor's group is split: its windows meet one by one, by two hashes,
+first collapsed per block of documents, with the same result. Texts move
+once, dealt by their id to blocks whose number follows the bytes of the input.
 
 Only strings within one text count. Null text counts as empty. A row is known by
 its id and a hash of its text (``twin``): rows of equal id and text are the same
 place, so neither counts as earlier, wherever they lie; rows of one id with
 different texts are places of their own, in the order of that hash. Null ids come first.
+Texts below WIDTH bytes lose nothing; a very long text is one row of its block.
+A table without rows gives none. Extra columns of any name pass through ``remaining``.
 """
 
 from __future__ import annotations
@@ -46,11 +50,13 @@ GRAM = 16
 #: Places in a window where an anchor can stand.
 REACH = WIDTH - GRAM + 1
 #: Different stretches of one anchor hash that one task may sort.
-CROWD = 512
+CROWD = 1 << 16
+#: Bytes of text to a block of documents, about.
+BLOCK_BYTES = 1 << 24
 #: Stands for a null id.
 NO_ID = int(np.iinfo(np.int64).min)
 
-STRETCH = "anchor long, content long, doc_id long, twin long, s long, e long, a long, whole boolean"
+STRETCH = "anchor long, content long, proof long, doc_id long, twin long, s long, e long, a long, whole boolean"
 
 
 def _powers(length: int) -> np.ndarray:
@@ -60,9 +66,9 @@ def _powers(length: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts of a slice: first and last window start, anchor, text number, anchor hash and content hash of each stretch."""
+    """Of all texts of a slice: first and last window start, anchor, text number, anchor hash and two content hashes of each stretch."""
     n = len(data)
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if n < WIDTH:
         return none
     hashes = tb.Hashes(data)
@@ -87,7 +93,7 @@ def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     s, e, a, t = p[new], p[np.concatenate([new[1:] - 1, [len(p) - 1]])], anchor[new].astype(np.int64), text[new]
     content = tb.mix(hashes.span(s, e + WIDTH) + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return s, e, a, t, grams[a], content
+    return s, e, a, t, grams[a], content, tb.Hashes(data, tb.OTHER_BASE).span(s, e + WIDTH)
 
 
 def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,29 +127,32 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = n_texts = 0
 
     def emptied() -> Iterator[pa.RecordBatch]:
-        anchor, content, of, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, proof, of, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
         number, ids, twins = _places(*(np.concatenate(x) for x in zip(*texts, strict=True)))
         doc = number[of]
         held.clear()
         texts.clear()
-        order = np.lexsort((s, doc, content, anchor))
-        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])])[: len(order)]
+        order = np.lexsort((s, doc, proof, content, anchor))
+        same = np.ones(len(order), bool)
+        same[:1] = False
+        for key in (anchor, content, proof):
+            same[1:] &= key[order][1:] == key[order][:-1]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         place = lambda x: (doc[order] == doc[order[x]]) & (s[order] == s[order[x]])
         again = same & ~place(head)  # a repeated row is not an earlier place
         kept = order[~same]
         gone = order[again]
         docs, low, high = merged(doc[gone], s[gone], e[gone] + WIDTH)
-        yield _rows(anchor[kept], content[kept], ids[doc[kept]], twins[doc[kept]], s[kept], e[kept], a[kept], False)
+        yield _rows(anchor[kept], content[kept], proof[kept], ids[doc[kept]], twins[doc[kept]], s[kept], e[kept], a[kept], False)
         key = tb.mix(ids[docs].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
-        yield _rows(key, key, ids[docs], twins[docs], low, high - WIDTH, low, True)
+        yield _rows(key, key, key, ids[docs], twins[docs], low, high - WIDTH, low, True)
 
     for batch in batches:
         for part, data, starts in tb.slices(batch, "text"):
-            s, e, a, t, anchor, content = stretches(data, starts)
+            s, e, a, t, anchor, content, proof = stretches(data, starts)
             ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             texts.append([ids, part.column("twin").to_numpy()])
-            held.append([anchor, content, t + n_texts, s - starts[t], e - starts[t], a - starts[t]])
+            held.append([anchor, content, proof, t + n_texts, s - starts[t], e - starts[t], a - starts[t]])
             size += len(s)
             n_texts += len(ids)
             if size > 1_500_000:
@@ -153,9 +162,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emptied()
 
 
-def _rows(anchor, content, doc, twin, s, e, a, whole: bool) -> pa.RecordBatch:  # noqa: ANN001
-    columns = [anchor.view(np.int64), content.view(np.int64), doc, twin, s, e, a]
-    names = ["anchor", "content", "doc_id", "twin", "s", "e", "a", "whole"]
+def _rows(anchor, content, proof, doc, twin, s, e, a, whole: bool) -> pa.RecordBatch:  # noqa: ANN001
+    columns = [anchor.view(np.int64), content.view(np.int64), proof.view(np.int64), doc, twin, s, e, a]
+    names = ["anchor", "content", "proof", "doc_id", "twin", "s", "e", "a", "whole"]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(doc), whole))], names)
 
 
@@ -282,10 +291,10 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     found = repeated_windows(data, np.cumsum(sizes) - sizes, s, e, a, doc) if len(blobs) > 1 else np.zeros((len(blobs), REACH), bool)
     row, low, high = _runs(found)
 
-    w, w_at, w_block = (windows.column(c).to_numpy() for c in ("anchor", "s", "block"))
+    w, w_proof, w_at, w_block = (windows.column(c).to_numpy() for c in ("anchor", "proof", "s", "block"))
     gone = windows.column("gone").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((w_at, w_doc, w))
-    same = np.concatenate([[False], w[order][1:] == w[order][:-1]])[: len(order)]
+    order = np.lexsort((w_at, w_doc, w_proof, w))
+    same = np.concatenate([[False], (w[order][1:] == w[order][:-1]) & (w_proof[order][1:] == w_proof[order][:-1])])[: len(order)]
     head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     gone[order] |= same & ((w_doc[order] != w_doc[head]) | (w_at[order] != w_at[head]))
     docs = np.concatenate([doc[row], w_doc[gone]])
@@ -345,31 +354,32 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     crowd = crowd.astype(bool)
     calm = np.flatnonzero(~crowd)
     own_block = int(asked.column("block")[0].as_py()) if asked.num_rows else 0
-    columns = {"anchor": anchor[calm], "doc_id": ids[doc[calm]], "twin": twins[doc[calm]], "s": s[calm], "e": e[calm], "a": a[calm], "block": np.full(len(calm), own_block)}
+    columns = {"anchor": anchor[calm], "proof": anchor[calm], "doc_id": ids[doc[calm]], "twin": twins[doc[calm]], "s": s[calm], "e": e[calm], "a": a[calm], "block": np.full(len(calm), own_block)}
     contexts = [blobs[i] for i in calm]
     busy = np.flatnonzero(crowd)
-    w_doc, w_at, w_hash = [], [], []
+    w_doc, w_at, w_hash, w_proof = [], [], [], []
     for cut in range(0, len(busy), 10_000):
         own = busy[cut : cut + 10_000]
         sizes = np.array([len(blobs[i]) for i in own], np.int64)
-        hashes = tb.Hashes(np.frombuffer(b"".join(blobs[i] for i in own), np.uint8))
+        joined = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8)
         count = sizes - WIDTH + 1
         at = np.repeat(np.cumsum(sizes) - sizes, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        w_hash.append(tb.mix(hashes.span(at, at + WIDTH)).view(np.int64))
+        w_hash.append(tb.mix(tb.Hashes(joined).span(at, at + WIDTH)).view(np.int64))
+        w_proof.append(tb.Hashes(joined, tb.OTHER_BASE).span(at, at + WIDTH).view(np.int64))
         w_doc.append(np.repeat(doc[own], count))
         w_at.append(np.repeat(s[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     made = pa.table({**{k: pa.array(v, pa.int32() if k == "block" else pa.int64()) for k, v in columns.items()}, "context": pa.array(contexts, pa.binary()), "gone": pa.array(np.zeros(len(calm), bool))})
     if not w_hash:
         return made
-    w, d, p = np.concatenate(w_hash), np.concatenate(w_doc), np.concatenate(w_at)
-    order = np.lexsort((p, d, w))
-    w, d, p = w[order], d[order], p[order]
-    gone = np.concatenate([[False], (w[1:] == w[:-1])])
+    w, v, d, p = np.concatenate(w_hash), np.concatenate(w_proof), np.concatenate(w_doc), np.concatenate(w_at)
+    order = np.lexsort((p, d, v, w))
+    w, v, d, p = w[order], v[order], d[order], p[order]
+    gone = np.concatenate([[False], (w[1:] == w[:-1]) & (v[1:] == v[:-1])])
     head = np.maximum.accumulate(np.where(gone, 0, np.arange(len(w))))
     repeat_row = gone & (d == d[head]) & (p == p[head])
-    w, d, p, gone = (x[~repeat_row] for x in (w, d, p, gone))
+    w, v, d, p, gone = (x[~repeat_row] for x in (w, v, d, p, gone))
     zero = np.zeros(len(w), np.int64)
-    columns = {"anchor": w, "doc_id": ids[d], "twin": twins[d], "s": p, "e": p, "a": p, "block": np.full(len(w), own_block)}
+    columns = {"anchor": w, "proof": v, "doc_id": ids[d], "twin": twins[d], "s": p, "e": p, "a": p, "block": np.full(len(w), own_block)}
     more = pa.table({**{k: pa.array(v, pa.int32() if k == "block" else pa.int64()) for k, v in columns.items()}, "context": pa.array([None] * len(zero), pa.binary()), "gone": pa.array(gone)})
     return pa.concat_tables([made, more])
 
@@ -399,20 +409,19 @@ def _kept_bytes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
     return b"".join(body[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
 
 
-def removed_spans(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, dealt: DataFrame, blocks: int) -> DataFrame:
     """block, doc_id, twin, low, high: lists of stretches of bytes to remove, not yet united, by block of documents."""
     found = _placed(docs).mapInArrow(_find, STRETCH)
-    by_place = Window.partitionBy("anchor").orderBy("content", "doc_id", "twin", "s")
-    same = F.struct("content", "doc_id", "twin", "s", "e", "whole")  # a repeated row's stretch, found in another task
+    by_place = Window.partitionBy("anchor").orderBy("content", "proof", "doc_id", "twin", "s")
+    same = F.struct("content", "proof", "doc_id", "twin", "s", "e", "whole")  # a repeated row's stretch, found in another task
     found = found.withColumn("again", F.coalesce(F.lag(same).over(by_place) == same, F.lit(False))).filter("not again").drop("again")
-    ranked = found.withColumn("seen", F.coalesce(F.lag("content").over(by_place) == F.col("content"), F.lit(False)))
+    ranked = found.withColumn("seen", F.coalesce(F.lag(F.struct("content", "proof")).over(by_place) == F.struct("content", "proof"), F.lit(False)))
     ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("seen") | F.col("whole"), 0).otherwise(1)).over(Window.partitionBy("anchor")))
     ranked = settled(ranked.filter("whole or seen or kinds > 1"))
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = _block(blocks)
     asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "twin", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
     whole = ranked.filter("whole or seen").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("twin").alias("twin"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
-    schema = "anchor long, doc_id long, twin long, s long, e long, a long, block int, context binary, gone boolean"
+    schema = "anchor long, proof long, doc_id long, twin long, s long, e long, a long, block int, context binary, gone boolean"
     known = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(blocks * 2)).cast("int")
     sorted_ = known.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_sort_bucket, "block int, doc_id array<long>, twin array<long>, low array<long>, high array<long>")
@@ -422,9 +431,10 @@ def removed_spans(docs: DataFrame, dealt: DataFrame) -> DataFrame:
 def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """twin and ``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
     schema = f"twin long, {schema}"
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 1 + size // BLOCK_BYTES
     dealt = _dealt(docs, blocks)
-    placed = removed_spans(docs, dealt)
+    placed = removed_spans(docs, dealt, blocks)
     names = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
     collect = _collector(finish)
 

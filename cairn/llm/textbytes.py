@@ -14,6 +14,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 LOW_BITS = 12
 #: A batch is worked on in slices of at most so many bytes, or one text.
 SLICE_BYTES = 1 << 21
@@ -52,13 +53,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Hashes:
     """Prefix hashes of an array of small numbers."""
 
-    def __init__(self, values: np.ndarray):
-        low, far = _tables(BASE, len(values))
+    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
+        low, far = _tables(base, len(values))
         n = (len(values) >> LOW_BITS) + 1
         powers = (far[:n, None] * low[None, :]).ravel()[: len(values)]
         self.prefix = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers, out=self.prefix[1:])
-        self.low, self.far = _tables(INVERSE, len(values))
+        self.low, self.far = _tables(np.uint64(pow(int(base), -1, 1 << 64)), len(values))
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the stretches start..end; equal stretches have equal hashes wherever they stand."""

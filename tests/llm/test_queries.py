@@ -132,10 +132,25 @@ def test_suffix_dedup_of_repeated_rows(spark, tmp_path):
     assert sorted(left, key=repr) == sorted(kept, key=repr)
 
 
+@pytest.mark.parametrize("rows", [[(1, "short text"), (2, None)], [(1, ""), (2, "")], [(5, None)] * 3, [(1, "x" * 99), (2, "x" * 99)]])
+def test_suffix_dedup_of_short_texts(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.doc_id, r.n_bytes, r.n_removed) for r in q.op3_suffix_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted((d, len(t or ""), 0) for d, t in rows)
+
+
+@pytest.mark.parametrize("folder", ["small", "odd"], indirect=True)
+def test_suffix_dedup_in_windows(spark, folder, monkeypatch):
+    """Groups split into windows give what the sort gives."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 1)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1 << 15)
+    test_suffix_dedup(spark, folder)
+
+
 def test_suffix_dedup_of_repeated_windows():
     """Two rows of the same window at the same place are not earlier than each other."""
     columns = {c: pa.array([5, 5], pa.int64()) for c in ("anchor", "doc_id", "s", "e", "a")}
-    columns |= {"twin": pa.array([1, 1], pa.int64()), "block": pa.array([0, 0], pa.int32()), "context": pa.array([None, None], pa.binary()), "gone": pa.array([False, False])}
+    columns |= {"twin": pa.array([1, 1], pa.int64()), "proof": pa.array([3, 3], pa.int64()), "block": pa.array([0, 0], pa.int32()), "context": pa.array([None, None], pa.binary()), "gone": pa.array([False, False])}
     assert suffix_dedup._sort_bucket(pa.table(columns)).num_rows == 0
 
 
