@@ -90,7 +90,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    back = tokens.decode(tokens.encode(docs, path).select("doc_id", "ids"), path)
+    back = tokens.decode(tokens.encode(docs, path, keep=["doc_id"]), path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
