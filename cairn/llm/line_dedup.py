@@ -15,8 +15,8 @@ A task reads texts, sorts the tokens of their lines and packs the prefixes by
 buckets of tokens, whose number follows the bytes of the input; a bucket sorts them
 and keeps the crowds, tokens that several lines share. A line's hash goes the same way,
 so equal lines meet first and only the earliest of them takes part, one a task. In a
-crowd every line is first held against the crowd's earliest line; only
-lines that this leaves unmatched meet the others, and of those only the ones whose
+crowd every line is first held against two leaders, the crowd's earliest line and the
+one that meets most others; only lines that this leaves unmatched meet the others, and of those only the ones whose
 64-bit sketches of the sets differ in as few bits as a match's must. So a group
 of n near copies costs about n comparisons, and no pair that could remove a line
 is skipped. Bodies are read again for lines of crowds alone. Tokens are kept as
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textbytes as tb
-from cairn.llm.tables import settled
+from cairn.llm.tables import settled_parquet
 
 SHINGLE = 5
 LEAST = 80
@@ -69,7 +69,7 @@ def _id() -> Column:
 
 
 def _twin() -> Column:
-    return F.shiftright(F.xxhash64("text"), 32).cast("int")
+    return F.xxhash64("text")
 
 
 # ---------------------------------------------------------------- lines of a slice of texts
@@ -154,7 +154,7 @@ def word_classes(docs: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- buckets of tokens
 
 #: Columns of an entry: token (or a line's hash, with n = 0), place, size of the set, position in the prefix.
-ENTRY = (("token", "<u8"), ("doc_id", "<i8"), ("twin", "<i4"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"))
+ENTRY = (("token", "<u8"), ("doc_id", "<i8"), ("twin", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"))
 
 
 def _blob(columns: list[np.ndarray]) -> bytes:
@@ -185,8 +185,7 @@ def _prefixes(docs: DataFrame, classes: Broadcast, buckets: int) -> DataFrame:
             where = (tb.mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((columns[0], where))
             where, columns = where[order], [c[order] for c in columns]
-            own, first = np.unique(where, return_index=True)
-            for b, lo, hi in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(where)], strict=True):
+            for b, lo, hi in tb.runs(where):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_blob([c[lo:hi] for c in columns])], pa.binary())], ["bucket", "entries"])
 
         for batch in batches:
@@ -239,13 +238,16 @@ def _crowds(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (twin[1:] == twin[:-1]) & (line[1:] == line[:-1])
     kept = np.flatnonzero((crowd | gone) & ~again)
     h = head[kept]
+    ahead = np.arange(len(kept)) - np.searchsorted(kept, h)  # how many of the crowd come before, and after
+    behind = np.searchsorted(kept, np.append(np.flatnonzero(~same), len(token))[np.searchsorted(np.flatnonzero(~same), h) + 1]) - 1 - np.arange(len(kept))
     columns = {"token": token[kept].view(np.int64)}
     for name, c in (("doc_id", doc), ("twin", twin), ("line", line), ("n", n), ("pos", pos)):
         columns[name], columns[f"h_{name}"] = c[kept], c[h]
+    columns |= {"ahead": ahead.astype(np.int32), "behind": behind.astype(np.int32)}
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-CROWD = "token long, " + ", ".join(f"{c} {t}, h_{c} {t}" for c, t in (("doc_id", "long"), ("twin", "int"), ("line", "int"), ("n", "int"), ("pos", "int")))
+CROWD = "token long, " + ", ".join(f"{c} {t}, h_{c} {t}" for c, t in (("doc_id", "long"), ("twin", "long"), ("line", "int"), ("n", "int"), ("pos", "int"))) + ", ahead int, behind int"
 
 
 def _passes(nx: Column, px: Column, ny: Column, py: Column) -> Column:
@@ -302,8 +304,8 @@ def _bodies(docs: DataFrame, places: DataFrame, classes: Broadcast) -> DataFrame
                 columns = [pa.array(doc[chosen]), pa.array(twin[chosen]), pa.array(lines.line[chosen].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(sketch.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [*PLACE, "body", "sketch"])
 
-    found = docs.mapInArrow(find, "doc_id long, twin int, line int, body binary, sketch long")
-    return found.join(places, list(PLACE), "left_semi").dropDuplicates(list(PLACE))
+    found = docs.mapInArrow(find, "doc_id long, twin long, line int, body binary, sketch long")
+    return found.dropDuplicates(list(PLACE)).join(places, list(PLACE), "left_semi")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, classes: Broadcast) -> DataFrame:
@@ -332,7 +334,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, classes: Broadcast) -> DataFr
 
     place = F.struct(*PLACE)
     both = pairs.join(bodies.select(place.alias("x"), F.col("body").alias("bx")), "x").join(bodies.select(place.alias("y"), F.col("body").alias("by")), "y")
-    return both.select("x", "bx", "by").mapInArrow(check, "x struct<doc_id:long,twin:int,line:int>").select("x.*")
+    return both.select("x", "bx", "by").mapInArrow(check, "x struct<doc_id:long,twin:long,line:int>").select("x.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -340,24 +342,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     placed = _placed(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     classes = docs.sparkSession.sparkContext.broadcast(word_classes(docs))
-    met = settled(_prefixes(placed, classes, 1 + size // BUCKET_BYTES).groupBy("bucket").applyInArrow(_crowds, CROWD))
-    equal = met.filter("n = 0").select(*PLACE)
-    crowd = settled(met.filter("n > 0").join(equal.distinct(), list(PLACE), "left_anti"))
-    bodies = settled(_bodies(placed, crowd.select(*PLACE).distinct(), classes))
+    met = settled_parquet(_prefixes(placed, classes, 1 + size // BUCKET_BYTES).groupBy("bucket").applyInArrow(_crowds, CROWD))
+    equal = settled_parquet(met.filter("n = 0").select(*PLACE).distinct())
+    crowd = met.filter("n > 0").join(equal, list(PLACE), "left_anti")
 
     x, head = F.struct(*PLACE).alias("x"), F.struct(*(F.col(f"h_{c}").alias(c) for c in PLACE)).alias("y")
-    members = crowd.select("token", x, head, "n", "pos", "h_n", "h_pos").filter("x <> y")
-    tried = settled(members.filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos"))).select("x", "y").distinct())
-    done = settled(_verified(tried, bodies, classes).distinct())
-
-    sketches = bodies.select(F.struct(*PLACE).alias("of"), "sketch")
-    left = members.join(done.select(F.struct(*PLACE).alias("x")), "x", "left_anti").select("token", "x", "y", "n", "pos")
-    left = left.join(sketches, F.col("x") == F.col("of")).drop("of").alias("l")
-    right = crowd.select("token", F.struct(*PLACE).alias("z"), "n", "pos").join(sketches, F.col("z") == F.col("of")).drop("of").alias("r")
-    later = (F.col("l.token") == F.col("r.token")) & (F.col("r.z") != F.col("l.y")) & (F.col("l.x") > F.col("r.z"))
+    members = crowd.select("token", x, head, "n", "pos", "h_n", "h_pos", "ahead", "behind")
+    tried = members.filter("ahead > 0").filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos")))
+    tried = settled_parquet(tried.select("x", "y").distinct())
+    more = members.filter("ahead > 1 or (ahead = 1 and behind > 0)")  # what pairs without the head are made of
+    wanted = settled_parquet(tried.select("x.*").union(tried.select("y.*")).union(more.select("x.*")).distinct())
+    bodies = settled_parquet(_bodies(placed, wanted, classes))
+    done = settled_parquet(_verified(tried, bodies, classes).distinct())
+
+    # a second leader of a crowd: the line that meets most others in all its crowds
+    sketched = settled_parquet(more.join(bodies.select(x, "sketch"), "x"))
+    company = sketched.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"))
+    leaders = sketched.filter("ahead > 0").join(company, "x").groupBy("token").agg(F.min_by(F.struct("x", "n", "pos"), F.struct(-F.col("company"), "x")).alias("l"))
+    led = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").join(leaders, "token").filter(F.col("x") > F.col("l.x"))
+    led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"))).select("x", F.col("l.x").alias("y")).distinct()
+    led = settled_parquet(led.join(tried, ["x", "y"], "left_anti"))
+    done = settled_parquet(done.union(_verified(led, bodies, classes)).distinct())
+    tried = tried.union(led)
+
+    left = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").alias("l")
+    right = sketched.filter("behind > 0").select("token", F.col("x").alias("z"), "n", "pos", "sketch").alias("r")
+    later = (F.col("l.token") == F.col("r.token")) & (F.col("l.x") > F.col("r.z"))
     near = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))) * (100 + LEAST) <= (F.col("l.n") + F.col("r.n")) * (100 - LEAST)
     rest = left.join(right, later & near & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
-    rest = rest.select(F.col("l.x").alias("x"), F.col("r.z").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+    rest = settled_parquet(rest.select(F.col("l.x").alias("x"), F.col("r.z").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
     return equal.union(done).union(_verified(rest, bodies, classes))
 
 
