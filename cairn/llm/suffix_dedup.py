@@ -4,8 +4,8 @@ Each window of WIDTH bytes is anchored at the place in it whose GRAM-byte hash i
 least (the leftmost of equals), a choice that depends on the window's bytes alone,
 so equal windows have anchors at equal places. A stretch is the run of windows
 that share an anchor. Stretches equal as a whole collapse to their first place:
-within a task at once, then over all tasks in one shuffle by anchor hash, which
-leaves two kinds of work:
+within a task at once, then over all tasks in one shuffle by anchor hash, packed by
+buckets whose number follows the bytes of the input. That leaves two kinds of work:
 
 * a stretch seen before as a whole (two polynomial hashes in different bases,
   beside the anchor's, find no difference) is removed;
@@ -40,10 +40,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.llm import textbytes as tb
-from cairn.llm.tables import settled
+from cairn.llm.tables import settled_parquet
 
 WIDTH = 100
 GRAM = 16
@@ -56,7 +55,26 @@ BLOCK_BYTES = 1 << 24
 #: Stands for a null id.
 NO_ID = int(np.iinfo(np.int64).min)
 
-STRETCH = "anchor long, content long, proof long, doc_id long, twin long, s long, e long, a long, whole boolean"
+#: Columns of an entry: a stretch's anchor hash (its upper half), content hashes, place, and last window and anchor from its start on.
+ENTRY = (("anchor", "<u4"), ("content", "<u8"), ("proof", "<u4"), ("doc_id", "<i8"), ("twin", "<i8"), ("s", "<u4"), ("e", "u1"), ("a", "u1"))
+#: Columns of a span of bytes that is removed at once.
+SPAN = (("doc_id", "<i8"), ("twin", "<i8"), ("low", "<u4"), ("high", "<u4"))
+RANKED = "anchor long, doc_id long, twin long, s long, e long, a long, whole boolean, crowded boolean"
+
+
+def _blob(columns: list[np.ndarray], kind: tuple) -> bytes:
+    raw = b"".join(np.ascontiguousarray(c, t).tobytes() for c, (_, t) in zip(columns, kind, strict=True))
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unblob(blobs: list[bytes], kind: tuple) -> list[np.ndarray]:
+    found = [[np.empty(0, t) for _, t in kind]]
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        raw = pa.decompress(blob[8:], decompressed_size=n * sum(np.dtype(t).itemsize for _, t in kind), codec="zstd")
+        at = np.concatenate([[0], np.cumsum([n * np.dtype(t).itemsize for _, t in kind])]).tolist()
+        found.append([np.frombuffer(raw, t, n, i) for (_, t), i in zip(kind, at, strict=False)])
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
 def _powers(length: int) -> np.ndarray:
@@ -120,52 +138,98 @@ def _places(doc: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return number, doc[order][new], twin[order][new]
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of a task's texts, one row for the first place of each; all others are removed at once (``whole``)."""
-    held: list[list[np.ndarray]] = []
-    texts: list[list[np.ndarray]] = []
-    size = n_texts = 0
-
-    def emptied() -> Iterator[pa.RecordBatch]:
-        anchor, content, proof, of, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
-        number, ids, twins = _places(*(np.concatenate(x) for x in zip(*texts, strict=True)))
-        doc = number[of]
-        held.clear()
-        texts.clear()
-        order = np.lexsort((s, doc, proof, content, anchor))
-        same = np.ones(len(order), bool)
+def _find(buckets: int) -> Callable:
+    """Stretches of a task's texts, by bucket of their anchors, the first place of each; all others are removed at once (``spans``)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        texts: list[list[np.ndarray]] = []
+        size = n_texts = 0
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            anchor, content, proof, of, s, e, a = (np.concatenate(x) for x in zip(*held, strict=True))
+            number, ids, twins = _places(*(np.concatenate(x) for x in zip(*texts, strict=True)))
+            doc = number[of]
+            held.clear()
+            texts.clear()
+            order = np.lexsort((s, doc, proof, content, anchor))
+            same = np.ones(len(order), bool)
+            same[:1] = False
+            for key in (anchor, content, proof):
+                same[1:] &= key[order][1:] == key[order][:-1]
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+            place = lambda x: (doc[order] == doc[order[x]]) & (s[order] == s[order[x]])
+            again = same & ~place(head)  # a repeated row is not an earlier place
+            gone = order[again]
+            docs, low, high = merged(doc[gone], s[gone], e[gone] + WIDTH)
+            spans = _blob([ids[docs], twins[docs], low, high], SPAN)
+            kept = order[~same]
+            bucket = (anchor[kept] % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            kept, bucket = kept[by], bucket[by]
+            for b, lo, hi in tb.runs(bucket):
+                i = kept[lo:hi]
+                entries = [anchor[i] >> np.uint64(32), content[i], proof[i] >> np.uint64(32), ids[doc[i]], twins[doc[i]], s[i], e[i] - s[i], a[i] - s[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_blob(entries, ENTRY)], pa.binary()), pa.array([spans], pa.binary())], ["bucket", "entries", "spans"])
+                spans = None
+
+        for batch in batches:
+            for part, data, starts in tb.slices(batch, "text"):
+                s, e, a, t, anchor, content, proof = stretches(data, starts)
+                ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts.append([ids, part.column("twin").to_numpy()])
+                held.append([anchor, content, proof, t + n_texts, s - starts[t], e - starts[t], a - starts[t]])
+                size += len(s)
+                n_texts += len(ids)
+                if size > 1_500_000:
+                    yield from emptied()
+                    size = n_texts = 0
+        if held:
+            yield from emptied()
+
+    return find
+
+
+def _rank(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's stretches those to remove (``whole``) and those to sort, which share an anchor with different ones."""
+    entries, spans = [], []
+    for part in parts:
+        entries += [x.as_py() for x in part.column("entries")]
+        spans += [x.as_py() for x in part.column("spans") if x.is_valid]
+    columns = _unblob(entries, ENTRY)
+    del entries
+    anchor, content, proof, doc, twin, s, e, a = columns
+    order = np.lexsort((s, twin, doc, proof, content, anchor))
+    anchor, content, proof, doc, twin, s, e, a = (c[order] for c in columns)
+    n = len(order)
+
+    def as_before(*keys: np.ndarray) -> np.ndarray:
+        same = np.ones(n, bool)
         same[:1] = False
-        for key in (anchor, content, proof):
-            same[1:] &= key[order][1:] == key[order][:-1]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        place = lambda x: (doc[order] == doc[order[x]]) & (s[order] == s[order[x]])
-        again = same & ~place(head)  # a repeated row is not an earlier place
-        kept = order[~same]
-        gone = order[again]
-        docs, low, high = merged(doc[gone], s[gone], e[gone] + WIDTH)
-        yield _rows(anchor[kept], content[kept], proof[kept], ids[doc[kept]], twins[doc[kept]], s[kept], e[kept], a[kept], False)
-        key = tb.mix(ids[docs].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
-        yield _rows(key, key, key, ids[docs], twins[docs], low, high - WIDTH, low, True)
-
-    for batch in batches:
-        for part, data, starts in tb.slices(batch, "text"):
-            s, e, a, t, anchor, content, proof = stretches(data, starts)
-            ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts.append([ids, part.column("twin").to_numpy()])
-            held.append([anchor, content, proof, t + n_texts, s - starts[t], e - starts[t], a - starts[t]])
-            size += len(s)
-            n_texts += len(ids)
-            if size > 1_500_000:
-                yield from emptied()
-                size = n_texts = 0
-    if held:
-        yield from emptied()
-
-
-def _rows(anchor, content, proof, doc, twin, s, e, a, whole: bool) -> pa.RecordBatch:  # noqa: ANN001
-    columns = [anchor.view(np.int64), content.view(np.int64), proof.view(np.int64), doc, twin, s, e, a]
-    names = ["anchor", "content", "proof", "doc_id", "twin", "s", "e", "a", "whole"]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(doc), whole))], names)
+        for k in keys:
+            same[1:] &= k[1:] == k[:-1]
+        return same
+
+    seen = as_before(anchor, content, proof)
+    again = seen & as_before(doc, twin, s)  # a repeated row's stretch, found in another task
+    group = np.cumsum(~as_before(anchor)) - 1
+    kinds = np.bincount(group, ~seen, minlength=1)[group] if n else np.empty(0)
+    kept = np.flatnonzero(~again & (seen | (kinds > 1)))
+    s, e, a = s.astype(np.int64), e.astype(np.int64), a.astype(np.int64)
+    s_doc, s_twin, low, high = _unblob(spans, SPAN)
+    whole = np.concatenate([seen[kept], np.ones(len(s_doc), bool)])
+    zero = np.zeros(len(s_doc), np.int64)
+    made = {
+        "anchor": np.concatenate([anchor[kept].astype(np.int64) + (key[0].as_py() << 32), zero]),
+        "doc_id": np.concatenate([doc[kept], s_doc]),
+        "twin": np.concatenate([twin[kept], s_twin]),
+        "s": np.concatenate([s[kept], low.astype(np.int64)]),
+        "e": np.concatenate([s[kept] + e[kept], high.astype(np.int64) - WIDTH]),
+        "a": np.concatenate([s[kept] + a[kept], zero]),
+        "whole": whole,
+        "crowded": np.concatenate([kinds[kept] > CROWD, zero > 0]),
+    }
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in made.values()], list(made))
 
 
 # ---------------------------------------------------------------- the suffix sort
@@ -411,16 +475,11 @@ def _kept_bytes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
 
 def removed_spans(docs: DataFrame, dealt: DataFrame, blocks: int) -> DataFrame:
     """block, doc_id, twin, low, high: lists of stretches of bytes to remove, not yet united, by block of documents."""
-    found = _placed(docs).mapInArrow(_find, STRETCH)
-    by_place = Window.partitionBy("anchor").orderBy("content", "proof", "doc_id", "twin", "s")
-    same = F.struct("content", "proof", "doc_id", "twin", "s", "e", "whole")  # a repeated row's stretch, found in another task
-    found = found.withColumn("again", F.coalesce(F.lag(same).over(by_place) == same, F.lit(False))).filter("not again").drop("again")
-    ranked = found.withColumn("seen", F.coalesce(F.lag(F.struct("content", "proof")).over(by_place) == F.struct("content", "proof"), F.lit(False)))
-    ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("seen") | F.col("whole"), 0).otherwise(1)).over(Window.partitionBy("anchor")))
-    ranked = settled(ranked.filter("whole or seen or kinds > 1"))
+    found = _placed(docs).mapInArrow(_find(blocks), "bucket int, entries binary, spans binary")
+    ranked = settled_parquet(found.groupBy("bucket").applyInArrow(_rank, RANKED))
     block = _block(blocks)
-    asked = ranked.filter("not whole and not seen").select("anchor", "doc_id", "twin", "s", "e", "a", (F.col("kinds") > CROWD).alias("crowded"), block.alias("block"))
-    whole = ranked.filter("whole or seen").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("twin").alias("twin"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
+    asked = ranked.filter("not whole").select("anchor", "doc_id", "twin", "s", "e", "a", "crowded", block.alias("block"))
+    whole = ranked.filter("whole").select(block.alias("block"), F.array("doc_id").alias("doc_id"), F.array("twin").alias("twin"), F.array("s").alias("low"), F.array(F.col("e") + WIDTH).alias("high"))
     schema = "anchor long, proof long, doc_id long, twin long, s long, e long, a long, block int, context binary, gone boolean"
     known = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_contexts, schema)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(blocks * 2)).cast("int")

@@ -111,3 +111,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first, last, counts = word_spans(data, starts)
     found = Hashes(LOWER[data]).span(first, last)
     return mix(found + (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), counts
+
+
+def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of sorted ``keys`` with the bounds of its run."""
+    own, first = np.unique(keys, return_index=True)
+    yield from zip(own.tolist(), first.tolist(), np.append(first[1:], len(keys))[: len(first)].tolist(), strict=True)
