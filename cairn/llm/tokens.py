@@ -5,14 +5,13 @@ Words are cut at white space, so that each keeps the white space before it
 vocabularies that drop it); the pieces of a word then never depend on its
 neighbours. A text that holds a string of an added token is one word.
 
-A task cuts its texts in blocks of about BLOCK_CHARS characters, or one text. A
-block's distinct words go to shards by their hash, and its texts become lists of
-positions in the block's words. A shard holds all places of its words, encodes
-each distinct word once with the tokenizers library, and answers every block; a
-block then joins the ids to its texts by position. So a word that fills half of
-all texts is one entry a block, the number of shards follows the bytes of the
-input, and neither texts nor ids pass through the driver. Blocks are
-written before they are used twice, so a lost executor cannot renumber them.
+Texts are dealt by a hash of the row to blocks, whose number follows the bytes of
+the input. A block's distinct words go to shards by their hash; a shard holds all
+places of its words, encodes each distinct word once with the tokenizers library, and
+answers every block; a block then joins the ids to its texts by position. So a word
+that fills half of all texts is one entry a block, and neither texts nor ids pass
+through the driver. What a block sends depends on its rows alone, so a lost
+executor's work can be done again.
 
 Decoding joins every id to its piece: the id-to-piece table has as many rows as
 the vocabulary, whatever the input, and is handed to all tasks.
@@ -35,22 +34,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.tables import settled_parquet
-
 #: The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: ASCII white space alone is left out of words; other white space stays for the library to treat.
 BARE = re.compile(r"[^\t-\r ]+")
 
-#: Characters of a block of texts, about.
-BLOCK_CHARS = 1 << 24
-#: Bytes of text to a shard of the words.
+#: Bytes of text to a block, and to a shard of the words, about.
+BLOCK_BYTES = 1 << 24
 SHARD_BYTES = 1 << 25
 #: Longer words are encoded where they stand and not remembered, so that a memory bounded in words is bounded in bytes.
 LONGEST_REMEMBERED = 64
@@ -150,119 +145,100 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _packed(numbers: np.ndarray) -> bytes:
+def pack_numbers(numbers: np.ndarray) -> bytes:
     """Small numbers as bytes: their count, then zstd of the 32-bit ones."""
     return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<u4").tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def unpack_numbers(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=4 * n, codec="zstd"), "<u4")
 
 
-def blocks_of_words(docs: DataFrame, path: str, text: str, space: str, keep: list[str], shards: int) -> DataFrame:
-    """Two kinds of rows: of each block and shard the distinct ``words``; of each text its kept columns as ``row`` and its ``codes``.
+def pack_words(words: list[str]) -> bytes:
+    """Words as bytes: the length of their UTF-8 forms, cut by a byte that UTF-8 never has, then zstd of these."""
+    raw = b"\xff".join(w.encode() for w in words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    A code is the place of a word among all words of the block, shard after shard.
-    """
-    kept = T.StructType([docs.schema[c] for c in keep])
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("row", kept), T.StructField("codes", T.BinaryType())])
-
-    def rows(block: int, n: int, **given: pa.Array) -> pa.RecordBatch:
-        types = {"shard": pa.int32(), "words": pa.list_(pa.string()), "row": None, "codes": pa.binary()}
-        row = given.get("row", pa.nulls(n, row_type[0]))
-        columns = [row if c == "row" else given.get(c, pa.nulls(n, t)) for c, t in types.items()]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *columns], ["block", *types])
-
-    row_type: list[pa.DataType] = []
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        names: dict[str, int] = {}
-        held: list[tuple[list[np.ndarray], pa.StructArray]] = []
-        chars = n_blocks = 0
-
-        def finished() -> Iterator[pa.RecordBatch]:
-            block = task + n_blocks
-            words = list(names)
-            at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int64, len(words))
-            order = np.argsort(at, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            own, sizes = np.unique(at, return_counts=True)
-            for i in range(0, len(own), 256):
-                first, last = sizes[:i].sum(), sizes[: i + 256].sum()
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[i : i + 256])]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array([words[j] for j in order[first:last]], pa.string()))
-                yield rows(block, len(lists), shard=pa.array(own[i : i + 256], pa.int32()), words=lists)
-            for codes, row in held:
-                yield rows(block, len(row), row=row, codes=pa.array([_packed(place[c]) for c in codes], pa.binary()))
-            names.clear()
-            held.clear()
 
-        for batch in batches:
-            at = 0
-            whole = pa.StructArray.from_arrays([batch.column(c) for c in keep], names=keep) if keep else pa.array([{}] * batch.num_rows, pa.struct([]))
-            row_type[:] = [whole.type]
-            for texts in _slices(batch.column(text).to_pylist()):
-                codes = [np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)) for words in split_texts(texts, path, space)]
-                held.append((codes, whole.slice(at, len(texts))))
-                at += len(texts)
-                chars += sum(map(len, texts))
-                if chars > BLOCK_CHARS:
-                    yield from finished()
-                    chars, n_blocks = 0, n_blocks + 1
-        if held:
-            yield from finished()
-
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(cut, schema)
+def unpack_words(blob: bytes) -> list[str]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return [w.decode() for w in raw.split(b"\xff")]
+
+
+def _words_of_block(path: str, space: str, shards: int):  # noqa: ANN202
+    """The distinct words of a block, by shard."""
+
+    def collect(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for part in parts:
+            for texts in _slices(part.column("text").to_pylist()):
+                found = found.union(*split_texts(texts, path, space))
+        words = sorted(found)
+        at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int64, len(words))
+        order = np.argsort(at, kind="stable")
+        own, sizes = np.unique(at, return_counts=True)
+        lists = [pack_words([words[j] for j in some]) for some in np.split(order, np.cumsum(sizes)[:-1])] if len(own) else []
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(lists), pa.int32()), pa.array(own, pa.int32()), pa.array(lists, pa.binary())], ["block", "shard", "words"])
+
+    return collect
 
 
 def _encode_shard(path: str):  # noqa: ANN202
+    """Each distinct word of a shard encoded once, for all blocks."""
+
     def encode_all(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, bytes] = {}
         for part in parts:
-            lists = [x.as_py() for x in part.column("words")]
+            lists = [unpack_words(x.as_py()) for x in part.column("words")]
             new = list(dict.fromkeys(w for words in lists for w in words if w not in table))
             table.update(zip(new, encode_words(new, path), strict=True))
             sizes, ids = [], []
             for words in lists:
                 found = [table[w] for w in words]
-                sizes.append(_packed(np.fromiter((len(x) // 4 for x in found), np.int64, len(found))))
-                ids.append(_packed(np.frombuffer(b"".join(found), "<u4")))
-            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("shard"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "shard", "sizes", "ids"])
+                sizes.append(pack_numbers(np.fromiter((len(x) // 4 for x in found), np.int64, len(found))))
+                ids.append(pack_numbers(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("words"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "words", "sizes", "ids"])
 
     return encode_all
 
 
-def _join_block(texts: pa.Table, shards: pa.Table) -> pa.Table:
+def _join_block(path: str, space: str):  # noqa: ANN202
     """``row`` and ``ids`` of the texts of one block."""
-    order = np.argsort(shards.column("shard").to_numpy())
-    sizes = np.concatenate([np.empty(0, np.uint32), *(_unpacked(shards.column("sizes")[int(i)].as_py()) for i in order)]).astype(np.int64)
-    flat = np.concatenate([np.empty(0, np.uint32), *(_unpacked(shards.column("ids")[int(i)].as_py()) for i in order)]).astype(np.int32)
-    starts = np.cumsum(sizes) - sizes
-    parts = []
-    for batch in texts.select(["row", "codes"]).to_batches(max_chunksize=512):
-        codes = [_unpacked(x.as_py()) for x in batch.column("codes")]
-        every = np.concatenate([np.empty(0, np.uint32), *codes]).astype(np.int64)
-        n = sizes[every]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
-        parts.append(pa.RecordBatch.from_arrays([batch.column("row"), _lists(ids, np.diff(upto))], ["row", "ids"]))
-    return pa.Table.from_batches(parts)
+
+    def join(texts: pa.Table, known: pa.Table) -> pa.Table:
+        numbers = lambda c: np.concatenate([np.empty(0, np.uint32), *(unpack_numbers(x.as_py()) for x in known.column(c))])
+        sizes, flat = numbers("sizes").astype(np.int64), numbers("ids").astype(np.int32)
+        place = {w: i for i, w in enumerate(w for words in known.column("words") for w in unpack_words(words.as_py()))}
+        starts = np.cumsum(sizes) - sizes
+        parts = []
+        for batch in texts.select(["row", "text"]).to_batches():
+            at = 0
+            for some in _slices(batch.column("text").to_pylist()):
+                codes = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in split_texts(some, path, space)]
+                every = np.concatenate([np.empty(0, np.int64), *codes])
+                n = sizes[every]
+                ends = np.cumsum(n)
+                ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
+                upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
+                parts.append(pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(some)), _lists(ids, np.diff(upto))], ["row", "ids"]))
+                at += len(some)
+        return pa.Table.from_batches(parts)
+
+    return join
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, by default all) with the ids that the tokenizers library gives each text, without special tokens around it."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != ids]
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    found = settled_parquet(blocks_of_words(docs, path, text, space, keep, 1 + size // SHARD_BYTES))
-    words = found.filter(F.col("words").isNotNull()).select("block", "shard", "words")
-    known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block long, shard int, sizes binary, ids binary")
-    texts = found.filter(F.col("codes").isNotNull()).select("block", "row", "codes")
-    schema = T.StructType([found.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    joined = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block, schema)
+    row = F.struct(*keep).alias("row")
+    block = F.pmod(F.xxhash64(*dict.fromkeys([*keep, text])), F.lit(1 + size // BLOCK_BYTES)).cast("int").alias("block")
+    dealt = docs.select(row, F.col(text).alias("text"), block)
+    words = dealt.groupBy("block").applyInArrow(_words_of_block(path, space, 1 + size // SHARD_BYTES), "block int, shard int, words binary")
+    known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block int, words binary, sizes binary, ids binary")
+    schema = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep])), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    joined = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block(path, space), schema)
     return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("ids").alias(ids))
 
 
