@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
+from itertools import accumulate, pairwise
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.paths import stem, suffix
 
@@ -22,7 +26,7 @@ INVISIBLE = r"[\p{Cc}\p{Cf}\p{Cs}]"
 LONG_NAME_BYTES = 240
 DOCUMENTS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".txt", ".jpg", ".jpeg", ".png", ".gif", ".mp4", ".mkv", ".zip", ".rar"]
 EXECUTABLES = [".exe", ".bat", ".cmd", ".scr", ".com", ".ps1", ".vbs", ".js"]
-STAT_SUFFIX = r"(\s*\[[^\[\]]*\d+(\.\d+)?\s*(P|V|F|B|KB|MB|GB|TB|PB)\])+\s*$"
+STAT_SUFFIX = r"(?i)(\s+\[((\d+P(\s+\d+V)?)|(\d+V))?\s*\d+(\.\d+)?\s*(B|KB|MB|GB|TB|PB)\])+\s*$"
 
 
 def size_text(size: Column) -> Column:
@@ -51,7 +55,21 @@ def size_label(size: Column) -> Column:
 
 
 def without_stat_suffixes(name: Column) -> Column:
-    return F.rtrim(F.regexp_replace(name, STAT_SUFFIX, ""))
+    """The name without all ``[12P 3V 1.2 GB]`` at its end, and without white space there."""
+    return F.regexp_replace(F.regexp_replace(name, STAT_SUFFIX, ""), f"{EDGE}+$", "")
+
+
+def stat_name(name: Column, template: str, **counts: Column) -> Column:
+    """A directory's name with counts: ``template`` knows ``{name}``, ``{size}`` and every one of ``counts`` but ``total_bytes``."""
+    values = {"name": without_stat_suffixes(name), "size": size_text(counts["total_bytes"])}
+    return render(template, values | {k: v for k, v in counts.items() if k != "total_bytes"})
+
+
+def cleaned_base(name: Column, patterns: list[str], rounds: int = 8) -> Column:
+    """The name without what any of the patterns matches, over and over, ``rounds`` times at most; spaces at the edges go."""
+    for pattern in patterns:
+        re.compile(pattern)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, lambda s, _: F.trim(reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, s)))
 
 
 def rename(name: Column, mode: str, find: str = "", value: str = "", keep_extension: bool = True) -> Column:
@@ -91,7 +109,7 @@ def suffix_transform(name: Column, mode: str, target: str) -> Column:
 
 
 def audit(name: Column) -> Column:
-    """The names of all rules that a file name breaks, in a fixed order; normal forms are left to ``audit_normal_form``."""
+    """The names of all rules that a file name breaks, in a fixed order, but for the normal form (``breaks_normal_form``)."""
     ext, bare = suffix(name), stem(name)
     second = suffix(bare)
     rules = {
@@ -107,26 +125,23 @@ def audit(name: Column) -> Column:
     return F.array_compact(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules.items())))
 
 
+@F.pandas_udf(T.BooleanType())
+def breaks_normal_form(name: pd.Series) -> pd.Series:
+    """Whether a name is not in Unicode's composed normal form; no built-in function knows normal forms."""
+    return name.map(lambda x: x is not None and not unicodedata.is_normalized("NFC", x))
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """``{var}`` and ``{?var: text with {var}}`` (text only where var is not empty) as one expression."""
 
     def tokens(body: str) -> list[Column]:
-        out, at = [], 0
-        while at < len(body):
-            start = body.find("{", at)
-            if start < 0:
-                return [*out, F.lit(body[at:])]
-            if start > at:
-                out.append(F.lit(body[at:start]))
-            level, end = 1, start + 1
-            while level and end < len(body):
-                level += {"{": 1, "}": -1}.get(body[end], 0)
-                end += 1
-            if level:
-                raise ValueError(f"unbalanced braces: {body!r}")
-            out.append(one(body[start + 1 : end - 1]))
-            at = end
-        return out
+        depth = list(accumulate(({"{": 1, "}": -1}.get(c, 0) for c in body), initial=0))
+        if min(depth) < 0 or depth[-1]:
+            raise ValueError(f"unbalanced braces: {body!r}")
+        edges = [i for i, c in enumerate(body) if (c == "{" and depth[i] == 0) or (c == "}" and depth[i + 1] == 0)]
+        cuts = [0, *(i + (body[i] == "}") for i in edges), len(body)]
+        parts = [body[i:j] for i, j in pairwise(cuts) if i < j]
+        return [one(part[1:-1]) if part.startswith("{") else F.lit(part) for part in parts]
 
     def one(token: str) -> Column:
         if optional := re.fullmatch(r"\?(\w+):(.*)", token, re.DOTALL):

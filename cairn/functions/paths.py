@@ -84,6 +84,24 @@ def common_prefix(low: Column, high: Column) -> Column:
     return F.array_join(F.aggregate(pairs, start, step, lambda s: s.parts), "/")
 
 
+def relative_to(path: Column, root: Column | str) -> Column:
+    """``path`` below ``root``: empty for the root itself, null outside it."""
+    base = F.lit(root) if isinstance(root, str) else root
+    return F.when(path == base, "").when(under(path, base), F.substring(path, F.length(base) + 2, F.length(path)))
+
+
+def top_directory(root: Column, relative: Column) -> Column:
+    """The first directory below the root that holds a relative path, or the root."""
+    return F.when(relative.contains("/"), F.concat(root, F.lit("/"), F.substring_index(relative, "/", 1))).otherwise(root)
+
+
+def balance_bucket(directory: Column, common: Column) -> Column:
+    """The first directory below ``common`` on the way to ``directory`` (both relative), or LCA_DIRECT for ``common`` itself."""
+    below = F.when(common == "", directory).otherwise(relative_to(directory, common))
+    first = F.substring_index(below, "/", 1)
+    return F.when(directory == common, "LCA_DIRECT").when(common == "", first).otherwise(F.concat(common, F.lit("/"), first))
+
+
 def natural_key(text: Column) -> Column:
     """Sort key under which digit runs compare as numbers of any length and text as lower case."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)

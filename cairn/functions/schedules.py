@@ -32,8 +32,8 @@ def parse(expression: str) -> dict[str, Field]:
                 raise ValueError(f"bad {name}: {item!r}")
             first, step = m[1], int(m[2] or 1)
             start, end = (low, high) if first == "*" else map(int, (first.split("-") * 2)[:2])
-            if "-" not in first and first != "*" and m[2]:
-                raise ValueError(f"a step needs a range: {item!r}")
+            if m[2] and "-" not in first:  # a single value with a step runs to the field's highest
+                end = high
             if step < 1 or not low <= start <= end <= high:
                 raise ValueError(f"{name} out of range: {item!r}")
             values.update(range(start, end + 1, step))
@@ -54,12 +54,23 @@ def matches_date(date: Column, cron: dict[str, Field]) -> Column:
     return F.month(date).isin(*cron["month"].values) & fits
 
 
-def next_occurrences(rows: DataFrame, expression: str, zone: str, horizon_days: int = 800) -> DataFrame:
-    """``rows`` (id, after_utc) with ``next_utc``. Local times that a change of clocks skips do not occur; repeated ones occur once."""
+#: Days that are searched for an occurrence, and days that a change of clocks may skip or the current day may lack.
+HORIZON_DAYS = 366 * 8
+SPARE_DAYS = 4
+
+
+def occurrences(rows: DataFrame, expression: str, zone: str, count: int = 1) -> DataFrame:
+    """``rows`` (with ``after_utc``) with ``times``, the next ``count`` times in UTC.
+
+    Local times that a change of clocks skips do not occur; repeated ones occur once. Matching dates are looked up
+    once for each distinct local date. A rule without so many occurrences within HORIZON_DAYS fails the job.
+    """
     ZoneInfo(zone)
     cron = parse(expression)
-    start = F.to_date(F.from_utc_timestamp("after_utc", zone))
-    dates = F.filter(F.sequence(start, F.date_add(start, horizon_days)), lambda d: matches_date(d, cron))
+    placed = rows.withColumn("__start", F.to_date(F.from_utc_timestamp("after_utc", zone)))
+    days = placed.select("__start").distinct()
+    matching = F.filter(F.sequence("__start", F.date_add("__start", HORIZON_DAYS)), lambda d: matches_date(d, cron))
+    days = days.withColumn("__dates", F.slice(matching, 1, count + SPARE_DAYS))
     minutes = F.array(*(F.lit(h * 60 + m) for h in cron["hour"].values for m in cron["minute"].values))
 
     def utc(date: Column, minute: Column) -> Column:
@@ -67,9 +78,17 @@ def next_occurrences(rows: DataFrame, expression: str, zone: str, horizon_days:
         at = F.to_utc_timestamp(local, zone)
         return F.when(F.from_utc_timestamp(at, zone) == local, at)
 
-    # a few matching days always hold the next time: one of them, or the day after a skipped one
-    times = F.flatten(F.transform(F.slice(dates, 1, 8), lambda d: F.transform(minutes, lambda m: utc(d, m))))
-    return rows.withColumn("next_utc", F.array_min(F.filter(times, lambda t: t > F.col("after_utc"))))
+    every = F.flatten(F.transform("__dates", lambda d: F.transform(minutes, lambda m: utc(d, m))))
+    days = days.withColumn("__times", F.array_sort(F.array_compact(every)))
+    later = F.slice(F.filter("__times", lambda t: t > F.col("after_utc")), 1, count)
+    found = placed.join(days, placed["__start"].eqNullSafe(days["__start"]), "left").withColumn("times", later).drop("__start", "__dates", "__times")
+    missing = F.col("after_utc").isNotNull() & (F.size("times") < count)
+    return found.withColumn("times", F.when(missing, F.raise_error(F.lit(f"no such occurrence of {expression}"))).otherwise(F.col("times")))
+
+
+def next_occurrences(rows: DataFrame, expression: str, zone: str) -> DataFrame:
+    """``rows`` (with ``after_utc``) with ``next_utc``."""
+    return occurrences(rows, expression, zone).withColumn("next_utc", F.get("times", F.lit(0))).drop("times")
 
 
 def inside_window(at_utc: Column, zone: str, start: str, end: str) -> Column:

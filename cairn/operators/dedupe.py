@@ -7,9 +7,8 @@ task over one compact row per group and is the only part that does not spread ov
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,52 +106,70 @@ def released_by_root(decided: DataFrame, roots: list[str]) -> DataFrame:
     return every.join(freed, "root_key", "left").select("root_key", F.coalesce("freed", F.lit(0)).alias("released_bytes"))
 
 
+#: Groups that are balanced together, about.
+BLOCK_GROUPS = 100_000
+
+
 def balanced(members: DataFrame, roots: list[str], by: str = "files", protect_last_file: bool = False) -> DataFrame:
-    """Group by group, the copy whose keeping leaves removals most even over the roots: content_hash, size, keep.
+    """The copy of each group whose keeping leaves removals most even over the roots: content_hash, size, keep.
 
     ``by="files"`` counts removals, groups in order of hash and size; ``by="bytes"`` counts released bytes, groups in
     order of size, largest first, and hash. The smallest (spread, sum of squares, root rank, path) wins. With
     ``protect_last_file`` a choice that would empty a directory is not made, and a group without a safe choice is
     left out. ``directory_files`` must then hold each member's directory count.
+
+    Every choice depends on those before it, so groups are dealt by a hash to blocks of about BLOCK_GROUPS, each with
+    balances of its own: every block is even by itself, and a table of fewer groups is one block. A group is
+    summed up to one row for each root (and directory, if these are protected) before any of that, however many copies it has.
+    With protected directories all groups form one block, since a directory's count cannot be shared out.
     """
-    counts = F.col("directory_files") if protect_last_file else F.lit(0)
-    member = F.struct("absolute_path", "root_key", F.col("directory"), counts.alias("files"))
-    compact = members.groupBy(*GROUP).agg(F.array_sort(F.collect_list(member)).alias("members")).filter("size(members) >= 2")
-    keys = ["content_hash", "size"] if by == "files" else [F.col("size").desc(), "content_hash"]
-    rank = {r: i for i, r in enumerate(roots)}
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        released: Counter = Counter()
-        scheduled: Counter = Counter()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                weight = 1 if by == "files" else row.size
-                group = list(row.members)
-                names = list(dict.fromkeys([*roots, *(m["root_key"] for m in group)]))
-                best = None
-                for keep in group:
-                    gone = [m for m in group if m["absolute_path"] != keep["absolute_path"]]
-                    leaving = Counter(m["directory"] for m in gone)
-                    files = {m["directory"]: m["files"] for m in gone}
-                    if protect_last_file and any(files[d] - scheduled[d] - n < 1 for d, n in leaving.items()):
-                        continue
-                    after = released + Counter()
-                    for m in gone:
-                        after[m["root_key"]] += weight
-                    values = [after[r] for r in names]
-                    key = (max(values) - min(values), sum(v * v for v in values), rank.get(keep["root_key"], len(roots)), keep["absolute_path"])
-                    if best is None or key < best[0]:
-                        best = (key, keep, gone)
-                if best:
-                    for m in best[2]:
-                        released[m["root_key"]] += weight
-                        scheduled[m["directory"]] += 1
-                    out.append((row.content_hash, row.size, best[1]["absolute_path"]))
-            yield pd.DataFrame(out, columns=["content_hash", "size", "keep"])
-
-    ordered = compact.repartition(1).sortWithinPartitions(*keys).select("content_hash", "size", "members")
-    return ordered.mapInPandas(fold, "content_hash string, size long, keep string")
+    known = {r: i for i, r in enumerate(roots)}
+    place = F.col("directory") if protect_last_file else F.lit("")
+    left = F.max("directory_files") if protect_last_file else F.lit(0)
+    sides = members.groupBy(*GROUP, "root_key", place.alias("place")).agg(F.count("*").alias("n"), F.min("absolute_path").alias("path"), left.cast("long").alias("files"))
+    groups = sides.groupBy(*GROUP).agg(F.collect_list(F.struct("root_key", "place", "n", "path", "files")).alias("sides"), F.sum("n").alias("copies")).filter("copies >= 2")
+    blocks = 1 if protect_last_file else 1 + groups.count() // BLOCK_GROUPS
+    groups = groups.withColumn("block", F.pmod(F.xxhash64(*GROUP), F.lit(blocks)).cast("int"))
+
+    def choose(table: pd.DataFrame) -> pd.DataFrame:
+        order = ["content_hash", "size"] if by == "files" else ["size", "content_hash"]
+        table = table.sort_values(order, ascending=[True, True] if by == "files" else [False, True])
+        index = dict(known)
+        freed = np.zeros(len(index) + 64, np.int64)
+        going: dict[str, int] = {}
+        keeps = []
+        for size, group in zip(table["size"], table["sides"], strict=True):
+            root = np.array([index.setdefault(s["root_key"], len(index)) for s in group])
+            if len(index) > len(freed):
+                freed = np.append(freed, np.zeros(len(index), np.int64))
+            n = np.array([s["n"] for s in group])
+            unit = 1 if by == "files" else int(size)
+            all_gone = freed + np.bincount(root, n * unit, len(freed)).astype(np.int64)
+            ranked = np.union1d(np.arange(len(known)), root)
+            after = all_gone[ranked] - unit * (ranked == root[:, None])  # one row for each choice
+            spread = after.max(axis=1) - after.min(axis=1)
+            # sums of squares of two choices differ as the balances of their roots do, the other way round
+            key = sorted(range(len(group)), key=lambda i: (spread[i], -all_gone[root[i]], min(root[i], len(known)), group[i]["path"]))
+            leaving: dict[str, int] = {}
+            for s in group:
+                leaving[s["place"]] = leaving.get(s["place"], 0) + s["n"]
+            files = {s["place"]: s["files"] for s in group}
+            if protect_last_file:
+                spare = {d: files[d] - going.get(d, 0) - k for d, k in leaving.items()}
+                short = [d for d, k in spare.items() if k < 1]
+                key = [i for i in key if not short or (short == [group[i]["place"]] and (spare[short[0]] == 0 or leaving[short[0]] == 1))]
+            if not key:
+                keeps.append(None)
+                continue
+            best = key[0]
+            freed = all_gone
+            freed[root[best]] -= unit
+            for d, k in leaving.items():
+                going[d] = going.get(d, 0) + k - (d == group[best]["place"])
+            keeps.append(group[best]["path"])
+        return table.assign(keep=keeps).dropna(subset=["keep"])[["content_hash", "size", "keep"]]
+
+    return groups.groupBy("block").applyInPandas(choose, "content_hash string, size long, keep string")
 
 
 def fingerprint(members: DataFrame) -> DataFrame:

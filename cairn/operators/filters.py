@@ -6,7 +6,7 @@ A leaf is ``{"field", "operator", "value", "case_sensitive"}``, a node ``{"op":
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from typing import Any
 
@@ -48,47 +48,65 @@ def mtime_ns(value: Any) -> int:
     if isinstance(value, int):
         out = value * 10**9
     else:
-        at = datetime.fromisoformat(str(value).replace("Z", "+00:00"))
+        at = datetime.fromisoformat(str(value).strip().replace("Z", "+00:00"))
         if at.tzinfo is None:
             raise ValueError("times need a zone")
-        out = round((at - datetime.fromisoformat("1970-01-01T00:00:00+00:00")).total_seconds() * 10**6) * 1000
-    if not -(2**63) <= out < 2**63:
+        out = (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) * 1000
+    if not 0 <= out < 2**63:
         raise ValueError("time out of range")
     return out
 
 
-def checked(node: dict, depth: int = 1, leaves: list[int] | None = None) -> dict:
-    """The tree with literals in their final form; raises ValueError for anything the language does not have."""
-    leaves = [0] if leaves is None else leaves
-    if depth > MAX_DEPTH:
-        raise ValueError("filter too deep")
-    if node.get("op") in ("and", "or"):
-        children = node.get("children") or []
-        if not 1 <= len(children) <= MAX_CHILDREN:
-            raise ValueError("and/or take 1 to 50 children")
-        return {"op": node["op"], "children": [checked(c, depth + 1, leaves) for c in children]}
-    if node.get("op") == "not":
-        return {"op": "not", "child": checked(node["child"], depth + 1, leaves)}
-    field, operator, value = node.get("field"), node.get("operator"), node.get("value")
-    leaves[0] += 1
-    if leaves[0] > MAX_LEAVES:
-        raise ValueError("too many leaves")
-    if operator not in OPERATORS.get(field, ()):
-        raise ValueError(f"{field} has no operator {operator}")
-    if operator in ("in", "nin"):
-        if not isinstance(value, list) or not value:
-            raise ValueError("in and nin take a list")
-        value = [str(v) for v in value]
-    elif field == "size":
-        if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+def _literal(field: str, operator: str, value: Any) -> Any:
+    """The value of a leaf in its final form."""
+    many = operator in ("in", "nin")
+    if many and (not isinstance(value, list) or not value):
+        raise ValueError("in and nin take a list")
+    if field == "mtime":
+        return mtime_ns(value)
+    if field == "size":
+        if type(value) is not int or value < 0:
             raise ValueError("sizes are whole numbers")
-    elif field == "mtime":
-        value = mtime_ns(value)
-    elif not isinstance(value, str):
+        return value
+    texts = value if many else [value]
+    if not all(isinstance(x, str) for x in texts):
         raise ValueError(f"{field} takes text")
-    if field == "media_type" and {str(v).strip().lower() for v in (value if isinstance(value, list) else [value])} - {*EXTENSIONS, "other"}:
+    if field in ("extension", "media_type"):
+        texts = [x.strip().lower().removeprefix(".") for x in texts]
+    if not all(texts) and (many or field in ("extension", "media_type")):
+        raise ValueError("blank items")
+    if field == "media_type" and not {*EXTENSIONS, "other"}.issuperset(texts):
         raise ValueError("unknown media type")
-    return {"field": field, "operator": operator, "value": value, "case_sensitive": bool(node.get("case_sensitive"))}
+    return texts if many else texts[0]
+
+
+def checked(node: dict) -> dict:
+    """The tree with literals in their final form; raises ValueError for anything the language does not have.
+
+    The tree is walked level by level, so its depth and its leaves are counted by the walk itself.
+    """
+    top: dict = {}
+    level, leaves = [(node, top)], 0
+    for _ in range(MAX_DEPTH):
+        below = []
+        for given, out in level:
+            if given.get("op") in ("and", "or", "not"):
+                children = [given["child"]] if given["op"] == "not" else given.get("children") or []
+                if not 1 <= len(children) <= MAX_CHILDREN:
+                    raise ValueError("and/or take 1 to 50 children")
+                made: list[dict] = [{} for _ in children]
+                out.update({"op": "not", "child": made[0]} if given["op"] == "not" else {"op": given["op"], "children": made})
+                below += zip(children, made, strict=True)
+                continue
+            leaves += 1
+            field, operator = (str(given.get(k)).strip().lower() for k in ("field", "operator"))
+            if leaves > MAX_LEAVES or operator not in OPERATORS.get(field, ()):
+                raise ValueError("too many leaves" if leaves > MAX_LEAVES else f"{field} has no operator {operator}")
+            out.update({"field": field, "operator": operator, "value": _literal(field, operator, given.get("value")), "case_sensitive": bool(given.get("case_sensitive"))})
+        level = below
+        if not level:
+            return top
+    raise ValueError("filter too deep")
 
 
 def _has_extension(extensions: list[str]) -> Column:

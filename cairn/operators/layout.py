@@ -68,31 +68,26 @@ def smart_targets(files: DataFrame) -> DataFrame:
 
 
 def allocate_names(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Names kept as they are, later ones of equal case-folded spelling suffixed ``__dup002`` and up.
+    """``rows`` (name, position) with ``new_name``: of names with equal case-folded spelling in a group ``by`` the first stays.
 
-    A new name avoids all original and all given names of its group, so rows of a group are taken in order of
-    ``position``; groups are packages or directories, which have a bounded number of entries.
+    The j-th of the others gets the j-th suffix of ``__dup002``, ``__dup003`` and so on before its extension that no
+    row of the group has as its own name. All is numbered by windows over one spelling, never over a whole group.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", new_name string"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position", kind="stable")
-        originals = {n.casefold() for n in group["name"]}
-        given: set[str] = set()
-        out = []
-        for n in group["name"]:
-            name = n
-            if name.casefold() in given:
-                dot = n.rfind(".")
-                head, tail = (n[:dot], n[dot:]) if 0 < dot < len(n) - 1 else (n, "")
-                k = 2
-                while (name := f"{head}__dup{k:03d}{tail}").casefold() in given or name.casefold() in originals:
-                    k += 1
-            given.add(name.casefold())
-            out.append(name)
-        return group.assign(new_name=out)
-
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    tail = suffix(F.col("name"))
+    split = rows.withColumn("__tail", tail).withColumn("__head", F.left("name", F.length("name") - F.length(tail)))
+    split = split.withColumn("__folded", F.lower("name"))
+    again = Window.partitionBy(*by, "__folded").orderBy("position")
+    ranked = split.withColumn("__again", F.row_number().over(again) - 1)
+
+    number = F.regexp_extract(F.lower("__head"), r"^(.*)__dup([1-9][0-9]{3,}|[0-9]{3})$", 2)
+    base = F.regexp_extract(F.lower("__head"), r"^(.*)__dup([1-9][0-9]{3,}|[0-9]{3})$", 1)
+    own = split.select(*by, F.concat(base, F.lower("__tail")).alias("__folded"), number.try_cast("long").alias("k")).filter("k >= 2")
+    held = own.groupBy(*by, "__folded").agg(F.sort_array(F.collect_set("k")).alias("__held"))
+    free = F.aggregate(F.coalesce("__held", F.array().cast("array<bigint>")), F.col("__again") + F.lit(1).cast("long"), lambda k, taken: F.when(taken <= k, k + 1).otherwise(k))
+    joined = ranked.join(held, [*by, "__folded"], "left")
+    made = F.concat("__head", F.lit("__dup"), F.when(free < 1000, F.lpad(free.cast("string"), 3, "0")).otherwise(free.cast("string")), "__tail")
+    new_name = F.when(F.col("__again") == 0, F.col("name")).otherwise(made)
+    return joined.withColumn("new_name", new_name).select(*rows.columns, "new_name")
 
 
 def probe_names(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -138,3 +138,42 @@ def without(rows: DataFrame, active: DataFrame, key: str, terminal: list[str]) -
     """History cleanup: terminal rows that no active job refers to go."""
     gone = rows.filter(F.col("status").isin(terminal)).join(active.select(key).distinct(), key, "left_anti")
     return rows.join(gone.select(key), key, "left_anti")
+
+
+def recovered(jobs: DataFrame) -> DataFrame:
+    """``jobs`` as they stand after their worker was lost: a requested cancel is done, what can resume queues again, the rest fails."""
+    running = F.col("status") == "running"
+    status = F.when(F.col("status") == "cancel_requested", "cancelled").when(running & F.col("resumable"), "queued").when(running, "failed").otherwise(F.col("status"))
+    return jobs.withColumn("error", F.when(running & ~F.col("resumable"), "WORKER_INTERRUPTED")).withColumn("status", status)
+
+
+def cleared(jobs: DataFrame, statuses: list[str], kept: list[str], kept_failed: str) -> DataFrame:
+    """Task history without jobs of terminal ``statuses``: those of ``kept`` kinds are only dismissed, failed ones of ``kept_failed`` stay."""
+    if not statuses or any(TRANSITIONS.get(s, ["?"]) for s in statuses):
+        raise ValueError("only terminal statuses can be cleared")
+    ended = F.col("status").isin(statuses)
+    stays = F.col("kind").isin(kept) | ((F.col("kind") == kept_failed) & (F.col("status") == "failed"))
+    return jobs.filter(~ended | stays).withColumn("dismissed", ended & F.col("kind").isin(kept))
+
+
+def cleared_audit(audit: DataFrame, note: dict) -> DataFrame:
+    """An audit history after it was cleared: the one row that says so."""
+    return audit.sparkSession.createDataFrame([tuple(note[c] for c in audit.columns)], audit.schema)
+
+
+def deleted_unless(rows: DataFrame, chosen: Column, dependents: DataFrame, key: str) -> DataFrame:
+    """``rows`` without the chosen ones that nothing depends on."""
+    gone = rows.filter(chosen).join(dependents.select(key).distinct(), key, "left_anti").select(key)
+    return rows.join(gone, key, "left_anti")
+
+
+def diagnosed(entries: DataFrame, jobs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Why a purge of each entry (entry, state) can or cannot be taken up again."""
+    joined = entries.join(jobs, "entry", "left").join(plans, "job", "left")
+    why = F.when(F.col("state") != "purging", "NOT_PURGING").when(F.col("job").isNull(), "JOB_MISSING").when(F.col("plan").isNull(), "PLAN_MISSING").otherwise("RECOVERABLE")
+    return joined.select("entry", why.alias("diagnosis"))
+
+
+def restore_problems(state: Column, present: Column, occupied: Column) -> Column:
+    """What stands against a restore, in order."""
+    return F.array_compact(F.array(F.when(state != "quarantined", "NOT_QUARANTINED"), F.when(~present, "FILE_MISSING"), F.when(occupied, "TARGET_OCCUPIED")))

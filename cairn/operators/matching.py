@@ -148,3 +148,14 @@ def allowed(rows: DataFrame, path: str, roots: list[str], reserved: str) -> Data
     for root in roots:
         inside = inside | under(F.col(path), root)
     return rows.filter(inside & ~under(F.col(path), reserved))
+
+
+def grouped_members(members: DataFrame, by: list[str]) -> DataFrame:
+    """Each group with its members (root_key, relative_path) in order."""
+    return members.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("root_key", "relative_path"))).alias("members"))
+
+
+def first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The first row of each group, aggregated before it is shuffled."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*by, "r.*")

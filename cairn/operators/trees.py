@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.media import media_type
-from cairn.functions.paths import ancestors, parent
+from cairn.functions.paths import ancestors, natural_key, parent, under
 from cairn.lineage import settled
 
 
@@ -150,3 +150,18 @@ def primary(conflict_rows: DataFrame, priority: list[str]) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("conflict"))
     ordered = Window.partitionBy("source").orderBy(rank, "conflict", "target")
     return conflict_rows.withColumn("rn", F.row_number().over(ordered)).filter("rn = 1").drop("rn")
+
+
+def browsed(entries: DataFrame, skip: int, size: int) -> DataFrame:
+    """A page of a directory's entries (type_rank, name), directories first, names in natural order."""
+    return entries.orderBy("type_rank", natural_key(F.col("name")), "name").offset(skip).limit(max(1, min(size, 500)))
+
+
+def stats_below(files: DataFrame, directory: str) -> DataFrame:
+    """files, images, videos, folders and bytes below one directory."""
+    held = files.filter(under(F.col("relative_path"), directory)).withColumn("kind", media_type(F.col("suffix")))
+    folder = F.when(parent(F.col("relative_path")) != directory, parent(F.col("relative_path")))
+    return held.agg(
+        F.count("*").alias("files"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"),
+        F.countDistinct(folder).alias("folders"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +10,9 @@ from cairn.functions import media as md
 from cairn.functions import names, paths, schedules
 from cairn.operators import dedupe, filters, layout, lifecycle, matching, trees
 from cairn.plans import workflow
+from cairn.registry import ORACLE_SQL, QUERIES, query
 from cairn.sources import manifest as mf
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: DuckDB's version of the files view.
 FILES = """files AS (
   SELECT *, '/data/r' || (id % 4) || '/' || relative_path AS absolute_path, 'doc_' || id || '.' || ext AS basename, '.' || ext AS suffix, 'doc_' || id AS stem
@@ -26,19 +22,13 @@ FILES = """files AS (
         FROM (SELECT *, ['jpg','mp4','txt','PDF','zip','mp3','dat'][doc_id % 7 + 1] AS ext FROM documents)))"""
 DUPES = f"""{FILES}, dup AS (SELECT content_hash, size, count(*) AS members FROM files GROUP BY 1, 2 HAVING count(*) >= 2),
   member AS (SELECT files.*, members FROM files JOIN dup USING (content_hash, size))"""
-PACKAGES = """pk AS (SELECT strftime(l_shipdate, '%y%m') || '/' || strftime(l_shipdate, '%y%m%d') || '/' || l_suppkey AS package,
+PACKAGES = """pk AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN strftime(l_shipdate, '%y%m') || '/' || strftime(l_shipdate, '%y%m%d') || '/' || l_suppkey ELSE strftime(l_shipdate, '%y01') || '/' || strftime(l_shipdate, '%y0101') || '/all' END AS package,
     l_orderkey || '_' || l_linenumber || '.' || ['jpg','mp4','txt','png'][(l_orderkey * 8 + l_linenumber) % 4 + 1] AS name,
-    ['P','V','Other','P'][(l_orderkey * 8 + l_linenumber) % 4 + 1] AS kind, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM lineitem)"""
-
+    ['P','V','Other','P'][(l_orderkey * 8 + l_linenumber) % 4 + 1] AS kind, CAST(floor(l_extendedprice) * (l_linenumber * l_linenumber * 9) ** CAST(l_linenumber % 4 AS INTEGER) AS BIGINT) AS bytes FROM lineitem)"""
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
 
-    return add
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mf.packages(spark, sf_dir)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +58,7 @@ def _leaf(field: str, operator: str, value: object, exact: bool = False) -> dict
 
 for _op, _sign in (("eq", "="), ("neq", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
     _filtered(f"filter_size_{_op}", _leaf("size", _op, 1500), f"size {_sign} 1500")
-    _filtered(f"filter_mtime_{_op}", _leaf("mtime", _op, 1700500000), f"mtime_ns {_sign} 1700500000000000000")
+    _filtered(f"filter_mtime_{_op}", _leaf("mtime", _op, 1700007919), f"mtime_ns {_sign} 1700007919000000000")
 _filtered("filter_extension_eq", _leaf("extension", "eq", "pdf"), "lower(suffix) = '.pdf'")
 _filtered("filter_extension_neq", _leaf("extension", "neq", "PDF"), "lower(suffix) <> '.pdf'")
 _filtered("filter_extension_in", _leaf("extension", "in", ["jpg", "zip"]), "lower(suffix) IN ('.jpg', '.zip')")
@@ -81,7 +71,7 @@ _filtered("filter_media_type_other", _leaf("media_type", "eq", "other"), "ext =
 _filtered("filter_name_eq", _leaf("name", "eq", "DOC_10.PDF"), "lower(basename) = 'doc_10.pdf'")
 _filtered("filter_name_eq_exact", _leaf("name", "eq", "doc_10.PDF", True), "basename = 'doc_10.PDF'")
 _filtered("filter_path_contains", _leaf("path", "contains", "SRC1"), "contains(lower(relative_path), 'src1')")
-_filtered("filter_path_contains_literal", _leaf("path", "contains", "src_"), "contains(relative_path, 'src_')")
+_filtered("filter_path_contains_literal", _leaf("path", "contains", "c_1"), "contains(lower(relative_path), 'c_1')")
 _filtered("filter_path_startswith", _leaf("path", "startswith", "En/src1"), "starts_with(relative_path, 'en/src1')")
 _filtered("filter_path_endswith_exact", _leaf("path", "endswith", ".PDF", True), "ends_with(relative_path, '.PDF')")
 _filtered("filter_path_in", _leaf("path", "in", ["en/src1/doc_1.mp4", "DE/SRC2/DOC_2.TXT"]), "lower(relative_path) IN ('en/src1/doc_1.mp4', 'de/src2/doc_2.txt')")
@@ -139,17 +129,17 @@ def match_normalized(spark, sf_dir):
     return matching.path_groups(files(spark, sf_dir), "normalized", r"\d+\.[A-Za-z0-9]+$", "")
 
 
-@query(f"WITH {FILES}, folded AS (SELECT 'doc_' || id % 300 || '.' || ext AS basename, size FROM files) SELECT basename AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM folded GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {FILES}, folded AS (SELECT 'doc_' || id % 30 || '.' || ext AS basename, size FROM files) SELECT basename AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM folded GROUP BY 1 HAVING count(*) >= 2")
 def match_basename(spark, sf_dir):
     return matching.path_groups(_folded(spark, sf_dir), "basename")
 
 
-@query(f"WITH {FILES} SELECT 'doc_' || id % 300 AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM files GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {FILES} SELECT 'doc_' || id % 30 AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM files GROUP BY 1 HAVING count(*) >= 2")
 def match_stem(spark, sf_dir):
     return matching.path_groups(_folded(spark, sf_dir), "stem")
 
 
-@query(f"WITH {FILES} SELECT lang_path AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM (SELECT split_part(relative_path, '/', 1) || '/doc_' || id % 300 || '.' || ext AS lang_path, size FROM files) GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {FILES} SELECT lang_path AS match_key, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_bytes FROM (SELECT split_part(relative_path, '/', 1) || '/doc_' || id % 30 || '.' || ext AS lang_path, size FROM files) GROUP BY 1 HAVING count(*) >= 2")
 def match_relative_path(spark, sf_dir):
     return matching.path_groups(_folded(spark, sf_dir), "relative-path")
 
@@ -157,7 +147,7 @@ def match_relative_path(spark, sf_dir):
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose numbers repeat, so that names meet."""
     f = files(spark, sf_dir)
-    relative = F.concat("lang", F.lit("/doc_"), (F.col("id") % 300).cast("string"), "suffix")
+    relative = F.concat("lang", F.lit("/doc_"), (F.col("id") % 30).cast("string"), "suffix")
     return mf.described(f.select("id", "root_key", relative.alias("relative_path"), "size", "is_dir"))
 
 
@@ -184,13 +174,15 @@ def duplicate_isolated(spark, sf_dir):
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    quarter, half = F.floor(F.col("id") / 4), F.floor(F.col("id") / 2)
     f = files(spark, sf_dir).select(
-        "id", "content_hash", F.concat(F.lit("d/"), F.floor(F.col("id") / 2).cast("string")).alias("relative_path"), F.when(F.col("id") % 10 < 2, "directory").otherwise("file").alias("kind"), "size"
+        "id", F.when(F.col("id") % 16 > 7, F.sha2(quarter.cast("string"), 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.concat(F.lit("d/"), F.floor(F.col("id") / 2).cast("string")).alias("relative_path"), F.when(F.col("id") % 10 < 2, "directory").otherwise("file").alias("kind"),
+        F.when(F.col("id") % 16 > 7, quarter).when(F.col("id") % 16 > 5, half).otherwise(F.col("size")).alias("size"),
     )
     return f.filter("id % 2 = 0 and id % 3 <> 0"), f.filter("id % 2 = 1 and id % 5 <> 0")
 
 
-_TREES = f"""{FILES}, tr AS (SELECT id, content_hash, 'd/' || (id // 2) AS relative_path, CASE WHEN id % 10 < 2 THEN 'directory' ELSE 'file' END AS kind, size FROM files),
+_TREES = f"""{FILES}, tr AS (SELECT id, CASE WHEN id % 16 > 7 THEN sha256(CAST(id // 4 AS VARCHAR)) ELSE content_hash END AS content_hash, 'd/' || (id // 2) AS relative_path, CASE WHEN id % 10 < 2 THEN 'directory' ELSE 'file' END AS kind, CASE WHEN id % 16 > 7 THEN id // 4 WHEN id % 16 > 5 THEN id // 2 ELSE size END AS size FROM files),
   a AS (SELECT * FROM tr WHERE id % 2 = 0 AND id % 3 <> 0), b AS (SELECT * FROM tr WHERE id % 2 = 1 AND id % 5 <> 0),
   d AS (SELECT coalesce(a.relative_path, b.relative_path) AS relative_path, a.kind AS ka, b.kind AS kb, a.size AS sa, b.size AS sb, a.content_hash AS ha, b.content_hash AS hb FROM a FULL JOIN b ON a.relative_path = b.relative_path)"""
 _TREE_STATUS = "CASE WHEN ka IS NULL THEN 'only_b' WHEN kb IS NULL THEN 'only_a' WHEN ka <> kb THEN 'type_mismatch' WHEN ka = 'directory' THEN 'both_directories' WHEN sa <> sb THEN 'size_different' ELSE 'same_size_unverified' END"
@@ -229,12 +221,14 @@ def containing_root(spark, sf_dir):
 
 
 @query(
-    f"WITH {FILES}, p AS (SELECT id AS a, (id * 7 + 1) % 1000 AS b FROM files) SELECT a, b, CASE WHEN y.id IS NULL THEN 'NOT_INDEXED' WHEN a = b THEN 'SAME_PATH' "
+    f"WITH {FILES}, p AS (SELECT id AS a, (id * 7 + 1) % (SELECT count(*) + 20 FROM files) AS b FROM files) SELECT a, b, CASE WHEN y.id IS NULL THEN 'NOT_INDEXED' WHEN a = b THEN 'SAME_PATH' "
     "WHEN x.size <> y.size THEN 'SIZE_DIFFERS' WHEN x.content_hash <> y.content_hash THEN 'CONTENT_DIFFERS' ELSE 'DUPLICATE' END AS reason FROM p JOIN files x ON a = x.id LEFT JOIN files y ON b = y.id"
 )
 def pair_diagnosis(spark, sf_dir):
     f = files(spark, sf_dir)
-    return matching.diagnose(f.select(F.col("id").alias("a"), ((F.col("id") * 7 + 1) % 1000).alias("b")), f)
+    n = f.agg((F.count("*") + 20).alias("n"))  # one row
+    pairs = f.select(F.col("id").alias("a")).join(F.broadcast(n)).select("a", ((F.col("a") * 7 + 1) % F.col("n")).alias("b"))
+    return matching.diagnose(pairs, f)
 
 
 @query(
@@ -345,8 +339,8 @@ def directory_folders(spark, sf_dir):
 @query("SELECT count(*) AS total, min(ts) AS oldest, max(ts) AS newest, count_if(ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY) AS expired FROM events")
 def retention_preview(spark, sf_dir):
     e = mf.table(spark, sf_dir, "events")
-    newest = e.agg(F.max("ts")).first()[0]
-    return lifecycle.retention_preview(e, F.lit(newest) - F.expr("INTERVAL 2 DAYS"))
+    newest = e.agg(F.max("ts").alias("newest"))  # one row
+    return lifecycle.retention_preview(e.join(F.broadcast(newest)), F.col("newest") - F.expr("INTERVAL 2 DAYS"))
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00'")
@@ -359,11 +353,16 @@ def group_fingerprint(spark, sf_dir):
     return dedupe.fingerprint(files(spark, sf_dir))
 
 
-@query("SELECT o_custkey AS plan_id, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'completed' WHEN bool_or(o_orderstatus IN ('F', 'O')) THEN 'partial' WHEN bool_and(o_orderstatus = 'P') THEN 'ready' ELSE 'failed' END AS status FROM orders GROUP BY 1")
+@query(
+    "WITH i AS (SELECT o_custkey AS plan_id, CASE WHEN o_custkey % 4 = 0 THEN 'completed' WHEN o_custkey % 4 = 1 OR o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'failed' END AS state, ['cancelled', 'completed', 'failed'][o_custkey % 3 + 1] AS outcome FROM orders) "
+    "SELECT plan_id, CASE WHEN bool_and(state = 'completed') THEN 'completed' WHEN bool_or(state IN ('completed', 'failed')) THEN 'partial' WHEN any_value(outcome) = 'cancelled' THEN 'ready' WHEN any_value(outcome) = 'completed' THEN 'partial' ELSE 'failed' END AS status FROM i GROUP BY 1"
+)
 def plan_status(spark, sf_dir):
-    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("pending")
-    items = mf.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), state.alias("state"))
-    return lifecycle.plan_status(items, F.lit("cancelled"))
+    group, kind = F.col("o_custkey") % 4, F.col("o_orderstatus")
+    state = F.when(group == 0, "completed").when((group == 1) | (kind == "P"), "pending").when(kind == "F", "completed").otherwise("failed")
+    outcome = F.element_at(F.array(*map(F.lit, ["cancelled", "completed", "failed"])), (F.col("o_custkey") % 3 + 1).cast("int"))
+    items = mf.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), state.alias("state"), outcome.alias("outcome"))
+    return lifecycle.plan_status(items, F.col("outcome"))
 
 
 # ---------------------------------------------------------------- keep decisions
@@ -520,7 +519,7 @@ def package_buckets(spark, sf_dir):
     return layout.buckets(mf.packages(spark, sf_dir), ["name"]).select("package", "name", "bucket", "position", "new_name")
 
 
-@query(f"WITH {PACKAGES}, n AS (SELECT *, kind || CASE WHEN (row_number() OVER (PARTITION BY package, kind ORDER BY name) - 1) // 200 = 0 THEN '' ELSE '_x' END AS bucket FROM pk), g AS (SELECT package, bucket, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM n GROUP BY 1, 2), t AS (SELECT *, CASE WHEN total_bytes >= 1048576 THEN (total_bytes * 10 + 524288) // 1048576 WHEN total_bytes >= 1024 THEN (total_bytes * 10 + 512) // 1024 END AS tenths, CASE WHEN total_bytes >= 1048576 THEN 'MiB' ELSE 'KiB' END AS unit FROM g) SELECT package, bucket, files, total_bytes, bucket || ' [' || files || ' ' || CASE WHEN total_bytes < 1024 THEN total_bytes || 'B' WHEN tenths % 10 = 0 THEN (tenths // 10) || unit ELSE (tenths // 10) || '.' || (tenths % 10) || unit END || ']' AS label FROM t")
+@query(f"WITH {PACKAGES}, n AS (SELECT *, kind || CASE WHEN (row_number() OVER (PARTITION BY package, kind ORDER BY name) - 1) // 200 = 0 THEN '' ELSE '_' || ((row_number() OVER (PARTITION BY package, kind ORDER BY name) - 1) // 200) END AS bucket FROM pk), g AS (SELECT package, bucket, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM n GROUP BY 1, 2), t AS (SELECT *, CASE WHEN total_bytes >= 1099511627776 THEN (total_bytes * 10 + 549755813888) // 1099511627776 WHEN total_bytes >= 1073741824 THEN (total_bytes * 10 + 536870912) // 1073741824 WHEN total_bytes >= 1048576 THEN (total_bytes * 10 + 524288) // 1048576 WHEN total_bytes >= 1024 THEN (total_bytes * 10 + 512) // 1024 END AS tenths, CASE WHEN total_bytes >= 1099511627776 THEN 'TiB' WHEN total_bytes >= 1073741824 THEN 'GiB' WHEN total_bytes >= 1048576 THEN 'MiB' ELSE 'KiB' END AS unit FROM g) SELECT package, bucket, files, total_bytes, bucket || ' [' || files || ' ' || CASE WHEN total_bytes < 1024 THEN total_bytes || 'B' WHEN tenths % 10 = 0 THEN (tenths // 10) || unit ELSE (tenths // 10) || '.' || (tenths % 10) || unit END || ']' AS label FROM t")
 def package_labels(spark, sf_dir):
     return layout.bucket_labels(layout.buckets(mf.packages(spark, sf_dir), ["name"]))
 
@@ -550,12 +549,6 @@ def media_sort(spark, sf_dir):
     return layout.smart_targets(f.withColumn("other_files", others)).select("id", "status", "target")
 
 
-@query()
-def other_names(spark, sf_dir):
-    f = files(spark, sf_dir).select("root_key", F.concat(F.lit("n"), (F.col("id") % 5).cast("string"), "suffix").alias("name"), F.col("id").alias("position"))
-    return layout.allocate_names(f, ["root_key"])
-
-
 @query("SELECT event_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN ((n * 200 + 1024) // 2048) // 100 || '.' || lpad(CAST(((n * 200 + 1024) // 2048) % 100 AS VARCHAR), 2, '0') || ' KB' ELSE ((n * 200 + 1048576) // 2097152) // 100 || '.' || lpad(CAST(((n * 200 + 1048576) // 2097152) % 100 AS VARCHAR), 2, '0') || ' MB' END AS size_text FROM (SELECT event_id, (event_id * event_id * 37) % 50000000 AS n FROM events)")
 def size_texts(spark, sf_dir):
     n = (F.col("event_id") * F.col("event_id") * 37) % 50_000_000
@@ -677,13 +670,6 @@ def schedule_slots(spark, sf_dir):
     return lifecycle.slots(due, runs)
 
 
-@query("SELECT event_id, CAST(CASE WHEN hour(ts) * 60 + minute(ts) < 150 THEN date_trunc('day', ts) + INTERVAL 150 MINUTE ELSE date_trunc('day', ts) + INTERVAL 1590 MINUTE END AS TIMESTAMP) AS next_utc FROM events WHERE event_id % 50 = 0 AND NOT (hour(ts) = 2 AND minute(ts) = 30)")
-def next_runs(spark, sf_dir):
-    e = mf.table(spark, sf_dir, "events").filter("event_id % 50 = 0 and not (hour(ts) = 2 and minute(ts) = 30)")
-    out = schedules.next_occurrences(e.select("event_id", F.col("ts").cast("timestamp").alias("after_utc")), "30 2 * * *", "UTC", 40)
-    return out.select("event_id", F.col("next_utc").cast("timestamp_ntz").alias("next_utc"))
-
-
 @query("SELECT event_id, hour(ts) >= 22 OR hour(ts) < 6 AS inside FROM events")
 def active_window(spark, sf_dir):
     inside = schedules.inside_window(F.col("ts").cast("timestamp"), "UTC", "22:00", "06:00")

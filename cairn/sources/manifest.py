@@ -47,12 +47,14 @@ def described(rows: DataFrame) -> DataFrame:
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as package files: package, name, kind, bytes."""
     items = table(spark, sf_dir, "lineitem")
-    package = F.concat(F.date_format("l_shipdate", "yyMM"), F.lit("/"), F.date_format("l_shipdate", "yyMMdd"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    year = F.date_format("l_shipdate", "yy")
+    daily = F.concat(F.date_format("l_shipdate", "yyMM"), F.lit("/"), F.date_format("l_shipdate", "yyMMdd"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    package = F.when(F.col("l_suppkey") % 3 == 0, daily).otherwise(F.concat(year, F.lit("01/"), year, F.lit("0101/all")))  # small and large ones
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     ext = F.element_at(F.array(F.lit("jpg"), F.lit("mp4"), F.lit("txt"), F.lit("png")), (key % 4 + 1).cast("int"))
     kind = F.element_at(F.array(F.lit("P"), F.lit("V"), F.lit("Other"), F.lit("P")), (key % 4 + 1).cast("int"))
     name = F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("."), ext)
-    return items.select(package.alias("package"), name.alias("name"), kind.alias("kind"), F.floor("l_extendedprice").cast("long").alias("bytes"))
+    return items.select(package.alias("package"), name.alias("name"), kind.alias("kind"), (F.floor("l_extendedprice") * F.pow(F.col("l_linenumber") * F.col("l_linenumber") * 9, F.col("l_linenumber") % 4)).cast("long").alias("bytes"))
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
