@@ -120,14 +120,17 @@ def reindex(old: DataFrame, new: DataFrame, root: str) -> DataFrame:
 
 
 def hardlink_survivors(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """How many other paths share an entry's inode, and how many other inodes hold the same content."""
-    other = files.select("path", "device", "inode", "content_hash").alias("f")
-    e = entries.alias("e")
-    same = (F.col("e.device") == F.col("f.device")) & (F.col("e.inode") == F.col("f.inode"))
-    links = e.join(other, same & (F.col("e.path") != F.col("f.path"))).groupBy("e.path").agg(F.count("*").alias("links"))
-    copies = e.join(other, (F.col("e.content_hash") == F.col("f.content_hash")) & ~same).groupBy("e.path").agg(F.countDistinct("f.device", "f.inode").alias("copies"))
-    out = entries.select("path").join(links, "path", "left").join(copies, "path", "left")
-    return out.select("path", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    """How many other paths share an entry's inode, and how many other inodes hold the same content.
+
+    Both are counts of aggregates, less the entry's own part; no two files are paired. Entries are rows of ``files``.
+    """
+    inode = ["device", "inode"]
+    linked = files.groupBy(*inode).agg(F.count("*").alias("paths"))
+    holders = files.select(*inode, "content_hash").distinct()
+    held = holders.groupBy("content_hash").agg(F.count("*").alias("inodes"))
+    own = holders.select(*inode, "content_hash", F.lit(1).alias("own"))
+    joined = entries.join(linked, inode, "left").join(held, "content_hash", "left").join(own, [*inode, "content_hash"], "left")
+    return joined.select("path", (F.col("paths") - 1).alias("links"), (F.coalesce("inodes", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("copies"))
 
 
 def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

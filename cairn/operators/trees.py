@@ -88,20 +88,17 @@ def rename_order(items: DataFrame) -> DataFrame:
     """``level`` (1 for a rename that can go first) and ``cyclic`` of renames (source, target).
 
     A rename waits for the one whose source is its target, so every item has one successor at most: pointers are
-    doubled each round, so a chain of n takes log n rounds, and what still runs on at a level beyond the number of
-    items is on a cycle or waits for one; its level is null.
+    doubled each round, so a chain of n takes log n rounds. A round that ends no chain leaves only items that are on a
+    cycle or wait for one; their level is null.
     """
     first = items.select("source", "target", F.lit(1).cast("long").alias("level"), F.col("target").alias("next"))
-    steps, count = settled(first), items.count()
     sources = items.select(F.col("source").alias("next"), F.lit(True).alias("on"))
-    while True:
-        open_ = steps.join(sources, "next", "left_semi")
-        lowest = open_.agg(F.min("level")).first()[0]
-        if lowest is None or lowest > count:
-            break
+    steps, before = settled(first), -1
+    while (still := steps.join(sources, "next", "left_semi").count()) not in (0, before):
+        before = still
         ahead = steps.select(F.col("source").alias("next"), F.col("level").alias("more"), F.col("next").alias("beyond"))
         grown = steps.join(ahead, "next", "left")
-        level = F.least(F.col("level") + F.coalesce("more", F.lit(0)), F.lit(2 * count + 2))
+        level = F.col("level") + F.coalesce("more", F.lit(0))
         steps = settled(grown.select("source", "target", level.alias("level"), F.coalesce("beyond", "next").alias("next")))
     ended = steps.join(sources, "next", "left")
     return ended.select("source", "target", F.when(F.col("on"), None).otherwise(F.col("level")).alias("level"), F.coalesce("on", F.lit(False)).alias("cyclic"))
@@ -134,14 +131,21 @@ def conflicts(items: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def blocked(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Conflicts with the renames that wait for a blocked one added as BLOCKED_OCCUPANT; one round for each link of a chain."""
+    """Conflicts with the renames that wait for a blocked one added as BLOCKED_OCCUPANT.
+
+    Pointers along the chain of occupants are doubled each round, so a chain of n takes log n rounds; a round that
+    finds no further blocked rename is the last.
+    """
     bad = settled(conflicts(items, existing))
-    stuck = new = bad.select("source").distinct()
-    while not new.isEmpty():
-        waiting = items.join(new.select(F.col("source").alias("target")), "target", "left_semi").select("source")
-        new = settled(waiting.join(stuck, "source", "left_anti").distinct())
-        stuck = settled(stuck.union(new))
-    waits = stuck.join(bad.select("source").distinct(), "source", "left_anti").join(items, "source")
+    marked = bad.select("source", F.lit(True).alias("bad")).distinct()
+    steps = items.select("source", F.col("target").alias("next")).join(marked, "source", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    steps, before = settled(steps), -1
+    while (stuck := steps.filter("bad").count()) not in (0, before):
+        before = stuck
+        ahead = steps.select(F.col("source").alias("next"), F.col("next").alias("beyond"), F.col("bad").alias("bad_ahead"))
+        grown = steps.join(ahead, "next", "left")
+        steps = settled(grown.select("source", F.coalesce("beyond", "next").alias("next"), (F.col("bad") | F.coalesce("bad_ahead", F.lit(False))).alias("bad")))
+    waits = steps.filter("bad").select("source").join(marked, "source", "left_anti").join(items, "source")
     return bad.unionByName(waits.select("source", "target", F.lit("BLOCKED_OCCUPANT").alias("conflict")))
 
 

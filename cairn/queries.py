@@ -441,15 +441,46 @@ def empty_directories(spark, sf_dir):
     return trees.empty_directories(listed, f)
 
 
-@query()
+_DEEP = """deep AS (SELECT id, root_key, ext, basename, size, CASE id % 6 WHEN 0 THEN 'w' || id % 30 || '/only/' || basename WHEN 1 THEN 'v' || id % 30 || '/v' || id % 30 || '/' || basename
+    WHEN 2 THEN 'u/t' || id % 30 || '/s' || id % 30 || '/' || basename WHEN 3 THEN 'u/s' || id % 30 || '/x/' || basename ELSE relative_path END AS relative_path FROM files)"""
+
+
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files some of which lie in directories with nothing else."""
+    i, k = F.col("id"), (F.col("id") % 30).cast("string")
+    moved = (
+        F.when(i % 6 == 0, F.concat(F.lit("w"), k, F.lit("/only/"), "basename"))
+        .when(i % 6 == 1, F.concat(F.lit("v"), k, F.lit("/v"), k, F.lit("/"), "basename"))
+        .when(i % 6 == 2, F.concat(F.lit("u/t"), k, F.lit("/s"), k, F.lit("/"), "basename"))
+        .when(i % 6 == 3, F.concat(F.lit("u/s"), k, F.lit("/x/"), "basename"))
+        .otherwise(F.col("relative_path"))
+    )
+    return files(spark, sf_dir).withColumn("relative_path", moved)
+
+
+@query(
+    f"WITH {FILES}, {_DEEP}, p AS (SELECT *, string_split(relative_path, '/') AS s FROM deep), d AS (SELECT DISTINCT root_key, unnest(list_transform(range(1, len(s)), lambda n: array_to_string(s[1:n], '/'))) AS directory FROM p), "
+    "e AS (SELECT root_key, regexp_extract(directory, '^(.*)/[^/]*$', 1) AS directory, directory AS child, true AS is_dir FROM d UNION ALL SELECT root_key, regexp_extract(relative_path, '^(.*)/[^/]*$', 1), relative_path, false FROM deep), "
+    "o AS (SELECT root_key, directory, max(child) AS child FROM e WHERE directory <> '' GROUP BY 1, 2 HAVING count(*) = 1 AND bool_and(is_dir)), "
+    "m AS (SELECT *, CASE WHEN contains(directory, '/') THEN regexp_extract(directory, '^(.*)/[^/]*$', 1) || '/' ELSE '' END || regexp_extract(child, '[^/]*$') AS target FROM o) "
+    "SELECT root_key, directory, child, target, CASE WHEN target = directory THEN 'same_name' WHEN EXISTS (SELECT 1 FROM e WHERE e.root_key = m.root_key AND e.child = m.target) THEN 'target_exists' ELSE 'movable' END AS state FROM m"
+)
 def single_child_wrappers(spark, sf_dir):
-    f = files(spark, sf_dir)
+    f = _deep(spark, sf_dir)
     return trees.single_child_wrappers(trees.directories(f).select("root_key", "directory"), f)
 
 
-@query(f"WITH {FILES}, o AS (SELECT id, root_key, relative_path, split_part(relative_path, '/', 1) || '/' || basename AS target FROM files WHERE directory IN ('en/src1', 'en/src2')) SELECT id, root_key, relative_path, target, 'ACTIONABLE' AS state FROM o")
+@query(
+    f"WITH {FILES}, d AS (SELECT id, root_key, CASE id % 4 WHEN 0 THEN 'en/src1/' || 'n' || id % 20 || '.txt' WHEN 1 THEN 'en/src2/' || 'n' || id % 20 || '.txt' WHEN 2 THEN 'en/' || 'n' || (id - 2) % 10 || '.txt' ELSE relative_path END AS relative_path FROM files), "
+    "o AS (SELECT id, root_key, relative_path, 'en/' || split_part(relative_path, '/', 3) AS target FROM d WHERE starts_with(relative_path, 'en/src1/') OR starts_with(relative_path, 'en/src2/')) "
+    "SELECT id, root_key, relative_path, target, CASE WHEN count(*) OVER (PARTITION BY root_key, target) > 1 THEN 'PLANNED_TARGET_COLLISION' WHEN EXISTS (SELECT 1 FROM d WHERE d.root_key = o.root_key AND d.relative_path = o.target) THEN 'TARGET_EXISTS' ELSE 'ACTIONABLE' END AS state FROM o"
+)
 def flatten_one_level(spark, sf_dir):
-    f = files(spark, sf_dir)
+    i = F.col("id")
+    n = lambda x, d: F.concat(F.lit(f"{d}/n"), x.cast("string"), F.lit(".txt"))
+    moved = F.when(i % 4 == 0, n(i % 20, "en/src1")).when(i % 4 == 1, n(i % 20, "en/src2")).when(i % 4 == 2, n((i - 2) % 10, "en")).otherwise(F.col("relative_path"))
+    f = files(spark, sf_dir).withColumn("relative_path", moved)
+    f = f.withColumn("basename", paths.basename(F.col("relative_path"))).dropDuplicates(["id"])
     wrappers = f.select("root_key", paths.parent(F.col("relative_path")).alias("wrapper")).filter("wrapper in ('en/src1', 'en/src2')").distinct()
     return trees.flatten_one_level(f, wrappers)
 
@@ -468,18 +499,39 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("k % 100 < 3 or k % 6 <> 5").select(path(F.col("k")).alias("source"), path(step).alias("target"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT DISTINCT '/p/' || o_orderkey AS source, '/p/' || CASE WHEN o_orderkey % 100 < 3 THEN o_orderkey - o_orderkey % 100 + (o_orderkey % 100 + 1) % 3 ELSE o_orderkey + 1 END AS target FROM orders WHERE o_orderkey % 100 < 3 OR o_orderkey % 6 <> 5),
+    l(source, target, level) AS (SELECT source, target, CAST(1 AS BIGINT) FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.source = i.target) UNION ALL SELECT i.source, i.target, l.level + 1 FROM i JOIN l ON i.target = l.source)
+    SELECT i.source, i.target, level, level IS NULL AS cyclic FROM i LEFT JOIN l ON i.source = l.source"""
+)
 def rename_order(spark, sf_dir):
     return trees.rename_order(_chains(spark, sf_dir))
 
 
+_CLASHES = """i AS (SELECT relative_path AS source, CASE id % 5 WHEN 0 THEN directory || '/x_' || id % 40 WHEN 1 THEN directory || '/Y_' || id // 10 WHEN 2 THEN directory || '/y_' || id // 10
+    WHEN 3 THEN directory || '/' || repeat('z', 200 + id % 100) || id ELSE 'en/src1/doc_' || (id - id % 7 + 1) || '.mp4' END AS target FROM files WHERE id % 7 <> 1 OR id % 3 = 0)"""
+
+
 @query(
-    f"WITH {FILES}, i AS (SELECT relative_path AS source, directory || '/x_' || id % 400 AS target FROM files) SELECT source, target, 'PLANNED_TARGET_COLLISION' AS conflict FROM (SELECT *, count(*) OVER (PARTITION BY target) AS n FROM i) WHERE n > 1"
+    f"WITH {FILES}, {_CLASHES}, c AS (SELECT *, regexp_extract(target, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(target, '[^/]*$') AS name FROM i), "
+    "f AS (SELECT dir, lower(name) AS folded, count(DISTINCT target) AS spellings FROM c GROUP BY 1, 2) "
+    "SELECT source, target, 'PLANNED_TARGET_COLLISION' AS conflict FROM (SELECT *, count(*) OVER (PARTITION BY target) AS n FROM i) WHERE n > 1 "
+    "UNION ALL SELECT source, target, 'CASE_ONLY_COLLISION' FROM c JOIN f ON c.dir = f.dir AND lower(name) = folded WHERE spellings > 1 "
+    "UNION ALL SELECT source, target, 'TARGET_OCCUPIED' FROM i WHERE target IN (SELECT relative_path FROM files) AND target NOT IN (SELECT source FROM i) "
+    "UNION ALL SELECT source, target, 'NAME_TOO_LONG' FROM c WHERE strlen(name) > 255"
 )
 def rename_conflicts(spark, sf_dir):
-    f = files(spark, sf_dir)
-    target = F.concat(paths.parent(F.col("relative_path")), F.lit("/x_"), (F.col("id") % 400).cast("string"))
-    return trees.conflicts(f.select(F.col("relative_path").alias("source"), target.alias("target")), f.select(F.col("relative_path").alias("path")))
+    f = files(spark, sf_dir).filter("id % 7 <> 1 or id % 3 = 0").withColumn("directory", paths.parent(F.col("relative_path")))
+    i, tenth = F.col("id"), F.floor(F.col("id") / 10).cast("string")
+    join = lambda *parts: F.concat("directory", F.lit("/"), *parts)
+    target = (
+        F.when(i % 5 == 0, join(F.lit("x_"), (i % 40).cast("string")))
+        .when(i % 5 == 1, join(F.lit("Y_"), tenth))
+        .when(i % 5 == 2, join(F.lit("y_"), tenth))
+        .when(i % 5 == 3, join(F.repeat(F.lit("z"), 200 + (i % 100).cast("int")), i.cast("string")))
+        .otherwise(F.concat(F.lit("en/src1/doc_"), (i - i % 7 + 1).cast("string"), F.lit(".mp4")))
+    )
+    return trees.conflicts(f.select(F.col("relative_path").alias("source"), target.alias("target")), files(spark, sf_dir).select(F.col("relative_path").alias("path")))
 
 
 @query(
