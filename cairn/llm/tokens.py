@@ -44,8 +44,8 @@ LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: ASCII white space alone is left out of words; other white space stays for the library to treat.
 BARE = re.compile(r"[^\t-\r ]+")
 
-#: Bytes of text to a block, and to a shard of the words, about.
-BLOCK_BYTES = 1 << 24
+#: Bytes of text to a block, which a task holds with its words, and to a shard of the words, about.
+BLOCK_BYTES = 1 << 22
 SHARD_BYTES = 1 << 25
 #: Longer words are encoded where they stand and not remembered, so that a memory bounded in words is bounded in bytes.
 LONGEST_REMEMBERED = 64
