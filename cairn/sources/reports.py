@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "groups array<struct<file_len: long, size: long, file_hash: string, hash: string, files: array<string>, paths: array<string>>>"
 
@@ -22,9 +24,16 @@ def strict(text: str) -> None:
     json.loads(text, object_pairs_hook=unique)
 
 
+@F.pandas_udf(T.StringType())
+def _checked(text: pd.Series) -> pd.Series:
+    text.map(strict)
+    return text
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """content_hash, size, paths of all groups in the report files; a malformed file or group fails the job."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    whole = spark.read.text(path, wholetext=True).select(_checked("value").alias("value"))
+    raw = whole.select(F.from_json("value", SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.groups")
     group = raw.select(F.explode("groups").alias("g"))
     rows = group.select(
         F.coalesce("g.file_hash", "g.hash").alias("content_hash"),

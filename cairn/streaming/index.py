@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cairn.lineage import settled
 from cairn.operators.matching import latest
 
 
@@ -20,18 +21,25 @@ def first_slots(due: DataFrame, late: str = "1 hour") -> DataFrame:
     return due.withWatermark("slot", late).dropDuplicatesWithinWatermark(["schedule_id", "slot"])
 
 
-def keep_index(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+#: Parts of the index; a batch rewrites only the parts that its paths fall into.
+PARTS = 64
+
+
+def keep_index(entries: DataFrame, path: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
     """Fold entries (absolute_path, scan_generation, ...) into a Parquet index of the newest row for each path.
 
-    A batch writes a new version beside the old one and then names it current, so a failed batch leaves the old index.
+    The index is split by a hash of the path; a batch joins and replaces the parts it touches, and what it writes does
+    not depend on how often it is tried.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = batch
+        placed = batch.withColumn("part", F.pmod(F.xxhash64("absolute_path"), F.lit(parts)).cast("int"))
+        touched = [r.part for r in placed.select("part").distinct().collect()]  # at most ``parts`` rows
+        held = placed
         if number:
-            held = spark.read.parquet(f"{path}/version={number - 1}").unionByName(batch)
-        newest = latest(held, ["absolute_path"], [F.col("scan_generation").desc()])
-        newest.write.mode("overwrite").parquet(f"{path}/version={number}")
+            held = spark.read.parquet(path).filter(F.col("part").isin(touched)).unionByName(placed)
+        newest = settled(latest(held, ["absolute_path"], [F.col("scan_generation").desc()]))
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return entries.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
