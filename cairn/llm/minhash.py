@@ -8,8 +8,8 @@ coordinates of a shingle are one stretch of a table. BANDS bands of ROWS
 coordinates put texts of similarity 0.85 into a common bucket but for less than
 one pair in a million.
 
-Texts with equal sets form a class, represented by its smallest id, before
-anything is paired. Within a bucket, classes are first compared with two
+Texts with equal sets form a class, with a number of its own and its smallest id,
+before anything is paired. Within a bucket, classes are first compared with two
 leaders, the smallest and the one that meets most others in all its buckets; the
 components of what they confirm leave only pairs across components. Those classes
 are joined on the prefixes of their shingles, rarest first, and a pair goes on to
@@ -18,8 +18,9 @@ group of n near copies costs about n comparisons, and a link is skipped only
 where its ends are connected already.
 
 Null and empty texts, and those without words, have the empty set and stay
-alone. Rows of equal id share a class or are linked like others. A row of null id
-keeps a null component and is never dropped. An empty table gives no rows.
+alone. Rows of equal id are told apart by their sets: each is linked like any other. A
+row of null id links with nothing and keeps a null component. Very long texts are taken
+whole, further columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,29 +94,34 @@ def bands(signed: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two hashes of each set."""
+    marks = [(tb.mix(s).sum(dtype=np.uint64), tb.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)) for s in sets]
+    keys = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, starts in tb.slices(batch, "text"):
             sets = shingle_sets(data, starts)
             sizes = np.array([len(s) for s in sets], np.int64)
-            marks = [(tb.mix(s).sum(dtype=np.uint64), tb.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)) for s in sets]
-            keys = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
             found = [bands(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets]
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=ends[1:])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            columns = [part.column("doc_id"), pa.array(sizes), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists]
+            columns = [part.column("doc_id"), pa.array(sizes), *_marks(sets), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, starts in tb.slices(batch, "text"):
+        for _, data, starts in tb.slices(batch, "text"):
             sets = shingle_sets(data, starts)
             ends = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(x) for x in sets], out=ends[1:])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends).astype(np.int64)), *_marks(sets), lists], ["n", "k1", "k2", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +149,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    id_type = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, f"a {id_type}, b {id_type}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -178,14 +183,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = settled(docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {id_type}, n long, k1 long, k2 long, bands array<long>"))
     key = ["n", "k1", "k2"]
-    classes = settled(signed.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    known = signed.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = settled(known).withColumn("rep", F.monotonically_increasing_id())  # a number of its own for each class, fixed by the written rows
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     crowds = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = settled(members.join(crowds, "bucket"))
-    wanted = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = settled(texts.mapInArrow(_sets, f"rep {id_type}, shingles array<long>").dropDuplicates(["rep"]))
+    wanted = classes.join(crowded.select("rep").distinct(), "rep", "left_semi").select(*key, "rep", "least")
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "n long, k1 long, k2 long, shingles array<long>").join(wanted.select(*key, "rep"), key)
+    sets = settled(sets.select("rep", "shingles").dropDuplicates(["rep"]))
 
     # leaders: a bucket's member with the most company over all its buckets, and its smallest
     company = crowded.groupBy("rep").agg(F.sum("size").alias("company"))
@@ -205,9 +212,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             joined = components(links.union(more))
 
-    copied = classes.filter("copies > 1").select(*key, "rep")
     joined = joined.select(F.col("node").alias("rep"), "component")
-    found = signed.select("doc_id", *key).join(copied, key, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(joined, "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    about = classes.select(*key, "rep", "least", "copies").join(joined, "rep", "left").filter("copies > 1 or component is not null")
+    about = settled(about)
+    lows = about.filter("component is not null").groupBy("component").agg(F.min("least").alias("low"))
+    about = about.join(lows, "component", "left").select(*key, F.coalesce("low", "least").alias("low"))
+    found = signed.select("doc_id", *key).join(about, key, "left")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("low").isNull()
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

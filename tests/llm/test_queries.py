@@ -161,6 +161,39 @@ def test_minhash(spark, folder):
     assert {d: (r.doc_id, r.n_shingles, r.component_id, r.kept) for d, r in found.items()} == want
 
 
+def test_minhash_of_repeated_and_null_ids(spark, tmp_path):
+    """Rows of one id are linked by their own texts; rows without an id link with nothing."""
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, PARA), (7, other), (7, other + " end"), (3, PARA), (5, other), (None, PARA), (None, other), (9, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in q.op4_minhash(spark, str(tmp_path)).collect()), key=repr)
+    n, m = len(brute.shingles(PARA.split())), 56
+    want = [(7, n, 3, False), (7, m, 5, False), (7, m + 1, 5, False), (3, n, 3, True), (5, m, 5, True), (None, n, None, True), (None, m, None, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert found == sorted(want, key=repr)
+
+
+def test_embeddings_of_repeated_ids(spark, tmp_path):
+    """Every row gives one row with the links of its own vector."""
+    a, b, c = ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.05])
+    rows = [(2, a, 1), (2, b, 1), (1, c, 1), (2, b, 2), (3, a, 1), (None, a, 1), (4, b, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in q.op7_embedding_dedup(spark, str(tmp_path)).collect()), key=repr)
+    want = [(2, 1, 2, True), (2, 2, 1, False), (1, 2, 1, True), (2, 0, 2, True), (3, 1, 2, False), (None, 0, None, True), (4, 2, 1, False)]
+    assert found == sorted(want, key=repr)
+
+
+def test_line_dedup_of_repeated_ids(spark, tmp_path):
+    """Rows of one id and text are one place; rows of one id with different texts are documents of their own."""
+    own = "This line stands in one text only, and nothing else is like it anywhere."
+    rows = [(1, PARA), (1, PARA), (2, own), (2, PARA + "\n" + own + " Or nearly."), (None, "a line that comes first of all, as null ids do."), (3, "a line that comes first of all, as null ids do.\nx"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = q.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_lines) for r in found) == sorted([("1", 1), ("1", 1), ("2", 1), ("2", 2), ("None", 1), ("3", 2), ("4", 0)])
+    assert [r.n_removed for r in found if r.doc_id == 1] == [0, 0]
+    assert [r.n_removed for r in found if r.doc_id == 3] == [1] and [r.n_removed for r in found if r.doc_id is None] == [0]
+    assert sorted(r.n_removed for r in found if r.doc_id == 2) in ([0, 1], [0, 2], [1, 1])
+
+
 def test_license_scan(spark, folder):
     docs = texts(spark, folder)
     found = by_id(q.op5_license_scan(spark, folder))
