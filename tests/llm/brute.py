@@ -150,6 +150,22 @@ def licence_places(text: str | None) -> tuple[int, list[tuple[int, str]]]:
     return len(found), sorted(places)
 
 
+def licences(text: str | None, templates: dict, label_of, least: float = 0.6) -> dict[str, float]:
+    """Labels whose template stands in a text, tried at every shift, with the best share of words in place."""
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    spaced = f" {' '.join(found)} "
+    out: dict[str, float] = {}
+    for name, (body, keys) in templates.items():
+        want = body.split()
+        if not any(f" {k} " in spaced for k in keys):
+            continue
+        for shift in range(1 - len(want), len(found)):
+            share = sum(0 <= shift + j < len(found) and found[shift + j] == w for j, w in enumerate(want)) / len(want)
+            if share >= least:
+                out[label_of(name)] = max(out.get(label_of(name), 0.0), share)
+    return out
+
+
 def similar_vectors(rows: list[tuple], least: float = 0.93) -> dict[int, tuple[int, int]]:
     """Links and component of every (id, label, vector)."""
     good = {}

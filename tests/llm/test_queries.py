@@ -1,6 +1,7 @@
 """The registered queries against plain versions, over the whole smallest tables and a fixture of odd rows."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -208,6 +209,31 @@ def test_license_scan(spark, folder):
         assert r.labels == ",".join(sorted(set(filter(None, r.labels.split(",")))))
 
 
+def test_license_labels_and_scores(spark, tmp_path):
+    """Labels and scores equal those of every template tried at every place, on damaged and mixed texts."""
+    rng = random.Random(4)
+    bodies = [body.split() for body, _ in licenses.TEMPLATES.values()]
+    texts = [None, "", "mit license", "All rights reserved."]
+    for _ in range(120):
+        words = []
+        for body in rng.sample(bodies, rng.randrange(1, 4)):
+            words += [rng.choice(["of", "the", "software", "x"]) for _ in range(rng.randrange(20))]
+            words += [w if rng.random() < 0.85 else rng.choice(["", "changed", "Software"]) for w in body[: rng.randrange(3, len(body) + 1)]]
+        texts.append(" ".join(words).title() if rng.random() < 0.3 else ", ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(q.op5_license_scan(spark, str(tmp_path)))
+    for i, text in enumerate(texts):
+        wanted = brute.licences(text, licenses.TEMPLATES, licenses.label_of)
+        base = {x for _, x in brute.licence_places(text)[1]}
+        assert found[i].labels == ",".join(sorted(base | set(wanted))), text
+        assert found[i].score == pytest.approx(max([*wanted.values(), 0.5 if base else 0.0])), text
+
+
+def test_phrase_places():
+    spaced = b" " + b" ".join([b"cc", b"by"] * 50_000) + b" "
+    assert licenses.phrase_places(spaced, b"cc by") == list(range(0, 100_000, 2))
+
+
 def test_license_templates(spark):
     rows = [(i, f"Some words first. {body}. And some after.") for i, (body, _) in enumerate(licenses.TEMPLATES.values())]
     rows.append((len(rows), "a text about nothing in particular"))
