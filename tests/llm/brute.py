@@ -193,3 +193,66 @@ def unigram(docs: dict[int, str | None]) -> dict[int, tuple[bool, int, int, int,
         d: (held[d], len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
         for d, t in tokens.items()
     }
+
+
+def mix(h: int) -> int:
+    m = (1 << 64) - 1
+    for _ in range(2):
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 & m
+    return h ^ h >> 32
+
+
+def symbol_logs(text: str, model: tuple) -> list[float]:
+    """log10 probability of every byte and of the end symbol, bit by bit."""
+    codes, cells, parts, logs = model
+    symbols = [*text.encode(), 256]
+    out, space = [], None
+    for i, s in enumerate(symbols):
+        key = (symbols[i - 1] if i else 256) * 257 + s
+        contexts = []
+        for k in (2, 4, 7):
+            wanted = min(max(i - space if space is not None else 7, 1), 7) if k == 7 else k
+            reach = min(wanted, i)
+            contexts.append(mix(int.from_bytes(bytes(symbols[i - reach : i]), "little") + (reach << 56) + (k << 60)) >> 32)
+        total = 0.0
+        for j in range(codes.start[key], codes.start[key] + codes.length[key]):
+            own = [int(cells[k][((c + int(codes.node[j])) & 0xFFFFFFFF) >> 12]) for k, c in enumerate(contexts)]
+            gate = (own[0] % 4 * 4 + own[1] % 4) * 4 + own[2] % 4
+            mixed = sum(np.float32(parts[k][gate * 256 + c]) for k, c in enumerate(own))
+            level = int(np.rint((min(max(mixed, np.float32(-8)), np.float32(8)) + np.float32(8)) * np.float32(8)))
+            total += float(logs[(int(codes.bit[j]) * 64 + gate) * 129 + level])
+        out.append(total)
+        if s < 256 and s in SPACE.encode():
+            space = i
+    return out
+
+
+def mixed_score(text: str | None, model: tuple, counts: Counter, mass: float) -> float:
+    """The score of a text, word after word."""
+    import math
+
+    text = text or ""
+    logs = symbol_logs(text, model)
+    raw = text.encode()
+    at, score, before = 0, 0.0, None
+    forms: Counter = Counter()
+    won, met = Counter(), Counter()
+    for n, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", raw)):
+        word, gap = m[0], raw[at : m.start()]
+        spelled = sum(logs[at : m.end()])
+        at = m.end()
+        c = counts[word.decode().translate(LOWER)]
+        rest = word[1:]
+        capital = 65 <= word[0] <= 90
+        form = (gap == b"\n", capital) if gap in (b" ", b"\n") and not any(65 <= x <= 90 for x in rest) else None
+        known = math.log10(c / mass) + math.log10((forms[form] + 0.5) / (n + 2.5)) if form and c else -math.inf
+        gate = 0 if before is None else sum(before >= x for x in (1, 32, 1024))
+        weight = (won[gate] + 1) / (met[gate] + 2)
+        high = max(spelled, known)
+        score += high + math.log10(weight * 10 ** (known - high) + (1 - weight) * 10 ** (spelled - high))
+        won[gate] += 1 / (1 + 10 ** min(max(spelled - known, -300), 300))
+        met[gate] += 1
+        forms[form] += 1
+        before = c
+    return score + sum(logs[at:])

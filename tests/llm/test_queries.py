@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,33 @@ def test_language_model(spark, folder):
         assert r.score < 0
 
 
+@pytest.mark.parametrize("folder", ["small", "odd"], indirect=True)
+def test_language_model_against_plain_mixing(spark, folder):
+    """Scores equal those of the same model applied bit by bit and word by word."""
+    docs = texts(spark, folder)
+    model = lm.mixing_model(spark.read.parquet(f"{folder}/documents.parquet")).value
+    training = [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w for d in training for w in [*brute.words((docs[d] or "").translate(brute.LOWER)), None])
+    mass = sum(counts.values()) + len(counts) + 1.0
+    found = by_id(q.op8_language_model(spark, folder))
+    for d in [d for d in docs if len(docs[d] or "") < 4000][:60]:
+        assert found[d].score == pytest.approx(brute.mixed_score(docs[d], model, counts, mass), rel=1e-4, abs=1e-3), d
+
+
+def test_language_model_against_spelled_unigrams(spark):
+    """On held-out texts the score beats the unigram baseline once that has to spell the words it does not know."""
+    folder = "/root/testdata/sf0.01"
+    docs = texts(spark, folder)
+    held = {d for d in docs if zlib.crc32(str(d).encode()) % 7 == 2}
+    known = {w for d in docs if d not in held for w in brute.words((docs[d] or "").translate(brute.LOWER))}
+    share = Counter(b for d in docs if d not in held for b in (docs[d] or "").encode())
+    total = sum(share.values())
+    found = by_id(q.op8_language_model(spark, folder))
+    base = sum(found[d].base_score for d in held)
+    spelling = sum(math.log10((share[b] + 1) / (total + 256)) for d in held for w in brute.words((docs[d] or "").translate(brute.LOWER)) if w not in known for b in [*w.encode(), 32])
+    assert sum(found[d].score for d in held) > base + spelling
+
+
 def test_language_model_of_repeated_and_null_ids(spark, tmp_path):
     """Every row gets one score, that of its own text, whatever its id."""
     rows = [(1, PARA)] * 3 + [(1, "short")] + [(None, PARA), (None, "word"), (None, None), (2, "word"), (3, PARA), (4, "short")]
