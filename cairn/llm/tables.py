@@ -13,10 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointing(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the folder the cluster names, or a local one where none is set (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+    """Make ``checkpoint()`` usable: the folder the cluster names; a local one only where the session itself is local (tests)."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
 
 
@@ -27,7 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def settled_parquet(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder, and read again."""
+    """``df`` written as Parquet below the shared checkpoint folder, and read again; the folder is the application's own and goes with it."""
     spark = df.sparkSession
     checkpointing(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
