@@ -57,7 +57,7 @@ def _leaf(field: str, operator: str, value: object, exact: bool = False) -> dict
 
 
 for _op, _sign in (("eq", "="), ("neq", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
-    _filtered(f"filter_size_{_op}", _leaf("size", _op, 1500), f"size {_sign} 1500")
+    _filtered(f"filter_size_{_op}", _leaf("size", _op, 423), f"size {_sign} 423")
     _filtered(f"filter_mtime_{_op}", _leaf("mtime", _op, 1700007919), f"mtime_ns {_sign} 1700007919000000000")
 _filtered("filter_extension_eq", _leaf("extension", "eq", "pdf"), "lower(suffix) = '.pdf'")
 _filtered("filter_extension_neq", _leaf("extension", "neq", "PDF"), "lower(suffix) <> '.pdf'")
@@ -571,9 +571,9 @@ def package_buckets(spark, sf_dir):
     return layout.buckets(mf.packages(spark, sf_dir), ["name"]).select("package", "name", "bucket", "position", "new_name")
 
 
-@query(f"WITH {PACKAGES}, n AS (SELECT *, kind || CASE WHEN (row_number() OVER (PARTITION BY package, kind ORDER BY name) - 1) // 200 = 0 THEN '' ELSE '_' || ((row_number() OVER (PARTITION BY package, kind ORDER BY name) - 1) // 200) END AS bucket FROM pk), g AS (SELECT package, bucket, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM n GROUP BY 1, 2), t AS (SELECT *, CASE WHEN total_bytes >= 1099511627776 THEN (total_bytes * 10 + 549755813888) // 1099511627776 WHEN total_bytes >= 1073741824 THEN (total_bytes * 10 + 536870912) // 1073741824 WHEN total_bytes >= 1048576 THEN (total_bytes * 10 + 524288) // 1048576 WHEN total_bytes >= 1024 THEN (total_bytes * 10 + 512) // 1024 END AS tenths, CASE WHEN total_bytes >= 1099511627776 THEN 'TiB' WHEN total_bytes >= 1073741824 THEN 'GiB' WHEN total_bytes >= 1048576 THEN 'MiB' ELSE 'KiB' END AS unit FROM g) SELECT package, bucket, files, total_bytes, bucket || ' [' || files || ' ' || CASE WHEN total_bytes < 1024 THEN total_bytes || 'B' WHEN tenths % 10 = 0 THEN (tenths // 10) || unit ELSE (tenths // 10) || '.' || (tenths % 10) || unit END || ']' AS label FROM t")
+@query(f"WITH {PACKAGES}, n AS (SELECT *, kind || CASE WHEN (row_number() OVER (PARTITION BY package, kind ORDER BY name, bytes) - 1) // 200 = 0 THEN '' ELSE '_' || ((row_number() OVER (PARTITION BY package, kind ORDER BY name, bytes) - 1) // 200) END AS bucket FROM pk), g AS (SELECT package, bucket, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM n GROUP BY 1, 2), t AS (SELECT *, CASE WHEN total_bytes >= 1099511627776 THEN (total_bytes * 10 + 549755813888) // 1099511627776 WHEN total_bytes >= 1073741824 THEN (total_bytes * 10 + 536870912) // 1073741824 WHEN total_bytes >= 1048576 THEN (total_bytes * 10 + 524288) // 1048576 WHEN total_bytes >= 1024 THEN (total_bytes * 10 + 512) // 1024 END AS tenths, CASE WHEN total_bytes >= 1099511627776 THEN 'TiB' WHEN total_bytes >= 1073741824 THEN 'GiB' WHEN total_bytes >= 1048576 THEN 'MiB' ELSE 'KiB' END AS unit FROM g) SELECT package, bucket, files, total_bytes, bucket || ' [' || files || ' ' || CASE WHEN total_bytes < 1024 THEN total_bytes || 'B' WHEN tenths % 10 = 0 THEN (tenths // 10) || unit ELSE (tenths // 10) || '.' || (tenths % 10) || unit END || ']' AS label FROM t")
 def package_labels(spark, sf_dir):
-    return layout.bucket_labels(layout.buckets(mf.packages(spark, sf_dir), ["name"]))
+    return layout.bucket_labels(layout.buckets(mf.packages(spark, sf_dir), ["name", "bytes"]))
 
 
 @query(f"WITH {PACKAGES} SELECT package, count(*) AS files, count_if(kind = 'P') AS p, count_if(kind = 'V') AS v, count_if(kind = 'Other') AS other, CASE WHEN count(*) <= 200 AND count_if(kind = 'Other') = 0 AND (count_if(kind = 'P') = 0 OR count_if(kind = 'V') = 0) THEN 'flatten' ELSE 'buckets' END AS operation FROM pk GROUP BY 1")
