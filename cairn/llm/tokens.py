@@ -146,13 +146,14 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Small numbers as bytes: their count, then zstd of the 32-bit ones."""
-    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+    """Non-negative numbers as bytes: how many, how wide, then zstd of them."""
+    width = 4 if not len(numbers) or numbers.max() < 1 << 32 else 8
+    return len(numbers).to_bytes(8, "little") + bytes([width]) + pa.compress(numbers.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=4 * n, codec="zstd"), "<u4")
+    n, width = int.from_bytes(blob[:8], "little"), blob[8]
+    return np.frombuffer(pa.decompress(blob[9:], decompressed_size=width * n, codec="zstd"), f"<u{width}")
 
 
 def pack_words(words: list[str]) -> bytes:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import licenses, lm, packing, suffix_dedup
+from cairn.llm import licenses, lm, packing, suffix_dedup, tokens
 from cairn.llm import queries as q
 from cairn.llm.tables import vocabulary
 from tests.llm import brute
@@ -450,3 +450,8 @@ def test_pipeline_stages_keep_columns(spark, odd_dir):
         assert out.columns == columns
         out.collect()
 
+
+
+def test_packed_numbers():
+    for numbers in ([], [0, 7], [1, 1 << 32, 5]):
+        assert tokens.unpack_numbers(tokens.pack_numbers(np.array(numbers, np.int64))).tolist() == numbers
