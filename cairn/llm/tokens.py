@@ -45,7 +45,7 @@ LEADING = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BARE = re.compile(r"[^\t-\r ]+")
 
 #: Bytes of text to a block, which a task holds with its words, and to a shard of the words, about.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 SHARD_BYTES = 1 << 25
 #: Longer words are encoded where they stand and not remembered, so that a memory bounded in words is bounded in bytes.
 LONGEST_REMEMBERED = 64
@@ -167,6 +167,14 @@ def unpack_words(blob: bytes) -> list[str]:
     return [w.decode() for w in raw.split(b"\xff")]
 
 
+def _by_shard(words: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by shard and spelling, and each word's shard in that order."""
+    spelled = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    at = np.fromiter((zlib.crc32(words[i].encode()) % shards for i in spelled), np.int64, len(words))
+    order = np.argsort(at, kind="stable")
+    return spelled[order], at[order]
+
+
 def _words_of_block(path: str, space: str, shards: int):  # noqa: ANN202
     """The distinct words of a block, by shard."""
 
@@ -175,11 +183,10 @@ def _words_of_block(path: str, space: str, shards: int):  # noqa: ANN202
         for part in parts:
             for texts in _slices(part.column("text").to_pylist()):
                 found = found.union(*split_texts(texts, path, space))
-        words = sorted(found)
-        at = np.fromiter((zlib.crc32(w.encode()) % shards for w in words), np.int64, len(words))
-        order = np.argsort(at, kind="stable")
-        own, sizes = np.unique(at, return_counts=True)
-        lists = [pack_words([words[j] for j in some]) for some in np.split(order, np.cumsum(sizes)[:-1])] if len(own) else []
+        words = list(found)
+        order, at = _by_shard(words, shards)
+        own, first = np.unique(at, return_index=True)
+        lists = [pack_words([words[j] for j in some]) for some in np.split(order, first[1:])] if len(own) else []
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(lists), pa.int32()), pa.array(own, pa.int32()), pa.array(lists, pa.binary())], ["block", "shard", "words"])
 
     return collect
@@ -199,31 +206,39 @@ def _encode_shard(path: str):  # noqa: ANN202
                 found = [table[w] for w in words]
                 sizes.append(pack_numbers(np.fromiter((len(x) // 4 for x in found), np.int64, len(found))))
                 ids.append(pack_numbers(np.frombuffer(b"".join(found), "<u4")))
-            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("words"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "words", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("shard"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "shard", "sizes", "ids"])
 
     return encode_all
 
 
-def _join_block(path: str, space: str):  # noqa: ANN202
-    """``row`` and ``ids`` of the texts of one block."""
+def _join_block(path: str, space: str, shards: int):  # noqa: ANN202
+    """``row`` and ``ids`` of the texts of one block, whose words come back in the order in which they were sent."""
 
     def join(texts: pa.Table, known: pa.Table) -> pa.Table:
-        numbers = lambda c: np.concatenate([np.empty(0, np.uint32), *(unpack_numbers(x.as_py()) for x in known.column(c))])
-        sizes, flat = numbers("sizes").astype(np.int64), numbers("ids").astype(np.int32)
-        place = {w: i for i, w in enumerate(w for words in known.column("words") for w in unpack_words(words.as_py()))}
-        starts = np.cumsum(sizes) - sizes
-        parts = []
+        names: dict[str, int] = {}
+        held: list[tuple[pa.Array, list[np.ndarray]]] = []
         for batch in texts.select(["row", "text"]).to_batches():
             at = 0
             for some in _slices(batch.column("text").to_pylist()):
-                codes = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in split_texts(some, path, space)]
-                every = np.concatenate([np.empty(0, np.int64), *codes])
-                n = sizes[every]
-                ends = np.cumsum(n)
-                ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
-                upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
-                parts.append(pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(some)), _lists(ids, np.diff(upto))], ["row", "ids"]))
+                codes = [np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words)) for words in split_texts(some, path, space)]
+                held.append((batch.column("row").slice(at, len(some)), codes))
                 at += len(some)
+        order, _ = _by_shard(list(names), shards)
+        names.clear()
+        rows = np.argsort(known.column("shard").to_numpy()).tolist()
+        numbers = lambda c: np.concatenate([np.empty(0, np.uint32), *(unpack_numbers(known.column(c)[i].as_py()) for i in rows)])
+        sizes, flat = np.empty(len(order), np.int64), numbers("ids").astype(np.int32)
+        sizes[order] = sent = numbers("sizes").astype(np.int64)
+        starts = np.empty(len(order), np.int64)
+        starts[order] = np.cumsum(sent) - sent
+        parts = []
+        for row, codes in held:
+            every = np.concatenate([np.empty(0, np.int32), *codes])
+            n = sizes[every]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[every] - (ends - n), n) + np.arange(int(n.sum()))]
+            upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, codes)])]
+            parts.append(pa.RecordBatch.from_arrays([row, _lists(ids, np.diff(upto))], ["row", "ids"]))
         return pa.Table.from_batches(parts)
 
     return join
@@ -236,10 +251,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading
     row = F.struct(*keep).alias("row")
     block = F.pmod(F.xxhash64(*dict.fromkeys([*keep, text])), F.lit(1 + size // BLOCK_BYTES)).cast("int").alias("block")
     dealt = docs.select(row, F.col(text).alias("text"), block)
-    words = dealt.groupBy("block").applyInArrow(_words_of_block(path, space, 1 + size // SHARD_BYTES), "block int, shard int, words binary")
-    known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block int, words binary, sizes binary, ids binary")
+    shards = 1 + size // SHARD_BYTES
+    words = dealt.groupBy("block").applyInArrow(_words_of_block(path, space, shards), "block int, shard int, words binary")
+    known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block int, shard int, sizes binary, ids binary")
     schema = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep])), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    joined = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block(path, space), schema)
+    joined = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block(path, space, shards), schema)
     return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("ids").alias(ids))
 
 
