@@ -162,3 +162,8 @@ def first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """The first row of each group, aggregated before it is shuffled."""
     rest = [c for c in rows.columns if c not in by]
     return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*by, "r.*")
+
+
+def ranked_members(members: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``members`` with ``kept``: the first of each group in an order without ties."""
+    return members.withColumn("kept", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)

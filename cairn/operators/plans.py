@@ -63,3 +63,57 @@ def corrupt_preview(requested: DataFrame, assets: DataFrame, index: DataFrame) -
         )
     )
     return joined.select("id", blockers.alias("blockers")).withColumn("eligible", F.size("blockers") == 0)
+
+
+def changed_entries(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """added, removed and changed of two inventories, which have one row for each key."""
+    rest = [c for c in before.columns if c != key]
+    old = before.select(key, F.struct(*rest).alias("old"))
+    new = after.select(key, F.struct(*rest).alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return old.join(new, key, "full").select(key, change.alias("change")).filter("change is not null")
+
+
+def path_roles(current: DataFrame, planned: DataFrame) -> DataFrame:
+    """What becomes of every path: kept, created or retired by a plan."""
+    joined = current.select("path", F.lit(True).alias("is_now")).join(planned.select("path", F.lit(True).alias("will_be")), "path", "full")
+    return joined.select("path", F.when(F.col("is_now").isNull(), "created").when(F.col("will_be").isNull(), "retired").otherwise("kept").alias("role"))
+
+
+def aliases(entries: DataFrame) -> DataFrame:
+    """Entries (entry, device, inode, state) that share an inode: how many, the ids in order, and whether one of them stands in the way."""
+    grouped = entries.groupBy("device", "inode").agg(F.sort_array(F.collect_list("entry")).alias("entries"), F.bool_or(F.col("state") != "quarantined").alias("blocked"))
+    return grouped.filter(F.size("entries") > 1)
+
+
+def intents(decided: DataFrame) -> DataFrame:
+    """What a keep decision asks for: every copy that is not kept goes, and why."""
+    return decided.filter(~F.col("kept")).select("id", F.lit("quarantine").alias("operation"), F.col("absolute_path").alias("source"), F.lit("DUPLICATE").alias("reason"))
+
+
+def eligible(rows: DataFrame) -> DataFrame:
+    """Whether a copy may be replaced by a link (device, keep_device, links, mode), and the first thing against it."""
+    against = (
+        F.when(F.col("device") != F.col("keep_device"), "OTHER_DEVICE")
+        .when(F.col("links") > 1, "ALREADY_LINKED")
+        .when(F.col("mode").bitwiseAND(F.lit(0o7000)) != 0, "SPECIAL_MODE")
+    )
+    return rows.withColumn("against", against).withColumn("actionable", F.col("against").isNull())
+
+
+def reconciled(state: Column, at_source: Column, at_target: Column) -> Column:
+    """What an interrupted quarantine comes to, by where the file is found."""
+    moving = state == "moving"
+    return (
+        F.when(moving & at_target & ~at_source, "quarantined")
+        .when(moving & at_source & ~at_target, "failed")
+        .when(moving, "needs_review")
+        .when((state == "quarantined") & ~at_target, "missing")
+        .otherwise(state)
+    )
+
+
+def retry_payload(payload: Column, allowed: list[str]) -> Column:
+    """The JSON object of a task with the fields that a retry may carry over."""
+    held = F.from_json(payload, "map<string,string>")
+    return F.to_json(F.map_filter(held, lambda k, _: k.isin(allowed)))

@@ -169,3 +169,36 @@ def stats_below(files: DataFrame, directory: str) -> DataFrame:
         F.count("*").alias("files"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"),
         F.countDistinct(folder).alias("folders"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
     )
+
+
+def origins(items: DataFrame) -> DataFrame:
+    """``origin`` and ``hops`` of each chained move (source, target): where a file was before all moves that led to its source.
+
+    Pointers to the move before are doubled each round; what moves in a circle has no origin.
+    """
+    before = items.select(F.col("target").alias("source"), F.col("source").alias("origin"), F.lit(1).cast("long").alias("hops"))
+    first = items.select("source", "target").join(before, "source", "left").select("source", "target", F.coalesce("origin", "source").alias("origin"), F.coalesce("hops", F.lit(0)).alias("hops"))
+    ends = items.select(F.col("target").alias("origin"), F.lit(True).alias("on"))
+    steps, last = settled(first), -1
+    while (still := steps.join(ends, "origin", "left_semi").count()) not in (0, last):
+        last = still
+        ahead = steps.select(F.col("source").alias("origin"), F.col("origin").alias("further"), F.col("hops").alias("more"))
+        grown = steps.join(ahead, "origin", "left")
+        steps = settled(grown.select("source", "target", F.coalesce("further", "origin").alias("origin"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    done = steps.join(ends, "origin", "left")
+    return done.select("source", "target", F.when(F.col("on").isNull(), F.col("origin")).alias("origin"), F.when(F.col("on").isNull(), F.col("hops")).alias("hops"))
+
+
+def colliding(proposals: DataFrame) -> DataFrame:
+    """``proposals`` (target) with ``collides``: whether another one has the same directory and case-folded name."""
+    same = Window.partitionBy(parent(F.col("target")), F.lower(F.substring_index("target", "/", -1)))
+    return proposals.withColumn("collides", F.count("*").over(same) > 1)
+
+
+def package_paths(directories: DataFrame) -> DataFrame:
+    """``directories`` (path) with ``valid``: YYMM/YYMMDD/author/package, the day within the month."""
+    parts = F.split("path", "/")
+    month, day = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    shape = (F.size(parts) == 4) & month.rlike(r"^\d{2}(0[1-9]|1[0-2])$") & day.rlike(r"^\d{4}(0[1-9]|[12]\d|3[01])$") & day.startswith(month)
+    plain = ~F.exists(parts, lambda p: p.isin("", ".", ".."))
+    return directories.withColumn("valid", F.coalesce(shape & plain, F.lit(False)))

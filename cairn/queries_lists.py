@@ -254,3 +254,96 @@ def frozen_plans(spark, sf_dir):
     items = mf.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), "l_linenumber", F.col("l_quantity").cast("long").alias("quantity"), "l_returnflag")
     known = mf.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"))
     return plans.digests(items.join(known, "plan_id", "left_semi"), ["plan_id"], ["l_linenumber"], ["l_linenumber", "quantity", "l_returnflag"])
+
+
+# ---------------------------------------------------------------- chains, inventories and decisions
+
+
+@query(
+    "WITH RECURSIVE i AS (SELECT '/p/' || doc_id AS source, '/p/' || (doc_id + 1) AS target FROM documents WHERE doc_id % 10 <> 9), o(source, target, origin, hops) AS (SELECT source, target, source, CAST(0 AS BIGINT) FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.target = i.source) "
+    "UNION ALL SELECT i.source, i.target, o.origin, o.hops + 1 FROM i JOIN o ON i.source = o.target) SELECT * FROM o"
+)
+def move_origins(spark, sf_dir):
+    d = mf.table(spark, sf_dir, "documents").filter("doc_id % 10 <> 9")
+    path = lambda c: F.concat(F.lit("/p/"), c.cast("string"))
+    return trees.origins(d.select(path(F.col("doc_id")).alias("source"), path(F.col("doc_id") + 1).alias("target")))
+
+
+@query(f"WITH {FILES}, p AS (SELECT id, directory || '/' || CASE WHEN id % 2 = 0 THEN 'N' ELSE 'n' END || id % 60 AS target FROM files) SELECT id, count(*) OVER (PARTITION BY lower(target)) > 1 AS collides FROM p")
+def proposal_collisions(spark, sf_dir):
+    target = F.concat(paths.parent(F.col("relative_path")), F.lit("/"), F.when(F.col("id") % 2 == 0, "N").otherwise("n"), (F.col("id") % 60).cast("string"))
+    return trees.colliding(files(spark, sf_dir).select("id", target.alias("target"))).select("id", "collides")
+
+
+@query(
+    f"WITH {PACKAGES}, d AS (SELECT DISTINCT CASE length(package) % 3 WHEN 0 THEN package || '/p' WHEN 1 THEN package || '/..' ELSE replace(package, '/', '-') END AS path FROM pk) "
+    "SELECT path, regexp_full_match(path, '[0-9]{2}(0[1-9]|1[0-2])/[0-9]{4}(0[1-9]|[12][0-9]|3[01])/[^/]+/[^/]+') AND left(path, 4) = substr(path, 6, 4) AND NOT ends_with(path, '/..') AS valid FROM d"
+)
+def package_path_checks(spark, sf_dir):
+    p, n = F.col("package"), F.length("package") % 3
+    path = F.when(n == 0, F.concat(p, F.lit("/p"))).when(n == 1, F.concat(p, F.lit("/.."))).otherwise(F.replace(p, F.lit("/"), F.lit("-")))
+    return trees.package_paths(packages(spark, sf_dir).select(path.alias("path")).distinct())
+
+
+@query(f"WITH {FILES} SELECT relative_path AS path, CASE WHEN id % 6 = 0 THEN 'removed' WHEN id % 6 = 1 THEN 'added' ELSE 'changed' END AS change FROM files WHERE id % 6 < 3")
+def inventory_changes(spark, sf_dir):
+    f = files(spark, sf_dir).select("id", F.col("relative_path").alias("path"), "size", "mtime_ns")
+    before = f.filter("id % 6 <> 1").select("path", "size", "mtime_ns")
+    after = f.filter("id % 6 <> 0").select("path", F.when(F.col("id") % 6 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime_ns")
+    return plans.changed_entries(before, after, "path")
+
+
+@query(f"WITH {FILES}, n AS (SELECT relative_path AS path FROM files WHERE id % 3 <> 0), p AS (SELECT CASE WHEN id % 2 = 0 THEN relative_path ELSE 'new/' || basename END AS path FROM files) SELECT path, CASE WHEN n.path IS NULL THEN 'created' WHEN p.path IS NULL THEN 'retired' ELSE 'kept' END AS role FROM n FULL JOIN p USING (path)")
+def planned_path_roles(spark, sf_dir):
+    f = files(spark, sf_dir)
+    now = f.filter("id % 3 <> 0").select(F.col("relative_path").alias("path"))
+    planned = f.select(F.when(F.col("id") % 2 == 0, F.col("relative_path")).otherwise(F.concat(F.lit("new/"), "basename")).alias("path"))
+    return plans.path_roles(now, planned)
+
+
+@query("SELECT event_id // 3 AS inode, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS entries, bool_or(event_id % 7 = 0) AS blocked FROM events GROUP BY 1 HAVING count(*) > 1")
+def purge_aliases(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("entry"), F.lit(1).alias("device"), F.floor(F.col("event_id") / 3).alias("inode"), F.when(F.col("event_id") % 7 == 0, "purging").otherwise("quarantined").alias("state"))
+    return plans.aliases(e).select("inode", F.array_join(F.col("entries").cast("array<string>"), ",").alias("entries"), "blocked")
+
+
+@query(f"WITH {DUPES}, k AS (SELECT *, row_number() OVER (PARTITION BY content_hash, size ORDER BY mtime_ns DESC, absolute_path) AS rn FROM member) SELECT id, 'quarantine' AS operation, absolute_path AS source, 'DUPLICATE' AS reason FROM k WHERE rn > 1")
+def draft_intents(spark, sf_dir):
+    decided = matching.ranked_members(matching.content_members(files(spark, sf_dir)), ["content_hash", "size"], [F.col("mtime_ns").desc(), F.col("absolute_path")])
+    return plans.intents(decided)
+
+
+@query(f"WITH {DUPES}, k AS (SELECT *, row_number() OVER (PARTITION BY content_hash, size ORDER BY mtime_ns DESC, absolute_path) = 1 AS kept FROM member) SELECT content_hash, count(*) AS items, sha256(string_agg(absolute_path || '|' || kept || '|' || size, chr(10) ORDER BY absolute_path)) AS digest FROM k GROUP BY 1")
+def decision_digests(spark, sf_dir):
+    decided = matching.ranked_members(matching.content_members(files(spark, sf_dir)), ["content_hash", "size"], [F.col("mtime_ns").desc(), F.col("absolute_path")])
+    return plans.digests(decided, ["content_hash"], ["absolute_path"], ["absolute_path", "kept", "size"])
+
+
+@query(f"WITH {FILES} SELECT id, CASE WHEN id % 5 = 0 THEN 'OTHER_DEVICE' WHEN id % 7 = 0 THEN 'ALREADY_LINKED' WHEN id % 11 = 0 THEN 'SPECIAL_MODE' END AS against, id % 5 <> 0 AND id % 7 <> 0 AND id % 11 <> 0 AS actionable FROM files")
+def storage_actions(spark, sf_dir):
+    i = F.col("id")
+    f = files(spark, sf_dir).select("id", F.lit(1).alias("device"), F.when(i % 5 == 0, 2).otherwise(1).alias("keep_device"), F.when(i % 7 == 0, 2).otherwise(1).alias("links"), F.when(i % 11 == 0, 0o104644).otherwise(0o100644).alias("mode"))
+    return plans.eligible(f).select("id", "against", "actionable")
+
+
+@query("SELECT event_id AS entry, CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 5 = 0 THEN 'missing' ELSE 'quarantined' END WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN 'quarantined' WHEN event_id % 5 = 0 AND event_id % 3 <> 0 THEN 'failed' ELSE 'needs_review' END AS outcome FROM events")
+def quarantine_outcomes(spark, sf_dir):
+    e = F.col("event_id")
+    state = F.when(e % 2 == 1, "quarantined").otherwise("moving")
+    return _events(spark, sf_dir).select(e.alias("entry"), plans.reconciled(state, e % 3 != 0, e % 5 != 0).alias("outcome"))
+
+
+@query("""SELECT event_id AS id, '{"limit":"' || event_id % 9 || '","root":"r' || event_id % 3 || '"}' AS payload FROM events""")
+def retry_payloads(spark, sf_dir):
+    e = F.col("event_id")
+    payload = F.format_string('{"limit":"%d","checkpoint":"c%d","root":"r%d","lease":"x"}', e % 9, e, e % 3)
+    return _events(spark, sf_dir).select(e.alias("id"), plans.retry_payload(payload, ["limit", "root"]).alias("payload"))
+
+
+_page("plan_changes_page", "events", _EVENTS, [("event_id", False)], ["event_id", "event_type"], lambda: F.col("event_type").isin("click", "purchase") & ~F.col("flag"), "event_type IN ('click', 'purchase') AND NOT flag", number=2, size=60)
+
+
+@query("SELECT event_type, count(*) AS entries, count_if(k % 2 = 0) AS done, CAST(coalesce(sum(k) FILTER (k % 2 = 1), 0) AS BIGINT) AS open_bytes FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
+def cleanup_audit(spark, sf_dir):
+    odd = F.col("k") % 2 == 1
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("entries"), F.count_if(F.col("k") % 2 == 0).alias("done"), F.coalesce(F.sum(F.when(odd, F.col("k"))), F.lit(0)).alias("open_bytes"))
