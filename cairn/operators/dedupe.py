@@ -8,6 +8,8 @@ task over one compact row per group and is the only part that does not spread ov
 from __future__ import annotations
 
 
+from itertools import takewhile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -172,6 +174,83 @@ def balanced(members: DataFrame, roots: list[str], by: str = "files", protect_la
     return groups.groupBy("block").applyInPandas(choose, "content_hash string, size long, keep string")
 
 
+def _lowest_common(directories: list[str]) -> str:
+    """The deepest directory above or at all of some relative ones, which that of the least and the greatest is."""
+    low, high = (x.split("/") if x else [] for x in (min(directories), max(directories)))
+    return "/".join(a for a, _ in takewhile(lambda p: p[0] == p[1], zip(low, high, strict=False)))
+
+
+def _spread(values: list[int]) -> tuple[int, int]:
+    return max(values) - min(values), sum(v * v for v in values)
+
+
+class _Released:
+    """Bytes released so far: by root, and by directory with and without what lies below."""
+
+    def __init__(self, roots: list[str]):
+        self.root = dict.fromkeys(roots, 0)
+        self.below: dict[tuple[str, str], int] = {}
+        self.direct: dict[tuple[str, str], int] = {}
+
+    def add(self, root: str, directory: str, size: int) -> None:
+        self.root[root] = self.root.get(root, 0) + size
+        self.direct[root, directory] = self.direct.get((root, directory), 0) + size
+        parts = directory.split("/") if directory else []
+        for i in range(len(parts) + 1):
+            key = root, "/".join(parts[:i])
+            self.below[key] = self.below.get(key, 0) + size
+
+    def in_root(self, sides: list, size: int) -> tuple[tuple[int, int], object]:
+        """The choice within one root that leaves the directories below the common one most even, and how even."""
+        common = _lowest_common([s["place"] for s in sides])
+        depth = len(common) + 1 if common else 0
+        bucket = [None if s["place"] == common else s["place"][: (s["place"] + "/").index("/", depth)] for s in sides]
+        root = sides[0]["root_key"]
+        after = {b: self.direct.get((root, common), 0) if b is None else self.below.get((root, b), 0) for b in bucket}
+        for s, b in zip(sides, bucket, strict=True):
+            after[b] += s["n"] * size
+        return min(((_spread([v - size * (b == own) for b, v in after.items()]), s) for s, own in zip(sides, bucket, strict=True)), key=lambda x: (x[0], x[1]["path"]))
+
+    def choice(self, sides: list, size: int) -> object:
+        """The copy to keep: its root leaves roots most even, then its directory the directories."""
+        by_root: dict[str, list] = {}
+        for s in sides:
+            by_root.setdefault(s["root_key"], []).append(s)
+        if len(by_root) == 1:
+            return self.in_root(sides, size)[1]
+        gone = {r: v + size * sum(s["n"] for s in by_root.get(r, [])) for r, v in self.root.items()}
+        even = {r: _spread([v - size * (x == r) for x, v in gone.items()]) for r in by_root}
+        best = [own for r, own in by_root.items() if even[r] == min(even.values())]
+        found = [((0, 0), own[0]) if len(own) == 1 and own[0]["n"] == 1 else self.in_root(own, size) for own in best]
+        return min(found, key=lambda x: (x[0], x[1]["path"]))[1]
+
+
+def balanced_recursively(members: DataFrame, roots: list[str]) -> DataFrame:
+    """The copy of each group whose keeping leaves released bytes most even over roots, then over directories: content_hash, size, keep.
+
+    Groups go by size, largest first, then by hash. Within a root the directories right below the deepest common one
+    of the group's copies are compared, by all that was released below them so far. Blocks of groups as in ``balanced``.
+    ``directory`` is each member's, relative to its root; the roots are all roots that occur.
+    """
+    sides = members.groupBy(*GROUP, "root_key", F.col("directory").alias("place")).agg(F.count("*").alias("n"), F.min("absolute_path").alias("path"))
+    groups = sides.groupBy(*GROUP).agg(F.collect_list(F.struct("root_key", "place", "n", "path")).alias("sides"), F.sum("n").alias("copies")).filter("copies >= 2")
+    blocks = 1 + groups.count() // BLOCK_GROUPS
+    groups = groups.withColumn("block", F.pmod(F.xxhash64(*GROUP), F.lit(blocks)).cast("int"))
+
+    def choose(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(["size", "content_hash"], ascending=[False, True])
+        released = _Released(roots)
+        keeps = []
+        for size, sides in zip(table["size"], table["sides"], strict=True):
+            keep = released.choice(list(sides), int(size))
+            for s in sides:
+                released.add(s["root_key"], s["place"], int(size) * (s["n"] - (s is keep)))
+            keeps.append(keep["path"])
+        return table.assign(keep=keeps)[["content_hash", "size", "keep"]]
+
+    return groups.groupBy("block").applyInPandas(choose, "content_hash string, size long, keep string")
+
+
 def fingerprint(members: DataFrame) -> DataFrame:
     """A digest of each group's member paths in order."""
     paths = F.array_join(F.array_sort(F.collect_list("absolute_path")), "\n")

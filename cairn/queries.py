@@ -430,6 +430,11 @@ def dedupe_protected(spark, sf_dir):
     return dedupe.balanced(matching.content_members(f).join(counts, "directory"), mf.ROOTS, protect_last_file=True)
 
 
+@query()
+def dedupe_balanced_directories(spark, sf_dir):
+    return dedupe.balanced_recursively(files(spark, sf_dir).withColumn("directory", paths.parent(F.col("relative_path"))), mf.ROOTS)
+
+
 # ---------------------------------------------------------------- trees
 
 

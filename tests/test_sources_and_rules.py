@@ -236,3 +236,71 @@ def test_balanced(spark, by, protect):
         m["directory_files"] = counts[m["directory"]]
     found = dedupe.balanced(spark.createDataFrame(members), roots, by=by, protect_last_file=protect)
     assert {(r.content_hash, r["size"]): r.keep for r in found.collect()} == plainly_balanced(members, roots, by, counts if protect else None)
+
+
+def plainly_balanced_directories(members, roots):
+    """Copy by copy: roots first, then the directories right below the common one."""
+    import os
+
+    groups: dict = {}
+    for m in members:
+        groups.setdefault((m["content_hash"], m["size"]), []).append(m)
+    gone: list = []  # (root, directory, size) of every removed copy
+    out = {}
+
+    def evenness(values):
+        return max(values) - min(values), sum(v * v for v in values)
+
+    def bucket(directory, common):
+        if directory == common:
+            return "direct"
+        rest = directory[len(common) :].lstrip("/") if common else directory
+        return (common + "/" if common else "") + rest.split("/")[0]
+
+    def inside(group, keep):
+        root = keep["root_key"]
+        common = os.path.commonpath(["/" + m["directory"] for m in group]).lstrip("/")
+        buckets = {bucket(m["directory"], common) for m in group}
+        values = {}
+        for b in buckets:
+            if b == "direct":
+                values[b] = sum(n for r, d, n in gone if r == root and d == common)
+            else:
+                values[b] = sum(n for r, d, n in gone if r == root and (d == b or d.startswith(b + "/")))
+        for m in group:
+            if m is not keep:
+                values[bucket(m["directory"], common)] += m["size"]
+        return evenness(list(values.values()))
+
+    for key in sorted(groups, key=lambda k: (-k[1], k[0])):
+        group = groups[key]
+        if len(group) < 2:
+            continue
+        choices = []
+        for keep in group:
+            own = [m for m in group if m["root_key"] == keep["root_key"]]
+            totals = [sum(n for r, _, n in gone if r == root) + sum(m["size"] for m in group if m["root_key"] == root and m is not keep) for root in roots]
+            if len(own) == len(group):
+                choices.append(((0, 0), inside(group, keep), keep["absolute_path"], keep))
+            else:
+                choices.append((evenness(totals), inside(own, keep) if len(own) > 1 else (0, 0), keep["absolute_path"], keep))
+        keep = min(choices, key=lambda c: c[:3])[3]
+        gone += [(m["root_key"], m["directory"], m["size"]) for m in group if m is not keep]
+        out[key] = keep["absolute_path"]
+    return out
+
+
+def test_balanced_directories(spark):
+    import random
+
+    rng = random.Random(5)
+    roots = ["/r0", "/r1"]
+    places = ["", "a", "a/b", "a/b/c", "a/d", "e", "e/f"]
+    members = []
+    for g in range(80):
+        only = rng.choice(roots) if g % 3 == 0 else None
+        for i in range(rng.randrange(1, 6)):
+            r, d = only or rng.choice(roots), rng.choice(places)
+            members.append({"content_hash": f"h{g:03d}", "size": 10 + g % 5, "root_key": r, "directory": d, "absolute_path": "/".join(filter(None, [r, d, f"{g}_{i}"]))})
+    found = dedupe.balanced_recursively(spark.createDataFrame(members), roots)
+    assert {(r.content_hash, r["size"]): r.keep for r in found.collect()} == plainly_balanced_directories(members, roots)
