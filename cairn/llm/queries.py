@@ -148,6 +148,23 @@ ORACLE_SQL: dict[str, str] = {
   l AS (SELECT x, y FROM p JOIN c cx ON x = cx.id JOIN c cy ON y = cy.id WHERE 100 * m >= 85 * (cx.n + cy.n - m)),
   {_REACHED}
   SELECT d.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, d.id = component_id AS kept FROM d JOIN g ON a = d.id LEFT JOIN c ON c.id = d.id""",
+    "op6_quality_rules": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM d),
+  v AS (SELECT doc_id, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i FROM w WHERE len(w) >= {quality.WINDOW})),
+  r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+  n AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {quality.WINDOW})) AS p FROM r) GROUP BY 1),
+  l AS (SELECT doc_id, x, b, len(list_filter(regexp_split_to_array(b, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
+      len(list_filter(regexp_split_to_array(b, '[\x20\x09-\x0D]+'), lambda y: ends_with(y, '!!'))) AS shouts,
+      length(b) - length(regexp_replace(b, '[#*$%&|<>{{}}\\^~_=]', '', 'g')) AS markup, length(b) - length(regexp_replace(b, '[|»›•]', '', 'g')) AS seps
+    FROM (SELECT doc_id, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS b FROM (SELECT doc_id, unnest(ls) AS x FROM w))),
+  f AS (SELECT *, b <> '' AND (markup * 10 > length(b) OR (shouts >= 3 AND shouts * 3 >= n) OR (seps >= 2 AND seps * 4 >= n)
+      OR (n >= 4 AND NOT contains('.!?…:;"''”’»)]。！？', right(b, 1)) AND NOT regexp_matches(b, '[.,:;?!…#*`(){{}}=]'))
+      OR (length(b) <= 200 AND n <= 12 AND regexp_matches(lower(b), '{quality.BOILERPLATE}'))) AS bad FROM l),
+  k AS (SELECT doc_id, count(*) FILTER (b <> '') - count(DISTINCT x) FILTER (b <> '') AS n_dup_lines, coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (NOT bad), 0) AS lasting FROM f GROUP BY 1),
+  a AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines,
+      coalesce(n_repeat_words, 0) AS n_repeat_words, lasting FROM w JOIN k ON w.doc_id = k.doc_id LEFT JOIN n ON w.doc_id = n.doc_id)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND 100 * (word_chars - lasting) <= {quality.MAX_LOST_PERCENT} * word_chars AS kept FROM a""",
     "op9_line_dedup": r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
   l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM d),
   w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
