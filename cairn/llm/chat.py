@@ -9,7 +9,8 @@ A conversation's turns are gathered by a partial aggregate, so a conversation
 with very many rows reaches its reducer as one row per map task. Rows of equal
 turn are ordered by role and text. Null role or text counts as empty; a null
 turn sorts first. Rows of null conversation form one conversation. Other columns
-are ignored. An empty table gives no rows.
+are ignored, repeated rows are turns of their own, and a very long text is taken whole.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,11 @@ of lowest cost with room left, opening another where none has room. A group has
 a bounded number of pieces on average whatever the input, and only lengths and
 checksums are shuffled, never ids.
 
-Null text packs as its end id alone. Rows with equal ids are documents of their
-own, packed separately.
+Null and empty texts pack as their end id alone. Rows with equal ids are documents of
+their own, packed separately and spread over all groups. A very long text is many full
+stretches, each a row. Of pieces of equal length the order is that of a hash, and of
+sequences of equal cost the smaller number wins. An empty table gives no rows; columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """One row per piece: doc_id, PIECES, sequence_id and offset. Sequences are padded to CAPACITY."""
     cut = settled(pieces(docs, path, text))
     groups = max(1, cut.count() // GROUP_PIECES)
-    at = F.xxhash64("doc_id", "start")
+    at = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())  # the written rows fix the number, so rows of one id spread
     dealt = cut.withColumn("part", F.pmod(at, F.lit(groups)).cast("int")).withColumn("at", at)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("part").applyInArrow(_pack, f"doc_id {id_type}, {PIECES}, sequence_id long, offset long")

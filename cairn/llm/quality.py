@@ -16,8 +16,10 @@ A document is rejected if the base counts say so (too few words, or too many
 words in repeated eight-word windows) or if its failed lines hold more than
 ``MAX_LOST_PERCENT`` of its word characters.
 
-Null text counts as no words, and the cleaned text of a null stays null.
-Repeated rows and columns of any name are carried along unchanged.
+Null and empty texts have no words, and the cleaned text of a null stays null.
+Repeated rows are judged one by one, and columns of any name are carried along
+unchanged. A very long text is one row like any other; of equal lines or windows every
+one counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
