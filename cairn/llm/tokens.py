@@ -167,6 +167,24 @@ def unpack_words(blob: bytes) -> list[str]:
     return [w.decode() for w in raw.split(b"\xff")]
 
 
+def pack_text(text: str | None) -> bytes:
+    raw = (text or "").encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_text(blob: bytes) -> str:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).decode()
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their texts compressed, for the one time they move."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            packed = pa.array([pack_text(x.as_py()) for x in part.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("row"), packed, part.column("block")], ["row", "text", "block"])
+
+
 def _by_shard(words: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct words by shard and spelling, and each word's shard in that order."""
     spelled = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
@@ -181,7 +199,7 @@ def _words_of_block(path: str, space: str, shards: int):  # noqa: ANN202
     def collect(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[str] = set()
         for part in parts:
-            for texts in _slices(part.column("text").to_pylist()):
+            for texts in _slices([unpack_text(x) for x in part.column("text").to_pylist()]):
                 found = found.union(*split_texts(texts, path, space))
         words = list(found)
         order, at = _by_shard(words, shards)
@@ -219,7 +237,7 @@ def _join_block(path: str, space: str, shards: int):  # noqa: ANN202
         held: list[tuple[pa.Array, list[np.ndarray]]] = []
         for batch in texts.select(["row", "text"]).to_batches():
             at = 0
-            for some in _slices(batch.column("text").to_pylist()):
+            for some in _slices([unpack_text(x) for x in batch.column("text").to_pylist()]):
                 codes = [np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words)) for words in split_texts(some, path, space)]
                 held.append((batch.column("row").slice(at, len(some)), codes))
                 at += len(some)
@@ -251,10 +269,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", space: str = "leading
     row = F.struct(*keep).alias("row")
     block = F.pmod(F.xxhash64(*dict.fromkeys([*keep, text])), F.lit(1 + size // BLOCK_BYTES)).cast("int").alias("block")
     dealt = docs.select(row, F.col(text).alias("text"), block)
+    moved = T.StructType([dealt.schema["row"], T.StructField("text", T.BinaryType()), T.StructField("block", T.IntegerType())])
+    dealt = dealt.mapInArrow(_squeezed, moved)
     shards = 1 + size // SHARD_BYTES
     words = dealt.groupBy("block").applyInArrow(_words_of_block(path, space, shards), "block int, shard int, words binary")
     known = words.groupBy("shard").applyInArrow(_encode_shard(path), "block int, shard int, sizes binary, ids binary")
-    schema = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep])), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([dealt.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     joined = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_join_block(path, space, shards), schema)
     return joined.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("ids").alias(ids))
 
