@@ -40,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import textbytes as tb
 from cairn.llm.tables import settled_parquet
@@ -381,8 +382,10 @@ def _packed(doc: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarr
 # ---------------------------------------------------------------- blocks of documents
 
 
-def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    return _placed(docs).withColumn("block", _block(blocks)).repartition(blocks, "block")
+def _dealt(docs: DataFrame, carry: list[str], blocks: int) -> DataFrame:
+    """Places and texts by block, with the columns ``carry`` as ``row``."""
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text", F.struct(*carry).alias("row"))
+    return placed.withColumn("block", _block(blocks)).repartition(blocks, "block")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -448,21 +451,26 @@ def _contexts(docs: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.concat_tables([made, more])
 
 
-def _collector(finish: Callable) -> Callable:
+def _collector(finish: Callable, fields: list[tuple[str, pa.DataType]]) -> Callable:
+    """``row`` of every text of a block, and what ``finish(bytes, low, high)`` makes of it and its united spans; null for null text where it is text."""
+
     def of_block(docs: pa.Table, spans: pa.Table) -> pa.Table:
         of, twin, low, high = (pc.list_flatten(spans.column(c)).to_numpy() for c in ("doc_id", "twin", "low", "high"))
         number, ids, twins = _places(of, twin)
         doc, low, high = merged(number, low, high)
         first, last = (np.searchsorted(doc, np.arange(len(ids)), side).tolist() for side in ("left", "right"))
         at = dict(zip(zip(ids.tolist(), twins.tolist(), strict=True), zip(first, last, strict=True), strict=True))
-        rows = []
+        schema = pa.schema([docs.schema.field("row"), *fields])
+        out = []
         for batch in docs.to_batches():
             data, starts = tb.flat(batch.column("text"))
+            made = []
             for i, (own, mark) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), strict=True)):
-                body = data[starts[i] : starts[i + 1]]
                 j, k = at.get((NO_ID if own is None else own, mark), (0, 0))
-                rows.append({"twin": mark} | finish(own, body, low[j:k], high[j:k]))
-        return pa.Table.from_pylist(rows) if rows else None
+                made.append(finish(data[starts[i] : starts[i + 1]], low[j:k], high[j:k]))
+            columns = [pa.array([m[c] for m in made], t) for c, (_, t) in enumerate(fields)]
+            out.append(pa.RecordBatch.from_arrays([batch.column("row"), *columns], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return of_block
 
@@ -487,42 +495,38 @@ def removed_spans(docs: DataFrame, dealt: DataFrame, blocks: int) -> DataFrame:
     return whole.union(sorted_)
 
 
-def _apply(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """twin and ``finish(doc_id, bytes, low, high)`` of every document, with its united spans in order."""
-    schema = f"twin long, {schema}"
+def _apply(docs: DataFrame, carry: list[str], finish: Callable, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """The columns ``carry`` of every document as ``row``, and what ``finish`` makes of its bytes and united spans."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_BYTES
-    dealt = _dealt(docs, blocks)
+    dealt = _dealt(docs, carry, blocks)
     placed = removed_spans(docs, dealt, blocks)
-    names = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
-    collect = _collector(finish)
-
-    def of_block(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        made = collect(docs, spans)
-        return made.cast(names) if made is not None else names.empty_table()
-
-    return dealt.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(of_block, schema)
+    made = T.StructType([dealt.schema["row"], *T._parse_datatype_string(schema).fields])
+    return dealt.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_collector(finish, fields), made)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
-    def facts(doc_id: int | None, body: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
-        kept = _kept_bytes(body, low, high)
-        return {"doc_id": doc_id, "n_bytes": len(body), "n_removed": int((high - low).sum()), "n_spans": len(low), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+    def facts(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
+        return len(body), int((high - low).sum()), len(low), hashlib.sha256(_kept_bytes(body, low, high)).hexdigest()
 
-    return _apply(docs, facts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").drop("twin")
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    found = _apply(docs, ["doc_id"], facts, fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("row.doc_id", *(n for n, _ in fields))
 
 
 def remaining(docs: DataFrame) -> DataFrame:
-    """``docs`` with what is left of every text; a character cut in two at an edge goes too. Null text stays null."""
+    """``docs`` with what is left of every text; a character cut in two at an edge goes too. Null text stays null.
+
+    Rows travel once, with their texts.
+    """
 
-    def text(doc_id: int | None, body: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
-        return {"doc_id": doc_id, "text": _kept_bytes(body, low, high).decode("utf-8", "ignore")}
+    def text(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
+        return (_kept_bytes(body, low, high).decode("utf-8", "ignore"),)
 
-    left = _apply(docs.select("doc_id", "text"), text, "doc_id long, text string")
-    left = left.select(F.col("doc_id").alias("of"), F.col("twin").alias("of_twin"), F.col("text").alias("left")).dropDuplicates(["of", "of_twin"])
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"))
-    joined = packed.join(left, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
-    kept = F.when(F.col("row.text").isNotNull(), F.col("left")).alias("text")
-    return joined.select(*(kept if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    marked = docs.select("*", F.col("text").isNull().alias("__no_text"))
+    rest = [c for c in docs.columns if c != "text"]
+    left = _apply(marked, [*rest, "__no_text"], text, [("left", pa.string())], "left string")
+    kept = F.when(~F.col("row").getField("__no_text"), F.col("left"))
+    return left.select(*(kept.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
