@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, embed_dedup, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens
+from cairn.llm import chat, collocations, embed_dedup, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens, warc, whitening
 from cairn.llm.tables import read, vocabulary
 
 #: A text made of the template's own marks, added to the conversations as number -7.
@@ -99,6 +99,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.index(spark, path)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank", "capture")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
@@ -110,6 +124,9 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_warc": op13_warc,
 }
 
 def _escaped(text: str) -> str:
@@ -186,4 +203,29 @@ ORACLE_SQL: dict[str, str] = {
   l AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.label = b.label AND a.id < b.id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
   {_REACHED}
   SELECT d.id AS vec_id, (SELECT count(*) FROM e WHERE e.x = d.id) AS n_links, component_id, d.id = component_id AS kept FROM d JOIN g ON a = d.id""",
+    "op12_collocations": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+  g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+  o AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+  k AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM o WHERE size >= 2),
+  c AS (SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * k.a) // (l.a + r.a) AS score FROM k
+      JOIN o l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN o r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+      QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1),
+  i AS (SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda m: list_transform(range(1, size - m + 2), lambda s: array_to_string(w[s:s + m - 1], ' '))))) AS phrase
+      FROM (SELECT *, string_split(phrase, ' ') AS w FROM o WHERE size >= 3)),
+  m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, (SELECT sum(len(w)) FROM w WHERE w.lang = c.lang)::BIGINT AS n, score::BIGINT AS score
+  FROM c LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""",
+    "op13_warc": r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+      regexp_replace(regexp_replace(trim(url), '^.*?://', ''), '#.*$', '') AS rest FROM pages),
+  u AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^.*@', '') AS host, substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) AS path FROM p),
+  k AS (SELECT *, CASE WHEN rest IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(regexp_replace(string_split(host, ':')[1], '^www\.', ''), '.')), ',')
+      || CASE WHEN coalesce(string_split(host, ':')[2], '') IN ('', '80', '443') THEN '' ELSE ':' || string_split(host, ':')[2] END
+      || ')' || CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END END AS url_key, max(page_id) OVER (PARTITION BY html) AS owner FROM u)
+  SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to,
+    url_key, row_number() OVER (ORDER BY url_key, page_id) AS history_rank, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture FROM k""",
 }

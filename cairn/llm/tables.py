@@ -27,13 +27,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settled_parquet(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder, and read again; the folder is the application's own and goes with it."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own below the application's folder within the shared checkpoint folder."""
     checkpointing(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def settled_parquet(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder, in a folder of this application, and read again."""
+    path = fresh_path(df.sparkSession, "stage")
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def vocabulary(name: str) -> str:

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings"):
+    for table in ("documents", "conversations", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     wanted = con.execute(q.ORACLE_SQL[name])
     columns = [d[0] for d in wanted.description]
