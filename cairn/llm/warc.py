@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.exprs import let
 from cairn.llm.tables import fresh_path, settled_parquet
 
 END = "\r\n\r\n"
@@ -51,11 +52,15 @@ ENTRY = "url_key string, at string, id long, file string, offset long, length lo
 
 def base32_sha1(text: Column) -> Column:
     """The SHA-1 of a string's bytes as 32 characters of bare base32."""
-    digest, out = F.sha1(text.cast("binary")), []
-    for i in range(8):  # five hexadecimal digits are four characters
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*out)
+
+    def spelled(digest: Column) -> Column:
+        out = []
+        for i in range(8):  # five hexadecimal digits are four characters
+            bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
+            out += [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+        return F.concat(*out)
+
+    return let(F.sha1(text.cast("binary")), spelled)  # the digest is taken once
 
 
 def _record_id(number: Column) -> Column:
