@@ -161,78 +161,126 @@ def _passing(w: Words, salt: np.ndarray, counts: np.ndarray, n: int, bits: dict)
     return at, mix(w.grams(n)[at] ^ salt[at])
 
 
-def _bits(chunks: DataFrame, sizes: list[int], least: int, known: dict) -> np.ndarray:
-    """The table of bits of all phrases of these sizes whose hash occurs often enough."""
+def _packed(values: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted values as differences, and their counts, byte by byte of equal weight: most of these bytes are zero."""
+    planes = [np.diff(values, prepend=np.uint64(0)), times.astype(np.uint64)]
+    return pa.compress(b"".join(p.view(np.uint8).reshape(-1, 8).T.tobytes() for p in planes), codec="zstd", asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weights, held = [], [], 0
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            own, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            return own, np.bincount(place, np.concatenate(weights), len(own)).astype(np.int64)
+def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 16 * n, codec="zstd"), np.uint8).reshape(2, 8, n)
+    differences, times = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
+    return np.cumsum(differences, dtype=np.uint64), times.astype(np.int64)
+
+
+def _summed(values: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, place = np.unique(np.concatenate(values), return_inverse=True)
+    return own, np.bincount(place, np.concatenate(times), len(own)).astype(np.int64)
+
+
+def _bits(chunks: DataFrame, sizes: list[int], least: int, known: dict, places: int) -> np.ndarray:
+    """The table of bits of all phrases of these sizes whose hash occurs often enough.
+
+    Of the hashes as many bits count as ``places``, the number of words in the dictionary, asks for: one value in 64 is taken. A task
+    sums what it reads and sends its values packed, by ranges; the ranges follow ``places`` too.
+    """
+    width = min(64, places.bit_length() + 6)
+    split = min(width, max(6, (places >> 21).bit_length()))
+    mask, inner, table = np.uint64((1 << width) - 1), np.uint64(width - split), min(TABLE, 1 << width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, weights, held = [], [], 0
 
-        def out(own: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(total)], names=["hash", "times"])
+        def out() -> pa.RecordBatch:
+            own, total = _summed(values, weights)
+            part = own >> inner
+            edges = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63))) if len(own) else np.empty(0, np.int64)
+            ends = np.append(edges[1:], len(own)).tolist() if len(own) else []
+            rows = [_packed(own[a:b] - (part[a] << inner), total[a:b]) for a, b in zip(edges.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int64)), pa.array(np.array(ends, np.int64) - edges), pa.array(rows, pa.binary())], names=["part", "n", "packed"])
 
         for batch in batches:
             _, w, row, times, counts = _own(batch)
             salt = _salts(batch)[row]
             for n in sizes:
                 at, found = _passing(w, salt, counts, n, known)
-                hashes.append(found)
+                values.append(found & mask)
                 weights.append(times[at])
                 held += len(at)
             if held > 4 * GATHERED:
-                own, total = summed()
-                hashes, weights, held = [own], [total], len(own)
+                own, total = _summed(values, weights)
+                values, weights, held = [own], [total], len(own)
                 if held > GATHERED:
-                    yield out(own, total)
-                    hashes, weights, held = [], [], 0
-        if hashes:
-            yield out(*summed())
-
-    often = chunks.mapInArrow(count, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= least)
-    at = F.col("hash").bitwiseAND(F.lit(TABLE - 1))
+                    yield out()
+                    values, weights, held = [], [], 0
+        if values:
+            yield out()
+
+    def frequent(rows: pa.Table) -> pa.Table:
+        found = [_unpacked(p.as_py(), n.as_py()) for p, n in zip(rows.column("packed"), rows.column("n"), strict=True)]
+        own, total = _summed([v for v, _ in found], [t for _, t in found])
+        value = own[total >= least] + (np.uint64(rows.column("part")[0].as_py()) << inner)
+        return pa.table({"hash": np.unique(value & np.uint64(table - 1)).astype(np.int64)})
+
+    often = chunks.mapInArrow(count, "part long, n long, packed binary").groupBy("part").applyInArrow(frequent, "hash long")
+    size = min(PAGE, table >> 3)
     bit = F.expr("shiftleft(1, cast(hash & 7 AS INT))")
-    filled = often.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(bit).alias("bits"))
+    filled = often.groupBy(F.shiftright("hash", 3).alias("byte")).agg(F.bit_or(bit).alias("bits"))
 
     def page(rows: pa.Table) -> pa.Table:
         byte = rows.column("byte").to_numpy()
-        own = np.zeros(PAGE, np.uint8)
-        own[byte % PAGE] = rows.column("bits").to_numpy()
-        return pa.table({"page": [int(byte[0]) // PAGE], "own": pa.array([own.tobytes()], pa.binary())})
+        own = np.zeros(size, np.uint8)
+        own[byte % size] = rows.column("bits").to_numpy()
+        return pa.table({"page": [int(byte[0]) // size], "own": pa.array([own.tobytes()], pa.binary())})
 
-    out = np.zeros(TABLE >> 3, np.uint8)
-    for p in filled.groupBy(F.floor(F.col("byte") / PAGE)).applyInArrow(page, "page long, own binary").collect():  # the table, 8 MB at any size
-        out[p.page * PAGE : (p.page + 1) * PAGE] = np.frombuffer(p.own, np.uint8)
+    out = np.zeros(table >> 3, np.uint8)
+    for p in filled.groupBy(F.floor(F.col("byte") / size)).applyInArrow(page, "page long, own binary").collect():  # the table, 8 MB at any size
+        out[p.page * size : (p.page + 1) * size] = np.frombuffer(p.own, np.uint8)
     return out
 
 
 def counted(chunks: DataFrame, least: int) -> DataFrame:
     """lang, phrase, size (words) and times of every phrase of one to four words that occurs ``least`` times or more."""
     spark, tables = chunks.sparkSession, {}
+    places = chunks.agg(F.sum("words")).first()[0] or 0
     for sizes in ([1], [2], [3, 4]):
-        bits = spark.sparkContext.broadcast(_bits(chunks, sizes, least, tables))
+        bits = spark.sparkContext.broadcast(_bits(chunks, sizes, least, tables, places))
         tables.update(dict.fromkeys(sizes, bits))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], int] = {}  # both hashes of a phrase to its place in the lists
+        langs, phrases, sizes, sums = [], [], [], np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string(), safe=False), pa.array(sizes, pa.int32()), pa.array(sums)], names=["lang", "phrase", "size", "times"])
+
         for batch in batches:
             data, w, row, times, counts = _own(batch, twice=True)
-            salt, body, langs = _salts(batch)[row], data.tobytes(), batch.column("lang").to_pylist()
+            salt, body, names = _salts(batch)[row], data.tobytes(), batch.column("lang").to_pylist()
             for n in range(1, LONGEST + 1):
                 at, found = _passing(w, salt, counts, n, tables)
                 if not len(at):
                     continue
-                # a phrase is known within the batch by both its hashes
-                key = np.stack([found, w.grams(n, other=True)[at]], axis=1).view("u8,u8").ravel()
-                own, first, place = np.unique(key, return_index=True, return_inverse=True)
-                total = np.bincount(place.ravel(), times[at], len(own)).astype(np.int64)
-                at = at[first]
-                words = [[body[a:b] for a, b in zip(w.first[at + k].tolist(), w.last[at + k].tolist(), strict=True)] for k in range(n)]
-                phrases = [b" ".join(p) for p in zip(*words, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[r] for r in row[at].tolist()], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string(), safe=False), pa.array([n] * len(at), pa.int32()), pa.array(total)], names=["lang", "phrase", "size", "times"]
-                )
+                other = w.grams(n, other=True)[at]
+                own, first, place = np.unique(found, return_index=True, return_inverse=True)
+                if (other != other[first][place]).any():  # two phrases of one hash in a batch
+                    own, first, place = np.unique(np.stack([found, other], axis=1), axis=0, return_index=True, return_inverse=True)
+                    place = place.ravel()
+                total, at = np.bincount(place, times[at], len(first)).astype(np.int64), at[first]
+                seen = np.array([held.setdefault(k, len(held)) for k in zip(found[first].tolist(), other[first].tolist(), strict=True)])
+                fresh = at[seen >= len(phrases)]
+                words = [[body[a:b] for a, b in zip(w.first[fresh + k].tolist(), w.last[fresh + k].tolist(), strict=True)] for k in range(n)]
+                phrases += [b" ".join(p) for p in zip(*words, strict=True)]
+                langs += [names[r] for r in row[fresh].tolist()]
+                sizes += [n] * len(fresh)
+                sums = np.append(sums, np.zeros(len(held) - len(sums), np.int64))
+                sums[seen] += total
+            if len(held) > GATHERED // 4:
+                yield out()
+                held.clear()
+                langs, phrases, sizes, sums = [], [], [], np.zeros(0, np.int64)
+        if held:
+            yield out()
 
     rows = chunks.mapInArrow(spell, "lang string, phrase string, size int, times long")
     return settled_parquet(rows.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).filter(F.col("times") >= least))
