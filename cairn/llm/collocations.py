@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,16 +162,27 @@ def _passing(w: Words, salt: np.ndarray, counts: np.ndarray, n: int, bits: dict)
     return at, mix(w.grams(n)[at] ^ salt[at])
 
 
-def _packed(values: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted values as differences, and their counts, byte by byte of equal weight: most of these bytes are zero."""
-    planes = [np.diff(values, prepend=np.uint64(0)), times.astype(np.uint64)]
-    return pa.compress(b"".join(p.view(np.uint8).reshape(-1, 8).T.tobytes() for p in planes), codec="zstd", asbytes=True)
+def _packed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of numbers byte by byte of equal weight, as most of these bytes are zero, and what follows them."""
+    return pa.compress(b"".join(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns) + tail, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(data, 16 * n, codec="zstd"), np.uint8).reshape(2, 8, n)
-    differences, times = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
-    return np.cumsum(differences, dtype=np.uint64), times.astype(np.int64)
+def _unpacked(data: bytes, n: int, columns: int = 2, tail: int = 0) -> tuple[list[np.ndarray], bytes]:
+    body = pa.decompress(data, 8 * columns * n + tail, codec="zstd", asbytes=True)
+    planes = np.frombuffer(body, np.uint8, 8 * columns * n).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes], body[8 * columns * n :]
+
+
+def _ranges(places: int) -> tuple[int, int]:
+    """How many bits of a hash tell values apart in a dictionary of so many words, and how many of them name a range."""
+    width = min(64, places.bit_length() + 6)
+    return width, min(width, max(6, (places >> 21).bit_length()))
+
+
+def _edges(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """The bounds of each run of equal values."""
+    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.empty(0, np.int64)
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(sorted_)).tolist(), strict=True))
 
 
 def _summed(values: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +196,7 @@ def _bits(chunks: DataFrame, sizes: list[int], least: int, known: dict, places:
     Of the hashes as many bits count as ``places``, the number of words in the dictionary, asks for: one value in 64 is taken. A task
     sums what it reads and sends its values packed, by ranges; the ranges follow ``places`` too.
     """
-    width = min(64, places.bit_length() + 6)
-    split = min(width, max(6, (places >> 21).bit_length()))
+    width, split = _ranges(places)
     mask, inner, table = np.uint64((1 << width) - 1), np.uint64(width - split), min(TABLE, 1 << width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +205,9 @@ def _bits(chunks: DataFrame, sizes: list[int], least: int, known: dict, places:
         def out() -> pa.RecordBatch:
             own, total = _summed(values, weights)
             part = own >> inner
-            edges = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63))) if len(own) else np.empty(0, np.int64)
-            ends = np.append(edges[1:], len(own)).tolist() if len(own) else []
-            rows = [_packed(own[a:b] - (part[a] << inner), total[a:b]) for a, b in zip(edges.tolist(), ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int64)), pa.array(np.array(ends, np.int64) - edges), pa.array(rows, pa.binary())], names=["part", "n", "packed"])
+            bounds = _edges(part)
+            rows = [_packed(np.diff(own[a:b] - (part[a] << inner), prepend=np.uint64(0)), total[a:b]) for a, b in bounds]
+            return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in bounds], pa.int64()), pa.array([b - a for a, b in bounds], pa.int64()), pa.array(rows, pa.binary())], names=["part", "n", "packed"])
 
         for batch in batches:
             _, w, row, times, counts = _own(batch)
@@ -217,8 +227,8 @@ def _bits(chunks: DataFrame, sizes: list[int], least: int, known: dict, places:
             yield out()
 
     def frequent(rows: pa.Table) -> pa.Table:
-        found = [_unpacked(p.as_py(), n.as_py()) for p, n in zip(rows.column("packed"), rows.column("n"), strict=True)]
-        own, total = _summed([v for v, _ in found], [t for _, t in found])
+        found = [_unpacked(p.as_py(), n.as_py())[0] for p, n in zip(rows.column("packed"), rows.column("n"), strict=True)]
+        own, total = _summed([np.cumsum(v, dtype=np.uint64) for v, _ in found], [t.astype(np.int64) for _, t in found])
         value = own[total >= least] + (np.uint64(rows.column("part")[0].as_py()) << inner)
         return pa.table({"hash": np.unique(value & np.uint64(table - 1)).astype(np.int64)})
 
@@ -243,16 +253,26 @@ def counted(chunks: DataFrame, least: int) -> DataFrame:
     """lang, phrase, size (words) and times of every phrase of one to four words that occurs ``least`` times or more."""
     spark, tables = chunks.sparkSession, {}
     places = chunks.agg(F.sum("words")).first()[0] or 0
+    inner = np.uint64(64 - _ranges(places)[1])
     for sizes in ([1], [2], [3, 4]):
         bits = spark.sparkContext.broadcast(_bits(chunks, sizes, least, tables, places))
         tables.update(dict.fromkeys(sizes, bits))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], int] = {}  # both hashes of a phrase to its place in the lists
-        langs, phrases, sizes, sums = [], [], [], np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string(), safe=False), pa.array(sizes, pa.int32()), pa.array(sums)], names=["lang", "phrase", "size", "times"])
+        langs, phrases, sums = [], [], np.zeros(0, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            part = np.array([k[0] for k in held], np.uint64) >> inner
+            rows = pa.table({"lang": pa.array(langs, pa.string()), "part": part.astype(np.int64), "phrase": pa.array(phrases, pa.large_binary()), "times": sums})
+            rows = rows.sort_by([("lang", "ascending"), ("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+            lang, part, phrase, times = (rows.column(i).chunk(0) for i in range(4))
+            number = lang.dictionary_encode().indices.to_numpy().astype(np.int64) << 32
+            offsets, body = np.frombuffer(phrase.buffers()[1], np.int64), phrase.buffers()[2]
+            for a, b in _edges(number + part.to_numpy()):
+                text = body[offsets[a] : offsets[b]]
+                packed = _packed(np.diff(offsets[a : b + 1]), times.to_numpy()[a:b], tail=text.to_pybytes())
+                yield pa.RecordBatch.from_arrays([lang[a : a + 1], part[a : a + 1], pa.array([b - a], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([packed], pa.binary())], names=["lang", "part", "n", "bytes", "packed"])
 
         for batch in batches:
             data, w, row, times, counts = _own(batch, twice=True)
@@ -272,18 +292,29 @@ def counted(chunks: DataFrame, least: int) -> DataFrame:
                 words = [[body[a:b] for a, b in zip(w.first[fresh + k].tolist(), w.last[fresh + k].tolist(), strict=True)] for k in range(n)]
                 phrases += [b" ".join(p) for p in zip(*words, strict=True)]
                 langs += [names[r] for r in row[fresh].tolist()]
-                sizes += [n] * len(fresh)
                 sums = np.append(sums, np.zeros(len(held) - len(sums), np.int64))
                 sums[seen] += total
-            if len(held) > GATHERED // 4:
-                yield out()
+            if len(held) > GATHERED:
+                yield from out()
                 held.clear()
-                langs, phrases, sizes, sums = [], [], [], np.zeros(0, np.int64)
+                langs, phrases, sums = [], [], np.zeros(0, np.int64)
         if held:
-            yield out()
-
-    rows = chunks.mapInArrow(spell, "lang string, phrase string, size int, times long")
-    return settled_parquet(rows.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).filter(F.col("times") >= least))
+            yield from out()
+
+    def exact(rows: pa.Table) -> pa.Table:
+        found = []
+        for n, size, packed in zip(*(rows.column(c).to_pylist() for c in ("n", "bytes", "packed")), strict=True):
+            (lengths, times), text = _unpacked(packed, n, 2, size)
+            offsets = np.append(0, np.cumsum(lengths.astype(np.int64)))
+            found.append(pa.table({"phrase": pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(text)]), "times": times.astype(np.int64)}))
+        total = pa.concat_tables(found).group_by("phrase").aggregate([("times", "sum")])
+        total = total.filter(pc.greater_equal(total.column("times_sum"), least))
+        phrase = total.column("phrase").cast(pa.binary()).cast(pa.string(), safe=False)
+        size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * total.num_rows, pa.string()), "phrase": phrase, "size": size, "times": total.column("times_sum")})
+
+    packed = chunks.mapInArrow(spell, "lang string, part long, n long, bytes long, packed binary")
+    return settled_parquet(packed.groupBy("lang", "part").applyInArrow(exact, "lang string, phrase string, size int, times long"))
 
 
 def mine(docs: DataFrame, least: int = 30, most: int = 2000, covered: int = 80) -> DataFrame:
