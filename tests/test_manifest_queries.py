@@ -53,6 +53,18 @@ def test_without_sql_runs_the_same_twice(spark, name):
     assert one == two
 
 
+BRANCHES = {
+    "operation_order": {"cyclic": {True, False}, "level": {None, *range(1, 8)}},
+    "operation_problems": {"problem": {"STEP_COLLISION", "FINAL_COLLISION", "TARGET_EXISTS", "TARGET_NOT_VACATED"}},
+}
+
+
+@pytest.mark.parametrize("name", sorted(BRANCHES))
+def test_every_branch_has_rows(duck, name):
+    for column, values in BRANCHES[name].items():
+        assert {r[0] for r in duck.execute(f"SELECT DISTINCT {column} FROM ({manifest.ORACLE_SQL[name]})").fetchall()} == values
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
