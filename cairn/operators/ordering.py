@@ -12,12 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.lineage import settled
+from cairn.lineage import settled as checkpointed
 from cairn.operators.numbering import numbered
 
+#: Rows to a partition of a written table, at least: later rounds have few rows.
+LEAST_ROWS = 20_000
+
 NODE = "struct<id:bigint,step:int,path:string>"
 
 
+def settled(df: DataFrame, rows: int) -> DataFrame:
+    return checkpointed(df.coalesce(max(1, rows // LEAST_ROWS)))
+
+
 def _moves() -> Column:
     return F.coalesce(F.col("target") != F.col("source"), F.lit(False))
 
@@ -52,6 +59,8 @@ def waits(operations: DataFrame) -> DataFrame:
     arrive = moves.select(F.col("target").alias("path"), "id", "step", F.col("me").alias("in"))
     leave = moves.select(F.col("source").alias("path"), "id", "step", F.col("me").alias("out"))
     lasts = leave.groupBy("path", "id").agg(F.max("step").alias("leaves"))
+    leavers = leave.groupBy("path").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    arrive = arrive.join(leavers, "path").filter("low <> id OR high <> id")  # nobody waits for a path that no other file leaves
     arrive = arrive.join(lasts, ["path", "id"], "left").withColumn("through", F.coalesce(F.col("leaves") > F.col("step"), F.lit(False)))
     passing = arrive.filter("through").groupBy("path").agg(F.min("id").alias("one"), F.max("id").alias("other"))
     lone = passing.filter("one = other").select("path", "one")
@@ -68,7 +77,7 @@ def waits(operations: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, level of all ``nodes`` (node, level if nothing comes before) that are on no cycle and wait for none.
+    """node, level of all ``nodes`` (node, level if nothing comes before; others count from 0) that are on no cycle and wait for none.
 
     The level of a node is the highest level before it plus the weight of that edge. A round settles nodes that wait for nothing
     open. A node that waits for one open node alone is at max(c, level of that one + w); such functions compose, so
@@ -76,55 +85,54 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     after a chain then waits for its head. So the number of rounds follows the nodes that wait for several open
     ones in a row. A round that leaves as many nodes open as before ends it: these are on cycles or behind them.
     """
-    waiting = edges.groupBy("before", "after").agg(F.max("weight").alias("weight"))
-    known = nodes.select("node").distinct()
-    points = waiting.select(F.col("before").alias("node")).union(waiting.select(F.col("after").alias("node"))).distinct().join(known, "node", "left_anti")
-    open_ = settled(nodes.select("node", F.col("level").cast("long").alias("c")).unionByName(points.select("node", F.lit(0).cast("long").alias("c"))))
-    waiting = settled(waiting)
+    known = nodes.count()
+    waiting = settled(edges, 3 * known)
+    points = waiting.select(F.col("after").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
+    open_ = settled(nodes.select("node", F.col("level").cast("long").alias("c")).unionByName(points.select("node", F.lit(0).cast("long").alias("c"))), known)
     done, postponed, before = None, [], -1
     while (still := open_.count()) not in (0, before):
         before = still
         own = waiting.groupBy(F.col("after").alias("node")).agg(F.min("before").alias("head"), F.max("before").alias("other"), F.max("weight").alias("w"))
-        placed = settled(open_.join(own, "node", "left"))
+        placed = settled(open_.join(own, "node", "left"), still)
         ready = placed.filter("head IS NULL").select("node", F.col("c").alias("level"))
         single = placed.filter("head = other").select("node", "c", "head", "w")
         many = placed.filter("head <> other").select("node", "c")
         # along chains of single nodes, to a head that is not one
-        steps, last = settled(single), -1
+        steps, last = single, -1
         inner = single.select(F.col("node").alias("head"), F.lit(True).alias("on"))
         while (inside := steps.join(inner, "head", "left_semi").count()) not in (0, last):
             last = inside
             ahead = steps.select(F.col("node").alias("head"), F.col("c").alias("c2"), F.col("head").alias("head2"), F.col("w").alias("w2"))
             grown = steps.join(ahead, "head", "left")
             c = F.greatest("c", F.coalesce(F.col("c2") + F.col("w"), F.col("c")))
-            steps = settled(grown.select("node", c.alias("c"), F.coalesce("head2", "head").alias("head"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")))
+            steps = settled(grown.select("node", c.alias("c"), F.coalesce("head2", "head").alias("head"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")), still)
         ended = steps.join(inner, "head", "left_anti")  # the others go in circles
         reached = ended.join(ready.select(F.col("node").alias("head"), F.col("level").alias("at")), "head", "left")
         level = F.greatest("c", F.col("at") + F.col("w"))
-        fresh = settled(ready.unionByName(reached.filter("at IS NOT NULL").select("node", level.alias("level"))))
+        fresh = settled(ready.unionByName(reached.filter("at IS NOT NULL").select("node", level.alias("level"))), still)
         done = fresh if done is None else done.unionByName(fresh)
-        behind = settled(reached.filter("at IS NULL").select("node", "c", "head", "w"))
+        behind = settled(reached.filter("at IS NULL").select("node", "c", "head", "w"), still)
         postponed.append(behind)
         # what the nodes with several open ones before them wait for now
         kept = waiting.join(many.select(F.col("node").alias("after")), "after", "left_semi")
         told = kept.join(fresh.select(F.col("node").alias("before"), "level"), "before", "left").join(behind.select(F.col("node").alias("before"), F.col("c").alias("least"), "head", "w"), "before", "left")
-        told = settled(told)
+        told = settled(told, still)
         bound = F.max(F.coalesce(F.col("level"), F.col("least")) + F.col("weight"))
         least = told.groupBy(F.col("after").alias("node")).agg(bound.alias("more"))
-        open_ = settled(many.join(least, "node", "left").select("node", F.greatest("c", F.coalesce("more", "c")).alias("c")))
+        open_ = settled(many.join(least, "node", "left").select("node", F.greatest("c", F.coalesce("more", "c")).alias("c")), still)
         rest = told.filter("level IS NULL").select(F.coalesce("head", "before").alias("before"), "after", (F.col("weight") + F.coalesce("w", F.lit(0))).alias("weight"))
-        waiting = settled(rest.groupBy("before", "after").agg(F.max("weight").alias("weight")))
+        waiting = settled(rest.groupBy("before", "after").agg(F.max("weight").alias("weight")), still)
     if done is None:
         return open_.select("node", F.col("c").alias("level"))
     for behind in reversed(postponed):  # heads of a later round come first
         found = behind.join(done.select(F.col("node").alias("head"), F.col("level").alias("at")), "head")
-        done = settled(done.unionByName(found.select("node", F.greatest("c", F.col("at") + F.col("w")).alias("level"))))
+        done = settled(done.unionByName(found.select("node", F.greatest("c", F.col("at") + F.col("w")).alias("level"))), known)
     return done
 
 
 def operation_order(operations: DataFrame) -> DataFrame:
     """Operations (id, step, operation, source, target) with ``op``, ``level`` and ``sequence`` (from 1); both are null on and behind cycles, where ``cyclic`` is true."""
-    ops = settled(chained(operations).withColumn("node", _node(F.col("id"), F.col("step"))))
+    ops = checkpointed(chained(operations).withColumn("node", _node(F.col("id"), F.col("step"))))
     found = levels(ops.select("node", F.lit(1).alias("level")), waits(ops.drop("node")))
     placed = ops.join(found, "node", "left").drop("node")
     order = [F.col("level"), F.col("step"), F.col("op"), F.col("id"), F.col("source")]
