@@ -1,22 +1,17 @@
 """Which copy of a duplicate group stays, and why.
 
 Policies and weighted scores are windows over a group. Where a choice depends on what earlier groups released
-(balancing, protecting a directory's last file), the groups are folded in a fixed order; that fold runs in one
-task over one compact row per group and is the only part that does not spread over a cluster.
+(balancing, protecting a directory's last file), ``dedupe_run`` takes the groups in order.
 """
 
 from __future__ import annotations
 
-
-from itertools import takewhile
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.paths import ancestors, glob_regex, suffix
+from cairn.operators import dedupe_run
 
 GROUP = ["content_hash", "size"]
 
@@ -108,147 +103,38 @@ def released_by_root(decided: DataFrame, roots: list[str]) -> DataFrame:
     return every.join(freed, "root_key", "left").select("root_key", F.coalesce("freed", F.lit(0)).alias("released_bytes"))
 
 
-#: Groups that are balanced together, about.
-BLOCK_GROUPS = 100_000
-
-
 def balanced(members: DataFrame, roots: list[str], by: str = "files", protect_last_file: bool = False) -> DataFrame:
     """The copy of each group whose keeping leaves removals most even over the roots: content_hash, size, keep.
 
     ``by="files"`` counts removals, groups in order of hash and size; ``by="bytes"`` counts released bytes, groups in
     order of size, largest first, and hash. The smallest (spread, sum of squares, root rank, path) wins. With
     ``protect_last_file`` a choice that would empty a directory is not made, and a group without a safe choice is
-    left out. ``directory_files`` must then hold each member's directory count.
-
-    Every choice depends on those before it, so groups are dealt by a hash to blocks of about BLOCK_GROUPS, each with
-    balances of its own: every block is even by itself, and a table of fewer groups is one block. A group is
-    summed up to one row for each root (and directory, if these are protected) before any of that, however many copies it has.
-    With protected directories all groups form one block, since a directory's count cannot be shared out.
+    left out; ``directory`` and ``directory_files``, the number of files right in it, must then be given. Every choice
+    comes after all before it, at any size (``dedupe_run``).
     """
-    known = {r: i for i, r in enumerate(roots)}
     place = F.col("directory") if protect_last_file else F.lit("")
-    left = F.max("directory_files") if protect_last_file else F.lit(0)
-    sides = members.groupBy(*GROUP, "root_key", place.alias("place")).agg(F.count("*").alias("n"), F.min("absolute_path").alias("path"), left.cast("long").alias("files"))
-    groups = sides.groupBy(*GROUP).agg(F.collect_list(F.struct("root_key", "place", "n", "path", "files")).alias("sides"), F.sum("n").alias("copies")).filter("copies >= 2")
-    blocks = 1 if protect_last_file else 1 + groups.count() // BLOCK_GROUPS
-    groups = groups.withColumn("block", F.pmod(F.xxhash64(*GROUP), F.lit(blocks)).cast("int"))
-
-    def choose(table: pd.DataFrame) -> pd.DataFrame:
-        order = ["content_hash", "size"] if by == "files" else ["size", "content_hash"]
-        table = table.sort_values(order, ascending=[True, True] if by == "files" else [False, True])
-        index = dict(known)
-        freed = np.zeros(len(index) + 64, np.int64)
-        going: dict[str, int] = {}
-        keeps = []
-        for size, group in zip(table["size"], table["sides"], strict=True):
-            root = np.array([index.setdefault(s["root_key"], len(index)) for s in group])
-            if len(index) > len(freed):
-                freed = np.append(freed, np.zeros(len(index), np.int64))
-            n = np.array([s["n"] for s in group])
-            unit = 1 if by == "files" else int(size)
-            all_gone = freed + np.bincount(root, n * unit, len(freed)).astype(np.int64)
-            ranked = np.union1d(np.arange(len(known)), root)
-            after = all_gone[ranked] - unit * (ranked == root[:, None])  # one row for each choice
-            spread = after.max(axis=1) - after.min(axis=1)
-            # sums of squares of two choices differ as the balances of their roots do, the other way round
-            key = sorted(range(len(group)), key=lambda i: (spread[i], -all_gone[root[i]], min(root[i], len(known)), group[i]["path"]))
-            leaving: dict[str, int] = {}
-            for s in group:
-                leaving[s["place"]] = leaving.get(s["place"], 0) + s["n"]
-            files = {s["place"]: s["files"] for s in group}
-            if protect_last_file:
-                spare = {d: files[d] - going.get(d, 0) - k for d, k in leaving.items()}
-                short = [d for d, k in spare.items() if k < 1]
-                key = [i for i in key if not short or (short == [group[i]["place"]] and (spare[short[0]] == 0 or leaving[short[0]] == 1))]
-            if not key:
-                keeps.append(None)
-                continue
-            best = key[0]
-            freed = all_gone
-            freed[root[best]] -= unit
-            for d, k in leaving.items():
-                going[d] = going.get(d, 0) + k - (d == group[best]["place"])
-            keeps.append(group[best]["path"])
-        return table.assign(keep=keeps).dropna(subset=["keep"])[["content_hash", "size", "keep"]]
-
-    return groups.groupBy("block").applyInPandas(choose, "content_hash string, size long, keep string")
-
-
-def _lowest_common(directories: list[str]) -> str:
-    """The deepest directory above or at all of some relative ones, which that of the least and the greatest is."""
-    low, high = (x.split("/") if x else [] for x in (min(directories), max(directories)))
-    return "/".join(a for a, _ in takewhile(lambda p: p[0] == p[1], zip(low, high, strict=False)))
-
-
-def _spread(values: list[int]) -> tuple[int, int]:
-    return max(values) - min(values), sum(v * v for v in values)
-
-
-class _Released:
-    """Bytes released so far: by root, and by directory with and without what lies below."""
-
-    def __init__(self, roots: list[str]):
-        self.root = dict.fromkeys(roots, 0)
-        self.below: dict[tuple[str, str], int] = {}
-        self.direct: dict[tuple[str, str], int] = {}
-
-    def add(self, root: str, directory: str, size: int) -> None:
-        self.root[root] = self.root.get(root, 0) + size
-        self.direct[root, directory] = self.direct.get((root, directory), 0) + size
-        parts = directory.split("/") if directory else []
-        for i in range(len(parts) + 1):
-            key = root, "/".join(parts[:i])
-            self.below[key] = self.below.get(key, 0) + size
-
-    def in_root(self, sides: list, size: int) -> tuple[tuple[int, int], object]:
-        """The choice within one root that leaves the directories below the common one most even, and how even."""
-        common = _lowest_common([s["place"] for s in sides])
-        depth = len(common) + 1 if common else 0
-        bucket = [None if s["place"] == common else s["place"][: (s["place"] + "/").index("/", depth)] for s in sides]
-        root = sides[0]["root_key"]
-        after = {b: self.direct.get((root, common), 0) if b is None else self.below.get((root, b), 0) for b in bucket}
-        for s, b in zip(sides, bucket, strict=True):
-            after[b] += s["n"] * size
-        return min(((_spread([v - size * (b == own) for b, v in after.items()]), s) for s, own in zip(sides, bucket, strict=True)), key=lambda x: (x[0], x[1]["path"]))
-
-    def choice(self, sides: list, size: int) -> object:
-        """The copy to keep: its root leaves roots most even, then its directory the directories."""
-        by_root: dict[str, list] = {}
-        for s in sides:
-            by_root.setdefault(s["root_key"], []).append(s)
-        if len(by_root) == 1:
-            return self.in_root(sides, size)[1]
-        gone = {r: v + size * sum(s["n"] for s in by_root.get(r, [])) for r, v in self.root.items()}
-        even = {r: _spread([v - size * (x == r) for x, v in gone.items()]) for r in by_root}
-        best = [own for r, own in by_root.items() if even[r] == min(even.values())]
-        found = [((0, 0), own[0]) if len(own) == 1 and own[0]["n"] == 1 else self.in_root(own, size) for own in best]
-        return min(found, key=lambda x: (x[0], x[1]["path"]))[1]
+    every = members.withColumn("directory", place).withColumn("eligible", F.lit(True)).withColumn("top", F.lit(True))
+    counts = every.groupBy("root_key", "directory").agg(F.max("directory_files").cast("long").alias("files")) if protect_last_file else None
+    return _kept(dedupe_run.run(several(every), roots, counts, by))
 
 
 def balanced_recursively(members: DataFrame, roots: list[str]) -> DataFrame:
     """The copy of each group whose keeping leaves released bytes most even over roots, then over directories: content_hash, size, keep.
 
     Groups go by size, largest first, then by hash. Within a root the directories right below the deepest common one
-    of the group's copies are compared, by all that was released below them so far. Blocks of groups as in ``balanced``.
-    ``directory`` is each member's, relative to its root; the roots are all roots that occur.
+    of the group's copies are compared, by all that was released below them so far. ``directory`` is each member's,
+    relative to its root; the roots are all roots that occur.
     """
-    sides = members.groupBy(*GROUP, "root_key", F.col("directory").alias("place")).agg(F.count("*").alias("n"), F.min("absolute_path").alias("path"))
-    groups = sides.groupBy(*GROUP).agg(F.collect_list(F.struct("root_key", "place", "n", "path")).alias("sides"), F.sum("n").alias("copies")).filter("copies >= 2")
-    blocks = 1 + groups.count() // BLOCK_GROUPS
-    groups = groups.withColumn("block", F.pmod(F.xxhash64(*GROUP), F.lit(blocks)).cast("int"))
-
-    def choose(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["size", "content_hash"], ascending=[False, True])
-        released = _Released(roots)
-        keeps = []
-        for size, sides in zip(table["size"], table["sides"], strict=True):
-            keep = released.choice(list(sides), int(size))
-            for s in sides:
-                released.add(s["root_key"], s["place"], int(size) * (s["n"] - (s is keep)))
-            keeps.append(keep["path"])
-        return table.assign(keep=keeps)[["content_hash", "size", "keep"]]
-
-    return groups.groupBy("block").applyInPandas(choose, "content_hash string, size long, keep string")
+    return _kept(dedupe_run.run(several(members.withColumn("eligible", F.lit(True)).withColumn("top", F.lit(True))), roots))
+
+
+def several(members: DataFrame) -> DataFrame:
+    """Members of groups of two or more."""
+    return members.withColumn("members", F.count("*").over(Window.partitionBy(*GROUP))).filter("members >= 2").drop("members")
+
+
+def _kept(decided: DataFrame) -> DataFrame:
+    return decided.filter("keep IS NOT NULL").select(*GROUP, "keep")
 
 
 def fingerprint(members: DataFrame) -> DataFrame:

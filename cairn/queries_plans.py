@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import ordering
+from cairn.functions import paths
+from cairn.operators import dedupe, dedupe_run, ordering
 from cairn.registry import query
 from cairn.sources import manifest as mf
 
@@ -77,3 +78,22 @@ def operation_problems(spark, sf_dir):
     d = mf.table(spark, sf_dir, "documents")
     path = lambda folder: F.concat(F.lit(f"/{folder}/"), F.col("doc_id").cast("string")).alias("path")
     return ordering.operation_problems(operations(spark, sf_dir), d.select(path("p")).union(d.filter("doc_id % 100 = 4").select(path("s"))))
+
+
+def _shelved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as files in many small directories, three deep, some of them full of copies; one file in nine may not be kept."""
+    f = mf.files(spark, sf_dir).drop("relative_path", "absolute_path")
+    shelf = F.concat("lang", F.lit("/"), "source", F.lit("/b"), F.pmod(F.crc32(F.substring("content_hash", 1, 12).cast("binary")), F.lit(40)).cast("string"))
+    deep = F.concat(shelf, F.when(F.col("id") % 3 == 0, F.lit("/c")).otherwise(F.lit("")))
+    f = f.withColumn("directory", deep).withColumn("relative_path", F.concat("directory", F.lit("/"), "basename"))
+    return f.withColumn("absolute_path", F.concat("root_key", F.lit("/"), "relative_path")).withColumn("eligible", F.col("id") % 9 != 4)
+
+
+@query()
+def dedupe_run_protected(spark, sf_dir):
+    """Scores, ties, balance over directories and protection of last files at every height, in one run."""
+    f = _shelved(spark, sf_dir)
+    scored = dedupe.scored(f, ["en/*", "*/src1*"], 5, [".pdf", ".jpg"], 3, "none", 0)
+    below = f.select("root_key", F.explode(paths.ancestors(F.col("relative_path"))).alias("directory"))
+    counts = below.groupBy("root_key", "directory").agg(F.count("*").alias("files"))
+    return dedupe_run.run(scored, mf.ROOTS, counts)
