@@ -56,6 +56,14 @@ def test_without_sql_runs_the_same_twice(spark, name):
 BRANCHES = {
     "operation_order": {"cyclic": {True, False}, "level": {None, *range(1, 8)}},
     "operation_problems": {"problem": {"STEP_COLLISION", "FINAL_COLLISION", "TARGET_EXISTS", "TARGET_NOT_VACATED"}},
+    "flatten_preflight": {"problem": {None, "INVALID_CONFIG", "SCOPE_NOT_FOUND", "SYMLINK_BLOCKED", "CROSS_ROOT", "SCOPE_OVERLAP"}},
+    "flatten_resolution": {
+        "unnest(string_split(conflicts, ','))": {
+            "", "WRAPPER_IDENTITY_CHANGED", "SOURCE_MISSING", "WRAPPER_CHILD_SYMLINK", "UNSUPPORTED_OBJECT", "SOURCE_TYPE_CHANGED", "SOURCE_IDENTITY_CHANGED", "TARGET_SYMLINK",
+            "RESERVED_TARGET", "TARGET_OUTSIDE_ALLOWED_ROOT", "NAME_TOO_LONG", "PLANNED_TARGET_COLLISION", "CASE_ONLY_COLLISION", "TARGET_EXISTS", "RENAME_CYCLE",
+        },
+        "level": {None, 1, 2},
+    },
 }
 
 
