@@ -65,11 +65,22 @@ def stat_name(name: Column, template: str, **counts: Column) -> Column:
     return render(template, values | {k: v for k, v in counts.items() if k != "total_bytes"})
 
 
-def cleaned_base(name: Column, patterns: list[str], rounds: int = 8) -> Column:
-    """The name without what any of the patterns matches, over and over, ``rounds`` times at most; spaces at the edges go."""
+def cleaned_base(name: Column, patterns: list[str]) -> Column:
+    """The name without what any of the patterns matches (case aside), over and over until nothing changes; spaces at the end go each time.
+
+    Every round but the last takes a character at least, so there are as many as the name has characters; once nothing
+    changes, the rest of them cost nothing.
+    """
     for pattern in patterns:
         re.compile(pattern)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), name, lambda s, _: F.trim(reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, s)))
+    bare = lambda text: F.regexp_replace(text, f"{EDGE}+$", "")
+    start = F.struct(bare(name).alias("text"), F.lit(bool(patterns)).alias("open"))
+
+    def again(s: Column, _: Column) -> Column:
+        less = reduce(lambda t, p: bare(F.regexp_replace(t, f"(?i){p}", "")), patterns, s["text"])
+        return F.when(s["open"], F.struct(less.alias("text"), (less != s["text"]).alias("open"))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(name)), start, again, lambda s: s["text"])
 
 
 def rename(name: Column, mode: str, find: str = "", value: str = "", keep_extension: bool = True) -> Column:

@@ -24,3 +24,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     offsets = spark.createDataFrame(starts or [(0, 0)], "__part int, __start long")
     joined = placed.join(F.broadcast(offsets), "__part")
     return joined.withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """The same from 0 within each group ``by``; a group may be spread over any number of tasks."""
+    placed = numbered(rows, [*map(F.col, by), *order], name)
+    if not by:
+        return placed
+    starts = placed.groupBy(*by).agg(F.min(name).alias("__first"))
+    return placed.join(starts, by).withColumn(name, F.col(name) - F.col("__first")).drop("__first")

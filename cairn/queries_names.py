@@ -27,10 +27,20 @@ def stat_names(spark, sf_dir):
     return files(spark, sf_dir).select("id", names.without_stat_suffixes(name).alias("base"), renamed.alias("renamed"))
 
 
-@query(f"WITH {FILES} SELECT id, CASE id % 4 WHEN 0 THEN 'doc' WHEN 1 THEN 'doc_' || id WHEN 2 THEN 'doc' ELSE 'x' END AS cleaned FROM files")
+#: One round of cleaning in SQL; the query repeats it until a round changes nothing.
+_CLEANED = "rtrim(regexp_replace(rtrim(regexp_replace(rtrim(regexp_replace(name, '\\(copy\\)', '', 'gi')), '_$', '')), '^_', ''))"
+
+
+@query(
+    f"WITH RECURSIVE {FILES}, n AS (SELECT id, [repeat('(co', id % 23) || 'doc_(((copy)Copy)copy) ' || repeat('py)', id % 23), stem, ' _(copy)doc_(COPY)', '_' || repeat('_', id % 40) || 'x  '][id % 4 + 1] AS name FROM files), "
+    f"r AS (SELECT id, rtrim(name) AS name, 0 AS round FROM n UNION ALL SELECT id, {_CLEANED}, round + 1 FROM r WHERE {_CLEANED} <> name) SELECT id, arg_max(name, round) AS cleaned FROM r GROUP BY 1"
+)
 def cleaned_names(spark, sf_dir):
-    which = F.col("id") % 4
-    name = F.when(which == 0, F.concat(F.lit("doc_"), F.lit("(((copy)copy)copy) "))).when(which == 1, F.col("stem")).when(which == 2, F.lit(" _(copy)doc_(copy)")).otherwise(F.lit("x"))
+    """Names of which some need dozens of rounds."""
+    i = F.col("id")
+    many = lambda text, n: F.repeat(F.lit(text), (i % n).cast("int"))
+    nested = F.concat(many("(co", 23), F.lit("doc_(((copy)Copy)copy) "), many("py)", 23))
+    name = F.when(i % 4 == 0, nested).when(i % 4 == 1, F.col("stem")).when(i % 4 == 2, F.lit(" _(copy)doc_(COPY)")).otherwise(F.concat(F.lit("_"), many("_", 40), F.lit("x  ")))
     return files(spark, sf_dir).select("id", names.cleaned_base(name, [r"\(copy\)", r"_$", r"^_"]).alias("cleaned"))
 
 
