@@ -64,6 +64,13 @@ BRANCHES = {
         },
         "level": {None, 1, 2},
     },
+    "organizer_preview": {
+        "conflict": {None, "PLANNED_TARGET_COLLISION", "TARGET_EXISTS", "SYMLINK_BLOCKED", "NAME_TOO_LONG", "OUTSIDE_ALLOWED_ROOT", "LATEST_CHILD_TIE", "WRAPPER_CHILD_SYMLINK", "WRAPPER_CHILD_NOT_DIRECTORY", "WRAPPER_TARGET_EXISTS"},
+        "type": {"directory_rename", "latest_child_prefix", "file_rename", "wrapper_collapse"}, "tags": {"", "KEEP"}, "changed": {True, False},
+    },
+    "organizer_renames": {"conflict": {None, "INVALID_TARGET_NAME", "PLANNED_TARGET_COLLISION", "RENAME_CYCLE"}},
+    "organizer_operations": {"operation": {"rename", "touch"}},
+    "organizer_structural": {"problem": {None, "WRAPPER_GONE", "NOT_READY", "CHANGED"}},
 }
 
 
