@@ -9,8 +9,13 @@ from pyspark.sql.window import Window
 
 from cairn.functions.names import size_label
 from cairn.functions.paths import suffix
+from cairn.lineage import settled
+from cairn.operators.flatten import folded
+from cairn.operators.numbering import numbered_within
 
 FILES_PER_BUCKET = 200
+#: Fixed value: bytes that a file system takes for a name.
+NAME_BYTES = 255
 
 
 def numbered(index: Column, name: Column, width: int = 3) -> Column:
@@ -67,27 +72,42 @@ def smart_targets(files: DataFrame) -> DataFrame:
     return media.withColumn("status", F.when(mixed, "move").otherwise("skipped_pure")).withColumn("target", F.when(mixed, target))
 
 
+def free_numbers(wanted: DataFrame, taken: DataFrame, by: list[str], order: list[Column], start: int) -> DataFrame:
+    """``wanted`` with ``free``: within ``by`` its rows in ``order`` get the smallest numbers from ``start`` on that are not ``taken`` (by, k; distinct).
+
+    Before a taken number lie as many free ones as it has smaller numbers less those taken; before the j-th wanted row lie j - 1. In the union of
+    both in this order a row's own place is its number. All groups are numbered by ranges, whatever their size.
+    """
+    held = numbered_within(taken.filter(F.col("k") >= start), by, [F.col("k")], "__i").select(*by, (F.col("k") - start - F.col("__i")).alias("__before"), F.lit(False).alias("__wants"))
+    asking = numbered_within(wanted, by, order, "__before").withColumn("__wants", F.lit(True))
+    placed = numbered_within(asking.unionByName(held, allowMissingColumns=True), by, [F.col("__before"), F.col("__wants")], "free")
+    return placed.filter("__wants").withColumn("free", F.col("free") + start).drop("__before", "__wants")
+
+
 def allocate_names(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` (name, position) with ``new_name``: of names with equal case-folded spelling in a group ``by`` the first stays.
 
     The j-th of the others gets the j-th suffix of ``__dup002``, ``__dup003`` and so on before its extension that no
-    row of the group has as its own name. All is numbered by windows over one spelling, never over a whole group.
+    row of the group has as its own name. Where that would take over 255 bytes the name becomes ``file_000007``, the position plus 1, with
+    the first such suffix.
     """
     tail = suffix(F.col("name"))
-    split = rows.withColumn("__tail", tail).withColumn("__head", F.left("name", F.length("name") - F.length(tail)))
-    split = split.withColumn("__folded", F.lower("name"))
-    again = Window.partitionBy(*by, "__folded").orderBy("position")
-    ranked = split.withColumn("__again", F.row_number().over(again) - 1)
-
-    number = F.regexp_extract(F.lower("__head"), r"^(.*)__dup([1-9][0-9]{3,}|[0-9]{3})$", 2)
-    base = F.regexp_extract(F.lower("__head"), r"^(.*)__dup([1-9][0-9]{3,}|[0-9]{3})$", 1)
-    own = split.select(*by, F.concat(base, F.lower("__tail")).alias("__folded"), number.try_cast("long").alias("k")).filter("k >= 2")
-    held = own.groupBy(*by, "__folded").agg(F.sort_array(F.collect_set("k")).alias("__held"))
-    free = F.aggregate(F.coalesce("__held", F.array().cast("array<bigint>")), F.col("__again") + F.lit(1).cast("long"), lambda k, taken: F.when(taken <= k, k + 1).otherwise(k))
-    joined = ranked.join(held, [*by, "__folded"], "left")
-    made = F.concat("__head", F.lit("__dup"), F.when(free < 1000, F.lpad(free.cast("string"), 3, "0")).otherwise(free.cast("string")), "__tail")
-    new_name = F.when(F.col("__again") == 0, F.col("name")).otherwise(made)
-    return joined.withColumn("new_name", new_name).select(*rows.columns, "new_name")
+    split = rows.withColumn("__tail", tail).withColumn("__head", F.left("name", F.length("name") - F.length(tail))).withColumn("__key", folded(F.col("name")))
+    ranked = settled(numbered_within(split, [*by, "__key"], [F.col("position")], "__again"))
+
+    number = r"^(?s)(.*)__dup([1-9][0-9]{3,}|[0-9]{3})$"
+    low = folded(F.col("__head"))
+    own = ranked.select(*by, F.concat(F.regexp_extract(low, number, 1), folded(F.col("__tail"))).alias("__key"), F.regexp_extract(low, number, 2).try_cast("long").alias("k")).filter("k >= 2").distinct()
+
+    padded = lambda n, width: F.when(F.length(n.cast("string")) < width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string"))
+    plain = F.concat(F.lit("file_"), padded(F.col("position") + 1, 6))
+    fits = F.octet_length("name") + len("__dup002") <= NAME_BYTES
+    again = ranked.filter("__again > 0").withColumn("__head", F.when(fits, F.col("__head")).otherwise(plain)).withColumn("__key", F.when(fits, F.col("__key")).otherwise(F.concat(plain, folded(F.col("__tail")))))
+    ending = F.concat(F.lit("__dup"), padded(F.col("free"), 3), F.col("__tail"))
+    made = F.concat("__head", ending)
+    renamed = free_numbers(again, own, [*by, "__key"], [F.col("position")], 2).withColumn("new_name", F.when(F.octet_length(made) <= NAME_BYTES, made).otherwise(F.concat(plain, ending)))
+    first = ranked.filter("__again = 0").withColumn("new_name", F.col("name"))
+    return first.select(*rows.columns, "new_name").unionByName(renamed.select(*rows.columns, "new_name"))
 
 
 def probe_names(rows: DataFrame, by: list[str]) -> DataFrame:

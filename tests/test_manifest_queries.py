@@ -54,6 +54,13 @@ def test_without_sql_runs_the_same_twice(spark, name):
 
 
 BRANCHES = {
+    "media_units": {
+        "status": {"ready", "already_organized", "skipped", "blocked"},
+        "operation": {None, "flatten", "buckets", "sort"},
+        "reason": {None, "WRAPPER_DEPTH", "RESERVED_WORKSPACE", "EXCLUDED_IN_WRAPPER", "CROSS_DEVICE", "INDEPENDENT_WORK", "SPECIAL_FILE", "TARGET_OCCUPIED", "FOLDER_NOT_DIRECTORY", "FOLDER_NOT_AN_INPUT"},
+    },
+    "media_unit_held": {"reason": {"RESERVED_WORKSPACE", "CROSS_DEVICE", "SPECIAL_FILE", "UNCLEAR_FOLDER"}},
+    "media_unit_groups": {"kind": {"P", "V", "Other"}, "bucket": {0, 1, 2}},
     "operation_order": {"cyclic": {True, False}, "level": {None, *range(1, 8)}},
     "operation_problems": {"problem": {"STEP_COLLISION", "FINAL_COLLISION", "TARGET_EXISTS", "TARGET_NOT_VACATED"}},
     "flatten_preflight": {"problem": {None, "INVALID_CONFIG", "SCOPE_NOT_FOUND", "SYMLINK_BLOCKED", "CROSS_ROOT", "SCOPE_OVERLAP"}},
