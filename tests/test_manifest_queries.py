@@ -54,7 +54,7 @@ def test_without_sql_runs_the_same_twice(spark, name):
 
 
 BRANCHES = {
-    "snapshot_tree": {"leaf": {True, False}, "level": {0, 1, 2}},
+    "snapshot_tree": {"leaf": {True, False}, "level": {0, 1}},
     "snapshot_changes": {"before": {0, 1}, "after": {0, 1, 2}},
     "media_units": {
         "status": {"ready", "already_organized", "skipped", "blocked"},
