@@ -9,11 +9,13 @@ gathered grows with the corpus.
 
 Mixing. Bytes are written in Huffman codes of the training texts, one for each
 byte before, so a byte is a short run of bits. For each of ORDERS, the last bytes and
-the place in the code pick a slot of a hashed table, filled from all training texts but a
-bounded sample: log odds of a one, and how often the slot was seen. A gate, made of how
-often the slots were seen, picks the weights that combine the predictors' log odds;
-the weights are learned online over the sample (at most SAMPLE_TEXTS whole texts
-and SAMPLE_BYTES bytes), whose own bits are in no slot, and a table refines the mixed odds.
+the place in the code pick a slot of a hashed table, filled from all training texts:
+log odds of a one, and how often the slot was seen. A gate, made of how
+often the slots were seen, picks the weights that combine the predictors' log odds,
+and a table refines the mixed odds. Both are learned from every bit of every training text:
+the texts are dealt to FOLDS folds by their hash, a bit is looked up in tables of the
+other folds alone, and what is looked up is counted, by gate and by odds in steps;
+the weights of a gate are the best ones for its counts.
 
 Adaptive refinement. A text is read in order, word by word with the white space before
 it. Each word is also predicted from how often it occurs in all training texts of
@@ -52,13 +54,12 @@ WORD = 7
 ORDERS = (2, 4, WORD)
 TABLE_BITS = 20
 #: Bytes of text whose bits a task holds at a time.
-SLICE = 1 << 20
+SLICE = 1 << 17
 SHARD = 1 << 15
-#: The fit takes one training text in so many at most, so that tables keep most of a small corpus.
-SAMPLE_EVERY = 8
-SAMPLE_TEXTS = 1000
-SAMPLE_BYTES = 1 << 21
-BATCH_BITS = 1 << 16
+#: Bits of a fold that a task gathers before it counts them.
+GATHERED_BITS = 1 << 22
+#: Parts of the training texts: what the weights see of a text's bits comes from the other parts.
+FOLDS = 2
 SEEN = np.array([1, 4, 24])
 STEPS = len(SEEN) + 1
 GATES = STEPS ** len(ORDERS)
@@ -66,6 +67,10 @@ GATES = STEPS ** len(ORDERS)
 TABLE_STEP = 4
 REFINE_STEP = 8
 LEVELS = 16 * REFINE_STEP + 1
+#: For the fit, log odds are counted in so many steps, two of the tables' each; weights start from PRIOR, as if by PRIOR_BITS bits.
+ODDS = 33
+PRIOR = 0.45
+PRIOR_BITS = 16.0
 #: Bytes of text to a block, and to a shard of the words, about.
 BLOCK_BYTES = 1 << 24
 #: Forms of a word that the counts can predict (white space before it, capitals), and one for all others.
@@ -240,37 +245,68 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(SYMBOLS, SYMBOLS)
 
 
+def fold(text: Column) -> Column:
+    """The fold of a training text; equal texts share one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def _fold_bits(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """For each fold, slots and bits of its texts, a few million at a time."""
+    held: list[list[tuple[list[np.ndarray], np.ndarray]]] = [[] for _ in range(FOLDS)]
+    sizes = [0] * FOLDS
+
+    def gathered(f: int) -> tuple[int, list[np.ndarray], np.ndarray]:
+        out = f, [np.concatenate(x) for x in zip(*(slots for slots, _ in held[f]), strict=True)], np.concatenate([bit for _, bit in held[f]])
+        held[f], sizes[f] = [], 0
+        return out
+
+    for batch in batches:
+        own = batch.column("fold").to_numpy()
+        for f in range(FOLDS):
+            for _, data, starts in tb.slices(batch.filter(pa.array(own == f)), "text", SLICE):
+                slots, bit, _ = _bits(data, starts, codes)
+                held[f].append((slots, bit))
+                sizes[f] += len(bit)
+                if sizes[f] > GATHERED_BITS:
+                    yield gathered(f)
+    yield from (gathered(f) for f in range(FOLDS) if held[f])
+
+
 def tables(docs: DataFrame, codes: Broadcast) -> np.ndarray:
-    """Of every slot of every table one byte: the log odds of a one in steps, and below them how often the slot was seen, in STEPS."""
+    """Of every slot of every table one byte: the log odds of a one in steps, and below them how often the slot was seen, in STEPS.
+
+    First the tables of all texts, then for each fold those of all texts but its own.
+    """
     size = 2 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(ORDERS), size), np.int64)
-        for batch in batches:
-            for _, data, starts in tb.slices(batch, "text", SLICE):
-                slots, bit, _ = _bits(data, starts, codes.value)
-                for k, slot in enumerate(slots):
-                    seen[k] += np.bincount((slot.astype(np.int64) << 1) + bit, minlength=size)
-        for k in range(len(ORDERS)):
-            shards = [pack_numbers(seen[k, at : at + SHARD]) for at in range(0, size, SHARD)]
-            columns = [pa.array(np.full(len(shards), k, np.int32)), pa.array(np.arange(len(shards), dtype=np.int32)), pa.array(shards, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "shard", "counts"])
+        seen = np.zeros((FOLDS, len(ORDERS), size), np.int64)
+        for f, slots, bit in _fold_bits(batches, codes.value):
+            for k, slot in enumerate(slots):
+                seen[f, k] += np.bincount((slot.astype(np.int64) << 1) + bit, minlength=size)
+        for f, k in np.ndindex(FOLDS, len(ORDERS)):
+            shards = [pack_numbers(seen[f, k, at : at + SHARD]) for at in range(0, size, SHARD)]
+            columns = [pa.array(np.full(len(shards), x, np.int32)) for x in (k, f)] + [pa.array(np.arange(len(shards), dtype=np.int32)), pa.array(shards, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "fold", "shard", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SHARD, np.int64)
+        total = np.zeros((FOLDS, SHARD), np.int64)
         for part in parts:
-            for blob in part.column("counts"):
-                total += unpack_numbers(blob.as_py())
-        zeros, ones = total.reshape(-1, 2).T
-        odds = np.clip(np.rint(TABLE_STEP * np.log((ones + 0.3) / (zeros + 0.3))), -31, 31).astype(np.int64) + 32
-        cell = (odds * STEPS + np.searchsorted(SEEN, zeros + ones, "right")).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([cell.tobytes()], pa.binary())], ["k", "shard", "cells"])
-
-    parts = docs.select("text").mapInArrow(count, "k int, shard int, counts binary").groupBy("k", "shard").applyInArrow(add, "k int, shard int, cells binary")
+            for f, blob in zip(part.column("fold").to_pylist(), part.column("counts"), strict=True):
+                total[f] += unpack_numbers(blob.as_py())
+        every = total.sum(axis=0)
+        cells = []
+        for left in (every, *(every - own for own in total)):
+            zeros, ones = left.reshape(-1, 2).T
+            odds = np.clip(np.rint(TABLE_STEP * np.log((ones + 0.3) / (zeros + 0.3))), -31, 31).astype(np.int64) + 32
+            cells.append((odds * STEPS + np.searchsorted(SEEN, zeros + ones, "right")).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([b"".join(cells)], pa.binary())], ["k", "shard", "cells"])
+
+    parts = docs.select("text", fold(F.col("text")).alias("fold")).mapInArrow(count, "k int, fold int, shard int, counts binary").groupBy("k", "shard").applyInArrow(add, "k int, shard int, cells binary")
     half = SHARD // 2
-    out = np.full((len(ORDERS), size // 2), 32 * STEPS, np.uint8)
+    out = np.full((1 + FOLDS, len(ORDERS), size // 2), 32 * STEPS, np.uint8)
     for row in parts.toLocalIterator():  # the tables have a fixed size, one byte a slot
-        out[row.k, row.shard * half : (row.shard + 1) * half] = np.frombuffer(row.cells, np.uint8)
+        out[:, row.k, row.shard * half : (row.shard + 1) * half] = np.frombuffer(row.cells, np.uint8).reshape(1 + FOLDS, half)
     return out
 
 
@@ -286,68 +322,110 @@ def _gate(cells: list[np.ndarray]) -> np.ndarray:
     return gate
 
 
-class Mixer:
-    """Gated weights, learned online, and a table that refines the mixed odds."""
+def level(mixed: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(mixed, -8, 8) + np.float32(8)) * np.float32(REFINE_STEP)).astype(np.int32)
 
-    def __init__(self):
-        self.weights = np.full((GATES, len(ORDERS)), 0.45, np.float64)
-        centres = np.tile(np.linspace(-8, 8, LEVELS), (GATES, 1))
-        self.ones = 40 / (1 + np.exp(-centres))
-        self.total = np.full((GATES, LEVELS), 40.0)
 
-    @staticmethod
-    def level(mixed: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(mixed, -8, 8) + np.float32(8)) * np.float32(REFINE_STEP)).astype(np.int32)
-
-    def learn(self, cells: list[np.ndarray], bit: np.ndarray, rate: float, refine: bool) -> None:
-        gate = _gate(cells).astype(np.int64)
-        odds = [CELL_ODDS[c] for c in cells]
-        mixed = np.clip(sum(x * self.weights[:, k].take(gate) for k, x in enumerate(odds)), -8, 8)
-        error = bit - 1 / (1 + np.exp(-mixed))
-        if refine:
-            at = gate * LEVELS + self.level(mixed)
-            self.total += np.bincount(at, minlength=self.total.size).reshape(self.total.shape)
-            self.ones += np.bincount(at, bit, self.total.size).reshape(self.total.shape)
-        seen = np.maximum(np.bincount(gate, minlength=GATES), 64)
-        for k, x in enumerate(odds):
-            self.weights[:, k] += rate * np.bincount(gate, error * x, GATES) / seen
-
-    def frozen(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each predictor its part of the mixed odds by gate and cell; log10 probability by bit, gate and level."""
-        parts = [(self.weights[:, k : k + 1] * CELL_ODDS).astype(np.float32).ravel() for k in range(len(ORDERS))]
-        one = np.clip(self.ones / self.total, 1e-5, 1 - 1e-5)
-        return parts, np.log10(np.stack([1 - one, one])).astype(np.float32).ravel()
-
-
-def fitted(sample: list[str | None], codes: Codes, cells: np.ndarray) -> Mixer:
-    """Online passes over the sample."""
-    mixer = Mixer()
-    batch = pa.RecordBatch.from_arrays([pa.array(sample, pa.string())], ["text"])
-    for turn, rate in enumerate((0.5, 0.1)):
-        for _, data, starts in tb.slices(batch, "text", SLICE):
-            slots, bit, _ = _bits(data, starts, codes)
-            for at in range(0, len(bit), BATCH_BITS):
-                mixer.learn([cells[k].take(s[at : at + BATCH_BITS]) for k, s in enumerate(slots)], bit[at : at + BATCH_BITS], rate, turn == 1)
-    return mixer
+def _odds_step(cell: np.ndarray) -> np.ndarray:
+    """The step of a cell's log odds for the fit, the same on both sides of zero."""
+    odds = cell // STEPS - 32
+    return (ODDS // 2 + np.sign(odds) * ((np.abs(odds) + 1) // 2)).clip(0, ODDS - 1)
+
+
+#: What each predictor's cell adds to the number of a cell of the fit's counts: gate first, then the steps of all log odds.
+FIT_CELLS = GATES * ODDS ** len(ORDERS)
+FIT_KEYS = [
+    ((np.arange(256) % STEPS) * STEPS ** (len(ORDERS) - 1 - k) * ODDS ** len(ORDERS) + _odds_step(np.arange(256)) * ODDS ** (len(ORDERS) - 1 - k)).astype(np.int32)
+    for k in range(len(ORDERS))
+]
+#: The log odds that a step stands for, a step of two of the tables' steps by the middle of both.
+STEP_ODDS = np.array([np.sign(x) * min(2 * abs(x) - 0.5, 31) / TABLE_STEP for x in range(-(ODDS // 2), ODDS // 2 + 1)])
+
+
+def best_weights(odds: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The weights of the predictors' ``odds`` (a row each) that make the bits most likely, by Newton's method."""
+    weights = np.full(len(odds), PRIOR)
+    n = zeros + ones
+
+    def loss(w: np.ndarray) -> float:
+        mixed = w @ odds
+        return float((n * np.logaddexp(0, mixed) - ones * mixed).sum() + PRIOR_BITS / 2 * ((w - PRIOR) ** 2).sum())
+
+    now = loss(weights)
+    for _ in range(50):
+        one = 1 / (1 + np.exp(-(weights @ odds)))
+        slope = odds @ (n * one - ones) + PRIOR_BITS * (weights - PRIOR)
+        bend = (odds * (n * one * (1 - one))) @ odds.T + PRIOR_BITS * np.eye(len(odds))
+        move = np.linalg.solve(bend, slope)
+        while (then := loss(weights - move)) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        if then > now or np.abs(move).max() < 1e-9:
+            break
+        weights, now = weights - move, then
+    return weights
+
+
+def refined(odds: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each level of the mixed odds the probability of a one: what the odds say, moved by how far they were off around that level."""
+    mixed = np.clip(weights @ odds, -8, 8)
+    at, n = level(mixed), zeros + ones
+    near = np.array([1, 2, 3, 4, 3, 2, 1]) / 4
+    spread = lambda x: np.convolve(np.bincount(at, x, LEVELS), near, "same")
+    said = 1 / (1 + np.exp(-np.linspace(-8, 8, LEVELS)))
+    return said + spread(ones - n / (1 + np.exp(-mixed))) / (40 + spread(n))
+
+
+def fitted(docs: DataFrame, codes: Broadcast, cells: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by gate and predictor, and the probability of a one by gate and level, from all bits of the texts."""
+    own = ODDS ** len(ORDERS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(2 * FIT_CELLS, np.int64)
+        for f, slots, bit in _fold_bits(batches, codes.value):
+            for at in range(0, len(bit), SLICE):
+                key = FIT_KEYS[0].take(cells.value[1 + f, 0].take(slots[0][at : at + SLICE]))
+                for k in range(1, len(ORDERS)):
+                    key += FIT_KEYS[k].take(cells.value[1 + f, k].take(slots[k][at : at + SLICE]))
+                slots[0][at : at + SLICE] = (key << 1) + bit[at : at + SLICE]
+            seen += np.bincount(slots[0], minlength=len(seen))
+        by_gate = seen.reshape(GATES, 2 * own)
+        met = np.flatnonzero(by_gate.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([pack_numbers(by_gate[g]) for g in met], pa.binary())], ["gate", "counts"])
+
+    def fit(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * own, np.int64)
+        for part in parts:
+            for blob in part.column("counts"):
+                total += unpack_numbers(blob.as_py()).astype(np.int64)
+        met = np.flatnonzero(total.reshape(-1, 2).any(axis=1))
+        zeros, ones = total.reshape(-1, 2)[met].T.astype(float)
+        gate = key[0].as_py()
+        steps = np.stack(np.unravel_index(met, (ODDS,) * len(ORDERS)))
+        odds = STEP_ODDS[steps]
+        weights = best_weights(odds, zeros, ones)
+        yield pa.RecordBatch.from_arrays([pa.array([gate], pa.int32()), pa.array([weights.tolist()]), pa.array([refined(odds, zeros, ones, weights).tolist()])], ["gate", "weights", "one"])
+
+    weights = np.full((GATES, len(ORDERS)), PRIOR)
+    one = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, LEVELS))), (GATES, 1))
+    counted = docs.select("text", fold(F.col("text")).alias("fold")).mapInArrow(count, "gate int, counts binary")
+    for row in counted.groupBy("gate").applyInArrow(fit, "gate int, weights array<double>, one array<double>").collect():  # GATES rows at most
+        weights[row.gate], one[row.gate] = row.weights, row.one
+    return weights, one
 
 
 def mixing_model(docs: DataFrame) -> Broadcast:
-    """The bit model of the training texts: codes, tables and what the mixer learned; of a fixed size."""
-    spark = docs.sparkSession
-    training = docs.filter(~held_out(F.col("doc_id"))).select("text", F.xxhash64("doc_id", "text").alias("at"))
+    """The bit model of the training texts: codes, tables, each predictor's part of the mixed odds by gate and cell, and log10 probabilities by bit, gate and level; of a fixed size."""
+    context = docs.sparkSession.sparkContext
+    training = docs.filter(~held_out(F.col("doc_id"))).select("text")
     codes = Codes(pair_counts(training))
-    # a sample by hash: the texts below a bound, which the tables leave out
-    drawn = training.filter(F.pmod("at", F.lit(SAMPLE_EVERY)) == 0).select("at", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    bound, size = None, 0
-    for row in drawn.orderBy("at").limit(SAMPLE_TEXTS).collect():
-        size += row["size"]
-        if size > SAMPLE_BYTES:
-            break
-        bound = row["at"]
-    sampled = (F.pmod("at", F.lit(SAMPLE_EVERY)) == 0) & (F.col("at") <= F.lit(bound)) if bound is not None else F.lit(False)
-    cells = tables(training.filter(~sampled), spark.sparkContext.broadcast(codes))
-    sample = [r.text for r in training.filter(sampled).select("text").dropDuplicates().collect()]  # at most SAMPLE_BYTES
-    return spark.sparkContext.broadcast((codes, cells, *fitted(sample, codes, cells).frozen()))
+    shared = context.broadcast(codes)
+    cells = tables(training, shared)
+    folds = context.broadcast(cells)
+    weights, one = fitted(training, shared, folds)
+    folds.destroy()
+    parts = [(weights[:, k : k + 1] * CELL_ODDS).astype(np.float32).ravel() for k in range(len(ORDERS))]
+    one = np.clip(one, 1e-5, 1 - 1e-5)
+    return context.broadcast((codes, cells[0].copy(), parts, np.log10(np.stack([1 - one, one])).astype(np.float32).ravel()))
 
 
 # ---------------------------------------------------------------- scores
@@ -361,7 +439,7 @@ def _bit_logs(slots: list[np.ndarray], bit: np.ndarray, cells: np.ndarray, parts
     mixed = parts[0].take(base + own[0])
     for k in range(1, len(own)):
         mixed += parts[k].take(base + own[k])
-    return logs.take((bit * np.int32(GATES) + gate) * np.int32(LEVELS) + Mixer.level(mixed))
+    return logs.take((bit * np.int32(GATES) + gate) * np.int32(LEVELS) + level(mixed))
 
 
 def _before(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:

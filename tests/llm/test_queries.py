@@ -291,6 +291,43 @@ def test_language_model_against_plain_mixing(spark, folder):
         assert found[d].score == pytest.approx(brute.mixed_score(docs[d], model, counts, mass), rel=1e-4, abs=1e-3), d
 
 
+def test_language_model_fits_weights_to_all_training_texts(spark):
+    """The weights of every gate are the best ones for all bits of all training texts, each seen through the tables of the other fold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    codes, cells, parts, _ = lm.mixing_model(docs).value
+    rows = docs.filter(~lm.held_out(F.col("doc_id"))).select("text", lm.fold(F.col("text")).alias("fold")).collect()
+    assert len(rows) > 800
+    looked_up = []
+    counts = np.zeros((2, len(lm.ORDERS), 2 << lm.TABLE_BITS), np.int64)
+    for f in (0, 1):
+        bodies = [(r.text or "").encode() for r in rows if r.fold == f]
+        slots, bit, _ = lm._bits(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]), codes)
+        looked_up.append((slots, bit))
+        for k, slot in enumerate(slots):
+            np.add.at(counts[f, k], 2 * slot.astype(np.int64) + bit, 1)
+    every = counts.sum(axis=0)
+    odds_of = lambda c: np.clip(np.rint(4 * np.log((c[..., 1::2] + 0.3) / (c[..., ::2] + 0.3))), -31, 31)
+    seen_of = lambda c: np.searchsorted([1, 4, 24], c[..., 1::2] + c[..., ::2], "right")
+    assert np.array_equal(cells, (odds_of(every) + 32) * 4 + seen_of(every))
+    gates, odds, bits = [], [], []
+    for f, (slots, bit) in enumerate(looked_up):
+        odds.append([odds_of(counts[1 - f, k])[slot] for k, slot in enumerate(slots)])
+        seen = [seen_of(counts[1 - f, k])[slot] for k, slot in enumerate(slots)]
+        gates.append(seen[0] * 16 + seen[1] * 4 + seen[2])
+        bits.append(bit)
+    gates, odds, bits = np.concatenate(gates), np.concatenate(odds, axis=1), np.concatenate(bits)
+    odds = np.sign(odds) * np.where(odds == 0, 0, np.minimum(2 * ((np.abs(odds) + 1) // 2) - 0.5, 31)) / 4  # two steps count as their middle
+    tried = 0
+    for g in np.flatnonzero(np.bincount(gates, minlength=64) > 1000):
+        own = gates == g
+        weights = np.array([parts[k][g * 256 + 36 * 4] for k in range(3)])  # what log odds of 1 come to
+        off = 1 / (1 + np.exp(-weights @ odds[:, own])) - bits[own]
+        slope = odds[:, own] @ off + 16 * (weights - 0.45)
+        assert np.abs(slope).max() < 1e-4 * own.sum(), g
+        tried += 1
+    assert tried > 10
+
+
 def test_language_model_against_spelled_unigrams(spark):
     """On held-out texts the score beats the unigram baseline once that has to spell the words it does not know."""
     folder = "/root/testdata/sf0.01"
