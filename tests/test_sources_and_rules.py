@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import media, names, paths, schedules
-from cairn.operators import dedupe, filters, layout
+from cairn.operators import dedupe, filters, layout, renames
 from cairn.plans import workflow
 from cairn.sources import listing, pages, reports, sinks
 from cairn.streaming import index
@@ -308,3 +308,15 @@ def test_balanced_directories(spark):
             members.append({"content_hash": f"h{g:03d}", "size": 10 + g % 5, "root_key": r, "directory": d, "absolute_path": "/".join(filter(None, [r, d, f"{g}_{i}"]))})
     found = dedupe.balanced_recursively(spark.createDataFrame(members), roots)
     assert {(r.content_hash, r["size"]): r.keep for r in found.collect()} == plainly_balanced_directories(members, roots)
+
+
+def test_trims_without_the_entry_that_would_hold_the_name(spark):
+    """Every entry gets a suggestion or a reason: the first of two equal trims is suggested where nothing holds the name."""
+    rows = [(0, " n4.txt"), (0, "n4.txt "), (1, " n6.txt"), (1, "n6.txt "), (1, "N6.txt")]
+    found = renames.trims(spark.createDataFrame(rows, "directory long, name string")).collect()
+    assert {(r.directory, r.name): (r.suggestion, r.reason) for r in found} == {
+        (0, " n4.txt"): ("n4.txt", None),
+        (0, "n4.txt "): (None, "NAME_TAKEN"),
+        (1, " n6.txt"): (None, "NAME_TAKEN"),
+        (1, "n6.txt "): (None, "NAME_TAKEN"),
+    }
