@@ -59,13 +59,13 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id and PIECES of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, "none", MEMORY_WORDS)
+        encode = encoder(path, MEMORY_WORDS)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 source, rows = [], []
-                for i, ids in enumerate(encode([x or "" for x in part.column(1).to_pylist()])):
+                for i, ids in enumerate(encode([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])):
                     body = ids + end
                     n = len(body) // 4
                     for start, length in cuts(part.column(0)[i].as_py(), n):

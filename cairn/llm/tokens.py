@@ -65,10 +65,16 @@ def tokenizer(path: str):
 
 
 @cache
-def specials(path: str) -> re.Pattern | None:
+def added_tokens(path: str) -> list[str]:
     """Strings that the library reads as added tokens wherever they stand."""
     with open(path) as f:
-        added = [x["content"] for x in json.load(f)["added_tokens"]]
+        return [x["content"] for x in json.load(f)["added_tokens"]]
+
+
+@cache
+def specials(path: str) -> re.Pattern | None:
+    """A pattern of the added tokens."""
+    added = added_tokens(path)
     return re.compile("|".join(map(re.escape, added))) if added else None
 
 
@@ -88,42 +94,41 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts word by word with a bounded memory, for tasks that encode in place.
+    """Encodes texts, given as UTF-8 bytes, word by word with a bounded memory, for tasks that encode in place.
 
-    The memory has two generations of at most ``most`` words of up to LONGEST_REMEMBERED characters: when the young one is
+    The memory has two generations of about ``most`` words of up to LONGEST_REMEMBERED bytes: when the young one is
     full it becomes the old one, and words met again move back. It lasts as long as the Python worker, over tasks.
+    Words are cut at ASCII white space, which they do not keep.
     """
 
-    def __init__(self, path: str, space: str, most: int):
-        self.path, self.space, self.most = path, space, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = split_texts(texts, self.path, self.space)
-        known: dict[str, bytes] = {}
-        unknown = []
-        young, old = self.young.get, self.old.get
-        for w in set().union(*split):
-            if (ids := young(w)) is not None:
-                known[w] = ids
-            elif (ids := old(w)) is not None:
-                known[w] = self.young[w] = ids
-            else:
-                unknown.append(w)
-        made = dict(zip(unknown, encode_words(unknown, self.path), strict=True))
-        known |= made
-        if len(self.young) + len(made) > self.most:
-            self.young, self.old = {}, self.young
-        self.young.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST_REMEMBERED)
-        ids_of = known.__getitem__
-        return [b"".join(map(ids_of, words)) for words in split]
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
+        self.added = [x.encode() for x in added_tokens(path)]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [[x] if any(a in x for a in self.added) else x.split() for x in texts]  # bytes are split as BARE does
+        young, old = self.young, self.old
+        missing = set().union(*split).difference(young)
+        unknown = list(missing.difference(old))
+        missing.difference_update(unknown)
+        young.update((w, old[w]) for w in missing)
+        young.update(zip(unknown, encode_words([w.decode() for w in unknown], self.path), strict=True))
+        ids_of = young.__getitem__
+        out = [b"".join(map(ids_of, words)) for words in split]
+        for w in unknown:
+            if len(w) > LONGEST_REMEMBERED:
+                del young[w]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
 
 
 @cache
-def encoder(path: str, space: str, most: int) -> Encoder:
+def encoder(path: str, most: int) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path, space, most)
+    return Encoder(path, most)
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:

@@ -97,6 +97,21 @@ def check_packing(docs, rows):
     return sum(r.length for r in rows), len(places)
 
 
+def test_encoder_with_a_small_memory():
+    """Bytes are split at ASCII white space alone; words met again, forgotten or too long to keep have the same ids."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [[PARA, "a\x1cb c\x85d e\u00a0f\u2028g\x0bh"], ["", "x" * 100, "it's <|endoftext|>end <|startoftext|> " + PARA], [PARA, "x" * 100, " \t\n"], ["new words here", PARA]]
+    for most in (1, 1000):
+        encode = tokens.Encoder(path, most)
+        for some in rows:
+            want = [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+            assert encode([x.encode() for x in some]) == want
+        assert ("x" * 100).encode() not in encode.young | encode.old
+
+
 def test_packing(spark, folder):
     docs = texts(spark, folder)
     tokens, sequences = check_packing(docs, q.op1_packing(spark, folder).collect())
