@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import licenses, lm, packing, suffix_dedup, tokens
+from cairn.llm import licenses, lm, packing, quality, suffix_dedup, tokens
 from cairn.llm import queries as q
 from cairn.llm.tables import vocabulary
 from tests.llm import brute
@@ -281,6 +281,14 @@ def test_quality_rules(spark, folder):
         assert r.asDict() == {"doc_id": d, **want}, d
 
 
+def test_cleaning_measures_every_text_once(spark):
+    """The plan splits texts into words and lines in one place, not in a filter below too."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    plan = quality.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") > 0
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "xxhash64(" in line]
+
+
 def test_language_model(spark, folder):
     docs = texts(spark, folder)
     found = by_id(q.op8_language_model(spark, folder))
