@@ -17,7 +17,7 @@ and keeps the crowds, tokens that several lines share. A line's hash goes the sa
 so equal lines meet first and only the earliest of them takes part, one a task. In a
 crowd every line is first held against two leaders, the crowd's earliest line and the
 one that meets most others; only lines that this leaves unmatched meet the others, and of those only the ones whose
-64-bit sketches of the sets differ in as few bits as a match's must. So a group
+sketches of the sets (SKETCH times 64 bits, of which a token turns one) differ in as few bits as a match's must. So a group
 of n near copies costs about n comparisons, and no pair that could remove a line
 is skipped. Bodies are read again for lines of crowds alone. Tokens are kept as
 58-bit hashes, lines as 64-bit ones.
@@ -53,6 +53,8 @@ LOW = np.uint64((1 << 58) - 1)
 BUCKET_BYTES = 1 << 24
 #: Bytes of text that a task packs at a time.
 FLUSH_BYTES = 1 << 24
+#: Words of 64 bits in the sketch of a line's set.
+SKETCH = 4
 #: Stands for a null id.
 NO_ID = int(np.iinfo(np.int64).min)
 
@@ -283,6 +285,19 @@ def _marks(places: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def sketches(tokens: np.ndarray, n: np.ndarray) -> pa.StructArray:
+    """Of each set of ``n`` tokens its sketch: two sketches differ in no more bits than their sets in tokens."""
+    bit, word = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6)) % np.uint64(SKETCH)
+    turned = lambda k: np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), np.cumsum(n) - n) if len(n) else np.empty(0, np.uint64)
+    return pa.StructArray.from_arrays([pa.array(turned(k).view(np.int64)) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
+
+
+def _near(x: str, nx: str, y: str, ny: str) -> Column:
+    """Whether the sketches x and y of sets of nx and ny tokens differ in as few bits as those of a match must."""
+    apart = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    return apart * (100 + LEAST) <= (F.col(nx) + F.col(ny)) * (100 - LEAST)
+
+
 def _bodies(docs: DataFrame, places: DataFrame, classes: Broadcast) -> DataFrame:
     """place, body and sketch (of the token set) of the lines at ``places``.
 
@@ -299,12 +314,10 @@ def _bodies(docs: DataFrame, places: DataFrame, classes: Broadcast) -> DataFrame
                 tokens, n = lines.tokens(chosen, classes.value)
                 low, high = lines.begin[lines.first[chosen]], lines.end[lines.last[chosen] - 1]
                 bodies = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                bits = np.uint64(1) << (tokens & np.uint64(63))
-                sketch = np.bitwise_xor.reduceat(bits, np.cumsum(n) - n) if len(n) else np.empty(0, np.uint64)
-                columns = [pa.array(doc[chosen]), pa.array(twin[chosen]), pa.array(lines.line[chosen].astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(sketch.view(np.int64))]
+                columns = [pa.array(doc[chosen]), pa.array(twin[chosen]), pa.array(lines.line[chosen].astype(np.int32)), pa.array(bodies, pa.binary()), sketches(tokens, n)]
                 yield pa.RecordBatch.from_arrays(columns, [*PLACE, "body", "sketch"])
 
-    found = docs.mapInArrow(find, "doc_id long, twin long, line int, body binary, sketch long")
+    found = docs.mapInArrow(find, f"doc_id long, twin long, line int, body binary, sketch struct<{', '.join(f's{k}: long' for k in range(SKETCH))}>")
     return found.dropDuplicates(list(PLACE)).join(places, list(PLACE), "left_semi")
 
 
@@ -358,9 +371,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # a second leader of a crowd: the line that meets most others in all its crowds
     sketched = settled_parquet(more.join(bodies.select(x, "sketch"), "x"))
     company = sketched.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"))
-    leaders = sketched.filter("ahead > 0").join(company, "x").groupBy("token").agg(F.min_by(F.struct("x", "n", "pos"), F.struct(-F.col("company"), "x")).alias("l"))
+    leaders = sketched.filter("ahead > 0").join(company, "x").groupBy("token").agg(F.min_by(F.struct("x", "n", "pos", "sketch"), F.struct(-F.col("company"), "x")).alias("l"))
     led = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").join(leaders, "token").filter(F.col("x") > F.col("l.x"))
-    led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"))).select("x", F.col("l.x").alias("y")).distinct()
+    led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")) & _near("sketch", "n", "l.sketch", "l.n")).select("x", F.col("l.x").alias("y")).distinct()
     led = settled_parquet(led.join(tried, ["x", "y"], "left_anti"))
     done = settled_parquet(done.union(_verified(led, bodies, classes)).distinct())
     tried = tried.union(led)
@@ -368,8 +381,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     left = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").alias("l")
     right = sketched.filter("behind > 0").select("token", F.col("x").alias("z"), "n", "pos", "sketch").alias("r")
     later = (F.col("l.token") == F.col("r.token")) & (F.col("l.x") > F.col("r.z"))
-    near = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("r.sketch"))) * (100 + LEAST) <= (F.col("l.n") + F.col("r.n")) * (100 - LEAST)
-    rest = left.join(right, later & near & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
+    rest = left.join(right, later & _near("l.sketch", "l.n", "r.sketch", "r.n") & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
     rest = settled_parquet(rest.select(F.col("l.x").alias("x"), F.col("r.z").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
     return equal.union(done).union(_verified(rest, bodies, classes))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import licenses, lm, packing, quality, suffix_dedup, tokens
+from cairn.llm import licenses, line_dedup, lm, packing, quality, suffix_dedup, tokens
 from cairn.llm import queries as q
 from cairn.llm.tables import vocabulary
 from tests.llm import brute
@@ -391,6 +391,21 @@ def test_language_model_on_held_out_texts(spark):
     assert bits < 0.6 * without_context, (bits, without_context)
 
 
+def test_line_sketches_bound_and_tell_apart():
+    """Sketches never differ in more bits than the sets; long sets with half in common lie further apart than a match may."""
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 300):
+        shared, a, b = (rng.integers(0, 1 << 58, n, dtype=np.uint64) for _ in range(3))
+        for keep in (0, n // 2, n - n // 9, n):
+            x, y = np.concatenate([shared[:keep], a[keep:]]), np.concatenate([shared[:keep], b[keep:]])
+            found = line_dedup.sketches(np.concatenate([x, y]), np.array([n, n])).to_pylist()
+            bits = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(found[0].values(), found[1].values(), strict=True))
+            assert bits <= 2 * (n - keep)
+            if n >= 60 and keep == n // 2:
+                assert bits * 180 > 2 * n * 20
+    assert len(line_dedup.sketches(np.empty(0, np.uint64), np.empty(0, np.int64))) == 0
+
+
 def test_line_dedup(spark, folder):
     docs = texts(spark, folder)
     found = by_id(q.op9_line_dedup(spark, folder))
