@@ -1,26 +1,25 @@
-"""Line dedup: an exact set-similarity join over all lines.
+"""Line dedup: an exact set-similarity join over all lines, in built-in functions only.
 
 A line's tokens are its distinct five-word shingles, A-Z as a-z (a line of fewer
 words is one token); two lines match if their sets have a Jaccard similarity of
 LEAST percent or more, and a line is removed if any earlier line (smaller
 doc_id, or same document and earlier) matches it. Lines without a word stay.
 
-Tokens are ordered by rarity: by how often the rarest of their five words occurs
-in the corpus, counted over all texts in a table of hashed words whose size is
-fixed (BUCKETS), ties by hash. Two matching lines share a token within their
+Tokens are ordered by their hash. Two matching lines share a token within their
 prefixes (all but the last ceil(0.8 n) - 1), and lengths and positions bound how
 much more they can share; what passes these filters is verified on the full sets.
 
-A task reads texts, sorts the tokens of their lines and packs the prefixes by
-buckets of tokens, whose number follows the bytes of the input; a bucket sorts them
-and keeps the crowds, tokens that several lines share. A line's hash goes the same way,
-so equal lines meet first and only the earliest of them takes part, one a task. In a
-crowd every line is first held against two leaders, the crowd's earliest line and the
-one that meets most others; only lines that this leaves unmatched meet the others, and of those only the ones whose
-sketches of the sets (SKETCH times 64 bits, of which a token turns one) differ in as few bits as a match's must. So a group
+Texts are split and hashed once for the prefixes. Equal lines meet first, by a hash of
+their words, and only the earliest of them takes part. Tokens that several lines share
+make crowds. In a crowd every line is first held against two leaders, the crowd's earliest
+line and the one that meets most others; only lines that this leaves unmatched meet the
+others, and of those only the ones whose sketches of the sets (SKETCH times 64 bits, of
+which a token turns one) differ in as few bits as a match's must. In crowds of more than LARGE
+lines they meet by new prefixes, whose tokens are ordered by how many lines of large crowds hold
+them: lines with words of their own share few of these. So a group
 of n near copies costs about n comparisons, and no pair that could remove a line
-is skipped. Bodies are read again for lines of crowds alone. Tokens are kept as
-58-bit hashes, lines as 64-bit ones.
+is skipped. Full sets are made for lines of crowds alone. Tokens and lines are kept as
+64-bit hashes.
 
 Null text has no lines and stays null; an empty text keeps its one empty line. A
 document that loses every line keeps an empty text. A row is known by its id and a
@@ -33,33 +32,26 @@ table gives no rows. Columns of the input that are named like a result are repla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm import textbytes as tb
+from cairn.llm.exprs import SPACE, SPACE_RUN, lowered
 from cairn.llm.tables import settled_parquet
 
 SHINGLE = 5
 LEAST = 80
-BUCKETS = 1 << 16
-HASH_BITS = np.uint64(58)
-LOW = np.uint64((1 << 58) - 1)
-#: Bytes of text to a bucket of tokens, about.
-BUCKET_BYTES = 1 << 24
-#: Bytes of text that a task packs at a time.
-FLUSH_BYTES = 1 << 24
-#: Words of 64 bits in the sketch of a line's set.
+#: Words of 64 bits in the sketch of a line's set, a power of two.
 SKETCH = 4
+#: Words of 64 bits, at most, of the map that spares lines outside crowds a shuffle.
+MAP_WORDS = 1 << 20
+#: A crowd of more lines is large: its open lines meet by the rarest of all their tokens.
+LARGE = 4096
 #: Stands for a null id.
-NO_ID = int(np.iinfo(np.int64).min)
+NO_ID = -(1 << 63)
 
 PLACE = ("doc_id", "twin", "line")
-FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -74,316 +66,158 @@ def _twin() -> Column:
     return F.xxhash64("text")
 
 
-# ---------------------------------------------------------------- lines of a slice of texts
-
-
-class Lines:
-    """The lines with a word of some texts: text, line number, and their words' hashes from ``first`` to ``last``."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.begin, self.end, counts = tb.word_spans(data, starts)
-        found = tb.Hashes(tb.LOWER[data]).span(self.begin, self.end)
-        self.words = tb.mix(found + (self.end - self.begin).astype(np.uint64) * FACTORS[4])
-        breaks = np.flatnonzero(data == 10)
-        text = np.repeat(np.arange(len(counts)), counts)
-        line = np.searchsorted(breaks, self.begin) - np.searchsorted(breaks, starts[:-1])[text]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
-        self.first = np.flatnonzero(new)
-        self.last = np.append(self.first[1:], len(text))[: len(self.first)]
-        self.text, self.line = text[self.first], line[self.first]
-
-    def keys(self) -> np.ndarray:
-        """A hash of each line's words in order."""
-        size = (self.last - self.first).astype(np.uint64)
-        return tb.mix(tb.Hashes(self.words).span(self.first, self.last) + size * FACTORS[1])
-
-    def tokens(self, chosen: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct tokens of the ``chosen`` lines, rare ones first, and how many each line has."""
-        first, size = self.first[chosen], (self.last - self.first)[chosen]
-        full = np.zeros(max(len(self.words) - SHINGLE + 1, 0), np.uint64)
-        for j, factor in enumerate(FACTORS):
-            full += self.words[j : j + len(full)] * factor
-        full = tb.mix(full) & LOW
-        seen = classes[self.words >> np.uint64(48)]
-        rarest = seen[: len(full)].copy()
-        for j in range(1, SHINGLE):
-            np.minimum(rarest, seen[j : j + len(full)], out=rarest)
-        full |= rarest.astype(np.uint64) << HASH_BITS
-        many = np.maximum(size - SHINGLE + 1, 1)
-        owner = np.repeat(np.arange(len(chosen)), many)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        short = size < SHINGLE
-        found = np.empty(len(owner), np.uint64)
-        lone = short[owner]
-        found[~lone] = full[at[~lone]]
-        if short.any():
-            value = np.zeros(int(short.sum()), np.uint64)
-            for j in range(SHINGLE - 1):
-                has = size[short] > j
-                value[has] += self.words[first[short][has] + j] * FACTORS[j]
-            found[lone] = tb.mix(value + size[short].astype(np.uint64)) & LOW
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        distinct = np.ones(len(found), bool)
-        distinct[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        return found[distinct], np.bincount(owner[distinct], minlength=len(chosen))
-
-
-def needed(n: np.ndarray) -> np.ndarray:
-    """The least a set of ``n`` shares with a match: ceil(n * LEAST / 100)."""
-    return (n * LEAST + 99) // 100
-
-
-def word_classes(docs: DataFrame) -> np.ndarray:
-    """For each bucket of word hashes, the binary logarithm of how often its words occur."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, data, starts in tb.slices(batch, "text"):
-                hashes, _ = tb.word_hashes(data, starts)
-                seen += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.uint8)
-    for row in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).collect():
-        out[row.bucket] = row.c  # at most BUCKETS rows
-    return out
-
-
-# ---------------------------------------------------------------- buckets of tokens
-
-#: Columns of an entry: token (or a line's hash, with n = 0), place, size of the set, position in the prefix.
-ENTRY = (("token", "<u8"), ("doc_id", "<i8"), ("twin", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"))
-
-
-def _blob(columns: list[np.ndarray]) -> bytes:
-    raw = b"".join(np.ascontiguousarray(c, t).tobytes() for c, (_, t) in zip(columns, ENTRY, strict=True))
-    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unblob(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    raw = pa.decompress(blob[8:], decompressed_size=n * sum(np.dtype(t).itemsize for _, t in ENTRY), codec="zstd")
-    out, at = [], 0
-    for _, t in ENTRY:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
-def _prefixes(docs: DataFrame, classes: Broadcast, buckets: int) -> DataFrame:
-    """bucket and entries of all lines."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def finished() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
-            where = (tb.mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((columns[0], where))
-            where, columns = where[order], [c[order] for c in columns]
-            for b, lo, hi in tb.runs(where):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_blob([c[lo:hi] for c in columns])], pa.binary())], ["bucket", "entries"])
-
-        for batch in batches:
-            for part, data, starts in tb.slices(batch, "text"):
-                lines = Lines(data, starts)
-                key = lines.keys()
-                doc, twin = part.column("doc_id").to_numpy()[lines.text], part.column("twin").to_numpy()[lines.text]
-                line = lines.line.astype(np.int32)
-                zero = np.zeros(len(key), np.int32)
-                held.append([key, doc, twin, line, zero, zero])
-                # of equal lines in one slice only the earliest can match anything first
-                order = np.lexsort((line, twin, doc, key))
-                lead = np.ones(len(order), bool)
-                lead[1:] = key[order][1:] != key[order][:-1]
-                chosen = np.sort(order[lead])
-                tokens, n = lines.tokens(chosen, classes.value)
-                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-                owner = np.repeat(np.arange(len(chosen)), n)
-                kept = pos <= (n - needed(n))[owner]
-                owner, pos = owner[kept], pos[kept]
-                of = chosen[owner]
-                held.append([tokens[kept], doc[of], twin[of], line[of], n[owner].astype(np.int32), pos.astype(np.int32)])
-                size += len(data)
-                if size > FLUSH_BYTES:
-                    yield from finished()
-                    size = 0
-        if held:
-            yield from finished()
-
-    return docs.mapInArrow(pack, "bucket int, entries binary")
-
-
-def _crowds(_: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries whose token several lines share, each with the crowd's earliest line; and equal lines but the earliest (``n`` = 0)."""
-    found = [_unblob(blob.as_py()) for part in parts for blob in part.column("entries")]
-    token, doc, twin, line, n, pos = (np.concatenate(c) for c in zip(*found, strict=True))
-    del found
-    order = np.lexsort((line, twin, doc, token, n > 0))
-    token, doc, twin, line, n, pos = (c[order] for c in (token, doc, twin, line, n, pos))
-    same = np.zeros(len(token), bool)  # as the entry before
-    same[1:] = (token[1:] == token[:-1]) & ((n[1:] > 0) == (n[:-1] > 0))
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
-    place = (doc != doc[head]) | (twin != twin[head]) | (line != line[head])
-    crowd = np.zeros(len(token), bool)
-    crowd[head[same & place]] = True
-    crowd = crowd[head] & (n > 0)
-    gone = same & place & (n == 0)
-    # a repeated row's entries stand beside each other: keep one
-    again = np.zeros(len(token), bool)
-    again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (twin[1:] == twin[:-1]) & (line[1:] == line[:-1])
-    kept = np.flatnonzero((crowd | gone) & ~again)
-    h = head[kept]
-    ahead = np.arange(len(kept)) - np.searchsorted(kept, h)  # how many of the crowd come before, and after
-    behind = np.searchsorted(kept, np.append(np.flatnonzero(~same), len(token))[np.searchsorted(np.flatnonzero(~same), h) + 1]) - 1 - np.arange(len(kept))
-    columns = {"token": token[kept].view(np.int64)}
-    for name, c in (("doc_id", doc), ("twin", twin), ("line", line), ("n", n), ("pos", pos)):
-        columns[name], columns[f"h_{name}"] = c[kept], c[h]
-    columns |= {"ahead": ahead.astype(np.int32), "behind": behind.astype(np.int32)}
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
-
-
-CROWD = "token long, " + ", ".join(f"{c} {t}, h_{c} {t}" for c, t in (("doc_id", "long"), ("twin", "long"), ("line", "int"), ("n", "int"), ("pos", "int"))) + ", ahead int, behind int"
+# ---------------------------------------------------------------- lines and their tokens
 
 
-def _passes(nx: Column, px: Column, ny: Column, py: Column) -> Column:
-    """Length and positional filters on two prefix entries of one token."""
-    length = (nx * 100 >= ny * LEAST) & (ny * 100 >= nx * LEAST)
-    most = F.least(nx - px, ny - py) + F.least(px, py)
-    return length & (most * (100 + LEAST) >= LEAST * (nx + ny))
+def _lines(placed: DataFrame) -> DataFrame:
+    """place and body of every line with a word."""
+    lines = placed.select("doc_id", "twin", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    return lines.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
 
 
-# ---------------------------------------------------------------- bodies of lines and verification
+def _sets(lines: DataFrame) -> DataFrame:
+    """place, ``key`` (a hash of the words in order) and ``tokens`` (the distinct tokens in order) of ``lines``."""
+    many = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0))
+    of_two = lambda a, b: F.xxhash64(a, b)
+    found = F.split(F.trim(lowered(F.col("body")), F.lit(SPACE)), SPACE_RUN, -1)
+    words = lines.select(*PLACE, found.alias("found")).select(*PLACE, F.transform("found", lambda w: F.xxhash64(w)).alias("words"))
+    # hashes of two words, of four, of five
+    two = words.select("*", many.alias("many"), F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), of_two).alias("two"))
+    four = two.select("*", F.zip_with(F.slice("two", F.lit(1), F.col("many")), F.slice("two", F.lit(3), F.col("many")), of_two).alias("four"))
+    five = F.zip_with("four", F.slice("words", F.lit(SHINGLE), F.col("many")), of_two)
+    key = F.xxhash64("words")
+    return four.select(*PLACE, key.alias("key"), F.sort_array(F.array_distinct(F.when(F.col("many") == 0, F.array(key)).otherwise(five))).alias("tokens"))
 
 
-def _mark(doc: np.ndarray, twin: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A bit of a map of BUCKETS * 64 for each place."""
-    mixed = tb.mix(doc.astype(np.uint64) * FACTORS[0] + twin.astype(np.uint64) * FACTORS[1] + line.astype(np.uint64) * FACTORS[2])
-    return (mixed >> np.uint64(42)).astype(np.int64)
+def needed(n: Column) -> Column:
+    """The least a set of ``n`` shares with a match: ceil(n * LEAST / 100)."""
+    return F.ceil(n * LEAST / 100).cast("int")
 
 
-def _marks(places: DataFrame) -> np.ndarray:
-    """A map of fixed size of the marked bits."""
+def _prefixes(placed: DataFrame) -> DataFrame:
+    """All lines: place, whether an equal line comes before (``gone``), and of one of the first of equal lines the size of its set and its prefix."""
+    n = F.size("tokens")
+    lines = _sets(_lines(placed)).select(*PLACE, "key", n.alias("n"), F.slice("tokens", F.lit(1), n - needed(n) + 1).alias("prefix"))
+    equal = Window.partitionBy("key").orderBy(*PLACE)
+    ranked = lines.select("*", F.row_number().over(equal).alias("rank"), F.first(F.struct(*PLACE)).over(equal).alias("head"))
+    lead = F.col("rank") == 1
+    return ranked.select(*PLACE, (F.struct(*PLACE) != F.col("head")).alias("gone"), F.when(lead, F.col("n")).alias("n"), F.when(lead, F.col("prefix")).alias("prefix"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS * 64, bool)
-        for batch in batches:
-            seen[_mark(*(batch.column(c).to_numpy() for c in PLACE))] = True
-        words = np.packbits(seen, bitorder="little").view("<i8")
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["at", "bits"])
 
-    out = np.zeros(BUCKETS, np.int64)
-    for row in places.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():  # at most BUCKETS rows
-        out[row["at"]] = row.bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _crowds(lines: DataFrame) -> DataFrame:
+    """Tokens of prefixes that several lines share: token, line (x), size of its set, position in the prefix; the same of the crowd's earliest line; how many of the crowd come before and after."""
+    entries = lines.filter("n is not null").select(*PLACE, "n", F.posexplode("prefix").alias("pos", "token"))
+    crowd = Window.partitionBy("token").orderBy(*PLACE)
+    shared = entries.select("*", F.count("*").over(crowd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("size")).filter("size > 1")
+    head = F.first(F.struct(F.struct(*PLACE).alias("y"), "n", "pos")).over(crowd).alias("head")
+    ranked = shared.select("*", (F.row_number().over(crowd) - 1).alias("ahead"), head)
+    return ranked.select("token", F.struct(*PLACE).alias("x"), "n", "pos", F.col("head.y").alias("y"), F.col("head.n").alias("h_n"), F.col("head.pos").alias("h_pos"), "ahead", (F.col("size") - 1 - F.col("ahead")).alias("behind"))
+
+
+def _passes(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """Length and positional filters on two prefix entries of one token."""
+    length = (nx * 100 >= ny * LEAST) & (ny * 100 >= nx * LEAST)
+    most = F.least(nx - px, ny - py) + F.least(px, py)
+    return length & (most * (100 + LEAST) >= LEAST * (nx + ny))
+
+
+# ---------------------------------------------------------------- full sets and verification
 
 
 def sketches(tokens: np.ndarray, n: np.ndarray) -> pa.StructArray:
-    """Of each set of ``n`` tokens its sketch: two sketches differ in no more bits than their sets in tokens."""
+    """Of each set of ``n`` tokens its sketch, as ``_sketch`` makes it: two sketches differ in no more bits than their sets in tokens."""
     bit, word = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6)) % np.uint64(SKETCH)
     turned = lambda k: np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), np.cumsum(n) - n) if len(n) else np.empty(0, np.uint64)
     return pa.StructArray.from_arrays([pa.array(turned(k).view(np.int64)) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
 
 
+def _sketch(tokens: str) -> Column:
+    """Of a set of tokens SKETCH words of 64 bits, of which each token turns one bit."""
+    bit = "shiftleft(1L, cast(t & 63 as int))"
+    return F.struct(*(F.expr(f"aggregate({tokens}, 0L, (a, t) -> if(((t >> 6) & {SKETCH - 1}) = {k}, a ^ {bit}, a))").alias(f"s{k}") for k in range(SKETCH)))
+
+
 def _near(x: str, nx: str, y: str, ny: str) -> Column:
     """Whether the sketches x and y of sets of nx and ny tokens differ in as few bits as those of a match must."""
     apart = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(SKETCH)), F.lit(0))
     return apart * (100 + LEAST) <= (F.col(nx) + F.col(ny)) * (100 - LEAST)
 
 
-def _bodies(docs: DataFrame, places: DataFrame, classes: Broadcast) -> DataFrame:
-    """place, body and sketch (of the token set) of the lines at ``places``.
+def _full_sets(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """x, tokens and sketch of the lines at ``places``.
 
-    A map of fixed size spares most lines the shuffle; the join behind it is exact.
+    A map of bits, of bounded size, spares most other lines the shuffle; the join behind it is exact.
     """
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(places))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, starts in tb.slices(batch, "text"):
-                lines = Lines(data, starts)
-                doc, twin = part.column("doc_id").to_numpy()[lines.text], part.column("twin").to_numpy()[lines.text]
-                chosen = np.flatnonzero(marks.value[_mark(doc, twin, lines.line)])
-                tokens, n = lines.tokens(chosen, classes.value)
-                low, high = lines.begin[lines.first[chosen]], lines.end[lines.last[chosen] - 1]
-                bodies = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                columns = [pa.array(doc[chosen]), pa.array(twin[chosen]), pa.array(lines.line[chosen].astype(np.int32)), pa.array(bodies, pa.binary()), sketches(tokens, n)]
-                yield pa.RecordBatch.from_arrays(columns, [*PLACE, "body", "sketch"])
-
-    found = docs.mapInArrow(find, f"doc_id long, twin long, line int, body binary, sketch struct<{', '.join(f's{k}: long' for k in range(SKETCH))}>")
-    return found.dropDuplicates(list(PLACE)).join(places, list(PLACE), "left_semi")
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, classes: Broadcast) -> DataFrame:
+    words = min(MAP_WORDS, 1 + places.count() // 4)
+    word = F.pmod(F.shiftright(F.xxhash64(*PLACE), 6), F.lit(words))
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(PLACE)}) & 63 as int))")
+    marked = places.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    lines = _lines(placed).select("*", word.alias("word"), bit.alias("bit"))
+    lines = lines.join(F.broadcast(marked), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*PLACE, "body")
+    # an inner join: a semi join would be pushed below the join with the map
+    own = lines.join(places, list(PLACE)).dropDuplicates(list(PLACE))
+    return _sets(own).select(F.struct(*PLACE).alias("x"), "tokens", _sketch("tokens").alias("sketch"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The places x of the pairs (x, y) of places whose sets match."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                sides = []
-                for name in ("bx", "by"):
-                    texts = part.column(name)
-                    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-                    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-                    lines = Lines(data, ends - ends[0])
-                    sides.append(lines.tokens(np.arange(len(lines.first)), classes.value))
-                (x, nx), (y, ny) = sides
-                both = np.concatenate([x, y])
-                owner = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-                order = np.lexsort((both, owner))
-                both, owner = both[order], owner[order]
-                twice = (both[1:] == both[:-1]) & (owner[1:] == owner[:-1])
-                common = np.bincount(owner[1:][twice], minlength=len(nx))
-                matched = common * 100 >= (nx + ny - common) * LEAST
-                yield pa.RecordBatch.from_arrays([part.column("x").filter(pa.array(matched))], ["x"])
-
-    place = F.struct(*PLACE)
-    both = pairs.join(bodies.select(place.alias("x"), F.col("body").alias("bx")), "x").join(bodies.select(place.alias("y"), F.col("body").alias("by")), "y")
-    return both.select("x", "bx", "by").mapInArrow(check, "x struct<doc_id:long,twin:long,line:int>").select("x.*")
+    both = pairs.join(sets.select("x", F.col("tokens").alias("tx")), "x").join(sets.select(F.col("x").alias("y"), F.col("tokens").alias("ty")), "y")
+    common = both.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("common"))
+    return common.filter(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * LEAST).select("x.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, twin, line of every line that an earlier line matches; a line may come more than once."""
     placed = _placed(docs)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    classes = docs.sparkSession.sparkContext.broadcast(word_classes(docs))
-    met = settled_parquet(_prefixes(placed, classes, 1 + size // BUCKET_BYTES).groupBy("bucket").applyInArrow(_crowds, CROWD))
-    equal = settled_parquet(met.filter("n = 0").select(*PLACE).distinct())
-    crowd = met.filter("n > 0").join(equal, list(PLACE), "left_anti")
-
-    x, head = F.struct(*PLACE).alias("x"), F.struct(*(F.col(f"h_{c}").alias(c) for c in PLACE)).alias("y")
-    members = crowd.select("token", x, head, "n", "pos", "h_n", "h_pos", "ahead", "behind")
+    lines = settled_parquet(_prefixes(placed))
+    equal = lines.filter("gone").select(*PLACE)
+    members = settled_parquet(_crowds(lines))
+
+    x = F.struct(*PLACE).alias("x")
     tried = members.filter("ahead > 0").filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos")))
     tried = settled_parquet(tried.select("x", "y").distinct())
-    more = members.filter("ahead > 1 or (ahead = 1 and behind > 0)")  # what pairs without the head are made of
+    more = members.filter("ahead > 1 or (ahead = 1 and behind > 0)").select("token", "x", "n", "pos", "ahead", "behind")  # what pairs without the head are made of
     wanted = settled_parquet(tried.select("x.*").union(tried.select("y.*")).union(more.select("x.*")).distinct())
-    bodies = settled_parquet(_bodies(placed, wanted, classes))
-    done = settled_parquet(_verified(tried, bodies, classes).distinct())
+    sets = settled_parquet(_full_sets(placed, wanted))
+    done = settled_parquet(_verified(tried, sets).distinct())
 
     # a second leader of a crowd: the line that meets most others in all its crowds
-    sketched = settled_parquet(more.join(bodies.select(x, "sketch"), "x"))
+    sketched = settled_parquet(more.join(sets.select("x", "sketch"), "x"))
     company = sketched.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"))
     leaders = sketched.filter("ahead > 0").join(company, "x").groupBy("token").agg(F.min_by(F.struct("x", "n", "pos", "sketch"), F.struct(-F.col("company"), "x")).alias("l"))
     led = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").join(leaders, "token").filter(F.col("x") > F.col("l.x"))
     led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")) & _near("sketch", "n", "l.sketch", "l.n")).select("x", F.col("l.x").alias("y")).distinct()
     led = settled_parquet(led.join(tried, ["x", "y"], "left_anti"))
-    done = settled_parquet(done.union(_verified(led, bodies, classes)).distinct())
+    done = settled_parquet(done.union(_verified(led, sets)).distinct())
     tried = tried.union(led)
 
-    left = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").alias("l")
-    right = sketched.filter("behind > 0").select("token", F.col("x").alias("z"), "n", "pos", "sketch").alias("r")
-    later = (F.col("l.token") == F.col("r.token")) & (F.col("l.x") > F.col("r.z"))
-    rest = left.join(right, later & _near("l.sketch", "l.n", "r.sketch", "r.n") & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
-    rest = settled_parquet(rest.select(F.col("l.x").alias("x"), F.col("r.z").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
-    return equal.union(done).union(_verified(rest, bodies, classes))
+    # what the leaders leave: in small crowds all pairs, in large ones those that share a rare token
+    open_ = settled_parquet(sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti"))
+    large = F.col("ahead") + F.col("behind") >= LARGE
+    shared = open_.filter(large).select("token").distinct()
+    crowds = sketched.filter(large).join(shared, "token", "left_semi").select("x").distinct()
+    rare = settled_parquet(_rarest(sets.join(crowds, "x", "left_semi")))
+    rest = _met(open_.filter(~large), sketched.filter(~large & (F.col("behind") > 0)))
+    rest = rest.union(_met(rare.join(open_.filter(large).select("x").distinct(), "x", "left_semi"), rare)).distinct()
+    rest = settled_parquet(rest.join(tried, ["x", "y"], "left_anti"))
+    return equal.union(done).union(_verified(rest, sets))
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """Of ``sets`` (x, tokens, sketch) the prefixes, tokens in order of how many of the sets hold them; tokens of one set alone are left out."""
+    held = sets.select("x", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    ranked = held.select("*", F.count("*").over(Window.partitionBy("token")).alias("many"))
+    ranked = ranked.select("*", (F.row_number().over(Window.partitionBy("x").orderBy("many", "token")) - 1).alias("pos"))
+    prefixes = ranked.filter((F.col("pos") <= F.col("n") - needed(F.col("n"))) & (F.col("many") > 1)).select("token", "x", "n", "pos")
+    return prefixes.join(sets.select("x", "sketch"), "x")
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (x, y) of entries of ``left`` and earlier ones of ``right`` that share a token and pass the filters."""
+    l, r = left.alias("l"), right.select("token", F.col("x").alias("y"), "n", "pos", "sketch").alias("r")  # noqa: E741
+    later = (F.col("l.token") == F.col("r.token")) & (F.col("l.x") > F.col("r.y"))
+    met = l.join(r, later & _near("l.sketch", "l.n", "r.sketch", "r.n") & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
+    return met.select(F.col("l.x").alias("x"), F.col("r.y").alias("y")).distinct()
 
 
 def _cut(docs: DataFrame) -> DataFrame:

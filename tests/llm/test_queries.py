@@ -414,6 +414,39 @@ def test_line_dedup(spark, folder):
         assert (found[d].kept_chars, found[d].kept_sha256) == (len(kept or ""), brute.sha(kept or "")), d
 
 
+def test_line_dedup_runs_no_python(spark, tmp_path, monkeypatch):
+    """All steps are built-in functions, and the sketch equals the plain one; fails with tasks in Python."""
+    plans = []
+    kept = line_dedup.settled_parquet
+    monkeypatch.setattr(line_dedup, "settled_parquet", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    rows = [(i, f"{PARA} {i % 3}\n{PARA[i:]}\nshort {i % 2}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = q.op9_line_dedup(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().toString())
+    assert len(plans) > 5 and not any(word in plan for plan in plans for word in ("InArrow", "InPandas", "EvalPython"))
+    tokens = np.random.default_rng(5).integers(-(2**63), 2**63, 70)
+    found = spark.createDataFrame([(tokens.tolist(),)], "tokens array<long>").select(line_dedup._sketch("tokens").alias("s")).first().s
+    assert found.asDict() == line_dedup.sketches(tokens.view(np.uint64), np.array([70])).to_pylist()[0]
+
+
+def test_line_dedup_of_large_crowds(spark, tmp_path, monkeypatch):
+    """Lines of large crowds that no leader matches meet by their rarest tokens, and none is missed."""
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    docs = {}
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"x{rng.integers(0, 6)}"
+        docs[i] = " ".join(words[int(rng.integers(0, 8)) :])
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(q.op9_line_dedup(spark, str(tmp_path)))
+    want = brute.line_dedup(docs)
+    assert {d: found[d].kept_sha256 for d in docs} == {d: brute.sha(t or "") for d, t in want.items()}
+    assert 2 < sum(1 for t in want.values() if t) < 118
+
+
 def test_bpe(spark, folder):
     from tokenizers import Tokenizer
 
