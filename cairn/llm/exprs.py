@@ -31,3 +31,13 @@ def lowered(text: Column) -> Column:
     """``text`` with A-Z as a-z and nothing else changed; texts of ASCII alone take the short way."""
     plain = F.octet_length(text) == F.char_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def lowered_bytes(text: Column) -> Column:
+    """Stands for ``lowered(text)`` where texts are only compared: two texts share it just if they share that one.
+
+    Beyond ASCII the bytes of the text are read as Latin-1, so that lowering changes first bytes of characters
+    (C3 to E3), but how many bytes follow still tells them apart. White space is the same in both.
+    """
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.lower(F.when(plain, text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.exprs import SPACE, SPACE_RUN, lowered
+from cairn.llm.exprs import SPACE, SPACE_RUN, lowered_bytes
 from cairn.llm.tables import settled_parquet
 
 SHINGLE = 5
@@ -72,21 +72,23 @@ def _twin() -> Column:
 def _lines(placed: DataFrame) -> DataFrame:
     """place and body of every line with a word."""
     lines = placed.select("doc_id", "twin", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    return lines.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.filter(_worded(F.col("body")))
+
+
+def _worded(body: Column) -> Column:
+    """Whether a line has a word."""
+    return F.ltrim(body, F.lit(SPACE)) != ""
 
 
 def _sets(lines: DataFrame) -> DataFrame:
     """place, ``key`` (a hash of the words in order) and ``tokens`` (the distinct tokens in order) of ``lines``."""
     many = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0))
-    of_two = lambda a, b: F.xxhash64(a, b)
-    found = F.split(F.trim(lowered(F.col("body")), F.lit(SPACE)), SPACE_RUN, -1)
+    found = F.array_remove(F.split(lowered_bytes(F.col("body")), SPACE_RUN, -1), "")
     words = lines.select(*PLACE, found.alias("found")).select(*PLACE, F.transform("found", lambda w: F.xxhash64(w)).alias("words"))
-    # hashes of two words, of four, of five
-    two = words.select("*", many.alias("many"), F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), of_two).alias("two"))
-    four = two.select("*", F.zip_with(F.slice("two", F.lit(1), F.col("many")), F.slice("two", F.lit(3), F.col("many")), of_two).alias("four"))
-    five = F.zip_with("four", F.slice("words", F.lit(SHINGLE), F.col("many")), of_two)
+    # one step for each token: the hashes of its words are looked up by index
+    five = F.transform(F.slice("words", F.lit(1), many), lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, SHINGLE))))
     key = F.xxhash64("words")
-    return four.select(*PLACE, key.alias("key"), F.sort_array(F.array_distinct(F.when(F.col("many") == 0, F.array(key)).otherwise(five))).alias("tokens"))
+    return words.select(*PLACE, key.alias("key"), F.sort_array(F.array_distinct(F.when(many == 0, F.array(key)).otherwise(five))).alias("tokens"))
 
 
 def needed(n: Column) -> Column:
@@ -131,10 +133,20 @@ def sketches(tokens: np.ndarray, n: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(turned(k).view(np.int64)) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
 
 
+_BIT = "shiftleft(1L, cast(t & 63 as int))"
+_WORD = f"((t >> 6) & {SKETCH - 1})"
+
+
 def _sketch(tokens: str) -> Column:
     """Of a set of tokens SKETCH words of 64 bits, of which each token turns one bit."""
-    bit = "shiftleft(1L, cast(t & 63 as int))"
-    return F.struct(*(F.expr(f"aggregate({tokens}, 0L, (a, t) -> if(((t >> 6) & {SKETCH - 1}) = {k}, a ^ {bit}, a))").alias(f"s{k}") for k in range(SKETCH)))
+    return F.struct(*(F.expr(f"aggregate({tokens}, 0L, (a, t) -> if({_WORD} = {k}, a ^ {_BIT}, a))").alias(f"s{k}") for k in range(SKETCH)))
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """x and ``_sketch`` of its tokens, for each of ``sets`` (a place once, tokens), a row a token and no loop over arrays."""
+    bits = sets.select(*PLACE, F.explode("tokens").alias("t"))
+    turned = bits.groupBy(*PLACE).agg(*(F.expr(f"bit_xor(if({_WORD} = {k}, {_BIT}, 0L))").alias(f"s{k}") for k in range(SKETCH)))
+    return turned.select(F.struct(*PLACE).alias("x"), F.struct(*(f"s{k}" for k in range(SKETCH))).alias("sketch"))
 
 
 def _near(x: str, nx: str, y: str, ny: str) -> Column:
@@ -143,25 +155,28 @@ def _near(x: str, nx: str, y: str, ny: str) -> Column:
     return apart * (100 + LEAST) <= (F.col(nx) + F.col(ny)) * (100 - LEAST)
 
 
-def _full_sets(placed: DataFrame, places: DataFrame) -> DataFrame:
-    """x, tokens and sketch of the lines at ``places``.
-
-    A map of bits, of bounded size, spares most other lines the shuffle; the join behind it is exact.
-    """
+def _among(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``rows`` at ``places``, and few others: a map of bits, of bounded size, spares most a shuffle to the exact join behind it."""
     words = min(MAP_WORDS, 1 + places.count() // 4)
     word = F.pmod(F.shiftright(F.xxhash64(*PLACE), 6), F.lit(words))
     bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(PLACE)}) & 63 as int))")
     marked = places.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    lines = _lines(placed).select("*", word.alias("word"), bit.alias("bit"))
-    lines = lines.join(F.broadcast(marked), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*PLACE, "body")
+    found = rows.select("*", word.alias("word"), bit.alias("bit")).join(F.broadcast(marked), "word")
+    return found.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*rows.columns)
+
+
+def _full_sets(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """place and tokens of the lines at ``places``."""
     # an inner join: a semi join would be pushed below the join with the map
-    own = lines.join(places, list(PLACE)).dropDuplicates(list(PLACE))
-    return _sets(own).select(F.struct(*PLACE).alias("x"), "tokens", _sketch("tokens").alias("sketch"))
+    own = _among(_lines(placed), places).join(places, list(PLACE)).dropDuplicates(list(PLACE))
+    return _sets(own).select(*PLACE, "tokens")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The places x of the pairs (x, y) of places whose sets match."""
-    both = pairs.join(sets.select("x", F.col("tokens").alias("tx")), "x").join(sets.select(F.col("x").alias("y"), F.col("tokens").alias("ty")), "y")
+    named = settled_parquet(pairs.select("x.*").union(pairs.select("y.*")).distinct())
+    own = settled_parquet(_among(sets, named).select(F.struct(*PLACE).alias("x"), "tokens"))  # few of all: the joins move these alone
+    both = pairs.join(own.select("x", F.col("tokens").alias("tx")), "x").join(own.select(F.col("x").alias("y"), F.col("tokens").alias("ty")), "y")
     common = both.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("common"))
     return common.filter(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * LEAST).select("x.*")
 
@@ -175,28 +190,34 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     x = F.struct(*PLACE).alias("x")
     tried = members.filter("ahead > 0").filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos")))
-    tried = settled_parquet(tried.select("x", "y").distinct())
+    tried = settled_parquet(tried.select("x", "n", "y", "h_n").distinct())
     more = members.filter("ahead > 1 or (ahead = 1 and behind > 0)").select("token", "x", "n", "pos", "ahead", "behind")  # what pairs without the head are made of
     wanted = settled_parquet(tried.select("x.*").union(tried.select("y.*")).union(more.select("x.*")).distinct())
     sets = settled_parquet(_full_sets(placed, wanted))
+    sketch = settled_parquet(_sketched(sets))
+    tried = tried.join(sketch, "x").join(sketch.select(F.col("x").alias("y"), F.col("sketch").alias("h_sketch")), "y")
+    tried = settled_parquet(tried.filter(_near("sketch", "n", "h_sketch", "h_n")).select("x", "y"))
     done = settled_parquet(_verified(tried, sets).distinct())
 
     # a second leader of a crowd: the line that meets most others in all its crowds
-    sketched = settled_parquet(more.join(sets.select("x", "sketch"), "x"))
-    company = sketched.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"))
-    leaders = sketched.filter("ahead > 0").join(company, "x").groupBy("token").agg(F.min_by(F.struct("x", "n", "pos", "sketch"), F.struct(-F.col("company"), "x")).alias("l"))
-    led = sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti").join(leaders, "token").filter(F.col("x") > F.col("l.x"))
+    large = F.col("ahead") + F.col("behind") >= LARGE
+    company = more.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"), F.collect_list(F.when(~large, F.col("token"))).alias("shares"))
+    sketched = settled_parquet(more.join(company.join(sketch, "x"), "x"))
+    leaders = sketched.groupBy("token").agg(F.min_by(F.struct("x", "n", "pos", "sketch"), F.struct(-F.col("company"), "x")).alias("l"))
+    sketched = sketched.drop("company")
+    left = settled_parquet(sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti"))
+    led = left.join(leaders, "token").filter(F.col("x") > F.col("l.x"))
     led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")) & _near("sketch", "n", "l.sketch", "l.n")).select("x", F.col("l.x").alias("y")).distinct()
     led = settled_parquet(led.join(tried, ["x", "y"], "left_anti"))
-    done = settled_parquet(done.union(_verified(led, sets)).distinct())
+    found = settled_parquet(_verified(led, sets).distinct())
+    done = done.union(found)
     tried = tried.union(led)
 
     # what the leaders leave: in small crowds all pairs, in large ones those that share a rare token
-    open_ = settled_parquet(sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti"))
-    large = F.col("ahead") + F.col("behind") >= LARGE
+    open_ = left.join(found.select(x), "x", "left_anti")
     shared = open_.filter(large).select("token").distinct()
     crowds = sketched.filter(large).join(shared, "token", "left_semi").select("x").distinct()
-    rare = settled_parquet(_rarest(sets.join(crowds, "x", "left_semi")))
+    rare = settled_parquet(_rarest(sets.select(x, "tokens").join(crowds, "x", "left_semi")).join(sketch, "x"))
     rest = _met(open_.filter(~large), sketched.filter(~large & (F.col("behind") > 0)))
     rest = rest.union(_met(rare.join(open_.filter(large).select("x").distinct(), "x", "left_semi"), rare)).distinct()
     rest = settled_parquet(rest.join(tried, ["x", "y"], "left_anti"))
@@ -204,20 +225,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """Of ``sets`` (x, tokens, sketch) the prefixes, tokens in order of how many of the sets hold them; tokens of one set alone are left out."""
+    """Of ``sets`` (x, tokens) the prefixes, tokens in order of how many of the sets hold them; tokens of one set alone are left out."""
     held = sets.select("x", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     ranked = held.select("*", F.count("*").over(Window.partitionBy("token")).alias("many"))
     ranked = ranked.select("*", (F.row_number().over(Window.partitionBy("x").orderBy("many", "token")) - 1).alias("pos"))
-    prefixes = ranked.filter((F.col("pos") <= F.col("n") - needed(F.col("n"))) & (F.col("many") > 1)).select("token", "x", "n", "pos")
-    return prefixes.join(sets.select("x", "sketch"), "x")
+    prefixes = ranked.filter((F.col("pos") <= F.col("n") - needed(F.col("n"))) & (F.col("many") > 1))
+    return prefixes.select("token", "x", "n", "pos", F.collect_list("token").over(Window.partitionBy("x")).alias("shares"))
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (x, y) of entries of ``left`` and earlier ones of ``right`` that share a token and pass the filters."""
-    l, r = left.alias("l"), right.select("token", F.col("x").alias("y"), "n", "pos", "sketch").alias("r")  # noqa: E741
+    """Pairs (x, y) of entries of ``left`` and earlier ones of ``right`` that share a token and pass the filters.
+
+    ``shares`` has all tokens of an entry's line; a pair comes of the least that both share, so near copies do not meet once for each token.
+    """
+    l, r = left.alias("l"), right.select("token", F.col("x").alias("y"), "n", "pos", "sketch", "shares").alias("r")  # noqa: E741
     later = (F.col("l.token") == F.col("r.token")) & (F.col("l.x") > F.col("r.y"))
-    met = l.join(r, later & _near("l.sketch", "l.n", "r.sketch", "r.n") & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos")))
-    return met.select(F.col("l.x").alias("x"), F.col("r.y").alias("y")).distinct()
+    close = _near("l.sketch", "l.n", "r.sketch", "r.n") & _passes(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"))
+    least = F.array_min(F.array_intersect("l.shares", "r.shares")) == F.col("l.token")
+    return l.join(r, later & close & least).select(F.col("l.x").alias("x"), F.col("r.y").alias("y"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -227,7 +252,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     joined = packed.join(gone, (F.col("id") == F.col("of")) & (F.col("twin") == F.col("of_twin")), "left")
     pieces = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    n_lines = F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n_lines = F.size(F.filter(pieces, _worded))
     return joined.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),

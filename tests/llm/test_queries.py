@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cairn.llm import licenses, line_dedup, lm, packing, quality, suffix_dedup, tokens
 from cairn.llm import queries as q
+from cairn.llm.exprs import lowered, lowered_bytes
 from cairn.llm.tables import vocabulary
 from tests.llm import brute
 
@@ -563,3 +564,33 @@ def test_pipeline_stages_keep_columns(spark, odd_dir):
 def test_packed_numbers():
     for numbers in ([], [0, 7], [1, 1 << 32, 5]):
         assert tokens.unpack_numbers(tokens.pack_numbers(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_line_dedup_compares_by_sketches_and_meets_once(spark, tmp_path, monkeypatch):
+    """Sketches by rows equal the plain ones, keep most pairs with leaders from the full sets, and a pair comes of one token however many it shares."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{w}" for w in range(60)) + " " + " ".join(f"x{rng.integers(1 << 30)}" for _ in range(12))) for i in range(30)]
+    rows += [(i + 30, f"É{i} Ω Ä ä {'A' * i} ã© end") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(line_dedup._placed(docs))
+    sets = line_dedup._sets(lines)
+    both = line_dedup._sketched(sets).join(sets.select(F.struct(*line_dedup.PLACE).alias("x"), line_dedup._sketch("tokens").alias("plain")), "x").collect()
+    assert len(both) == 39 and all(r.sketch == r.plain for r in both)
+    met, verified = [], []
+    meet, verify = line_dedup._met, line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_met", lambda *a: met.append(meet(*a)) or met[-1])
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, sets: verified.append(pairs.count()) or verify(pairs, sets))
+    found = line_dedup.removed_lines(docs).select("doc_id").distinct().collect()
+    want = {d for d, t in brute.line_dedup(dict(rows)).items() if t == ""}
+    assert {r.doc_id for r in found} == want
+    assert verified[0] < 30  # before: every line of a crowd with its head
+    for pairs in met:
+        assert pairs.count() == pairs.distinct().count()
+
+
+def test_lowered_bytes_tell_apart_what_lowered_does(spark):
+    letters = ["A", "a", "Z", "z", "É", "é", "Ä", "ã", "İ", "i", "ſ", "K", "Σ", "ς", "Д", "д", "中", "丽", "😀", "\U00010400", "\U00010428", " ", "\u0085", "1"]
+    rows = [(x + y,) for x in letters for y in letters] + [(x,) for x in letters]
+    found = spark.createDataFrame(rows, "t string").select(lowered("t").alias("l"), lowered_bytes(F.col("t")).alias("b")).distinct().collect()
+    assert len({r.l for r in found}) == len({r.b for r in found}) == len(found)
+    assert len(found) < len(rows)
