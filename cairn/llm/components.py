@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.tables import settled
+from cairn.llm.tables import gathered, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,9 +33,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node in reach) for every node of ``edges`` (a, b); loops and repeated edges are harmless."""
     at = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    at = settled(at)
+    at = settled(gathered(at))
     before, now = None, _state(at)
     while now != before:
-        at = settled(_small_star(_large_star(at)))
+        at = settled(gathered(_small_star(_large_star(at))))
         before, now = now, _state(at)
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(at.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.exprs import SPACE, SPACE_RUN, lowered_bytes
-from cairn.llm.tables import settled_parquet
+from cairn.llm.tables import gathered, settled_parquet
 
 SHINGLE = 5
 LEAST = 80
@@ -174,8 +174,8 @@ def _full_sets(placed: DataFrame, places: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The places x of the pairs (x, y) of places whose sets match."""
-    named = settled_parquet(pairs.select("x.*").union(pairs.select("y.*")).distinct())
-    own = settled_parquet(_among(sets, named).select(F.struct(*PLACE).alias("x"), "tokens"))  # few of all: the joins move these alone
+    named = settled_parquet(gathered(pairs.select("x.*").union(pairs.select("y.*")).distinct()))
+    own = settled_parquet(gathered(_among(sets, named).select(F.struct(*PLACE).alias("x"), "tokens")))  # few of all: the joins move these alone
     both = pairs.join(own.select("x", F.col("tokens").alias("tx")), "x").join(own.select(F.col("x").alias("y"), F.col("tokens").alias("ty")), "y")
     common = both.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("common"))
     return common.filter(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * LEAST).select("x.*")
@@ -184,32 +184,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, twin, line of every line that an earlier line matches; a line may come more than once."""
     placed = _placed(docs)
-    lines = settled_parquet(_prefixes(placed))
+    lines = settled_parquet(gathered(_prefixes(placed)))
     equal = lines.filter("gone").select(*PLACE)
-    members = settled_parquet(_crowds(lines))
+    members = settled_parquet(gathered(_crowds(lines)))
 
     x = F.struct(*PLACE).alias("x")
     tried = members.filter("ahead > 0").filter(_passes(F.col("n"), F.col("pos"), F.col("h_n"), F.col("h_pos")))
-    tried = settled_parquet(tried.select("x", "n", "y", "h_n").distinct())
+    tried = settled_parquet(gathered(tried.select("x", "n", "y", "h_n").distinct()))
     more = members.filter("ahead > 1 or (ahead = 1 and behind > 0)").select("token", "x", "n", "pos", "ahead", "behind")  # what pairs without the head are made of
-    wanted = settled_parquet(tried.select("x.*").union(tried.select("y.*")).union(more.select("x.*")).distinct())
-    sets = settled_parquet(_full_sets(placed, wanted))
-    sketch = settled_parquet(_sketched(sets))
+    wanted = settled_parquet(gathered(tried.select("x.*").union(tried.select("y.*")).union(more.select("x.*")).distinct()))
+    sets = settled_parquet(gathered(_full_sets(placed, wanted)))
+    sketch = settled_parquet(gathered(_sketched(sets)))
     tried = tried.join(sketch, "x").join(sketch.select(F.col("x").alias("y"), F.col("sketch").alias("h_sketch")), "y")
-    tried = settled_parquet(tried.filter(_near("sketch", "n", "h_sketch", "h_n")).select("x", "y"))
-    done = settled_parquet(_verified(tried, sets).distinct())
+    tried = settled_parquet(gathered(tried.filter(_near("sketch", "n", "h_sketch", "h_n")).select("x", "y")))
+    done = settled_parquet(gathered(_verified(tried, sets).distinct()))
 
     # a second leader of a crowd: the line that meets most others in all its crowds
     large = F.col("ahead") + F.col("behind") >= LARGE
     company = more.groupBy("x").agg(F.sum(F.col("ahead") + F.col("behind")).alias("company"), F.collect_list(F.when(~large, F.col("token"))).alias("shares"))
-    sketched = settled_parquet(more.join(company.join(sketch, "x"), "x"))
+    sketched = settled_parquet(gathered(more.join(company.join(sketch, "x"), "x")))
     leaders = sketched.groupBy("token").agg(F.min_by(F.struct("x", "n", "pos", "sketch"), F.struct(-F.col("company"), "x")).alias("l"))
     sketched = sketched.drop("company")
-    left = settled_parquet(sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti"))
+    left = settled_parquet(gathered(sketched.filter("ahead > 1").join(done.select(x), "x", "left_anti")))
     led = left.join(leaders, "token").filter(F.col("x") > F.col("l.x"))
     led = led.filter(_passes(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")) & _near("sketch", "n", "l.sketch", "l.n")).select("x", F.col("l.x").alias("y")).distinct()
-    led = settled_parquet(led.join(tried, ["x", "y"], "left_anti"))
-    found = settled_parquet(_verified(led, sets).distinct())
+    led = settled_parquet(gathered(led.join(tried, ["x", "y"], "left_anti")))
+    found = settled_parquet(gathered(_verified(led, sets).distinct()))
     done = done.union(found)
     tried = tried.union(led)
 
@@ -217,10 +217,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     open_ = left.join(found.select(x), "x", "left_anti")
     shared = open_.filter(large).select("token").distinct()
     crowds = sketched.filter(large).join(shared, "token", "left_semi").select("x").distinct()
-    rare = settled_parquet(_rarest(sets.select(x, "tokens").join(crowds, "x", "left_semi")).join(sketch, "x"))
+    rare = settled_parquet(gathered(_rarest(sets.select(x, "tokens").join(crowds, "x", "left_semi")).join(sketch, "x")))
     rest = _met(open_.filter(~large), sketched.filter(~large & (F.col("behind") > 0)))
     rest = rest.union(_met(rare.join(open_.filter(large).select("x").distinct(), "x", "left_semi"), rare)).distinct()
-    rest = settled_parquet(rest.join(tried, ["x", "y"], "left_anti"))
+    rest = settled_parquet(gathered(rest.join(tried, ["x", "y"], "left_anti")))
     return equal.union(done).union(_verified(rest, sets))
 
 

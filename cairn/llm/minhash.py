@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import textbytes as tb
 from cairn.llm.components import components
-from cairn.llm.tables import settled
+from cairn.llm.tables import gathered, settled
 
 SHINGLE = 5
 UNIVERSE = 1 << 20
@@ -184,37 +184,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = settled(docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {id_type}, n long, k1 long, k2 long, bands array<long>"))
     key = ["n", "k1", "k2"]
     known = signed.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = settled(known).withColumn("rep", F.monotonically_increasing_id())  # a number of its own for each class, fixed by the written rows
+    classes = settled(gathered(known)).withColumn("rep", F.monotonically_increasing_id())  # a number of its own for each class, fixed by the written rows
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     crowds = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    crowded = settled(members.join(crowds, "bucket"))
+    crowded = settled(gathered(members.join(crowds, "bucket")))
     wanted = classes.join(crowded.select("rep").distinct(), "rep", "left_semi").select(*key, "rep", "least")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "n long, k1 long, k2 long, shingles array<long>").join(wanted.select(*key, "rep"), key)
-    sets = settled(sets.select("rep", "shingles").dropDuplicates(["rep"]))
+    sets = settled(gathered(sets.select("rep", "shingles").dropDuplicates(["rep"])))
 
     # leaders: a bucket's member with the most company over all its buckets, and its smallest
     company = crowded.groupBy("rep").agg(F.sum("size").alias("company"))
     leaders = crowded.join(company, "rep").groupBy("bucket").agg(F.min("rep").alias("l1"), F.min_by("rep", F.struct(-F.col("company"), "rep")).alias("l2"))
     led = crowded.join(leaders, "bucket").select("rep", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("leader")).filter("rep <> leader")
-    pairs = settled(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct())
-    links = settled(_confirmed(pairs, sets))
+    pairs = settled(gathered(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()))
+    links = settled(gathered(_confirmed(pairs, sets)))
     joined = components(links)
 
     # what the leaders left: members of one bucket that are not connected yet
     placed = crowded.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    across = settled(_across(_mixed(placed), sets).join(pairs, ["a", "b"], "left_anti"))
+    across = settled(gathered(_across(_mixed(placed), sets).join(pairs, ["a", "b"], "left_anti")))
     if not across.isEmpty():
-        more = settled(_confirmed(across, sets))
+        more = settled(gathered(_confirmed(across, sets)))
         if not more.isEmpty():
             joined = components(links.union(more))
 
     joined = joined.select(F.col("node").alias("rep"), "component")
     about = classes.select(*key, "rep", "least", "copies").join(joined, "rep", "left").filter("copies > 1 or component is not null")
-    about = settled(about)
+    about = settled(gathered(about))
     lows = about.filter("component is not null").groupBy("component").agg(F.min("least").alias("low"))
     about = about.join(lows, "component", "left").select(*key, F.coalesce("low", "least").alias("low"))
     found = signed.select("doc_id", *key).join(about, key, "left")

@@ -33,6 +33,16 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than keep all cores busy, or than a sixteenth of the shuffle's where that is more.
+
+    For tables that are small beside what they are made of and whose order does not matter: on a local
+    path each file costs several processes that set permissions, more than its rows do.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 def settled_parquet(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder, in a folder of this application, and read again."""
     path = fresh_path(df.sparkSession, "stage")

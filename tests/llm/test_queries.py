@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import licenses, line_dedup, lm, packing, quality, suffix_dedup, tokens
+from cairn.llm import components, licenses, line_dedup, lm, minhash, packing, quality, suffix_dedup, tokens
 from cairn.llm import queries as q
 from cairn.llm.exprs import lowered, lowered_bytes
 from cairn.llm.tables import vocabulary
@@ -588,6 +588,32 @@ def test_line_dedup_compares_by_sketches_and_meets_once(spark, tmp_path, monkeyp
         assert pairs.count() == pairs.distinct().count()
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions the shuffles have, tables made on the way are written by few tasks; before, each by as many as there were partitions."""
+    docs = spark.createDataFrame([(i, f"{PARA} {i % 90}\n{PARA[i % 50:]} {i}\n" + " ".join(f"w{i % 40}x{k}" for k in range(60))) for i in range(400)], "doc_id long, text string")
+    made = []
+    parquet, checked = line_dedup.settled_parquet, minhash.settled
+    monkeypatch.setattr(line_dedup, "settled_parquet", lambda df: made.append(parquet(df)) or made[-1])
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "settled", lambda df: made.append(checked(df)) or made[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 211)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        gone = {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs).collect()}
+        tables = len(made)
+        near = minhash.near_duplicates(docs).filter("kept").count()
+        few = max(2 * spark.sparkContext.defaultParallelism, 211 // 16)
+        assert all(len(df.inputFiles()) <= few for df in made[:tables])
+        assert all(df.rdd.getNumPartitions() <= few for df in made[tables:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tables > 5 and len(made) > tables
+    assert gone == {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs).collect()}
+    assert near == minhash.near_duplicates(docs).filter("kept").count()
+
+
 def test_lowered_bytes_tell_apart_what_lowered_does(spark):
     letters = ["A", "a", "Z", "z", "É", "é", "Ä", "ã", "İ", "i", "ſ", "K", "Σ", "ς", "Д", "д", "中", "丽", "😀", "\U00010400", "\U00010428", " ", "\u0085", "1"]
     rows = [(x + y,) for x in letters for y in letters] + [(x,) for x in letters]
