@@ -56,8 +56,8 @@ TABLE_BITS = 20
 #: Bytes of text whose bits a task holds at a time.
 SLICE = 1 << 17
 SHARD = 1 << 15
-#: Bits of a fold that a task gathers before it counts them.
-GATHERED_BITS = 1 << 22
+#: Bits that are looked up at a time, few enough for a core's cache.
+BITS_AT_ONCE = 1 << 15
 #: Parts of the training texts: what the weights see of a text's bits comes from the other parts.
 FOLDS = 2
 SEEN = np.array([1, 4, 24])
@@ -75,6 +75,8 @@ PRIOR_BITS = 16.0
 BLOCK_BYTES = 1 << 24
 #: Forms of a word that the counts can predict (white space before it, capitals), and one for all others.
 FORMS = 5
+#: Whether a symbol is white space.
+IS_SPACE = np.append(tb.IS_SPACE, False)
 #: Counts above these divide what the word before says about the weights.
 FREQUENT = np.array([1, 32, 1024])
 
@@ -203,30 +205,43 @@ def _symbols(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _bits(data: np.ndarray, starts: np.ndarray, codes: Codes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of all bits of all texts: the slot in each table and the bit; and at which bit each symbol begins (one more entry than symbols)."""
     symbols, before, first = _symbols(data, starts)
-    key = before * SYMBOLS + symbols
-    lengths = codes.length[key]
+    key = (before * SYMBOLS + symbols).astype(np.intp)
+    lengths = codes.length.take(key)
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    total = int(ends[-1])
-    at = np.repeat(codes.start[key] - ends[:-1].astype(np.int32), lengths) + np.arange(total, dtype=np.int32)
-    node, bit = codes.node[at], codes.bit[at]
+    of = np.repeat(np.arange(len(symbols)), lengths)  # the symbol of each bit, by which all else is looked up
+    at = (codes.start.take(key) - ends[:-1]).take(of)
+    at += np.arange(len(of))
+    node, bit = codes.node.take(at), codes.bit.take(at)
     index = np.arange(len(symbols), dtype=np.int32)
-    place = index - np.repeat(first, np.diff(np.append(first, len(symbols)))).astype(np.int32)
     padded = np.concatenate([np.zeros(8, np.uint8), symbols.astype(np.uint8)])
-    last = np.ndarray(len(symbols), "<u8", padded, strides=(1,))  # the eight bytes before each symbol, the latest highest
-    spaces = np.where(tb.IS_SPACE[symbols & 255] & (symbols != END), index, 0)
+    last = np.ndarray(len(symbols), "<u8", padded, strides=(1,)).copy()  # the eight bytes before each symbol, the latest highest
+    spaces = index * IS_SPACE.take(symbols)
     since_space = index - np.maximum.accumulate(np.concatenate([[0], spaces[:-1]])).astype(np.int32)
+    word = np.clip(since_space, 1, WORD).astype(np.uint64)
+    # the first symbols of each text, whose contexts reach no further than its start
+    place = np.tile(np.arange(max(ORDERS)), len(first))
+    near = np.repeat(first, max(ORDERS)) + place
+    own = near < np.repeat(np.append(first, len(symbols))[1:], max(ORDERS))
+    near, place = near[own], place[own].astype(np.uint64)
     slots = []
     for k in ORDERS:
-        reach = np.minimum(np.clip(since_space, 1, WORD) if k == WORD else k, place).astype(np.uint64)  # no further than the text's start
-        known = np.where(reach > 0, last >> (np.uint64(64) - np.uint64(8) * np.maximum(reach, np.uint64(1))), np.uint64(0))
-        context = (tb.mix(known + (reach << np.uint64(56)) + (np.uint64(k) << np.uint64(60))) >> np.uint64(32)).astype(np.uint32)
-        slot = np.repeat(context, lengths)
+        reach = word if k == WORD else np.uint64(k)
+        context = _contexts(k, last >> (np.uint64(64) - np.uint64(8) * reach), reach)
+        short = np.minimum(word[near] if k == WORD else np.uint64(k), place)
+        known = np.where(short > 0, last[near] >> (np.uint64(64) - np.uint64(8) * np.maximum(short, np.uint64(1))), np.uint64(0))
+        context[near] = _contexts(k, known, short)
+        slot = context.take(of)
         slot += node
         slot >>= np.uint32(32 - TABLE_BITS)
         slots.append(slot)
     return slots, bit, ends
 
 
+def _contexts(k: int, known: np.ndarray, reach: np.ndarray | np.uint64) -> np.ndarray:
+    """A hash of the ``reach`` bytes that predictor ``k`` knows."""
+    return (tb.mix(known + ((reach << np.uint64(56)) + (np.uint64(k) << np.uint64(60)))) >> np.uint64(32)).astype(np.uint32)
+
+
 def pair_counts(docs: DataFrame) -> np.ndarray:
     """How often each symbol follows each in the texts."""
 
@@ -251,25 +266,13 @@ def fold(text: Column) -> Column:
 
 
 def _fold_bits(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """For each fold, slots and bits of its texts, a few million at a time."""
-    held: list[list[tuple[list[np.ndarray], np.ndarray]]] = [[] for _ in range(FOLDS)]
-    sizes = [0] * FOLDS
-
-    def gathered(f: int) -> tuple[int, list[np.ndarray], np.ndarray]:
-        out = f, [np.concatenate(x) for x in zip(*(slots for slots, _ in held[f]), strict=True)], np.concatenate([bit for _, bit in held[f]])
-        held[f], sizes[f] = [], 0
-        return out
-
+    """Fold, slots and bits of the texts, SLICE bytes of a fold at a time."""
     for batch in batches:
         own = batch.column("fold").to_numpy()
         for f in range(FOLDS):
             for _, data, starts in tb.slices(batch.filter(pa.array(own == f)), "text", SLICE):
                 slots, bit, _ = _bits(data, starts, codes)
-                held[f].append((slots, bit))
-                sizes[f] += len(bit)
-                if sizes[f] > GATHERED_BITS:
-                    yield gathered(f)
-    yield from (gathered(f) for f in range(FOLDS) if held[f])
+                yield f, slots, bit
 
 
 def tables(docs: DataFrame, codes: Broadcast) -> np.ndarray:
@@ -283,7 +286,11 @@ def tables(docs: DataFrame, codes: Broadcast) -> np.ndarray:
         seen = np.zeros((FOLDS, len(ORDERS), size), np.int64)
         for f, slots, bit in _fold_bits(batches, codes.value):
             for k, slot in enumerate(slots):
-                seen[f, k] += np.bincount((slot.astype(np.int64) << 1) + bit, minlength=size)
+                for at in range(0, len(bit), BITS_AT_ONCE):
+                    cell = slot[at : at + BITS_AT_ONCE].astype(np.intp)
+                    cell <<= 1
+                    cell += bit[at : at + BITS_AT_ONCE]
+                    np.add.at(seen[f, k], cell, 1)
         for f, k in np.ndindex(FOLDS, len(ORDERS)):
             shards = [pack_numbers(seen[f, k, at : at + SHARD]) for at in range(0, size, SHARD)]
             columns = [pa.array(np.full(len(shards), x, np.int32)) for x in (k, f)] + [pa.array(np.arange(len(shards), dtype=np.int32)), pa.array(shards, pa.binary())]
@@ -310,20 +317,23 @@ def tables(docs: DataFrame, codes: Broadcast) -> np.ndarray:
     return out
 
 
-#: Of a cell, its log odds and how often it was seen.
+#: Of a cell, its log odds; what is left is how often it was seen.
 CELL_ODDS = ((np.arange(256) // STEPS - 32) / TABLE_STEP).astype(np.float32)
-CELL_STEP = (np.arange(256) % STEPS).astype(np.uint8)
 
 
 def _gate(cells: list[np.ndarray]) -> np.ndarray:
-    gate = CELL_STEP[cells[0]]
+    gate = cells[0] % np.uint8(STEPS)
     for c in cells[1:]:
-        gate = gate * np.uint8(STEPS) + CELL_STEP[c]
+        gate *= np.uint8(STEPS)
+        gate += c % np.uint8(STEPS)
     return gate
 
 
 def level(mixed: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(mixed, -8, 8) + np.float32(8)) * np.float32(REFINE_STEP)).astype(np.int32)
+    x = np.clip(mixed, -8, 8)
+    x += np.float32(8)
+    x *= np.float32(REFINE_STEP)
+    return np.rint(x, out=x).astype(np.int32)
 
 
 def _odds_step(cell: np.ndarray) -> np.ndarray:
@@ -332,10 +342,10 @@ def _odds_step(cell: np.ndarray) -> np.ndarray:
     return (ODDS // 2 + np.sign(odds) * ((np.abs(odds) + 1) // 2)).clip(0, ODDS - 1)
 
 
-#: What each predictor's cell adds to the number of a cell of the fit's counts: gate first, then the steps of all log odds.
+#: What each predictor's cell adds to the number of a cell of the fit's counts: gate first, then the steps of all log odds, then the bit.
 FIT_CELLS = GATES * ODDS ** len(ORDERS)
 FIT_KEYS = [
-    ((np.arange(256) % STEPS) * STEPS ** (len(ORDERS) - 1 - k) * ODDS ** len(ORDERS) + _odds_step(np.arange(256)) * ODDS ** (len(ORDERS) - 1 - k)).astype(np.int32)
+    2 * ((np.arange(256) % STEPS) * STEPS ** (len(ORDERS) - 1 - k) * ODDS ** len(ORDERS) + _odds_step(np.arange(256)) * ODDS ** (len(ORDERS) - 1 - k)).astype(np.intp)
     for k in range(len(ORDERS))
 ]
 #: The log odds that a step stands for, a step of two of the tables' steps by the middle of both.
@@ -382,12 +392,11 @@ def fitted(docs: DataFrame, codes: Broadcast, cells: Broadcast) -> tuple[np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(2 * FIT_CELLS, np.int64)
         for f, slots, bit in _fold_bits(batches, codes.value):
-            for at in range(0, len(bit), SLICE):
-                key = FIT_KEYS[0].take(cells.value[1 + f, 0].take(slots[0][at : at + SLICE]))
-                for k in range(1, len(ORDERS)):
-                    key += FIT_KEYS[k].take(cells.value[1 + f, k].take(slots[k][at : at + SLICE]))
-                slots[0][at : at + SLICE] = (key << 1) + bit[at : at + SLICE]
-            seen += np.bincount(slots[0], minlength=len(seen))
+            for at in range(0, len(bit), BITS_AT_ONCE):
+                key = bit[at : at + BITS_AT_ONCE].astype(np.intp)
+                for k, slot in enumerate(slots):
+                    key += FIT_KEYS[k].take(cells.value[1 + f, k].take(slot[at : at + BITS_AT_ONCE]))
+                np.add.at(seen, key, 1)
         by_gate = seen.reshape(GATES, 2 * own)
         met = np.flatnonzero(by_gate.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([pack_numbers(by_gate[g]) for g in met], pa.binary())], ["gate", "counts"])
@@ -433,13 +442,22 @@ def mixing_model(docs: DataFrame) -> Broadcast:
 
 def _bit_logs(slots: list[np.ndarray], bit: np.ndarray, cells: np.ndarray, parts: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
     """log10 probability of every bit."""
-    own = [cells[k].take(s) for k, s in enumerate(slots)]
-    gate = _gate(own).astype(np.int32)
-    base = gate << 8
-    mixed = parts[0].take(base + own[0])
-    for k in range(1, len(own)):
-        mixed += parts[k].take(base + own[k])
-    return logs.take((bit * np.int32(GATES) + gate) * np.int32(LEVELS) + level(mixed))
+    out = np.empty(len(bit), np.float32)
+    for at in range(0, len(bit), BITS_AT_ONCE):
+        part = slice(at, at + BITS_AT_ONCE)
+        own = [cells[k].take(s[part]) for k, s in enumerate(slots)]
+        gate = _gate(own).astype(np.intp)
+        base = gate << 8
+        mixed = parts[0].take(base + own[0].astype(np.intp))
+        for k in range(1, len(own)):
+            mixed += parts[k].take(base + own[k].astype(np.intp))
+        row = bit[part].astype(np.intp)
+        row *= GATES
+        row += gate
+        row *= LEVELS
+        row += level(mixed)
+        out[part] = logs.take(row)
+    return out
 
 
 def _before(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -448,16 +466,36 @@ def _before(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.nda
     return total[:-1] - np.repeat(total[first], counts)
 
 
-def _score_texts(data: np.ndarray, starts: np.ndarray, known: np.ndarray, total: np.ndarray, mass: float, model: tuple) -> tuple[np.ndarray, ...]:
+class Counts:
+    """Counts of words by their hash; a word's place follows from the first bits of its hash, and a few steps from there."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = np.append(words[order], ~np.uint64(0)), np.append(counts[order], 0)
+        bits = len(words).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.words[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The counts of ``hashes``, all of them known."""
+        at = self.first.take((hashes >> self.shift).astype(np.intp))
+        todo = np.flatnonzero(self.words.take(at) < hashes)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.words.take(at[todo]) < hashes[todo]]
+        return self.counts.take(at)
+
+
+def _score_texts(data: np.ndarray, starts: np.ndarray, known: Counts, mass: float, model: tuple) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, logs (of the baseline's numerators) and score of every text."""
     codes, cells, parts, log_table = model
     begin, end, counts = tb.word_spans(data, starts)
-    hashes, _ = tb.word_hashes(data, starts)
+    hashes = tb.span_hashes(data, begin, end)
     n_texts = len(counts)
     text = np.repeat(np.arange(n_texts), counts)
     first = np.cumsum(counts) - counts
-    c = total[np.minimum(np.searchsorted(known, hashes), len(known) - 1)]
-    end_c = total[np.searchsorted(known, END_WORD)]
+    c = known.of(hashes)
+    end_c = known.of(np.array([END_WORD]))[0]
 
     slots, bit, bit_of = _bits(data, starts, codes)
     units = np.empty(len(begin) + n_texts, np.int64)  # each word with the white space before it, and each text's tail
@@ -515,11 +553,11 @@ def scores(docs: DataFrame) -> DataFrame:
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
         own = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in words.column("words")])
         total = np.concatenate([unpack_numbers(x.as_py()) for x in words.column("counts")]).astype(np.int64)
-        order = np.argsort(own)
+        known = Counts(own, total)
         out = []
         for batch in texts.to_batches():
             for part, data, starts in tb.slices(batch, "text", SLICE):
-                n_tokens, n_known, logs, score = _score_texts(data, starts, own[order], total[order], mass, model.value)
+                n_tokens, n_known, logs, score = _score_texts(data, starts, known, mass, model.value)
                 columns = [part.column("doc_id"), part.column("held_out"), *map(pa.array, (n_tokens, n_known, logs, np.diff(starts), score))]
                 out.append(pa.RecordBatch.from_arrays(columns, names))
         return pa.Table.from_batches(out)

@@ -109,8 +109,13 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, A-Z as a-z, and how many words each text has."""
     first, last, counts = word_spans(data, starts)
+    return span_hashes(data, first, last), counts
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every stretch first..last, A-Z as a-z."""
     found = Hashes(LOWER[data]).span(first, last)
-    return mix(found + (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), counts
+    return mix(found + (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:

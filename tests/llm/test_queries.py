@@ -614,6 +614,36 @@ def test_small_tables_are_few_files(spark, monkeypatch):
     assert near == minhash.near_duplicates(docs).filter("kept").count()
 
 
+def test_language_model_looks_up_by_parts():
+    """Slots equal a plain walk over each text alone, word counts come by their hash, and bits are counted slice by slice; before, they were gathered and copied first."""
+    rng = np.random.default_rng(4)
+    bodies = [b"", b"a", b" \n", b"ab c", b"x" * 9, "É ü".encode(), b"", *(bytes(rng.integers(30, 127, n).astype(np.uint8)) for n in (3, 7, 8, 200))]
+    flat = lambda texts: (np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    codes = lm.Codes(np.ones((lm.SYMBOLS, lm.SYMBOLS), np.int64))
+    slots, bit, ends = lm._bits(*flat(bodies), codes)
+    at = 0
+    for body in bodies:
+        for i, symbol in enumerate([*body, lm.END]):
+            key = (body[i - 1] if i else lm.END) * lm.SYMBOLS + symbol
+            since = next((d for d in range(1, i + 1) if body[i - d] in b" \t\n\x0b\x0c\r"), lm.WORD)
+            here = np.arange(codes.start[key], codes.start[key] + codes.length[key])
+            for k, found in zip(lm.ORDERS, slots, strict=True):
+                reach = min(max(1, min(since, lm.WORD)) if k == lm.WORD else k, i)
+                known = int.from_bytes(body[i - reach : i], "little") + (reach << 56) + (k << 60)
+                context = lm.tb.mix(np.array([known % 2**64], np.uint64)) >> np.uint64(32)
+                assert (found[ends[at] : ends[at + 1]] == (context.astype(np.uint32) + codes.node[here]) >> np.uint32(32 - lm.TABLE_BITS)).all()
+            assert (bit[ends[at] : ends[at + 1]] == codes.bit[here]).all()
+            at += 1
+    words = np.unique(np.append(rng.integers(0, 2**64, 3000, np.uint64), [np.uint64(0), ~np.uint64(0)]))
+    mixed = rng.permutation(len(words))
+    assert (lm.Counts(words[mixed], mixed).of(words) == np.arange(len(words))).all()
+    assert lm.Counts(words[:1], np.array([5])).of(words[:1]).tolist() == [5]
+    texts = [bytes([97 + i]) * (lm.SLICE // 2) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts]), pa.array(np.zeros(8, np.int32))], ["text", "fold"])
+    parts = list(lm._fold_bits(iter([batch]), codes))
+    assert len(parts) == 4 and all(f == 0 for f, _, _ in parts)
+
+
 def test_lowered_bytes_tell_apart_what_lowered_does(spark):
     letters = ["A", "a", "Z", "z", "É", "é", "Ä", "ã", "İ", "i", "ſ", "K", "Σ", "ς", "Д", "д", "中", "丽", "😀", "\U00010400", "\U00010428", " ", "\u0085", "1"]
     rows = [(x + y,) for x in letters for y in letters] + [(x,) for x in letters]
